@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,17 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Shared:
+    """A value that goes to every task once, pickled with the code of its classes. Only for values of bounded size."""
+
+    def __init__(self, spark: SparkSession, value: object):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        return cloudpickle.loads(self._bytes.value)
+
+
 # -- vectorised words ---------------------------------------------------------------------------------------------
 
 LOWER = np.arange(256, dtype=np.uint8)
@@ -149,10 +161,10 @@ def shingles(words: Words, size: int) -> list[np.ndarray]:
         if b - a >= size:
             out.append(np.unique(runs[a : b - size + 1]))
         elif b > a:
-            short = np.uint64(b - a)
+            short = np.array([b - a], dtype=np.uint64)
             for x in h[a:b]:
-                short = mix(np.array([short * _MIX[4] + x]))[0]
-            out.append(np.array([short], dtype=np.uint64))
+                short = mix(short * _MIX[4] + x)
+            out.append(short)
         else:
             out.append(np.empty(0, dtype=np.uint64))
     return out

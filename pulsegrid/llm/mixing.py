@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, pick, table
+from .common import DOCUMENT_COLUMNS, checkpoint, pick, table
 
 MOST_COPIES = 3
 WORD = r"[^\x20\x09-\x0D]+"
@@ -94,9 +94,9 @@ def balance(counts: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame) -> DataFrame:
-    """Copies of each document so that sources meet their targets: doc_id, size, source_size, target, taken, copies, rate.
+    """Copies of each document so that sources meet their targets: doc_id, size, source_size, target, taken, copies, rate, tie.
 
-    One row for each input row; taken = copies * size, with 0 to 3 copies. A null or empty text has size 0 and is never
+    One row for each input row; taken = copies * size, with 0 to 3 copies; tie is a hash of id and text. A null or empty text has size 0 and is never
     taken; a null source is a source of its own, after all others. Repeated rows count each by itself. Reruns agree: order
     comes from (size, doc_id, text hash) alone. Other columns are ignored; an empty table gives no rows.
 
@@ -127,7 +127,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     copies = F.when(F.col("size") == 0, 0).when(F.col("rate") >= MOST_COPIES, MOST_COPIES).otherwise(copies)
     rounded = checkpoint(rated.withColumn("copies", copies))
     fixed = _correct(rounded, plan)
-    return fixed.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate")
+    return fixed.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "tie")
 
 
 def _correct(rounded: DataFrame, plan: DataFrame) -> DataFrame:
@@ -155,5 +155,18 @@ def _correct(rounded: DataFrame, plan: DataFrame) -> DataFrame:
     return fixed
 
 
+def mix_documents(docs: DataFrame) -> DataFrame:
+    """The documents that the mix takes, with doc_id, text, lang, source, n_chars, their size and their copies (1 to 3).
+
+    A document that is to be read several times is one row with that many copies. Rows that repeat id and text are told
+    apart by nothing, and so all get the copies of one of them.
+    """
+    docs = pick(docs, *DOCUMENT_COLUMNS)
+    mixed = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), "size", "target", "copies").dropDuplicates(["mix_id", "mix_tie"])
+    tied = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
+    out = tied.join(mixed, tied["doc_id"].eqNullSafe(mixed["mix_id"]) & (tied["tie"] == mixed["mix_tie"]))
+    return out.select(*DOCUMENT_COLUMNS, "size", "target", "copies")
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
