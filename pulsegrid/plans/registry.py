@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from . import alert_queries, detector_queries, exploration_queries, feature_queries, forecast_queries, join_queries, model_queries, promql_queries, source_queries, stream_queries, window_queries  # noqa: F401
+from .base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
