@@ -120,6 +120,13 @@ class Words:
                 weights = _POWERS[inner % _BLOCK] * _powers(_BLOCK_BASE, most // _BLOCK + 1)[inner // _BLOCK]
             self.hashes = mix(np.add.reduceat(_TABLE[self.lowered[inside]] * weights, at))
 
+    def beginnings(self, which: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the first n bytes of these words, which are longer; none equals a whole word's hash by design."""
+        h = np.full(len(which), n, dtype=np.uint64) * _MIX[3]
+        for j in range(n):
+            h += _TABLE[self.lowered[self.starts[which] + j]] * _POWERS[j]
+        return mix(h)
+
     def word(self, i: int) -> bytes:
         return self.lowered[self.starts[i] : self.ends[i]].tobytes()
 

@@ -17,9 +17,37 @@ from .common import ALNUM, Shared, Words, checkpoint, pick, table, text_slices
 
 #: The training sample: so many labelled documents of each grade.
 DOCS_PER_GRADE = 2_500
-#: Words that the model may use: those that tell toxic documents from others best, seen in MIN_DOCS or more of the sample.
+#: Features that the model may use: those that tell toxic documents from others best, seen in MIN_DOCS or more of the sample.
 FEATURES, MIN_DOCS = 1_500, 5
-TOXIC_AT = 0.5
+TOXIC_AT = 0.6
+
+
+#: Bytes of the word beginnings that are features beside whole words; they carry what inflected or joined words share.
+BEGINNINGS = (4, 6, 7, 8)
+TWICE = np.uint64(0x5851F42D4C957F2D)
+
+
+def raw_features(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(text, feature hash) of every word and of every word's beginnings, as often as they occur."""
+    text = np.repeat(np.arange(len(words.first) - 1), np.diff(words.first))
+    texts, hashes = [text], [words.hashes]
+    sizes = words.ends - words.starts
+    for k in BEGINNINGS:
+        long = np.flatnonzero(sizes > k)
+        if len(long):
+            texts.append(text[long])
+            hashes.append(words.beginnings(long, k))
+    return np.concatenate(texts), np.concatenate(hashes)
+
+
+def distinct_features(text: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature of a text once, and once more, under another hash, if the text has it twice or more."""
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])] if len(h) else np.zeros(0, dtype=bool)
+    at = np.flatnonzero(new)
+    again = at[np.diff(np.r_[at, len(h)]) > 1]
+    return np.concatenate([text[at], text[again]]), np.concatenate([h[at], h[again] ^ TWICE])
 
 
 class OrdinalModel:
@@ -29,8 +57,14 @@ class OrdinalModel:
         self.weights = np.zeros(len(words))
         self.thresholds = np.arange(n_grades - 1, dtype=float)
 
-    def train(self, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l1: float = 1e-3, steps: int = 600, rate: float = 0.05) -> None:
-        """Proximal Adam on the weighted cumulative-link likelihood; the L1 share drives weights of chance words to 0."""
+    def train(self, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l1: float = 0.03, steps: int = 600, rate: float = 0.05) -> None:
+        """Proximal Adam on the cumulative-link likelihood, clean and toxic documents weighing the same in all.
+
+        The L1 share, which falls with the sample's size as chance correlations do, drives weights of chance words to 0.
+        """
+        l1 *= np.sqrt(np.log(len(self.weights) + 1) / len(x))
+        for side in (grade == 0, grade > 0):
+            weight = np.where(side, weight / max(weight[side].sum(), 1e-12), weight)
         k = len(self.thresholds)
         above = (grade[:, None] > np.arange(k)).astype(float)
         weight = weight / weight.sum()
@@ -58,7 +92,7 @@ class OrdinalModel:
             v += 0.01 * (g * g - v)
             size = rate * (1 - step / (steps + 1)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
             parameters = parameters - size * m / (1 - 0.9**step)
-            parameters[:n] = np.sign(parameters[:n]) * np.maximum(0, np.abs(parameters[:n]) - l1 * np.minimum(size[:n], 50 * rate))
+            parameters[:n] = np.sign(parameters[:n]) * np.maximum(0, np.abs(parameters[:n]) - l1 * size[:n])
         self.weights = parameters[:n]
         self.thresholds = parameters[n] + np.concatenate([[0], np.cumsum(np.exp(parameters[n + 1 :]))])
         used = self.weights != 0
@@ -69,19 +103,26 @@ class OrdinalModel:
         return 1 / (1 + np.exp(-np.clip(scores[:, None] - self.thresholds, -40, 40)))
 
 
+def among(h: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are in a sorted array, and where."""
+    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+    hit = np.flatnonzero(known[at] == h)
+    return hit, at[hit]
+
+
 def feature_rows(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) of the known words that each text holds, without repeats."""
+    """(text, place in known) of the known features that each text holds, without repeats."""
     if not len(known) or not len(words.hashes):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    at = np.minimum(np.searchsorted(known, words.hashes), len(known) - 1)
-    hit = np.flatnonzero(known[at] == words.hashes)
-    text = np.searchsorted(words.first, hit, side="right") - 1
-    pairs = np.unique(text.astype(np.int64) * len(known) + at[hit])
-    return pairs // len(known), pairs % len(known)
+    text, h = raw_features(words)
+    hit, _ = among(h, np.unique(np.concatenate([known, known ^ TWICE])))  # few are left to sort
+    text, h = distinct_features(text[hit], h[hit])
+    hit, at = among(h, known)
+    return text[hit], at
 
 
 def graded_sample(docs: DataFrame, labels: DataFrame, docs_per_grade: int) -> DataFrame:
-    """grade, share (labelled rows that each sampled one stands for) and words of the sample.
+    """grade, share (labelled rows that each sampled one stands for) and features (words) of the sample.
 
     Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality. Ids are taken by their hash, each task's best first.
     """
@@ -99,7 +140,9 @@ def graded_sample(docs: DataFrame, labels: DataFrame, docs_per_grade: int) -> Da
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column(2)):
                 words = Words(data, offsets, ALNUM)
-                own = [np.unique(words.hashes[x:y]).astype(np.int64) for x, y in zip(words.first[:-1], words.first[1:], strict=True)]
+                text, hashes = distinct_features(*raw_features(words))
+                order = np.argsort(text, kind="stable")
+                own = [np.unique(x).astype(np.int64) for x in np.split(hashes[order], np.searchsorted(text[order], np.arange(1, b - a)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(own, pa.list_(pa.int64()))], ["grade", "share", "words"])
 
     return rows.mapInArrow(run, "grade int, share double, words array<long>")
@@ -139,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_grade: int = DOCS_PER_GRADE
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_grade: int = DOCS_PER_GRADE, features: int = FEATURES) -> DataFrame:
-    """Expected severity of every whole text: doc_id, severity, p_toxic (grade above 0), toxic (p_toxic of 0.5 or more).
+    """Expected severity of every whole text: doc_id, severity, p_toxic (grade above 0), toxic (p_toxic of 0.6 or more).
 
     labels: doc_id, quality, toxic; rows with a null id or toxic are left out, and of a repeated id the worst grade
     counts. A null or empty text has no features and scores by the thresholds alone. Without labels of two grades,
