@@ -107,7 +107,7 @@ RECORDING_RULES = {
     "asymmetry": "(INOCTETS - OUTOCTETS) / greatest(traffic_total, 1)",
 }
 #: Alert rules: name -> (condition, seconds it has to hold).
-ALERT_RULES = {"TrafficHigh": ("traffic_z > 1.5", 30), "ErrorRateHigh": ("error_rate > 0.5", 60), "TrafficLow": ("traffic_z < -1.0", 120)}
+ALERT_RULES = {"TrafficHigh": ("traffic_z > 1.55", 30), "ErrorRateHigh": ("error_rate > 0.5", 60), "TrafficLow": ("traffic_z < -1.05", 120)}
 
 
 def record(wide: DataFrame, hours: int = 6) -> DataFrame:

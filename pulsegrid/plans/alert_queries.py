@@ -155,7 +155,7 @@ def rca_context_json(spark, d):
 @query(
     f"""WITH {EV_SQL}, f AS (SELECT *, value > 50 AS f FROM ev), s AS (SELECT *, CASE WHEN f AND NOT coalesce(lag(f) OVER w, false) THEN us END AS st FROM f WINDOW w AS (PARTITION BY entity ORDER BY us, event_id)),
     t AS (SELECT *, CASE WHEN f THEN last_value(st IGNORE NULLS) OVER (PARTITION BY entity ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS since_us FROM s)
-    SELECT entity, event_id, since_us, CASE WHEN NOT f THEN 'inactive' WHEN us - since_us >= 3600000000 THEN 'firing' ELSE 'pending' END AS state FROM t"""
+    SELECT entity, event_id, coalesce(since_us, -1) AS since_us, CASE WHEN NOT f THEN 'inactive' WHEN us - since_us >= 3600000000 THEN 'firing' ELSE 'pending' END AS state FROM t"""
 )
 def alert_for_state(spark, d):
-    return alerts.alert_states(ev_series(spark, d), "entity", F.col("value") > 50, 3600).select("entity", "event_id", "since_us", "state")
+    return alerts.alert_states(ev_series(spark, d), "entity", F.col("value") > 50, 3600).select("entity", "event_id", F.coalesce("since_us", F.lit(-1)).alias("since_us"), "state")

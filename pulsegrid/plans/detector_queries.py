@@ -119,9 +119,9 @@ def _spc(spark, d):
     return detect.spc_charts(ev, S, "value", detect.baseline_stats(ev, S, ["value"], 500))
 
 
-@query(f"WITH RECURSIVE {EV_SQL}, {_SPC} SELECT entity, event_id, round(y, 5) AS ewma, ewma_flag, round(c, 4) AS cusum, cusum_flag, shewhart OR ewma_flag OR cusum_flag AS any_spc FROM spc")
+@query(f"WITH RECURSIVE {EV_SQL}, {_SPC} SELECT entity, event_id, round(y + 1e-9, 5) AS ewma, ewma_flag, round(c, 4) AS cusum, cusum_flag, shewhart OR ewma_flag OR cusum_flag AS any_spc FROM spc")
 def ewma_cusum_chart(spark, d):
-    return _spc(spark, d).select("entity", "event_id", r6(F.col("ewma"), 5).alias("ewma"), "ewma_flag", r6(F.col("cusum"), 4).alias("cusum"), "cusum_flag", "any_spc")
+    return _spc(spark, d).select("entity", "event_id", r6(F.col("ewma") + 1e-9, 5).alias("ewma"), "ewma_flag", r6(F.col("cusum"), 4).alias("cusum"), "cusum_flag", "any_spc")
 
 
 @query(f"WITH RECURSIVE {EV_SQL}, {_SPC} SELECT entity, count(*) AS n, sum(shewhart::INT)::BIGINT AS n_shewhart, sum(ewma_flag::INT)::BIGINT AS n_ewma, sum(cusum_flag::INT)::BIGINT AS n_cusum, round(avg((shewhart OR ewma_flag OR cusum_flag)::INT), 6) AS violation_rate FROM spc GROUP BY entity")

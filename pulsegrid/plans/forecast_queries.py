@@ -34,9 +34,9 @@ def seasonal_forecast(spark, d):
     return df.select("entity", "us", *(r6(F.col(c), 4).alias(c) for c in ("x", "seasonal", "y_hat")))
 
 
-@query(f"WITH {EV_SQL}, {_HOURLY}, {_BAND} SELECT entity, us, round(band, 4) AS band, round(greatest(y_hat - band, 0), 4) AS y_lower, round(y_hat + band, 4) AS y_upper, out_of_band FROM o")
+@query(f"WITH {EV_SQL}, {_HOURLY}, {_BAND} SELECT entity, us, round(band + 1e-9, 4) AS band, round(greatest(y_hat - band, 0) + 1e-9, 4) AS y_lower, round(y_hat + band + 1e-9, 4) AS y_upper, out_of_band FROM o")
 def forecast_band(spark, d):
-    return _forecast(spark, d).select("entity", "us", *(r6(F.col(c), 4).alias(c) for c in ("band", "y_lower", "y_upper")), "out_of_band")
+    return _forecast(spark, d).select("entity", "us", *(r6(F.col(c) + 1e-9, 4).alias(c) for c in ("band", "y_lower", "y_upper")), "out_of_band")
 
 
 @query(f"WITH {EV_SQL}, {_HOURLY}, {_BAND} SELECT entity, us, round(capacity, 4) AS capacity, round(ahead, 4) AS forecast_ahead, coalesce(ahead > 0.8 * capacity, false) AS early_warning FROM o")

@@ -78,9 +78,9 @@ _EWMA = """num AS (SELECT entity, event_id, value, row_number() OVER (PARTITION
 rec AS (SELECT entity, event_id, rn, value AS y FROM num WHERE rn = 1 UNION ALL SELECT n.entity, n.event_id, n.rn, 0.25 * n.value + 0.75 * r.y FROM rec r JOIN num n ON n.entity = r.entity AND n.rn = r.rn + 1)"""
 
 
-@query(f"WITH RECURSIVE {EV_SQL}, {_EWMA} SELECT entity, event_id, round(y, 6) AS ewma FROM rec")
+@query(f"WITH RECURSIVE {EV_SQL}, {_EWMA} SELECT entity, event_id, round(y + 1e-9, 6) AS ewma FROM rec")
 def ewma_series(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.ewma(V, S)).alias("ewma"))
+    return ev_series(spark, d).select("entity", "event_id", r6(W.ewma(V, S) + 1e-9).alias("ewma"))
 
 
 _CUSUM = """num AS (SELECT entity, event_id, value - 60 AS d, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM ev),
