@@ -31,8 +31,8 @@ SMALL, SALT_ROWS = 16, 5_000
 FRAGMENTS = 8
 #: Longs of the bit map that tells which sets are in a pair: 8 MB at most, whatever the number of pairs.
 MAP_WORDS = 1 << 20
-#: Set ids that a task remembers so as to send copies once.
-SEEN = 500_000
+#: Set ids that a task remembers so as to send copies once, and shingles that it gathers before it sends them.
+SEEN, SEND = 200_000, 250_000
 
 
 def least_overlap(n: int) -> int:
@@ -88,8 +88,12 @@ def _to_count(size: int, shared):
         sets, seen = Sets(size), set()
         order = Order(shared.value) if shared is not None else None
         for batch in batches:
-            out = []
+            out, held = [np.empty(0, dtype=np.uint64)], 0
             for _, _, s in _once(sets.of(batch.column(0)), seen):
+                held += len(out[-1])
+                if held > SEND:
+                    yield _emit([np.concatenate(out).astype(np.int64)], ["shingle"])
+                    out, held = [out[-1][:0]], 0
                 prefix = len(s) - least_overlap(len(s)) + 1
                 if order is None:
                     out.append(s[:prefix])
@@ -100,8 +104,7 @@ def _to_count(size: int, shared):
                     out.append(rare)  # mostly common text: its other shingles are likely to be frequent too
                 elif moved:
                     out.append(rare[prefix - moved : prefix])
-            if out:
-                yield _emit([np.concatenate(out).astype(np.int64)], ["shingle"])
+            yield _emit([np.concatenate(out).astype(np.int64)], ["shingle"])
 
     return run
 
@@ -135,11 +138,16 @@ def _prefixes(size: int, shared):
         sets, seen, order = Sets(size), set(), Order(shared.value)
         for batch in batches:
             out: list[list[np.ndarray]] = [[] for _ in names]
+            held = 0
             for _, node, s in _once(sets.of(batch.column(0)), seen):
+                if held > SEND:
+                    yield _emit([np.concatenate(x) for x in out], names)
+                    out, held = [[] for _ in names], 0
                 rare, frequent = order.split(s)
                 prefix = len(s) - least_overlap(len(s)) + 1
                 first = np.concatenate([rare[:prefix], frequent[: max(0, prefix - len(rare))]])
                 place = np.arange(prefix, dtype=np.int32)
+                held += prefix
                 fill = lambda x, kind=np.int32, n=prefix: np.full(n, x, dtype=kind)
                 for column, x in zip(out, (first.astype(np.int64), fill(node, np.int64), fill(len(s)), place, fill(len(rare)), place >= len(rare)), strict=True):
                     column.append(x)
@@ -149,6 +157,12 @@ def _prefixes(size: int, shared):
     return run
 
 
+def _segments(nodes: list[int], places: list[int], segments: list[np.ndarray]) -> pa.RecordBatch:
+    flat, ends = np.concatenate(segments), np.cumsum([0, *map(len, segments)])
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+    return pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), lists], ["node", "fragment", "segment"])
+
+
 def _fragments(size: int, shared_order, shared_map, fragments: int):
     """The segments of sets that may be in a pair: fragments cut the rare shingles by hash; the frequent ones are the last."""
 
@@ -156,11 +170,15 @@ def _fragments(size: int, shared_order, shared_map, fragments: int):
         sets, seen, order, bits = Sets(size), set(), Order(shared_order.value), shared_map.value
         cuts = np.array([(i << 64) // (fragments - 1) for i in range(1, fragments - 1)], dtype=np.uint64)
         for batch in batches:
-            nodes, places, segments = [], [], []
+            nodes, places, segments, held = [], [], [], 0
             for _, node, s in _once(sets.of(batch.column(0)), seen):
                 at = node & (64 * MAP_WORDS - 1)
                 if not (int(bits[at >> 6]) >> (at & 63)) & 1:
                     continue
+                if held > SEND:
+                    yield _segments(nodes, places, segments)
+                    nodes, places, segments, held = [], [], [], 0
+                held += len(s)
                 rare, frequent = order.split(s)
                 for i, part in enumerate([*np.split(rare, np.searchsorted(rare, cuts)), frequent]):
                     if len(part):
@@ -168,9 +186,7 @@ def _fragments(size: int, shared_order, shared_map, fragments: int):
                         places.append(i)
                         segments.append(part.astype(np.int64))
             if nodes:
-                flat, ends = np.concatenate(segments), np.cumsum([0, *map(len, segments)])
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(places, pa.int32()), lists], ["node", "fragment", "segment"])
+                yield _segments(nodes, places, segments)
 
     return run
 
@@ -179,7 +195,7 @@ def _pair_map(pairs: DataFrame) -> np.ndarray:
     """A bit for each set that is in a pair. It has MAP_WORDS longs; several sets may share a bit."""
     node = F.explode(F.array("a", "b"))
     at = F.col("node").bitwiseAND(F.lit(64 * MAP_WORDS - 1))
-    words = pairs.select(node.alias("node")).select(F.shiftright(at, 6).alias("word"), F.expr(f"shiftleft(1L, cast(node & 63 as int))").alias("bit"))
+    words = pairs.select(node.alias("node")).select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MAP_WORDS rows at most
     out = np.zeros(MAP_WORDS, dtype=np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint64)
