@@ -10,7 +10,6 @@ from .feature_queries import PORTS, RATIOS_SQL, TOTALS_SQL
 
 S = W.Series()
 O = "PARTITION BY entity ORDER BY ts, event_id"  # noqa: E741
-V = F.col("value")
 
 Z_SQL = f"""zz AS (SELECT *, (value - CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END) / (coalesce(CASE WHEN count(value) OVER w >= 3 THEN stddev_samp(value) OVER w END, 1) + 1e-9) AS z
   FROM ev WINDOW w AS ({O} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), zf AS (SELECT *, coalesce(abs(z) > 2, false) AS f FROM zz)"""
@@ -23,7 +22,7 @@ def zscore_rolling(spark, d):
 
 @query(f"WITH {EV_SQL}, f AS (SELECT *, value > 60 AS f FROM ev) SELECT entity, event_id, " + ", ".join(f"sum(f::INT) OVER ({O} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n} AS held_{n}" for n in (1, 2, 3, 5, 8)) + " FROM f")
 def deadband(spark, d):
-    return detect.deadband_sweep(ev_series(spark, d), S, V > 60).select("entity", "event_id", *(f"held_{n}" for n in (1, 2, 3, 5, 8)))
+    return detect.deadband_sweep(ev_series(spark, d), S, F.col("value") > 60).select("entity", "event_id", *(f"held_{n}" for n in (1, 2, 3, 5, 8)))
 
 
 ISLANDS_SQL = """isl AS (SELECT entity, us, f, sum((f AND NOT b)::BIGINT) OVER (PARTITION BY entity ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run
@@ -139,7 +138,7 @@ def spc_summary(spark, d):
 def we_rules(spark, d):
     ev = ev_series(spark, d)
     df = ev.join(detect.baseline_stats(ev, S, ["value"], 500), "entity")
-    return detect.western_electric(df, S, V, F.col("value_mu"), F.col("value_sigma")).select("entity", "event_id", "rule1", "rule2", "rule3", "rule4")
+    return detect.western_electric(df, S, F.col("value"), F.col("value_mu"), F.col("value_sigma")).select("entity", "event_id", "rule1", "rule2", "rule3", "rule4")
 
 
 @query(
@@ -149,7 +148,7 @@ def we_rules(spark, d):
 )
 def ma_divergence(spark, d):
     df = detect.ma_divergence(ev_series(spark, d), S, "value")
-    a, b = W.roll_mean(V, S, 6, 1), W.roll_mean(V, S, 30, 1)
+    a, b = W.roll_mean(F.col("value"), S, 6, 1), W.roll_mean(F.col("value"), S, 30, 1)
     return df.select("entity", "event_id", r6(F.col("divergence")).alias("divergence"), "change_flag", r6(100 * F.abs(a - b) / (F.abs(b) + 1e-9), 4).alias("percent"))
 
 
@@ -172,7 +171,7 @@ _LIM = "lim AS (SELECT entity, quantile_cont(value, 0.25) AS q1, quantile_cont(v
 def iqr_vs_3sigma(spark, d):
     ev = ev_series(spark, d)
     df = ev.join(detect.outlier_limits(ev, "value", ("entity",)), "entity")
-    i, t = (V > F.col("iqr_high")) | (V < F.col("iqr_low")), (V > F.col("sd_high")) | (V < F.col("sd_low"))
+    i, t = (F.col("value") > F.col("iqr_high")) | (F.col("value") < F.col("iqr_low")), (F.col("value") > F.col("sd_high")) | (F.col("value") < F.col("sd_low"))
     n = lambda c: F.sum(c.cast("long"))
     return df.groupBy("entity").agg(n(i).alias("n_iqr"), n(t).alias("n_3s"), n(i & t).alias("n_both"), n(i & ~t).alias("only_iqr"), n(t & ~i).alias("only_3s"))
 
@@ -199,7 +198,7 @@ def global_vs_rolling_z(spark, d):
     ev = ev_series(spark, d)
     stats = ev.groupBy("entity").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
     df = detect.rolling_z(ev, S, "value").join(stats, "entity")
-    g = (V - F.col("m")) / (F.col("s") + 1e-9)
+    g = (F.col("value") - F.col("m")) / (F.col("s") + 1e-9)
     return df.select("entity", "event_id", r6(g).alias("global_z"), r6(F.col("z")).alias("rolling_z"), (F.abs(g) > 3).alias("global_flag"), F.col("z_flag").alias("rolling_flag"))
 
 

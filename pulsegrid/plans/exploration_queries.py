@@ -10,7 +10,6 @@ from .base import query, r6
 
 S = W.Series()
 O = "PARTITION BY entity ORDER BY ts, event_id"  # noqa: E741
-V = F.col("value")
 
 
 @query(

@@ -8,7 +8,6 @@ from .base import query, r6
 
 S = W.Series()
 O = "PARTITION BY entity ORDER BY ts, event_id"  # noqa: E741
-V = F.col("value")
 
 
 def _least(k: int, frame: str, x: str) -> str:
@@ -25,23 +24,23 @@ def _rows(n: int) -> str:
 )
 def roll_mean_std(spark, d):
     return ev_series(spark, d).select(
-        "entity", "event_id", r6(W.roll_mean(V, S, 12, 6)).alias("mean_12"), r6(W.roll_std(V, S, 12, 6)).alias("std_12"), r6(W.roll_mean(V, S, 30, 15)).alias("mean_30"), r6(W.roll_mean(V, S, 12)).alias("full_12")
+        "entity", "event_id", r6(W.roll_mean(F.col("value"), S, 12, 6)).alias("mean_12"), r6(W.roll_std(F.col("value"), S, 12, 6)).alias("std_12"), r6(W.roll_mean(F.col("value"), S, 30, 15)).alias("mean_30"), r6(W.roll_mean(F.col("value"), S, 12)).alias("full_12")
     )
 
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, round({_least(72, _rows(288), 'quantile_cont(value, 0.5)')}, 6) AS median_288 FROM ev")
 def roll_median(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_median(V, S, 288, 72)).alias("median_288"))
+    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_median(F.col("value"), S, 288, 72)).alias("median_288"))
 
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, round({_least(72, _rows(288), 'mad(value)')}, 6) AS mad_288 FROM ev")
 def roll_mad(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_mad(V, S, 288, 72)).alias("mad_288"))
+    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_mad(F.col("value"), S, 288, 72)).alias("mad_288"))
 
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, round({_least(72, _rows(288), 'quantile_cont(value, 0.95)')}, 6) AS p95_288, round({_least(6, _rows(24), 'quantile_cont(value, 0.95)')}, 6) AS p95_24 FROM ev")
 def roll_p95(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_quantile(V, S, 288, 0.95, 72)).alias("p95_288"), r6(W.roll_quantile(V, S, 24, 0.95, 6)).alias("p95_24"))
+    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_quantile(F.col("value"), S, 288, 0.95, 72)).alias("p95_288"), r6(W.roll_quantile(F.col("value"), S, 24, 0.95, 6)).alias("p95_24"))
 
 
 _R = "(PARTITION BY entity ORDER BY us RANGE BETWEEN {n} PRECEDING AND CURRENT ROW)"
@@ -55,10 +54,10 @@ _R = "(PARTITION BY entity ORDER BY us RANGE BETWEEN {n} PRECEDING AND CURRENT R
 )
 def range_window_2h(spark, d):
     w = S.span(7200)
-    n = F.count(V).over(w)
+    n = F.count(F.col("value")).over(w)
     on = lambda x: F.when(n >= 3, x.over(w))
     return ev_series(spark, d).select(
-        "entity", "event_id", n.alias("n"), r6(on(F.avg(V))).alias("mean_2h"), r6(on(F.stddev_samp(V))).alias("std_2h"), on(F.max(V)).alias("max_2h"), on(F.min(V)).alias("min_2h"), r6(on(F.percentile(V, F.lit(0.95)))).alias("p95_2h")
+        "entity", "event_id", n.alias("n"), r6(on(F.avg(F.col("value")))).alias("mean_2h"), r6(on(F.stddev_samp(F.col("value")))).alias("std_2h"), on(F.max(F.col("value"))).alias("max_2h"), on(F.min(F.col("value"))).alias("min_2h"), r6(on(F.percentile(F.col("value"), F.lit(0.95)))).alias("p95_2h")
     )
 
 
@@ -68,9 +67,9 @@ def range_window_2h(spark, d):
     f"CASE WHEN count(value) OVER ({O} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) >= 20 THEN max(value) OVER ({O} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) END AS centred_max FROM ev"
 )
 def cumulative_and_shifted(spark, d):
-    hits = F.sum((V > 60).cast("long")).over(S.past())
+    hits = F.sum((F.col("value") > 60).cast("long")).over(S.past())
     return ev_series(spark, d).select(
-        "entity", "event_id", r6(W.expanding_mean(V, S) + 1e-9).alias("expanding"), hits.alias("hits"), r6(W.shifted_mean(V, S, 12, 3)).alias("before_12"), F.lead("value", 6).over(S.window).alias("ahead_6"), W.centred_max(V, S).alias("centred_max")
+        "entity", "event_id", r6(W.expanding_mean(F.col("value"), S) + 1e-9).alias("expanding"), hits.alias("hits"), r6(W.shifted_mean(F.col("value"), S, 12, 3)).alias("before_12"), F.lead("value", 6).over(S.window).alias("ahead_6"), W.centred_max(F.col("value"), S).alias("centred_max")
     )
 
 
@@ -80,7 +79,7 @@ rec AS (SELECT entity, event_id, rn, value AS y FROM num WHERE rn = 1 UNION ALL
 
 @query(f"WITH RECURSIVE {EV_SQL}, {_EWMA} SELECT entity, event_id, round(y + 1e-9, 6) AS ewma FROM rec")
 def ewma_series(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.ewma(V, S) + 1e-9).alias("ewma"))
+    return ev_series(spark, d).select("entity", "event_id", r6(W.ewma(F.col("value"), S) + 1e-9).alias("ewma"))
 
 
 _CUSUM = """num AS (SELECT entity, event_id, value - 60 AS d, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM ev),
@@ -89,7 +88,7 @@ rec AS (SELECT entity, event_id, rn, greatest(0, d) AS c FROM num WHERE rn = 1 U
 
 @query(f"WITH RECURSIVE {EV_SQL}, {_CUSUM} SELECT entity, event_id, round(c, 5) AS cusum, c > 300 AS beyond FROM rec")
 def cusum_series(spark, d):
-    df = ev_series(spark, d).withColumn("run", F.sum(V - 60).over(S.past()))
+    df = ev_series(spark, d).withColumn("run", F.sum(F.col("value") - 60).over(S.past()))
     df = df.withColumn("c", W.cusum(F.col("run"), S))
     return df.select("entity", "event_id", r6(F.col("c"), 5).alias("cusum"), (F.col("c") > 300).alias("beyond"))
 
@@ -101,7 +100,7 @@ _GAP = "gap AS (SELECT *, CASE WHEN event_id % 4 = 1 THEN NULL ELSE value END AS
     f"WITH {EV_SQL}, {_GAP} SELECT entity, event_id, coalesce(last_value(v IGNORE NULLS) OVER ({O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), first_value(v IGNORE NULLS) OVER ({O} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS filled FROM gap"
 )
 def ffill_bfill(spark, d):
-    df = ev_series(spark, d).withColumn("v", F.when(F.col("event_id") % 4 != 1, V))
+    df = ev_series(spark, d).withColumn("v", F.when(F.col("event_id") % 4 != 1, F.col("value")))
     return df.select("entity", "event_id", W.fill_both(F.col("v"), S).alias("filled"))
 
 
@@ -112,7 +111,7 @@ def ffill_bfill(spark, d):
     SELECT entity, event_id, round(CASE WHEN v IS NOT NULL THEN v ELSE coalesce(x0 + (x1 - x0) * ((us - t0) / CASE WHEN t1 > t0 THEN t1 - t0 END), x0) END, 6) AS interpolated FROM e"""
 )
 def interpolate_time(spark, d):
-    df = ev_series(spark, d).withColumn("v", F.when(F.col("event_id") % 4 != 1, V))
+    df = ev_series(spark, d).withColumn("v", F.when(F.col("event_id") % 4 != 1, F.col("value")))
     return df.select("entity", "event_id", r6(W.interpolate(F.col("v"), S)).alias("interpolated"))
 
 
