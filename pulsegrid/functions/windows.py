@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAD_SCALE = 1.4826
@@ -44,6 +44,23 @@ class Series:
         return Window.partitionBy(*self.by).orderBy(self.micros).rangeBetween(-int(seconds * 1_000_000) + 1, 0)
 
 
+def with_halo(df: DataFrame, s: Series, seconds: float, chunk_seconds: float | None = None) -> tuple[DataFrame, Series]:
+    """Cut a series into stretches of time, so that frames of `seconds` need no task with a whole entity.
+
+    A row goes to its own stretch and to the next ones that can see it. Compute the windows over the Series that comes
+    back, then keep the rows with `_own`. Stretches are 16 frames long unless told otherwise, so that one row in 16 is sent twice.
+    """
+    chunk = int((chunk_seconds or 16 * seconds) * 1_000_000)
+    first = F.floor(F.col(s.micros) / chunk)
+    last = F.floor((F.col(s.micros) + int(seconds * 1_000_000)) / chunk)
+    out = df.withColumn("_first", first).withColumn("_chunk", F.explode(F.sequence("_first", last)))
+    return out.withColumn("_own", F.col("_chunk") == F.col("_first")).drop("_first"), Series((*s.by, "_chunk"), s.order, s.micros)
+
+
+def own_rows(df: DataFrame) -> DataFrame:
+    return df.where("_own").drop("_own", "_chunk")
+
+
 def enough(x: Column, over: WindowSpec, least: int, value: Column) -> Column:
     return F.when(F.count(x).over(over) >= least, value)
 

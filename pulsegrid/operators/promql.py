@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import matches
+from ..functions.windows import Series, own_rows, with_halo
 
 SECOND = 1_000_000
 
@@ -57,8 +58,10 @@ def rate(samples: DataFrame, seconds: int) -> DataFrame:
 
 def over_time(samples: DataFrame, seconds: int) -> DataFrame:
     """avg_over_time and stddev_over_time (population) of each sample's range."""
-    w = _range(seconds)
-    return keyed(samples).withColumns({"avg_over_time": F.avg("value").over(w), "stddev_over_time": F.stddev_pop("value").over(w), "count_over_time": F.count("value").over(w)})
+    cut, series = with_halo(keyed(samples), Series(("metric", "series"), ("us",)), seconds)
+    w = series.span(seconds)
+    out = cut.withColumns({"avg_over_time": F.avg("value").over(w), "stddev_over_time": F.stddev_pop("value").over(w), "count_over_time": F.count("value").over(w)})
+    return own_rows(out)
 
 
 def predict_linear(samples: DataFrame, seconds: int, ahead: int) -> DataFrame:
@@ -115,9 +118,11 @@ def record(wide: DataFrame, hours: int = 6) -> DataFrame:
     out = wide
     for name, expression in RECORDING_RULES.items():
         out = out.withColumn(name, F.expr(expression))
-    w = Window.partitionBy("port").orderBy("us").rangeBetween(-hours * 3600 * SECOND + 1, 0)
+    out, series = with_halo(out, Series(("port",), ("us",)), hours * 3600)
+    w = series.span(hours * 3600)
     mean, std = F.avg("traffic_total").over(w), F.stddev_pop("traffic_total").over(w)
-    return out.withColumns({"traffic_mean": mean, "traffic_std": std}).withColumn("traffic_z", (F.col("traffic_total") - F.col("traffic_mean")) / clamp_min(F.col("traffic_std"), 1.0))
+    out = own_rows(out.withColumns({"traffic_mean": mean, "traffic_std": std}))
+    return out.withColumn("traffic_z", (F.col("traffic_total") - F.col("traffic_mean")) / clamp_min(F.col("traffic_std"), 1.0))
 
 
 def rule_catalog(spark) -> DataFrame:

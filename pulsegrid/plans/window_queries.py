@@ -53,12 +53,14 @@ _R = "(PARTITION BY entity ORDER BY us RANGE BETWEEN {n} PRECEDING AND CURRENT R
     round(CASE WHEN n >= 3 THEN p END, 6) AS p95_2h FROM w"""
 )
 def range_window_2h(spark, d):
-    w = S.span(7200)
+    ev, cut = W.with_halo(ev_series(spark, d), S, 7200)
+    w = cut.span(7200)
     n = F.count(F.col("value")).over(w)
     on = lambda x: F.when(n >= 3, x.over(w))
-    return ev_series(spark, d).select(
-        "entity", "event_id", n.alias("n"), r6(on(F.avg(F.col("value")))).alias("mean_2h"), r6(on(F.stddev_samp(F.col("value")))).alias("std_2h"), on(F.max(F.col("value"))).alias("max_2h"), on(F.min(F.col("value"))).alias("min_2h"), r6(on(F.percentile(F.col("value"), F.lit(0.95)))).alias("p95_2h")
+    out = ev.select(
+        "_own", "_chunk", "entity", "event_id", n.alias("n"), r6(on(F.avg(F.col("value")))).alias("mean_2h"), r6(on(F.stddev_samp(F.col("value")))).alias("std_2h"), on(F.max(F.col("value"))).alias("max_2h"), on(F.min(F.col("value"))).alias("min_2h"), r6(on(F.percentile(F.col("value"), F.lit(0.95)))).alias("p95_2h")
     )
+    return W.own_rows(out)
 
 
 @query(
