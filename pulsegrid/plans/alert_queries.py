@@ -167,7 +167,7 @@ _BEFORE = "(PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 60 PRECEDING
 @query(
     f"""WITH {EV_SQL}, c AS (SELECT entity, event_id, value, avg(value) OVER {_BEFORE} AS base, count(value) OVER {_BEFORE} AS n, CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END AS m, CASE WHEN count(value) OVER w >= 3 THEN stddev_samp(value) OVER w END AS s FROM ev WINDOW w AS (PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
     z AS (SELECT *, abs((value - m) / (coalesce(s, 1) + 1e-9)) > 2 AS zs, value > 3 * base AS spike, value > 200 AS lev FROM c WHERE n >= 10)
-    SELECT entity, event_id, round(base, 4) AS baseline_mean, round(value / (base + 1e-9), 4) AS deviation, concat_ws(',', CASE WHEN zs THEN 'zscore' END, CASE WHEN spike THEN 'spike' END, CASE WHEN lev THEN 'level' END) AS signals,
+    SELECT entity, event_id, round(base, 6) AS baseline_mean, round(value / (base + 1e-9), 6) AS deviation, concat_ws(',', CASE WHEN zs THEN 'zscore' END, CASE WHEN spike THEN 'spike' END, CASE WHEN lev THEN 'level' END) AS signals,
     (coalesce(zs, false)::INT + spike::INT + lev::INT) AS n_signals FROM z WHERE value > 100"""
 )
 def incident_context(spark, d):
@@ -177,4 +177,4 @@ def incident_context(spark, d):
     df = df.withColumn("signals", rca.concurrent_signals({"zscore": F.col("z_flag"), "spike": v > 3 * F.col("base"), "level": v > 200}))
     df = df.withColumn("metrics", rca.metric_map({"value": {"baseline_mean": F.col("base"), "event_mean": v}}))
     stats = F.element_at("metrics", "value")
-    return df.select("entity", "event_id", r6(stats["baseline_mean"], 4).alias("baseline_mean"), r6(stats["event_mean"] / (stats["baseline_mean"] + 1e-9), 4).alias("deviation"), F.array_join("signals", ",").alias("signals"), F.size("signals").alias("n_signals"))
+    return df.select("entity", "event_id", r6(stats["baseline_mean"]).alias("baseline_mean"), r6(stats["event_mean"] / (stats["baseline_mean"] + 1e-9)).alias("deviation"), F.array_join("signals", ",").alias("signals"), F.size("signals").alias("n_signals"))
