@@ -10,7 +10,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -79,10 +81,13 @@ class SecretScanner:
         return found
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        spans = sorted((a, b) for _, a, b in base)
+        starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
         out = []
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
-            if not any(x < b and a < y for _, x, y in base) and self.is_random(m[0]):
+            before = bisect_left(starts, b)  # spans that start before the candidate ends; one of them may reach into it
+            if not (before and reach[before - 1] > a) and self.is_random(m[0]):
                 out.append(("random", a, b))
         return out
 
