@@ -149,8 +149,8 @@ def run_hashes(h: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
-def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, set[int]]]:
-    """For each text: which of its words are hit, and the items whose windows occur."""
+def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, np.ndarray, set[int]]]:
+    """For each text: which of its words are hit, which of them by a whole item shorter than a window, and the items."""
     k = auto.screen
     h = run_hashes(words.hashes, k)
     maybe = np.flatnonzero(auto.bits[(h >> np.uint64(44)).astype(np.int64)])
@@ -164,7 +164,7 @@ def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, set[int]]
     inside = maybe + k <= words.first[text + 1] if len(maybe) else np.zeros(0, dtype=bool)
     maybe, text = maybe[inside], text[inside]
     n = len(words.offsets) - 1
-    hits: list[list[tuple[int, int]]] = [[] for _ in range(n)]
+    hits: list[list[tuple[int, int, bool]]] = [[] for _ in range(n)]
     items: list[set[int]] = [set() for _ in range(n)]
     if len(maybe):
         new = np.flatnonzero(np.r_[True, (maybe[1:] > maybe[:-1] + 1) | (text[1:] != text[:-1])])
@@ -173,24 +173,35 @@ def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, set[int]]
             if end - first < auto.shortest:
                 continue
             for at, size, found in auto.spot(words.word(i) for i in range(first, end)):
-                hits[t].append((first + at - size + 1, first + at + 1))
+                hits[t].append((first + at - size + 1, first + at + 1, size < auto.window))
                 items[t] |= found
     for t in range(n):
         hit = np.zeros(int(words.first[t + 1] - words.first[t]), dtype=bool)
-        for a, b in hits[t]:
+        whole = np.zeros_like(hit)
+        for a, b, short in hits[t]:
             hit[a - words.first[t] : b - words.first[t]] = True
-        yield hit, items[t]
+            if short:
+                whole[a - words.first[t] : b - words.first[t]] = True
+        yield hit, whole, items[t]
 
 
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[list[tuple[int, list[bytes]]]]:
+def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
+    edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist()
+    return list(zip(edges[::2], edges[1::2], strict=True))
+
+
+def _blocks(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> Iterator[list[tuple[int, list[bytes]]]]:
+    """Items in blocks of so many words (and up to a window more). A longer item is cut into parts that overlap, so that each of its windows is in one."""
     block, size = [], 0
     for row in benchmark.orderBy("item_id", "text").toLocalIterator():
         words = item_words(row["text"])
-        if size and size + len(words) > block_words:
-            yield block
-            block, size = [], 0
-        block.append((row["item_id"], words))
-        size += len(words)
+        for at in range(0, max(1, len(words) - window + 1), max(1, block_words)):
+            part = words[at : at + block_words + window - 1]
+            if size and size + len(part) > block_words:
+                yield block
+                block, size = [], 0
+            block.append((row["item_id"], part))
+            size += len(part)
     if block:
         yield block
 
@@ -218,7 +229,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     names = ["doc_id", "text", "found", "items"]
     schema = "doc_id long, text string, found array<struct<first_word:long,end_word:long>>, items array<long>"
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("found", pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))), ("items", pa.list_(pa.int64()))])
-    blocks = _blocks(pick(benchmark, "item_id", "text").where("item_id is not null"), block_words)
+    blocks = _blocks(pick(benchmark, "item_id", "text").where("item_id is not null"), block_words, window)
     block = next(blocks, [])
     while (following := next(blocks, None)) is not None:
         out = out.mapInArrow(_pass(Shared(spark, Automaton(block, window)), None, arrow), schema)
@@ -234,12 +245,11 @@ def _pass(shared, last: pa.Schema | None, between: pa.Schema):
             for a, b, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets, ALNUM)
                 rows: dict[str, list] = {"n_words": [], "n_hit": [], "items": [], "spans": []}
-                for t, (hit, items) in enumerate(_mark(words, auto)):
+                for t, (hit, _, items) in enumerate(_mark(words, auto)):
                     for x in known[a + t].as_py() or ():
                         hit[x["first_word"] : x["end_word"]] = True
                     items = sorted(items.union(known_items[a + t].as_py() or ()))
-                    edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist()
-                    stretches = list(zip(edges[::2], edges[1::2], strict=True))
+                    stretches = _stretches(hit)
                     spans = [{"first_word": x, "end_word": y} for x, y in stretches]
                     if last is not None and spans:
                         base, first = int(offsets[t]), int(words.first[t])
@@ -258,17 +268,60 @@ def _pass(shared, last: pa.Schema | None, between: pa.Schema):
     return run
 
 
+_CLEAN = "doc_id long, text string, lang string, source string, n_chars long"
+_MARKED = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("text", pa.string()),
+        ("lang", pa.string()),
+        ("source", pa.string()),
+        ("n_chars", pa.int64()),
+        ("hit", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
+        ("whole", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))),
+    ]
+)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """Documents without benchmark text, with the columns doc_id, text, lang, source, n_chars.
 
-    Hit spans of `min_span` words or more (and whole shorter items) are cut out of the text; a document of whose words
-    more than `max_coverage` are hit goes altogether. Documents without hits stay as they are, nulls included.
+    Hit spans of `min_span` words or more (and those with a whole item shorter than a window) are cut out of the text; a
+    document of whose words more than `max_coverage` are hit goes altogether. Spans and coverage are those of the whole
+    benchmark, however many blocks it takes. Documents without hits stay as they are, nulls included.
     """
-    out = pick(docs, *DOCUMENT_COLUMNS)
-    for block in _blocks(pick(benchmark, "item_id", "text").where("item_id is not null"), block_words):
-        auto = Shared(docs.sparkSession, Automaton(block, WINDOW))
-        out = out.mapInArrow(_cutter(auto, min_span, max_coverage), "doc_id long, text string, lang string, source string, n_chars long")
-    return out
+    spark = docs.sparkSession
+    ranges = "array<struct<first:long,end:long>>"
+    out = pick(docs, *DOCUMENT_COLUMNS).withColumn("hit", F.lit(None).cast(ranges)).withColumn("whole", F.lit(None).cast(ranges))
+    blocks = _blocks(pick(benchmark, "item_id", "text").where("item_id is not null"), block_words)
+    block = next(blocks, [])
+    while (following := next(blocks, None)) is not None:
+        out = out.mapInArrow(_marker(Shared(spark, Automaton(block))), f"{_CLEAN}, hit {ranges}, whole {ranges}")
+        block = following
+    return out.mapInArrow(_cutter(Shared(spark, Automaton(block)), min_span, max_coverage), _CLEAN)
+
+
+def _all_hits(batch: pa.RecordBatch, a: int, words: Words, auto: Automaton) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each text of a slice that starts at row a: its row, its hit words, and those of whole short items, of this pass and those before."""
+    for t, (hit, whole, _) in enumerate(_mark(words, auto)):
+        for mask, known in ((hit, batch.column(5)), (whole, batch.column(6))):
+            for x in known[a + t].as_py() or ():
+                mask[x["first"] : x["end"]] = True
+        yield a + t, hit, whole
+
+
+def _marker(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        auto = shared.value
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column(1)):
+                marked: tuple[list, list] = ([], [])
+                for _, *masks in _all_hits(batch, a, Words(data, offsets, ALNUM), auto):
+                    for out, mask in zip(marked, masks, strict=True):
+                        out.append([{"first": x, "end": y} for x, y in _stretches(mask)])
+                new = [pa.array(m, _MARKED.field(5).type) for m in marked]
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a).cast(_MARKED.field(i).type) for i in range(5)), *new], schema=_MARKED)
+
+    return run
 
 
 def _cutter(shared, min_span: int, max_coverage: float):
@@ -278,23 +331,22 @@ def _cutter(shared, min_span: int, max_coverage: float):
             for a, b, data, offsets in text_slices(batch.column(1)):
                 words = Words(data, offsets, ALNUM)
                 keep, texts = [], []
-                for t, (hit, items) in enumerate(_mark(words, auto)):
-                    keep.append(not items or hit.mean() <= max_coverage)
-                    text = batch.column(1)[a + t].as_py()
-                    if items and keep[-1]:
-                        base, first = int(offsets[t]), int(words.first[t])
-                        raw = data[base : int(offsets[t + 1])]
+                for row, hit, whole in _all_hits(batch, a, words, auto):
+                    keep.append(not hit.any() or hit.mean() <= max_coverage)
+                    text = batch.column(1)[row].as_py()
+                    cuts = [(x, y) for x, y in _stretches(hit) if y - x >= min_span or whole[x:y].any()]
+                    if cuts and keep[-1]:
+                        base, first = int(offsets[row - a]), int(words.first[row - a])
+                        raw = data[base : int(offsets[row - a + 1])]
                         left = np.ones(len(raw), dtype=bool)
-                        edges = np.flatnonzero(np.diff(np.r_[False, hit, False].astype(np.int8))).tolist()
-                        for x, y in zip(edges[::2], edges[1::2], strict=True):
-                            if y - x >= min(min_span, auto.shortest):
-                                left[int(words.starts[first + x]) - base : int(words.ends[first + y - 1]) - base] = False
+                        for x, y in cuts:
+                            left[int(words.starts[first + x]) - base : int(words.ends[first + y - 1]) - base] = False
                         text = raw[left].tobytes().decode()
                     texts.append(text)
                 part = batch.slice(a, b - a)
                 new = pa.array(texts, pa.string())
                 sizes = pa.array([old if x is None or old is None else len(x) for x, old in zip(texts, part.column(4).to_pylist(), strict=True)], pa.int64())
-                out = pa.RecordBatch.from_arrays([part.column(0), new, part.column(2), part.column(3), sizes], ["doc_id", "text", "lang", "source", "n_chars"])
+                out = pa.RecordBatch.from_arrays([part.column(0), new, part.column(2), part.column(3), sizes], _MARKED.names[:5])
                 yield out.filter(pa.array(keep, pa.bool_()))
 
     return run

@@ -344,7 +344,7 @@ def brute_hits(text, items):
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
-@pytest.mark.parametrize("block_words", [400_000, 25])
+@pytest.mark.parametrize("block_words", [400_000, 25, 4])
 def test_benchmark_hits(spark, block_words):
     rng = random.Random(10)
     few = [" ".join(rng.choice("abc") for _ in range(n)) for n in (3, 7, 10, 14, 25, 40)]
@@ -372,6 +372,36 @@ def test_decontaminate_cuts_and_drops(spark):
     assert out[3]["text"] == clean and out[4]["text"] is None
 
 
+@pytest.mark.parametrize("block_words", [400_000, 30, 7])
+def test_decontaminate_counts_coverage_over_all_blocks(spark, block_words):
+    rng = random.Random(14)
+    one, two, clean = prose(rng, 30), prose(rng, 30), prose(rng, 40)
+    bench = spark.createDataFrame([(1, one), (2, two), (3, "zz yy")], "item_id long, text string")
+    rows = [(1, f"{clean} {one} {two}"), (2, f"{clean} {clean} {one} {two} {clean}"), (3, f"{clean} ZZ yy, {clean}")]
+    out = {r["doc_id"]: r for r in decontamination.decontaminate(docs(spark, rows), bench, block_words=block_words).collect()}
+    assert set(out) == {2, 3}
+    assert out[2]["text"].split() == f"{clean} {clean} {clean}".split() and out[3]["text"] == f"{clean} , {clean}"
+    longer = decontamination.decontaminate(docs(spark, rows), bench, min_span=70, max_coverage=1.0, block_words=block_words)
+    kept = {r["doc_id"]: r["text"] for r in longer.collect()}
+    assert kept[1] == rows[0][1] and kept[2] == rows[1][1] and kept[3] == out[3]["text"]
+
+
+def test_secrets_in_a_text_full_of_them():
+    class Plain(secrets.SecretScanner):
+        def __init__(self):
+            pass
+
+        def is_random(self, s):
+            return True
+
+    rng = random.Random(15)
+    text = " ".join(rng.choice(["token=" + "q7" * 8, "AKIA" + "Z9" * 8, "0123456789abcdef" * 2, "Xy9" * 8, "plain words"]) for _ in range(3000))
+    scanner = Plain()
+    base = scanner.base(text)
+    want = [("random", *m.span()) for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text) if not any(a < m.end() and m.start() < b for _, a, b in base)]
+    assert scanner.added(text, base) == want and want
+
+
 # -- 10 toxicity
 
 
