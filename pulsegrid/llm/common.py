@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -32,6 +32,19 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(f"_{i}" for i in range(len(df.columns)))).select(*(F.col(f"_{i}").alias(n) for i, n in zip(at, names, strict=True)))
 
 
+def pick_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
+    """The rows whose doc_id and key are in kept (id, key), null ids included; of rows that repeat both, the one with the longest text.
+
+    Each task keeps one row of a pair before the shuffle, so that repeats don't gather in one task; the join runs in the
+    same partitions, so that texts are shuffled once.
+    """
+    pair = ("_id", "_none", "_key")
+    keys = lambda df, at: dict(zip(pair, (F.coalesce(df["doc_id"], F.lit(0)), df["doc_id"].isNull(), at), strict=True))
+    first = F.row_number().over(Window.partitionBy(*pair).orderBy(F.length(docs["text"]).desc_nulls_last(), docs["text"]))
+    once = docs.withColumns(keys(docs, key)).withColumn("_row", first).where("_row = 1")
+    return once.join(kept.withColumns(keys(kept, kept[kept.columns[1]])).select(*pair), list(pair), "left_semi").drop(*pair, "_row")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only where that is unset, as in tests."""
     context = spark.sparkContext

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, pick, table
+from .common import checkpoint, pick, pick_rows, table
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Characters of a splitter. Texts with the same beginning are told apart by their digest, so splitters stay this short.
@@ -108,16 +108,13 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents that exact_groups keeps, with all their columns; of rows that repeat an id, one stays."""
-    kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.withColumn("_row", F.row_number().over(_by_id(docs))).where("_row = 1").drop("_row")
-    return once.join(kept, once["doc_id"].eqNullSafe(kept["_kept_id"]), "left_semi")
+    """One document of each group of exact_groups, with all its columns.
 
-
-def _by_id(docs: DataFrame):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(docs["doc_id"]).orderBy(F.length(docs["text"]).desc_nulls_last(), docs["text"])
+    Rows stay by id and text, nulls included: rows of one id, or without one, are no copies where their texts differ. Of
+    rows that repeat both, one stays.
+    """
+    kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
+    return pick_rows(docs, F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), SPACE, ""), 256), kept)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

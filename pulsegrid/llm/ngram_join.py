@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, NOT_SPACE, Shared, Words, checkpoint, pick, shingles, table, text_slices
+from .common import DOCUMENT_COLUMNS, NOT_SPACE, Shared, Words, checkpoint, pick, pick_rows, shingles, table, text_slices
+from .exact_dedup import SPACE
 
 SIZE = 5
 #: Similarity of `NEEDED` percent or more links.
@@ -316,6 +318,14 @@ def _members(size: int):
     return run
 
 
+def _classes(rows: DataFrame, size: int, fragments: int) -> DataFrame:
+    """doc_id, node, n_shingles and comp, the set's component, of each row of (doc_id, text)."""
+    _, comps = links(rows.select("text"), size, fragments)
+    members = rows.mapInArrow(_members(size), "doc_id long, node long, n_shingles long")
+    known = comps.select(F.col("node").alias("of"), "comp")
+    return members.join(known, members["node"] == known["of"], "left").select("doc_id", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+
+
 def near_duplicates(docs: DataFrame, size: int = SIZE, fragments: int = FRAGMENTS) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard similarity of 80 % or more: doc_id, n_shingles, component_id.
 
@@ -324,22 +334,36 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, fragments: int = FRAGMENT
     doc_id that links reach, the document itself included. One row for each input row; rows that repeat an id each get
     one, by their own text; other columns are ignored; an empty table gives no rows.
     """
-    rows = pick(docs, "doc_id", "text")
-    _, comps = links(rows.select("text"), size, fragments)
-    members = rows.mapInArrow(_members(size), "doc_id long, node long, n_shingles long")
-    known = comps.select(F.col("node").alias("of"), "comp")
-    members = checkpoint(members.join(known, members["node"] == known["of"], "left").select("doc_id", "n_shingles", F.coalesce("comp", "node").alias("comp")))
+    members = checkpoint(_classes(pick(docs, "doc_id", "text"), size, fragments).select("doc_id", "n_shingles", "comp"))
     first = members.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("comp", "class")
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     linked = members.where("n_shingles > 0").join(first, F.col("comp") == F.col("class")).select("doc_id", "n_shingles", "component_id")
     return linked.union(alone)
 
 
-def keep_one_each(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """The document with the smallest id of each component, with the columns doc_id, text, lang, source, n_chars."""
+def _with_nodes(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets(size)
+        for batch in batches:
+            nodes = pa.array([node for _, node, _ in sets.of(batch.column(1))], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], [*batch.schema.names, "node"])
+
+    return run
+
+
+def keep_one_each(docs: DataFrame, size: int = SIZE, fragments: int = FRAGMENTS) -> DataFrame:
+    """One document of each component, with the columns doc_id, text, lang, source, n_chars.
+
+    It has the smallest id (null last), then the most shingles. Rows stay by id and set of shingles, so others of that id
+    follow their own component; of rows that repeat both, one stays. Texts without words are linked with nothing and all stay.
+    """
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    kept = near_duplicates(docs, size).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi")
+    classes = _classes(docs.select("doc_id", "text"), size, fragments).where("n_shingles > 0")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("n_shingles")).alias("less"), "node"))
+    kept = classes.groupBy("comp").agg(best.alias("best")).select("best.doc_id", "best.node")
+    empty = F.translate(F.coalesce("text", F.lit("")), SPACE, "") == ""
+    tagged = docs.where(~empty).mapInArrow(_with_nodes(size), T.StructType([*docs.schema.fields, T.StructField("node", T.LongType())]))
+    return pick_rows(tagged, tagged["node"], kept).drop("node").union(docs.where(empty))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

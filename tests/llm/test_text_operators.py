@@ -202,6 +202,28 @@ def test_exact_groups(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(min(m)[1] for m in groups.values())
 
 
+def test_kept_rows_go_by_id_and_text(spark):
+    rng = random.Random(12)
+    a, b, c, d, e = (prose(rng, 120) for _ in range(5))
+    near = lambda t: t + " end"
+    # texts that no id tells apart; copies of an id's longer text under another id, beside the only copy of its shorter one
+    rows = [(None, a), (None, b + " x y"), (None, f" {a}"), (3, c + " z"), (5, c + " z"), (5, d), (5, d), (None, d), (7, None), (None, "")]
+    kept = exact_dedup.drop_copies(docs(spark, rows).repartition(3)).collect()
+    assert sorted(((r["doc_id"] or 0), r["text"] or "") for r in kept) == sorted([(0, f" {a}"), (0, b + " x y"), (3, c + " z"), (5, d), (7, "")])
+    # the same with near copies; texts without words are nobody's copies
+    rows = [(None, a), (None, near(a)), (None, b), (3, c), (5, near(c)), (5, d), (5, d.upper()), (None, near(d)), (None, near(e)), (9, e), (None, None), (None, " ")]
+    kept = ngram_join.keep_one_each(docs(spark, rows).repartition(3)).collect()
+    assert [(r["doc_id"], r["text"]) for r in kept if not (r["text"] or "").strip()].count((None, None)) == 1 and len(kept) == 7
+    words = {(r["doc_id"], r["text"].lower()) for r in kept if (r["text"] or "").strip()}
+    assert words == {(None, near(a)), (None, b), (3, c), (5, d), (9, e)}
+
+
+def test_repeats_are_reduced_in_every_task(spark):
+    plan = exact_dedup.drop_copies(docs(spark, [(None, "a"), (None, "b")]))._jdf.queryExecution().executedPlan().toString()
+    limit = plan.index("WindowGroupLimit", plan.index("WindowGroupLimit") + 1)
+    assert "Partial" in plan[limit : plan.index("\n", limit)]
+
+
 # -- 5 mixing
 
 
