@@ -31,13 +31,16 @@ _ACCESS, _ACCESS_LEAST = re.compile(r"AKIA[A-Z0-9]+"), 18
 #: A run of 16 or more is the whole of what [0-9a-f]+ matches there.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 
-#: Strings that the token test looks at.
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Strings that the token test looks at, and the parts between their joining signs.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+_PART, _PART_LEAST = re.compile(r"[A-Za-z0-9]+"), 16
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(r"(?:[/_+=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[/_+=-]*\Z")
 _WORD = re.compile(r"[A-Za-z]+")
+#: Parts that are readable, so that they are no beginning or end of a random string with joining signs.
+_PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})\Z")
 
 MAX_CHARS_PER_TOKEN = 2.0
 MAX_VOCABULARY_BYTES = 64 << 20
@@ -81,6 +84,7 @@ class SecretScanner:
         return found
 
     def added(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+        """A random run as a whole; else, without base spans, digests and UUIDs, its random stretches and parts."""
         spans = sorted((a, b) for _, a, b in base)
         starts, reach = [a for a, _ in spans], list(accumulate((b for _, b in spans), max))
         out = []
@@ -89,8 +93,32 @@ class SecretScanner:
             before = bisect_left(starts, b)  # spans that start before the candidate ends; one of them may reach into it
             if not (before and reach[before - 1] > a) and self.is_random(m[0]):
                 out.append(("random", a, b))
+                continue
+            first = before
+            while first and reach[first - 1] > a:
+                first -= 1
+            known = [(max(a, x), min(b, y)) for x, y in spans[first:before] if y > a]
+            known += [(a + x.start(), a + x.end()) for x in _UUID.finditer(m[0])]
+            known += [(a + x.start(), a + x.end()) for x in _PART.finditer(m[0]) if len(x[0]) in _DIGEST_LENGTHS and _DIGEST.match(x[0])]
+            at = a
+            for x, y in [*sorted(known), (b, b)]:
+                if x - at >= _PART_LEAST:
+                    out += self.within(text, at, x, x - at < b - a)
+                at = max(at, y)
         return out
 
+    def within(self, text: str, a: int, b: int, rest: bool) -> list[tuple[str, int, int]]:
+        """The random stretch between the readable parts at both ends of text[a:b], or its random parts; rest: text[a:b] itself is untested."""
+        parts = [x.span() for x in _PART.finditer(text, a, b)]
+        odd = [x for x in parts if not _PLAIN.match(text[slice(*x)])]
+        if not odd:
+            return []
+        x, y = odd[0][0], odd[-1][1]
+        tries = [(x, y)] if y - x >= _PART_LEAST and (rest or y - x < b - a) else []
+        if any(self.is_random(text[i:j]) for i, j in tries):
+            return [("random", x, y)]
+        return [("random", i, j) for i, j in odd if j - i >= _PART_LEAST and (i, j) != (x, y) and self.is_random(text[i:j])]
+
     def scan(self, text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         base = self.base(text)
         order = lambda s: (s[1], KINDS.index(s[0]))

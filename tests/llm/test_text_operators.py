@@ -115,6 +115,27 @@ def test_secrets(spark):
     assert [got[i]["n_random"] for i in range(9)] == [0, 0, 0, 1, 0, 0, 0, 0, 0]
 
 
+def test_secrets_joined_to_readable_text():
+    import public_tokenizers
+
+    with open(secrets.default_vocabulary(), "rb") as file:
+        scanner = secrets.SecretScanner(file.read(), public_tokenizers.PATTERN)
+    rng = random.Random(21)
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    uuid, digest = "123e4567-e89b-12d3-a456-426614174000", hashlib.sha256(b"x").hexdigest().upper()
+    for before in ("", "/download/release/configuration/", "authorization_signature=", "client_connection_string_value=", f"{uuid}_", f"{digest}/", "0123456789abcdef-"):
+        for n in (16, 20, 24, 32):
+            found = 0
+            for _ in range(50):
+                key = "".join(rng.choice(signs) for _ in range(n))
+                text = f"see {before}{key} there"
+                base, every = scanner.scan(text)
+                assert base == sorted(scanner.base(text), key=lambda s: s[1])
+                found += any(k == "random" and a <= 4 + len(before) and b == 4 + len(before) + n for k, a, b in every)
+            assert found >= 49, (before, n, found)
+        assert not any(k == "random" for k, _, _ in scanner.scan(f"see {before}documentation/of_the_release there")[1])
+
+
 # -- 3 n-gram join
 
 
