@@ -117,11 +117,20 @@ class Template:
         for p, i in tries:
             if p < done:
                 continue
-            a0 = max(0, p - i - self.slack)
-            matched = patience(words[a0 : p + n - i + self.slack], self.words)
-            if len(matched) >= min_coverage * n:
-                yield len(matched) / n, a0 + matched[0][0], a0 + matched[-1][0] + 1, self.name
-                done = a0 + matched[-1][0] + 1
+            if p >= i and words[p - i : p - i + n] == self.words:
+                yield 1.0, p - i, p - i + n, self.name
+                done = p - i + n
+                continue
+            slack = self.slack
+            while slack >= 0:
+                a0 = max(0, p - i - slack)
+                matched = patience(words[a0 : p + n - i + slack], self.words)
+                if len(matched) >= min_coverage * n:
+                    yield len(matched) / n, a0 + matched[0][0], a0 + matched[-1][0] + 1, self.name
+                    done = a0 + matched[-1][0] + 1
+                    break
+                # copies on both sides leave no word that is there once; a narrower stretch holds less of them
+                slack = slack // 2 if slack else -1
 
 
 def word_counts(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:

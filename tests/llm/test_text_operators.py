@@ -308,6 +308,16 @@ def test_license_notices(spark):
         assert text[int(a) : int(b)] == "Released under the MIT License"
 
 
+def test_adjacent_license_notices(spark):
+    line = "Released under the MIT License"
+    edited = "Released under the new MIT License"
+    texts = [" ".join([line] * 5), "\n".join([line, edited, line, line]), " ".join([line] * 2)]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i]["n_notices"] for i in range(3)] == [5, 4, 2]
+    for i in (0, 2):
+        assert got[i]["spans"] == ",".join(f"MIT:{m.start()}:{m.end()}" for m in re.finditer(line, texts[i]))
+
+
 def test_patience_matches_are_common_subsequences():
     rng = random.Random(8)
     for _ in range(200):
