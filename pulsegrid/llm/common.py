@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,20 +47,59 @@ def pick_rows(docs: DataFrame, key: Column, kept: DataFrame) -> DataFrame:
     return once.join(kept.withColumns(keys(kept, kept[kept.columns[1]])).select(*pair), list(pair), "left_semi").drop(*pair, "_row")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the cluster names in spark.checkpoint.dir; make one only where that is unset, as in tests."""
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder that the cluster names in spark.checkpoint.dir. Only a session in one process may do without."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable (shared, replicated) checkpoint, which survives lost executors."""
+    """Cut the lineage of a small table with a reliable (shared, replicated) checkpoint, which survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def freeing_shuffles(spark: SparkSession):
+    """Queries begun in here free their shuffle files when they end, not when the driver's JVM comes to collect garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+class Tables:
+    """Tables between the steps of an operator, as Parquet in the shared checkpoint folder: they cut the lineage and outlive
+    lost executors, and each goes as soon as no later step reads it."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark = spark
+        self.folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self._paths: dict[DataFrame, str] = {}
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{uuid.uuid4().hex}"
+        with freeing_shuffles(self.spark):
+            df.select("*").write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self._paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete the files of these tables, which write() gave."""
+        for df in tables:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._paths.pop(df))
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Shared:
     """A value that goes to every task once, pickled with the code of its classes. Only for values of bounded size."""
 

@@ -7,6 +7,9 @@ Which pairs get counted comes from the order's beginning: two sets that are simi
 first of each. Every such shingle has a bucket of sets. Small buckets pair all their sets. In a large one each set is
 first paired with one leader; what is linked is a class then, and only sets of different classes are paired after that.
 So a group of near copies of any size costs pairs in proportion to it, and no link between classes is lost.
+
+Before any shingle of a pair is sent, sketches of the two sets (parities, some bits a shingle) bound how many shingles
+they don't share from below; a pair that this bound rules out is no link, and what is left is nearly all links.
 """
 
 from __future__ import annotations
@@ -20,16 +23,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, NOT_SPACE, Shared, Words, checkpoint, pick, pick_rows, shingles, table, text_slices
+from .common import DOCUMENT_COLUMNS, NOT_SPACE, Shared, Tables, Words, freeing_shuffles, pick, pick_rows, shingles, table, text_slices
 from .exact_dedup import SPACE
 
 SIZE = 5
 #: Similarity of `NEEDED` percent or more links.
 NEEDED = 80
 #: Shingles in more sets than this come last in the order, by count; at most MAX_FREQUENT of them, the most frequent.
+#: Any other shingle has less than 1 / MAX_FREQUENT of all entries, so that its bucket is no task's undoing.
 FREQUENT, MAX_FREQUENT = 64, 100_000
 #: Sets that a bucket may have for all its pairs to be made at once, and the sets of a large bucket that one task holds.
 SMALL, SALT_ROWS = 16, 5_000
+#: Most bits of a sketch, as a power of two: 8 KB for the largest sets.
+SKETCH_POWER = 16
 FRAGMENTS = 8
 #: Longs of the bit map that tells which sets are in a pair: 8 MB at most, whatever the number of pairs.
 MAP_WORDS = 1 << 20
@@ -114,8 +120,9 @@ def _to_count(size: int, shared):
 def _frequent(texts: DataFrame, size: int, known: np.ndarray | None, limit: int) -> np.ndarray:
     """Shingles in more than FREQUENT sets, by rising count; the most frequent `limit` of them."""
     shared = Shared(texts.sparkSession, known) if known is not None else None
-    counts = texts.mapInArrow(_to_count(size, shared), "shingle long").groupBy("shingle").count().where(F.col("count") > FREQUENT)
-    rows = counts.orderBy(F.col("count").desc(), "shingle").limit(limit).toArrow()
+    with freeing_shuffles(texts.sparkSession):
+        counts = texts.mapInArrow(_to_count(size, shared), "shingle long").groupBy("shingle").count().where(F.col("count") > FREQUENT)
+        rows = counts.orderBy(F.col("count").desc(), "shingle").limit(limit).toArrow()
     return rows.column("shingle").to_numpy().astype(np.uint64)[::-1], rows.column("count").to_numpy()[::-1]
 
 
@@ -198,7 +205,8 @@ def _pair_map(pairs: DataFrame) -> np.ndarray:
     node = F.explode(F.array("a", "b"))
     at = F.col("node").bitwiseAND(F.lit(64 * MAP_WORDS - 1))
     words = pairs.select(node.alias("node")).select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
-    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MAP_WORDS rows at most
+    with freeing_shuffles(pairs.sparkSession):
+        rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MAP_WORDS rows at most
     out = np.zeros(MAP_WORDS, dtype=np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint64)
     return out
@@ -226,23 +234,54 @@ def verify(texts: DataFrame, pairs: DataFrame, order, size: int = SIZE, fragment
     return total.where(similar(F.col("na"), F.col("nb"), F.col("overlap")))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Whether an odd number of the set's shingles falls on each of some places, a power of two and twice the set's size or more (if not above 2 ** SKETCH_POWER)."""
+    places = 1 << max(6, min(SKETCH_POWER, (2 * len(s) - 1).bit_length()))
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _xor(x: Column, y: Column) -> Column:
+    return F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+
+
+def apart(x: Column, y: Column) -> Column:
+    """A lower bound of the number of shingles that only one of two sets has, by their sketches: each place where they differ needs one.
+
+    Sets that can be similar have sketches of the same size or of twice the size; the larger one is folded then.
+    """
+    half = F.shiftright(F.greatest(F.size(x), F.size(y)), 1)
+    fold = lambda v: F.when(F.size(v) > F.least(F.size(x), F.size(y)), _xor(F.slice(v, F.lit(1), half), F.slice(v, half + 1, half))).otherwise(v)
+    return F.aggregate(_xor(fold(x), fold(y)), F.lit(0), lambda n, w: n + F.bit_count(w))
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs that their sketches don't rule out. 100 * common >= NEEDED * union is (100 + NEEDED) * apart <= (100 - NEEDED) * (na + nb)."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(sketches.select(F.col("node").alias(side), F.col("sketch").alias(f"sketch_{side}")), side)
+    fits = (100 + NEEDED) * apart(F.col("sketch_a"), F.col("sketch_b")) <= (100 - NEEDED) * (F.col("na") + F.col("nb"))
+    return both.where(fits).select("a", "b", "na", "nb")
+
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """node and comp (the smallest node reachable) of the edges (a, b), by smallest neighbours and jumps along them."""
     both = edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    both = checkpoint(both.union(both.select("dst", "src")).dropDuplicates())
-    labels = checkpoint(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("comp")))
-    while True:
+    both = tables.write(both.union(both.select("dst", "src")).dropDuplicates())
+    new = tables.write(both.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.col("src").alias("old"), F.least("src", "m").alias("comp")))
+    while not new.where("comp != old").isEmpty():
+        labels, old = new.select("node", "comp"), new
         near = both.join(labels, both["dst"] == labels["node"]).groupBy("src").agg(F.min("comp").alias("near"))
         step = labels.join(near, labels["node"] == near["src"]).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
         to = step.select(F.col("node").alias("to"), F.col("comp").alias("jump"))
-        new = checkpoint(step.join(to, step["comp"] == to["to"]).select("node", "old", F.least("comp", "jump").alias("comp")))
-        labels = new.select("node", "comp")
-        if new.where("comp != old").isEmpty():
-            return labels
+        new = tables.write(step.join(to, step["comp"] == to["to"]).select("node", "old", F.least("comp", "jump").alias("comp")))
+        tables.drop(old)
+    tables.drop(both)
+    return new.select("node", "comp")
 
 
-def _buckets(texts: DataFrame, order, size: int) -> DataFrame:
-    """Prefix entries of buckets with two sets or more: shingle, node, n, place, large, and the bucket's leader (node, n, place).
+def _buckets(texts: DataFrame, order, size: int, tables: Tables) -> DataFrame:
+    """Prefix entries of buckets with two sets or more: shingle, node, n, place, total (rows of the bucket), and the bucket's leader (node, n, place).
 
     Entries of frequent shingles are salted, so that no task holds a whole bucket of them. The leader has the fewest rare
     shingles: of a text and its edited copies, that is the text.
@@ -255,12 +294,12 @@ def _buckets(texts: DataFrame, order, size: int) -> DataFrame:
     rows = salted.repartition("shingle", "salt").withColumn("leader", leader)
     rows = rows.withColumn("rows", F.count(F.lit(1)).over(here)).withColumn("last", F.max("node").over(here)).withColumn("first", F.min("node").over(here))
     rows = rows.where(F.col("frequent") | (F.col("first") != F.col("last")))
-    rows = checkpoint(rows.select("shingle", "node", "n", "place", "frequent", "rows", "leader"))
+    rows = tables.write(rows.select("shingle", "node", "n", "place", "frequent", "rows", "leader"))
     # leaders of frequent shingles: one for each of them, of which there is a bounded number
-    tops = rows.where("frequent").groupBy("shingle").agg(F.min("leader").alias("top"), F.count(F.lit(1)).alias("top_rows")).withColumnRenamed("shingle", "of")
+    tops = tables.write(rows.where("frequent").groupBy(F.col("shingle").alias("of")).agg(F.min("leader").alias("top"), F.count(F.lit(1)).alias("top_rows")))
     rows = rows.join(F.broadcast(tops), F.col("frequent") & (F.col("shingle") == F.col("of")), "left")
     lead = F.coalesce("top", "leader")
-    return rows.select("shingle", "node", "n", "place", (F.coalesce("top_rows", "rows") > SMALL).alias("large"), lead["node"].alias("lead"), lead["n"].alias("lead_n"), lead["place"].alias("lead_place"))
+    return rows.select("shingle", "node", "n", "place", F.coalesce("top_rows", "rows").alias("total"), lead["node"].alias("lead"), lead["n"].alias("lead_n"), lead["place"].alias("lead_place"))
 
 
 def _salts(texts: DataFrame) -> int:
@@ -272,58 +311,93 @@ def _ordered(a: str, na: str, b: str, nb: str) -> list[Column]:
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.when(first, F.col(na)).otherwise(F.col(nb)).alias("na"), F.when(first, F.col(nb)).otherwise(F.col(na)).alias("nb")]
 
 
-def _bucket_pairs(left: DataFrame, right: DataFrame, different: Column) -> DataFrame:
+#: Where the smaller set of a similar pair can meet the other first: it shares this much of itself. Entries further on are for larger sets alone.
+_EARLY = f"{100 + NEEDED} * (n - place) >= {2 * NEEDED} * n"
+
+
+def _bucket_pairs(left: DataFrame, right: DataFrame, keys: list[str], different: Column) -> DataFrame:
+    """Pairs of a smaller set, from the left, and a larger one with the same keys, from the right, that may be similar."""
+    smaller = (F.col("l.n") < F.col("r.n")) | ((F.col("l.n") == F.col("r.n")) & (F.col("l.node") < F.col("r.node")))
     fits = possible(F.col("l.n"), F.col("r.n"), F.col("l.place"), F.col("r.place"))
-    pairs = left.alias("l").join(right.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & different & fits)
-    return pairs.select(F.col("l.node").alias("x"), F.col("l.n").alias("nx"), F.col("r.node").alias("y"), F.col("r.n").alias("ny")).select(*_ordered("x", "nx", "y", "ny")).dropDuplicates(["a", "b"])
+    same = [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys]
+    met = left.where(_EARLY).alias("l").join(right.alias("r"), [*same, smaller & different & fits])
+    pairs = met.select(F.col("l.node").alias("x"), F.col("l.n").alias("nx"), F.col("r.node").alias("y"), F.col("r.n").alias("ny"))
+    return pairs.select(*_ordered("x", "nx", "y", "ny")).dropDuplicates(["a", "b"])
+
+
+def _class_pairs(large: DataFrame) -> DataFrame:
+    """Pairs of sets of different classes in large buckets: shingle, node, n, place, total, comp and minor (not of the bucket's largest class).
+
+    Within the largest class of a bucket nothing is left to link, so one side of each pair is from outside it. Sizes meet
+    by their powers of two: a similar set has the same or the next one. The other side of a bucket is dealt over salts.
+    """
+    salts = F.ceil(F.col("total") / SALT_ROWS).cast("int")
+    large = large.withColumn("power", F.length(F.bin("n")))
+    dealt = large.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
+    minor = large.where("minor").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    next_ = lambda df: df.withColumn("power", F.explode(F.array(F.col("power"), F.col("power") + 1)))
+    keys, other = ["shingle", "power", "salt"], F.col("l.comp") != F.col("r.comp")
+    return _bucket_pairs(next_(minor), dealt, keys, other).union(_bucket_pairs(next_(dealt.where("not minor")), minor, keys, other)).dropDuplicates(["a", "b"])
 
 
-def links(texts: DataFrame, size: int = SIZE, fragments: int = FRAGMENTS) -> tuple[DataFrame, DataFrame]:
-    """Verified links between sets (a, b), enough to connect all that are connected, and the sets' components."""
+def links(texts: DataFrame, sketches: DataFrame, tables: Tables, size: int = SIZE, fragments: int = FRAGMENTS) -> DataFrame:
+    """The components (node, comp) of the sets by their links. sketches: node and sketch of each set."""
     order = Shared(texts.sparkSession, frequent_shingles(texts, size))
-    buckets = checkpoint(_buckets(texts, order, size))
-    small = buckets.where("not large")
-    all_small = _bucket_pairs(small, small, F.col("l.node") < F.col("r.node"))
+    buckets = _buckets(texts, order, size, tables)
+    small = buckets.where(F.col("total") <= SMALL)
+    all_small = _bucket_pairs(small, small, ["shingle"], F.lit(True))
     fits = possible(F.col("n"), F.col("lead_n"), F.col("place"), F.col("lead_place"))
-    led = buckets.where("large").where((F.col("node") != F.col("lead")) & fits).select(*_ordered("node", "n", "lead", "lead_n")).dropDuplicates(["a", "b"])
-    tried = checkpoint(all_small.union(led).dropDuplicates(["a", "b"]))
-    found = checkpoint(verify(texts, tried, order, size, fragments).select("a", "b"))
-    comps = components(found)
+    led = buckets.where(F.col("total") > SMALL).where((F.col("node") != F.col("lead")) & fits).select(*_ordered("node", "n", "lead", "lead_n")).dropDuplicates(["a", "b"])
+    tried = tables.write(_likely(all_small.union(led).dropDuplicates(["a", "b"]), sketches))
+    found = tables.write(verify(texts, tried, order, size, fragments).select("a", "b"))
+    comps = components(found, tables)
 
     # large buckets again: sets of different classes there, which no leader has brought together
-    large = buckets.where("large").select("shingle", "node", "n", "place").dropDuplicates(["shingle", "node"])
+    large = buckets.where(F.col("total") > SMALL).select("shingle", "node", "n", "place", "total")
     known = comps.select(F.col("node").alias("of"), "comp")
-    large = large.join(known, large["node"] == known["of"], "left").select("shingle", "node", "n", "place", F.coalesce("comp", "node").alias("comp"))
-    sides = large.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m")).groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("classes"))
-    sides = sides.where("classes > 1").withColumnRenamed("shingle", "at")
-    large = checkpoint(large.join(sides, large["shingle"] == sides["at"]).select("shingle", "node", "n", "place", "comp", (F.col("comp") != F.col("main")).alias("minor")))
-    # within the largest class of a bucket nothing is left to link, so one side of each pair is from outside it
-    apart = (F.col("l.comp") != F.col("r.comp")) & (~F.col("r.minor") | (F.col("l.node") < F.col("r.node")))
-    rest = checkpoint(_bucket_pairs(large.where("minor"), large, apart).join(tried, ["a", "b"], "left_anti"))
-    if not rest.isEmpty():
-        more = checkpoint(verify(texts, rest, order, size, fragments).select("a", "b"))
-        if not more.isEmpty():
-            found = found.union(more)
-            comps = components(found)
-    return found, comps
+    large = large.join(known, large["node"] == known["of"], "left").select("shingle", "node", "n", "place", "total", F.coalesce("comp", "node").alias("comp"))
+    sides = large.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("m"), F.max("total").alias("total"))
+    sides = sides.groupBy("shingle").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.count(F.lit(1)).alias("classes"), F.max("total").alias("total")).where("classes > 1")
+    salts = F.ceil(F.col("total") / SALT_ROWS).cast("int")
+    sides = sides.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("shingle", "salt", "main")
+    large = large.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).join(sides, ["shingle", "salt"])
+    large = tables.write(large.select("shingle", "node", "n", "place", "total", "comp", (F.col("comp") != F.col("main")).alias("minor")).dropDuplicates(["shingle", "node"]))
+    rest = tables.write(_likely(_class_pairs(large), sketches).join(tried, ["a", "b"], "left_anti"))
+    tables.drop(large)
+    more = tables.write(verify(texts, rest, order, size, fragments).select("a", "b"))
+    if more.isEmpty():
+        return comps
+    return components(found.union(more), tables)
 
 
 def _members(size: int):
+    """doc_id, node and n_shingles of each text, and the set's sketch where this task meets it first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets(size)
+        sets, seen = Sets(size), set()
         for batch in batches:
-            rows = [(node, len(s)) for _, node, s in sets.of(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())], ["doc_id", "node", "n_shingles"])
+            nodes, sizes, sketches = [], [], []
+            for _, node, s in sets.of(batch.column(1)):
+                new = next(_once(iter([(0, node, s)]), seen), None)
+                nodes.append(node)
+                sizes.append(len(s))
+                sketches.append(sketch(s) if new else None)
+            columns = [batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "node", "n_shingles", "sketch"])
 
     return run
 
 
-def _classes(rows: DataFrame, size: int, fragments: int) -> DataFrame:
-    """doc_id, node, n_shingles and comp, the set's component, of each row of (doc_id, text)."""
-    _, comps = links(rows.select("text"), size, fragments)
-    members = rows.mapInArrow(_members(size), "doc_id long, node long, n_shingles long")
-    known = comps.select(F.col("node").alias("of"), "comp")
-    return members.join(known, members["node"] == known["of"], "left").select("doc_id", "node", "n_shingles", F.coalesce("comp", "node").alias("comp"))
+def _classes(rows: DataFrame, size: int, fragments: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows of (doc_id, text): doc_id, node and n_shingles of each, and node, first (its smallest doc_id) and comp (its component) of each set with words."""
+    tables = Tables(rows.sparkSession, "ngram-join")
+    members = tables.write(rows.mapInArrow(_members(size), "doc_id long, node long, n_shingles long, sketch array<long>"))
+    sketches = tables.write(members.where("sketch is not null").dropDuplicates(["node"]).select("node", "sketch"))
+    comps = links(rows.select("text"), sketches, tables, size, fragments).select(F.col("node").alias("of"), "comp")
+    tables.drop(sketches)
+    nodes = members.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("first"))
+    nodes = nodes.join(comps, nodes["node"] == comps["of"], "left").select("node", "first", F.coalesce("comp", "node").alias("comp"))
+    return members.select("doc_id", "node", "n_shingles"), tables.write(nodes)
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, fragments: int = FRAGMENTS) -> DataFrame:
@@ -334,10 +408,11 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, fragments: int = FRAGMENT
     doc_id that links reach, the document itself included. One row for each input row; rows that repeat an id each get
     one, by their own text; other columns are ignored; an empty table gives no rows.
     """
-    members = checkpoint(_classes(pick(docs, "doc_id", "text"), size, fragments).select("doc_id", "n_shingles", "comp"))
-    first = members.where("n_shingles > 0").groupBy("comp").agg(F.min("doc_id").alias("component_id")).withColumnRenamed("comp", "class")
+    members, nodes = _classes(pick(docs, "doc_id", "text"), size, fragments)
+    first = nodes.groupBy("comp").agg(F.min("first").alias("component_id"))
+    of = nodes.join(first, "comp").select(F.col("node").alias("of"), "component_id")
     alone = members.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    linked = members.where("n_shingles > 0").join(first, F.col("comp") == F.col("class")).select("doc_id", "n_shingles", "component_id")
+    linked = members.where("n_shingles > 0").join(of, F.col("node") == F.col("of")).select("doc_id", "n_shingles", "component_id")
     return linked.union(alone)
 
 
@@ -358,9 +433,11 @@ def keep_one_each(docs: DataFrame, size: int = SIZE, fragments: int = FRAGMENTS)
     follow their own component; of rows that repeat both, one stays. Texts without words are linked with nothing and all stay.
     """
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    classes = _classes(docs.select("doc_id", "text"), size, fragments).where("n_shingles > 0")
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("n_shingles")).alias("less"), "node"))
-    kept = classes.groupBy("comp").agg(best.alias("best")).select("best.doc_id", "best.node")
+    members, nodes = _classes(docs.select("doc_id", "text"), size, fragments)
+    # of each set the row that would stay, and of each component the best of those
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", (-F.col("n_shingles")).alias("less"), "node")).alias("best")
+    first = members.where("n_shingles > 0").groupBy("node").agg(best)
+    kept = first.join(nodes.select("node", "comp"), "node").groupBy("comp").agg(F.min("best").alias("best")).select("best.doc_id", "best.node")
     empty = F.translate(F.coalesce("text", F.lit("")), SPACE, "") == ""
     tagged = docs.where(~empty).mapInArrow(_with_nodes(size), T.StructType([*docs.schema.fields, T.StructField("node", T.LongType())]))
     return pick_rows(tagged, tagged["node"], kept).drop("node").union(docs.where(empty))

@@ -195,6 +195,32 @@ def test_large_group_of_near_copies(spark):
     assert got == brute_components(rows)
 
 
+def test_hot_bucket_of_sets_that_no_link_joins(spark):
+    """Texts that share most of a template, each of a class of its own, with shingles that all have in common; and a few real links among them."""
+    rng = random.Random(13)
+    template = prose(rng, 90).split()
+    rows = [(i, " ".join([f"own{i}x{j}" for j in range(14 + i % 9)] + template)) for i in range(700)]
+    rows += [(1000 + i, rows[7 * i][1] + f" tail{i}") for i in range(20)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert sum(c != d for d, (_, c) in got.items()) == 20
+
+
+def test_sketches_bound_what_is_not_shared(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for n, k, m in ((1, 1, 1), (5, 4, 4), (30, 28, 40), (200, 150, 170), (127, 127, 130), (4000, 3500, 4400), (90_000, 80_000, 90_000)):
+        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        x, y = np.unique(pool[:n]), np.unique(np.concatenate([pool[:k], pool[n : n + m - k]]))
+        rows.append((ngram_join.sketch(x).tolist(), ngram_join.sketch(y).tolist()))
+        want.append(len(np.setxor1d(x, y)))
+    got = [r[0] for r in spark.createDataFrame(rows, "x array<long>, y array<long>").select(ngram_join.apart(F.col("x"), F.col("y"))).collect()]
+    assert all(g <= w for g, w in zip(got, want, strict=True))
+    assert got[3] > 0.6 * want[3] and got[5] > 0.5 * want[5]
+
+
 def test_shingle_hashes_tell_words_apart():
     import numpy as np
 
