@@ -34,6 +34,8 @@ NEEDED = 80
 FREQUENT, MAX_FREQUENT = 64, 100_000
 #: Sets that a bucket may have for all its pairs to be made at once, and the sets of a large bucket that one task holds.
 SMALL, SALT_ROWS = 16, 5_000
+#: Pairs of a set that share one copy of its segments, and rows (of two numbers) up to which a table goes to every task.
+PAIRS_EACH, SENT_ROWS = 256, 1_000_000
 #: Most bits of a sketch, as a power of two: 8 KB for the largest sets.
 SKETCH_POWER = 16
 FRAGMENTS = 8
@@ -222,16 +224,28 @@ def possible(na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
     return similar(na, nb, overlap)
 
 
-def verify(texts: DataFrame, pairs: DataFrame, order, size: int = SIZE, fragments: int = FRAGMENTS) -> DataFrame:
-    """The pairs (a, b, na, nb) that are similar enough: overlaps counted fragment by fragment, summed by pair."""
+def verify(texts: DataFrame, pairs: DataFrame, order, tables: Tables, size: int = SIZE, fragments: int = FRAGMENTS) -> DataFrame:
+    """The pairs (a, b) that are similar enough: overlaps counted fragment by fragment, summed by pair.
+
+    A set that is in many pairs has its segments dealt over salts, one for each PAIRS_EACH pairs.
+    """
     shared_map = Shared(texts.sparkSession, _pair_map(pairs))
     segments = texts.mapInArrow(_fragments(size, order, shared_map, fragments), "node long, fragment int, segment array<long>").dropDuplicates(["node", "fragment"])
-    left = segments.select(F.col("node").alias("a"), "fragment", F.col("segment").alias("sa"))
-    right = segments.select(F.col("node").alias("b"), "fragment", F.col("segment").alias("sb"))
-    cut = pairs.withColumn("fragment", F.explode(F.array(*(F.lit(i) for i in range(fragments)))))
-    partial = cut.join(left, ["a", "fragment"]).join(right, ["b", "fragment"]).select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
+    often = pairs.select(F.explode(F.array("a", "b")).alias("often")).groupBy("often").agg(F.ceil(F.count(F.lit(1)) / PAIRS_EACH).cast("int").alias("salts"))
+    often = tables.write(often.where("salts > 1"))
+    many = F.broadcast(often) if often.count() <= SENT_ROWS else often
+    cut = pairs
+    for side, other in (("a", "b"), ("b", "a")):
+        cut = cut.join(many.withColumnRenamed("often", f"often_{side}").withColumnRenamed("salts", f"salts_{side}"), F.col(side) == F.col(f"often_{side}"), "left")
+        cut = cut.withColumn(f"salt_{side}", F.pmod(F.xxhash64(other), F.coalesce(f"salts_{side}", F.lit(1))).cast("int"))
+    cut = cut.select("a", "b", "na", "nb", "salt_a", "salt_b", F.explode(F.array(*(F.lit(i) for i in range(fragments)))).alias("fragment"))
+    salted = segments.join(many, F.col("node") == F.col("often"), "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    left = salted.select(F.col("node").alias("a"), "fragment", F.col("salt").alias("salt_a"), F.col("segment").alias("sa"))
+    right = salted.select(F.col("node").alias("b"), "fragment", F.col("salt").alias("salt_b"), F.col("segment").alias("sb"))
+    met = cut.join(left, ["a", "fragment", "salt_a"]).join(right, ["b", "fragment", "salt_b"])
+    partial = met.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("common"))
     total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("overlap"))
-    return total.where(similar(F.col("na"), F.col("nb"), F.col("overlap")))
+    return total.where(similar(F.col("na"), F.col("nb"), F.col("overlap"))).select("a", "b")
 
 
 def sketch(s: np.ndarray) -> np.ndarray:
@@ -349,7 +363,7 @@ def links(texts: DataFrame, sketches: DataFrame, tables: Tables, size: int = SIZ
     fits = possible(F.col("n"), F.col("lead_n"), F.col("place"), F.col("lead_place"))
     led = buckets.where(F.col("total") > SMALL).where((F.col("node") != F.col("lead")) & fits).select(*_ordered("node", "n", "lead", "lead_n")).dropDuplicates(["a", "b"])
     tried = tables.write(_likely(all_small.union(led).dropDuplicates(["a", "b"]), sketches))
-    found = tables.write(verify(texts, tried, order, size, fragments).select("a", "b"))
+    found = tables.write(verify(texts, tried, order, tables, size, fragments))
     comps = components(found, tables)
 
     # large buckets again: sets of different classes there, which no leader has brought together
@@ -364,7 +378,7 @@ def links(texts: DataFrame, sketches: DataFrame, tables: Tables, size: int = SIZ
     large = tables.write(large.select("shingle", "node", "n", "place", "total", "comp", (F.col("comp") != F.col("main")).alias("minor")).dropDuplicates(["shingle", "node"]))
     rest = tables.write(_likely(_class_pairs(large), sketches).join(tried, ["a", "b"], "left_anti"))
     tables.drop(large)
-    more = tables.write(verify(texts, rest, order, size, fragments).select("a", "b"))
+    more = tables.write(verify(texts, rest, order, tables, size, fragments))
     if more.isEmpty():
         return comps
     return components(found.union(more), tables)
