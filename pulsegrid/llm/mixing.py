@@ -22,6 +22,8 @@ GROUP_ROWS = 8_000
 MOST_STEPS, EXACT = 60, 1e-9
 #: Documents of each power of two in size that are at hand to correct a source's remainder.
 SPARE = 4
+#: A table of up to so many rows (a few numbers each) is sent to every task; rows meet a larger one over SALTS salts.
+SENT_ROWS, SALTS = 100_000, 32
 
 
 def word_count(text: Column) -> Column:
@@ -29,24 +31,47 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def meet(rows: DataFrame, small: DataFrame, column: str, small_column: str) -> DataFrame:
+    """All rows, with what `small` (one row for each value, null included) has for their value. A value may hold any share of the rows.
+
+    `small` is counted: up to SENT_ROWS rows it goes to every task and the rows stay where they are; else the rows of each
+    value are dealt over SALTS salts.
+    """
+    if small.count() <= SENT_ROWS:
+        return rows.join(F.broadcast(small), rows[column].eqNullSafe(small[small_column]), "left")
+    salted = rows.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
+    every = small.withColumn("_of", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(every, salted[column].eqNullSafe(every[small_column]) & (salted["_salt"] == every["_of"]), "left").drop("_salt", "_of")
+
+
+def numbered(sizes: DataFrame) -> DataFrame:
+    """Sources with their place (from 0) by code point, null last. They are sorted by ranges, each of which counts on from those before."""
+    order = F.col("source").asc_nulls_last()
+    parts = checkpoint(sizes.repartitionByRange(order).sortWithinPartitions(order).withColumn("_id", F.monotonically_increasing_id()))
+    part, inner = F.shiftright("_id", 33), F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = parts.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # one row for each range
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("part", F.coalesce(before, F.lit(0)).alias("start"))
+    return parts.join(F.broadcast(starts), part == F.col("part")).select("source", "source_size", (F.col("start") + inner).alias("place"))
+
+
 def source_targets(sizes: DataFrame, most: int = MOST_COPIES) -> DataFrame:
     """Targets of sources (source, source_size): weights 1, 2, 3, repeating, by the sources' code points, null last.
 
     The targets share the total of all sizes. None is above `most` times its source's size; what is over goes to the
-    others by weight until none is above. With sources in order of limit to weight, those below the common level are at
-    their limits, which two running sums find at once.
+    others by weight until none is above: each round finds the common level of the sources below their limits, and ends
+    when no more of them reach theirs.
     """
-    once = Window.orderBy(F.col("source").asc_nulls_last())
-    by_ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
-    whole = Window.partitionBy()
-    s = sizes.withColumn("weight", 1 + (F.row_number().over(once) - 1) % 3)
-    s = s.withColumn("cap", F.lit(float(most)) * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
-    before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
-    after = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    s = s.withColumn("level", (F.sum("source_size").over(whole) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after))
-    # the level is right for the first source that stays below its limit; those before it are at theirs
-    free = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "level"))).over(whole)
-    return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("weight") * free["level"]), "cap").alias("target"))
+    s = checkpoint(numbered(sizes).withColumn("weight", (1 + F.col("place") % 3).cast("double")).withColumn("cap", F.lit(float(most)) * F.col("source_size")))
+    level, full = None, -1
+    while True:
+        capped = F.lit(False) if level is None else F.col("cap") < F.col("weight") * F.lit(level)
+        got = s.agg(F.sum("source_size").alias("total"), F.sum(F.when(capped, F.col("cap")).otherwise(0.0)).alias("over"), F.sum(F.when(capped, 0.0).otherwise(F.col("weight"))).alias("weights"), F.count(F.when(capped, 1)).alias("full")).first()
+        if not got["weights"] or got["full"] == full:
+            break
+        level, full = (got["total"] - got["over"]) / got["weights"], got["full"]
+    target = F.col("cap") if level is None else F.least("cap", F.col("weight") * F.lit(level))
+    return s.select("source", "source_size", target.alias("target"))
 
 
 def _rate(lam: Column, z: Column) -> Column:
@@ -114,7 +139,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
         targets.join(solved, targets["source"].eqNullSafe(solved["source"]), "left").select(targets["source"].alias("plan_source"), "source_size", "target", "lambda", "scale")
     )
     groups = max(1, -(-rows.count() // GROUP_ROWS))
-    rated = rows.join(plan, rows["source"].eqNullSafe(plan["plan_source"]), "left")
+    rated = meet(rows, plan, "source", "plan_source")
     z = F.col("size") / F.col("scale")
     rate = F.when(F.col("size") == 0, 0.0).when(F.col("lambda").isNull(), float(MOST_COPIES)).otherwise(_rate(F.col("lambda"), z))
     rated = rated.select("doc_id", "source", "size", "tie", "source_size", "target", rate.alias("rate"), F.floor(F.log2(F.greatest("size", F.lit(1)))).alias("octave"), F.pmod("tie", F.lit(groups)).alias("salt"))
@@ -125,7 +150,7 @@ def mix_sources(docs: DataFrame) -> DataFrame:
     whole = lambda x: F.floor(x + 1e-9)
     copies = F.least(F.lit(MOST_COPIES), F.greatest(F.lit(0), whole(running) - whole(running - F.col("rate")))).cast("int")
     copies = F.when(F.col("size") == 0, 0).when(F.col("rate") >= MOST_COPIES, MOST_COPIES).otherwise(copies)
-    rounded = checkpoint(rated.withColumn("copies", copies))
+    rounded = checkpoint(rated.withColumn("copies", copies).withColumn("row", F.monotonically_increasing_id()))
     fixed = _correct(rounded, plan)
     return fixed.select("doc_id", "size", F.coalesce("source_size", F.lit(0)).alias("source_size"), F.coalesce("target", F.lit(0.0)).alias("target"), (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate", "tie")
 
@@ -134,38 +159,34 @@ def _correct(rounded: DataFrame, plan: DataFrame) -> DataFrame:
     """Give or take one copy of a few documents of each source, largest first, while they fit into what is missing or over."""
     got = rounded.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("got")).withColumnRenamed("source", "got_source")
     rest = plan.join(got, plan["plan_source"].eqNullSafe(got["got_source"])).select("plan_source", F.round(F.col("target") - F.col("got")).cast("long").alias("rest")).where("rest != 0")
-    fits = rounded.join(rest, rounded["source"].eqNullSafe(rest["plan_source"]))
+    fits = meet(rounded, checkpoint(rest), "source", "plan_source")
     fits = fits.where("size > 0 and size <= abs(rest) and ((rest > 0 and copies < 3) or (rest < 0 and copies > 0))")
-    rank = F.row_number().over(Window.partitionBy("source", "octave").orderBy("tie", F.col("doc_id").asc_nulls_last()))
-    spare = fits.withColumn("spare", rank).where(F.col("spare") <= SPARE).select("source", "doc_id", "tie", "size", "rest")
+    rank = F.row_number().over(Window.partitionBy("source", "octave").orderBy("tie", F.col("doc_id").asc_nulls_last(), "copies", "row"))
+    spare = fits.withColumn("spare", rank).where(F.col("spare") <= SPARE).select("source", "tie", "doc_id", "row", "size", "rest")
     # at most SPARE documents of each power of two: a list of bounded length for each source
-    by_source = spare.groupBy("source").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("size", "tie", "doc_id")), asc=False).alias("all"))
-    empty = F.expr("cast(array() as array<struct<tie:bigint,doc_id:bigint>>)")
-    start = F.struct(F.abs("rest").alias("left"), empty.alias("used"))
-    use = lambda acc, x: F.when(
-        x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["used"], F.array(F.struct(x["tie"].alias("tie"), x["doc_id"].alias("doc_id")))).alias("used"))
-    ).otherwise(acc)
-    used = by_source.select("source", F.signum("rest").cast("int").alias("sign"), F.explode(F.aggregate("all", start, use)["used"]).alias("x"))
-    used = used.select(F.col("source").alias("s"), F.col("x.tie").alias("t"), F.col("x.doc_id").alias("d"), "sign").dropDuplicates(["s", "t", "d"])
-    # of repeated rows, which agree in every column, the first takes the correction
-    same = F.row_number().over(Window.partitionBy("source", "tie", "doc_id").orderBy("copies"))
-    numbered = rounded.withColumn("same", same)
-    hit = numbered["source"].eqNullSafe(used["s"]) & (numbered["tie"] == used["t"]) & numbered["doc_id"].eqNullSafe(used["d"]) & (numbered["same"] == 1)
-    fixed = numbered.join(used, hit, "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0)))
-    return fixed
+    by_source = spare.groupBy("source").agg(F.first("rest").alias("rest"), F.sort_array(F.collect_list(F.struct("size", "tie", "doc_id", "row")), asc=False).alias("all"))
+    start = F.struct(F.abs("rest").alias("left"), F.expr("cast(array() as array<bigint>)").alias("used"))
+    use = lambda acc, x: F.when(x["size"] <= acc["left"], F.struct((acc["left"] - x["size"]).alias("left"), F.concat(acc["used"], F.array(x["row"])).alias("used"))).otherwise(acc)
+    used = checkpoint(by_source.select(F.signum("rest").cast("int").alias("sign"), F.explode(F.aggregate("all", start, use)["used"]).alias("used_row")))
+    # few rows change; a row has one number, so that those that repeat are told apart
+    changed = F.broadcast(used) if used.count() <= SENT_ROWS else used
+    return rounded.join(changed, rounded["row"] == used["used_row"], "left").withColumn("copies", F.col("copies") + F.coalesce("sign", F.lit(0)))
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """The documents that the mix takes, with doc_id, text, lang, source, n_chars, their size and their copies (1 to 3).
+    """The documents that the mix takes, with doc_id, text, lang, source, n_chars, their size, their source's target and their copies.
 
-    A document that is to be read several times is one row with that many copies. Rows that repeat id and text are told
-    apart by nothing, and so all get the copies of one of them.
+    A document that is to be read several times is one row with that many copies, 1 to 3. Rows that repeat id and text are
+    one row with the copies of all of them. Of repeats in several sources, the first source by code point is named.
     """
     docs = pick(docs, *DOCUMENT_COLUMNS)
-    mixed = mix_sources(docs).where("copies > 0").select(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"), "size", "target", "copies").dropDuplicates(["mix_id", "mix_tie"])
-    tied = docs.withColumn("tie", F.xxhash64("doc_id", "text"))
-    out = tied.join(mixed, tied["doc_id"].eqNullSafe(mixed["mix_id"]) & (tied["tie"] == mixed["mix_tie"]))
-    return out.select(*DOCUMENT_COLUMNS, "size", "target", "copies")
+    taken = mix_sources(docs).where("copies > 0").groupBy(F.col("doc_id").alias("mix_id"), F.col("tie").alias("mix_tie"))
+    mixed = taken.agg(F.first("size").alias("size"), F.min("target").alias("target"), F.sum("copies").cast("int").alias("copies"))
+    tied = docs.withColumn("tie", F.xxhash64("doc_id", "text")).withColumn("id", F.coalesce("doc_id", F.lit(0))).withColumn("none", F.col("doc_id").isNull())
+    first = F.row_number().over(Window.partitionBy("id", "none", "tie").orderBy(F.col("source").asc_nulls_last(), "lang", "n_chars"))
+    once = tied.withColumn("first", first).where("first = 1")
+    same = (F.coalesce("mix_id", F.lit(0)) == once["id"]) & (F.col("mix_id").isNull() == once["none"]) & (once["tie"] == F.col("mix_tie"))
+    return once.join(mixed, same).select(*DOCUMENT_COLUMNS, "size", "target", "copies")
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
