@@ -162,17 +162,26 @@ class Words:
         self.starts, self.ends = starts, np.flatnonzero(inside & ~edge[1:]) + 1
         self.offsets = offsets
         self.first = np.searchsorted(starts, offsets)  # of each text's first word; the last entry is the number of words
-        self.hashes = np.empty(0, dtype=np.uint64)
-        if len(starts):
-            lengths = self.ends - starts
-            at = np.cumsum(lengths) - lengths
-            inner = np.arange(int(lengths.sum())) - np.repeat(at, lengths)
-            most = int(lengths.max())
-            if most <= _BLOCK:
-                weights = _POWERS[inner]
-            else:
-                weights = _POWERS[inner % _BLOCK] * _powers(_BLOCK_BASE, most // _BLOCK + 1)[inner // _BLOCK]
-            self.hashes = mix(np.add.reduceat(_TABLE[self.lowered[inside]] * weights, at))
+        self.hashes = np.empty(len(starts), dtype=np.uint64)
+        sizes = self.ends - starts
+        total, i = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(total, total[i] + SLICE_BYTES, side="right")) - 1)
+            part = slice(starts[i], self.ends[j - 1])
+            self.hashes[i:j] = self._hash(self.lowered[part][inside[part]], sizes[i:j])
+            i = j
+
+    @staticmethod
+    def _hash(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Hashes of words of these sizes, whose bytes follow one another."""
+        at = np.cumsum(sizes) - sizes
+        inner = np.arange(len(letters)) - np.repeat(at, sizes)
+        most = int(sizes.max())
+        if most <= _BLOCK:
+            weights = _POWERS[inner]
+        else:
+            weights = _POWERS[inner % _BLOCK] * _powers(_BLOCK_BASE, most // _BLOCK + 1)[inner // _BLOCK]
+        return mix(np.add.reduceat(_TABLE[letters] * weights, at))
 
     def beginnings(self, which: np.ndarray, n: int) -> np.ndarray:
         """Hashes of the first n bytes of these words, which are longer; none equals a whole word's hash by design."""

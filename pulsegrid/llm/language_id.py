@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import DOCUMENT_COLUMNS, LOWER, Shared, pick, table, text_slices
+from .common import DOCUMENT_COLUMNS, LOWER, Shared, checkpoint, pick, table, text_slices
 
 WINDOW_BYTES = 192
 WIDTHS = (2, 3, 4)
@@ -22,11 +22,12 @@ FILTERS = 16
 EMBEDDING = 8
 #: The training sample: so many documents of each language, so many windows of each.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 600, 4
-#: More languages than this are refused: the sample on the driver has a bound.
-MAX_LANGUAGES = 200
+#: The sample on the driver has a bound: with many languages each has fewer documents, MIN_DOCS at least, and of more
+#: languages than MAX_LANGUAGES those with most labelled rows are learned.
+MOST_DOCS, MIN_DOCS, MAX_LANGUAGES = 24_000, 24, 1_000
 UNKNOWN = "und"
-#: Windows that go through the network at once.
-CHUNK = 256
+#: Windows that go through the network at once, and that are cut at once.
+CHUNK, BLOCK = 256, 8_192
 
 
 class ByteConvNet:
@@ -112,42 +113,55 @@ class ByteConvNet:
         return [d_embedding, d_filters, back.sum(axis=0), hidden.T @ p, p.sum(axis=0)]
 
 
-def cut_windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All windows of the texts, end to end: bytes (0 after a text's end), the text of each, its bytes."""
+def window_places(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the texts, end to end: the text of each, its first byte and its bytes."""
     sizes = np.diff(offsets)
     counts = -(-sizes // WINDOW_BYTES)
     text = np.repeat(np.arange(len(sizes)), counts)
     first = np.repeat(np.cumsum(counts) - counts, counts)
     start = offsets[:-1][text] + (np.arange(len(text)) - first) * WINDOW_BYTES
-    used = np.minimum(WINDOW_BYTES, offsets[1:][text] - start)
-    padded = np.concatenate([LOWER[data], np.zeros(WINDOW_BYTES, dtype=np.uint8)])
-    out = padded[start[:, None] + np.arange(WINDOW_BYTES)]
-    out[np.arange(WINDOW_BYTES) >= used[:, None]] = 0
-    return out, text, used
+    return text, start, np.minimum(WINDOW_BYTES, offsets[1:][text] - start)
+
+
+def window_bytes(data: np.ndarray, start: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The lower-cased bytes of these windows; 0 after a text's end."""
+    places = np.arange(WINDOW_BYTES)
+    out = LOWER[data[np.minimum(start[:, None] + places, len(data) - 1)]]
+    out[places >= used[:, None]] = 0
+    return out
 
 
 def training_sample(labelled: DataFrame, docs_per_language: int, windows_per_doc: int) -> DataFrame:
     """lang and windows of so many documents of each language, taken by a hash of text, from any place of the texts.
 
-    Each task keeps its best rows of each language before anything is shuffled, so a language with most of the rows costs no more.
+    Languages are counted first. Rows whose hash is above twice the share that is wanted stay where they are, so that what
+    is sent and ranked is a few times the sample, whatever the number of tasks or a language's share of the rows.
     """
+    counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    counts = checkpoint(counts.orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES))
+    n = max(1, counts.count())
+    limit = max(MIN_DOCS, min(docs_per_language, MOST_DOCS // n))
+    share = (2.0 * limit + 200) / F.col("rows")
     chars = WINDOW_BYTES
-    rows = labelled.select("lang", F.col("text"), F.xxhash64("text", "doc_id").alias("h"))
+    rows = labelled.withColumn("h", F.xxhash64("text", "doc_id")).join(F.broadcast(counts.withColumnRenamed("lang", "counted")), F.col("lang") == F.col("counted"))
+    rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
     windows = [F.substring("text", (1 + F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - chars, F.lit(0)) + 1)).cast("int"), F.lit(chars)) for i in range(windows_per_doc)]
     rows = rows.select("lang", "h", F.array_distinct(F.array(*windows)).alias("windows"))
     best = F.row_number().over(Window.partitionBy("lang").orderBy("h", "windows"))
-    return rows.withColumn("rank", best).where(F.col("rank") <= docs_per_language).drop("rank")
+    return rows.withColumn("rank", best).where(F.col("rank") <= limit).drop("rank")
 
 
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC) -> ByteConvNet | None:
-    """Train on text and lang of (doc_id, text, lang) alone; rows without text or lang are left out. None if there are none."""
+    """Train on text and lang of (doc_id, text, lang) alone; rows without text or lang are left out. None if there are none.
+
+    The sample has docs_per_language documents of each language, fewer where there are many languages (MOST_DOCS in all),
+    of the MAX_LANGUAGES languages with most rows.
+    """
     usable = pick(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null and text rlike '\\\\p{L}'")
-    rows = training_sample(usable, docs_per_language, windows_per_doc).limit(docs_per_language * MAX_LANGUAGES).collect()
+    rows = training_sample(usable, docs_per_language, windows_per_doc).collect()
     languages = sorted({r["lang"] for r in rows})
     if not languages:
         return None
-    if len(languages) >= MAX_LANGUAGES:
-        raise ValueError(f"there are {len(languages)} or more languages; the network takes up to {MAX_LANGUAGES}")
     samples = sorted((r["h"], r["lang"], w) for r in rows for w in r["windows"])
     raw = [w.encode()[:WINDOW_BYTES] for _, _, w in samples]
     windows = np.zeros((len(raw), WINDOW_BYTES), dtype=np.uint8)
@@ -169,9 +183,11 @@ def score_texts(net: ByteConvNet | None, texts: pa.Array) -> tuple[list[str], np
             scores.append(np.zeros(n))
             continue
         totals, weight = np.zeros((n, len(net.languages))), np.zeros(n)
-        windows, text, used = cut_windows(data, offsets)
-        np.add.at(totals, text, net.log_probabilities(windows) * used[:, None])
-        np.add.at(weight, text, used)
+        places = window_places(offsets)
+        for i in range(0, len(places[0]), BLOCK):  # of a long text too, only so many windows are made at once
+            text, start, used = (x[i : i + BLOCK] for x in places)
+            np.add.at(totals, text, net.log_probabilities(window_bytes(data, start, used)) * used[:, None])
+            np.add.at(weight, text, used)
         mean = totals / np.maximum(weight, 1)[:, None]
         p = np.exp(mean - mean.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)

@@ -84,7 +84,8 @@ def test_windows_cover_whole_texts():
     import numpy as np
 
     data = np.frombuffer(b"a" * 500 + b"" + b"b" * 192, dtype=np.uint8)
-    windows, text, used = language_id.cut_windows(data, np.array([0, 500, 500, 692]))
+    text, start, used = language_id.window_places(np.array([0, 500, 500, 692]))
+    windows = language_id.window_bytes(data, start, used)
     assert used.tolist() == [192, 192, 116, 192] and text.tolist() == [0, 0, 0, 2]
     assert (windows[2][116:] == 0).all()
 
