@@ -6,10 +6,14 @@ that are matched is the coverage.
 
 Only stretches around a seed are aligned. If a notice covers a share c of a template, one of any (1 - c) of its words and
 one more must be there; the seeds are those that are rarest in the corpus.
+
+Some words decide between licences that are alike otherwise: numbers of versions, and variants (lesser, share-alike, ...).
+A template's own ones must all be matched, and a stretch with a variant that the template lacks is another licence.
 """
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -41,16 +45,41 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
         "either version 3 of the License, or (at your option) any later version.",
     ),
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, "
+        "either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
     ),
-    "CC-BY-NC-4.0": (
-        "Licensed under CC BY-NC 4.0",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License",
+    "LGPL-2.1": (
+        "This work is licensed under the GNU Lesser General Public License, version 2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, "
+        "either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.0": ("This work is licensed under the GNU Library General Public License, version 2",),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, "
+        "either version 3 of the License, or (at your option) any later version.",
     ),
-    "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License",),
+    "BSD-3-Clause": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    "CC-BY-4.0": ("Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
+    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    "CC-BY-NC-SA-4.0": ("Licensed under CC BY-NC-SA 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("Licensed under CC BY-NC-ND 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",),
 }
+#: Words that make another licence of one that is named alike; fixed values.
+VARIANTS = frozenset(w.encode() for w in ("lesser", "affero", "attribution", "noncommercial", "nc", "sharealike", "sa", "noderivatives", "noderivs", "nd"))
 MIN_COVERAGE = 0.85
 
 
@@ -97,9 +126,25 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def read_templates(path: str) -> dict[str, tuple[str, ...]]:
+    """Templates of a JSON file: {name: [text, ...]}. It is read on the driver and has a bound, 4 MB."""
+    with open(path, encoding="utf-8") as file:
+        raw = file.read((4 << 20) + 1)
+    if len(raw) > 4 << 20:
+        raise ValueError(f"{path} has more than 4 MB")
+    return {name: tuple(texts) for name, texts in json.loads(raw).items()}
+
+
+def decides(word: bytes) -> bool:
+    """Whether a word tells licences of the same wording apart."""
+    return word in VARIANTS or word.isdigit()
+
+
 class Template:
     def __init__(self, name: str, text: str, counts: Mapping[bytes, int], min_coverage: float):
         self.name, self.words = name, item_words(text)
+        self.deciding = {self.words.index(w) for w in self.words if decides(w)}
+        self.variants = VARIANTS - set(self.words)
         own = Counter(self.words)
         spare, seeds = floor((1 - min_coverage) * len(self.words) + 1e-9), []
         # the words of the seeds are more than may be missing, so that one of them is in any notice
@@ -123,15 +168,22 @@ class Template:
                 continue
             slack = self.slack
             while slack >= 0:
-                a0 = max(0, p - i - slack)
-                matched = patience(words[a0 : p + n - i + slack], self.words)
-                if len(matched) >= min_coverage * n:
+                a0 = max(0, done, p - i - slack)
+                stretch = words[a0 : p + n - i + slack]
+                matched = patience(stretch, self.words)
+                if self.fits(stretch, matched, min_coverage):
                     yield len(matched) / n, a0 + matched[0][0], a0 + matched[-1][0] + 1, self.name
                     done = a0 + matched[-1][0] + 1
                     break
                 # copies on both sides leave no word that is there once; a narrower stretch holds less of them
                 slack = slack // 2 if slack else -1
 
+    def fits(self, stretch: list[bytes], matched: list[tuple[int, int]], min_coverage: float) -> bool:
+        """Whether the matched places cover enough of the template, with all words that decide and no others of that kind in between."""
+        if not matched or len(matched) < min_coverage * len(self.words) or self.deciding - {j for _, j in matched}:
+            return False
+        return not self.variants.intersection(stretch[matched[0][0] : matched[-1][0] + 1])
+
 
 def word_counts(docs: DataFrame, words: list[bytes]) -> dict[bytes, int]:
     """How often each of these words occurs in all texts; one small row for each word and task is shuffled."""
@@ -156,7 +208,8 @@ def scan_licenses(docs: DataFrame, templates: Mapping[str, tuple[str, ...]] = TE
     """License notices in every whole text: doc_id, license, coverage, n_notices, licenses, spans.
 
     A notice is a stretch that covers min_coverage or more of a template's words (runs of ASCII letters, lower-cased,
-    digits and characters beyond ASCII), in order. Of notices that overlap, the one with most matched words counts.
+    digits and characters beyond ASCII), in order, among them each number and variant word (VARIANTS) of the template where
+    it is first there, and no other variant word. Of notices that overlap, the one with most matched words counts.
     license and coverage are those of the best notice (null and 0 without one), licenses the sorted names, spans
     name:start:end in code points. A null or empty text has none. One row for each input row, null and repeated ids
     included; other columns are ignored; an empty table gives no rows. The texts are never shuffled.
