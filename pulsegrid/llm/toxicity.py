@@ -124,15 +124,18 @@ def feature_rows(words: Words, known: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def graded_sample(docs: DataFrame, labels: DataFrame, docs_per_grade: int) -> DataFrame:
     """grade, share (labelled rows that each sampled one stands for) and features (words) of the sample.
 
-    Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality. Ids are taken by their hash, each task's best first.
+    Grades: 0 not toxic, 1 toxic, 2 toxic and of low quality. Ids are taken by their hash; those whose hash is above twice
+    the share that is wanted of their grade are left out before any are ranked, so that few are sent.
     """
     grade = F.when(F.col("toxic") == 0, 0).when(F.col("quality") == 0, 2).otherwise(1)
     graded = pick(labels, "doc_id", "quality", "toxic").where("doc_id is not null and toxic is not null").select("doc_id", grade.alias("grade"))
     graded = graded.groupBy("doc_id").agg(F.max("grade").alias("grade"))
-    counts = graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))
-    best = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    few = graded.withColumn("rank", best).where(F.col("rank") <= docs_per_grade).drop("rank")
-    few = few.join(F.broadcast(counts), "grade").select(F.col("doc_id").alias("id"), "grade", (F.col("n") / F.least("n", F.lit(docs_per_grade))).alias("share"))
+    counts = graded.groupBy("grade").agg(F.count(F.lit(1)).alias("n"))  # three rows at most
+    hashed = graded.join(F.broadcast(counts), "grade").withColumn("h", F.xxhash64("doc_id"))
+    hashed = hashed.where(F.pmod("h", F.lit(1 << 40)) * F.col("n") < F.lit((2.0 * docs_per_grade + 200) * (1 << 40)))
+    best = F.row_number().over(Window.partitionBy("grade").orderBy(F.pmod("h", F.lit(1 << 40)), "doc_id"))
+    few = hashed.withColumn("rank", best).where(F.col("rank") <= docs_per_grade)
+    few = few.select(F.col("doc_id").alias("id"), "grade", (F.col("n") / F.least("n", F.lit(docs_per_grade))).alias("share"))
     # the sample has a bound, and so what is broadcast has one
     rows = pick(docs, "doc_id", "text").join(F.broadcast(few), F.col("doc_id") == F.col("id")).select("grade", "share", "text")
 
