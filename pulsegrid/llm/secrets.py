@@ -39,6 +39,8 @@ _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _IDENTIFIER = re.compile(r"(?:[/_+=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[/_+=-]*\Z")
 _WORD = re.compile(r"[A-Za-z]+")
+#: Words with a capital at most, joined by signs: readable however odd the words are.
+_WORDS = re.compile(r"[/_+=-]*[A-Z]?[a-z]+(?:[/_+=-]+[A-Z]?[a-z]+)*[/_+=-]*\Z")
 #: Parts that are readable, so that they are no beginning or end of a random string with joining signs.
 _PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})\Z")
 
@@ -67,12 +69,13 @@ class SecretScanner:
         if _UUID.search(s) or (len(s) in _DIGEST_LENGTHS and _DIGEST.match(s)):
             return False
         kinds = any(map(str.isdigit, s)) + any(map(str.islower, s)) + any(map(str.isupper, s))
-        if kinds < 2:
+        if kinds < 2 or _WORDS.match(s):
             return False
         if _IDENTIFIER.match(s) and max(map(len, re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)), default=0) >= 4 and sum(map(len, _WORD.findall(s))) >= 0.8 * len(s):
-            # words of some length joined together; in random strings runs of one case are short
+            # words of some length joined together; in random strings runs of one case are short, or no words
             runs = re.findall(r"[A-Z]?[a-z]+|[A-Z]{2,}|[0-9]+", s)
-            if len(s) / max(1, len(runs)) >= 4:
+            words = [r.lower() for r in runs if len(r) > 2 and r.isalpha()]
+            if len(s) / max(1, len(runs)) >= 4 and sum(map(len, words)) > self.limit * sum(len(self.encode(w)) for w in words):
                 return False
         return len(s) / len(self.encode(s)) <= self.limit
 

@@ -93,6 +93,28 @@ def test_windows_cover_whole_texts():
 # -- 2 secrets
 
 
+def test_random_strings_are_found_and_readable_ones_are_not():
+    """Recall of five alphabets at several lengths, and no alarm on identifiers, paths, digests, UUIDs or joined words."""
+    import string
+    import uuid
+
+    import public_tokenizers
+
+    with open(secrets.default_vocabulary(), "rb") as file:
+        scanner = secrets.SecretScanner(file.read(), public_tokenizers.PATTERN)
+    rng = random.Random(21)
+    found = lambda s: any(k == "random" for k, _, _ in scanner.scan(s)[1])
+    letters, digits = string.ascii_letters, string.digits
+    for alphabet in (letters + digits, letters + digits + "+/", string.ascii_lowercase + digits, string.ascii_uppercase + "234567"):
+        for n in (20, 24, 32, 40):
+            made = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(60)]
+            assert sum(found(f"see {s} now") for s in made) >= 0.9 * len(made)
+            assert sum(found(f"see {uuid.UUID(int=rng.getrandbits(128))}_{s} now") for s in made) >= 0.9 * len(made)
+    for s in ("configuration_handler_factory", "MaximumRetryCountExceededError", "src/main/resources/application-settings", "user-profile-2024-report-final", "MAX_CONNECTION_POOL_SIZE", "Einstschkeitieein", "Voneinstpftz_Dieenpfungkeit",
+              "a3f5" * 8, "A3F5" * 10, str(uuid.UUID(int=7 << 100)), "internationalization", "x" * 60, "-" * 40, "1234567890123456"):
+        assert not found(f"see {s} now"), s
+
+
 def brute_base(text):
     found = []
     for kind, pattern, least, group in (("assign", r"((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 12, 2), ("access", "AKIA[A-Z0-9]+", 18, 0), ("hex", "[0-9a-f]+", 16, 0)):
