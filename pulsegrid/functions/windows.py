@@ -9,8 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MAD_SCALE = 1.4826
 
@@ -57,6 +61,93 @@ def with_halo(df: DataFrame, s: Series, seconds: float, chunk_seconds: float | N
     return out.withColumn("_own", F.col("_chunk") == F.col("_first")).drop("_first"), Series((*s.by, "_chunk"), s.order, s.micros)
 
 
+#: Rows that a stretch of with_row_halo has, and the time that a row is counted by.
+STRETCH_ROWS, COUNTED_US = 4_096, 3_600_000_000
+#: A table of counts of so many rows goes to every task; rows meet a larger one by a join.
+COUNTED_ROWS = 100_000
+
+
+def with_row_halo(df: DataFrame, s: Series, rows: int) -> tuple[DataFrame, Series]:
+    """Cut a series into stretches of some thousand rows, so that frames of up to `rows` rows need no task with a whole entity.
+
+    Rows are counted by entity and hour, so that it is known how many lie before each hour. A row goes to the stretch in
+    which its hour begins and to those that begin less than `rows` rows after its hour. The order has to agree with the
+    time. Compute the windows over the Series that comes back, then keep the rows with `_own`.
+    """
+    hour = F.coalesce(F.floor(F.col(s.micros) / COUNTED_US), F.lit(-(1 << 40)))
+    keys = [F.coalesce(F.xxhash64(*s.by), F.lit(0)).alias("_key"), hour.alias("_hour")]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # entities whose keys collide are counted as one, which moves the cuts and no result
+    cuts = counts.select("_key", "_hour", F.floor(before / STRETCH_ROWS).alias("_first"), F.floor((before + F.col("_n") + max(0, rows - 2)) / STRETCH_ROWS).alias("_last"))
+    if cuts.limit(COUNTED_ROWS + 1).count() <= COUNTED_ROWS:
+        cuts = F.broadcast(cuts)
+    out = df.withColumns({"_key": keys[0], "_hour": hour}).join(cuts, ["_key", "_hour"])
+    out = out.withColumn("_chunk", F.explode(F.sequence("_first", "_last"))).withColumn("_own", F.col("_chunk") == F.col("_first"))
+    return out.drop("_key", "_hour", "_first", "_last"), Series((*s.by, "_chunk"), s.order, s.micros)
+
+
+def order_statistics(df: DataFrame, s: Series, columns: dict[str, tuple[str, int, int, str | float]]) -> DataFrame:
+    """Medians, MADs and quantiles over the last rows of a table that with_row_halo has cut; only its own rows come back.
+
+    columns: new name -> (column, n, least, what), where what is "mad" or a share such as 0.95. A statistic is of the
+    values that aren't null among the last n rows, this one included, and null with fewer than `least` of them. Frames of
+    a stretch are sorted in numpy, once for all statistics of a column and n.
+    """
+    kept = [c for c in df.columns if c not in ("_own", "_chunk")]
+    wanted: dict[tuple[str, int], list[tuple[str, int, str | float]]] = {}
+    for name, (x, n, least, what) in columns.items():
+        wanted.setdefault((x, n), []).append((name, least, what))
+    order = [(c, "ascending") for c in s.order]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+        own = np.flatnonzero(table.column("_own").to_numpy(zero_copy_only=False))
+        out = table.take(pa.array(own)).select(kept)
+        for (x, n), stats in wanted.items():
+            values = table.column(x).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            made = _sorted_frames(np.array(values, dtype=np.float64), own, n, [(least, what) for _, least, what in stats])
+            for (name, _, _), column in zip(stats, made, strict=True):
+                out = out.append_column(name, pa.array(column, from_pandas=True))
+        return out
+
+    fields = [f for f in df.schema.fields if f.name in kept]
+    names = [name for stats in wanted.values() for name, _, _ in stats]
+    schema = T.StructType([*fields, *(T.StructField(name, T.DoubleType()) for name in names)])
+    return df.groupBy(*s.by).applyInArrow(run, schema)
+
+
+def _sorted_frames(values: np.ndarray, rows: np.ndarray, n: int, stats: list[tuple[int, str | float]]) -> list[np.ndarray]:
+    """For each statistic (least, what), its values at these rows; NaN stands for null."""
+    frames = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.full(n - 1, np.nan), values]), n)
+    out = [np.full(len(rows), np.nan) for _ in stats]
+    for a in range(0, len(rows), 1024):
+        block = np.sort(frames[rows[a : a + 1024]], axis=1)  # NaN goes last
+        count = n - np.isnan(block).sum(axis=1)
+        for made, (least, what) in zip(out, stats, strict=True):
+            if what == "mad":
+                away = np.sort(np.abs(block - _quantile(block, count, 0.5)[:, None]), axis=1)
+                got = _quantile(away, count, 0.5)
+            else:
+                got = _quantile(block, count, what)
+            made[a : a + 1024] = np.where(count >= max(1, least), got, np.nan)
+    return out
+
+
+def _quantile(ordered: np.ndarray, count: np.ndarray, q: float) -> np.ndarray:
+    """Linear interpolation between the two nearest of the first `count` values of each row."""
+    at = q * np.maximum(count - 1, 0)
+    low = np.take_along_axis(ordered, np.floor(at).astype(np.int64)[:, None], axis=1)[:, 0]
+    high = np.take_along_axis(ordered, np.ceil(at).astype(np.int64)[:, None], axis=1)[:, 0]
+    return low + (high - low) * (at - np.floor(at))
+
+
+def roll_order(df: DataFrame, s: Series, columns: dict[str, tuple[str, int, int, str | float]]) -> DataFrame:
+    """Add rolling medians, MADs and quantiles to a table; see order_statistics."""
+    cut, stretch = with_row_halo(df, s, max(n for _, n, _, _ in columns.values()))
+    return order_statistics(cut, stretch, columns)
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_chunk")
 
@@ -97,31 +188,6 @@ def frame_quantile(x: Column, over: WindowSpec, q: float) -> Column:
     return bind(frame_values(x, over), lambda v: at_quantile(v, q))
 
 
-def roll_quantile(x: Column, s: Series, n: int, q: float, least: int | None = None) -> Column:
-    return enough(x, s.rows(n), n if least is None else least, frame_quantile(x, s.rows(n), q))
-
-
-def roll_median(x: Column, s: Series, n: int, least: int | None = None) -> Column:
-    return roll_quantile(x, s, n, 0.5, least)
-
-
-def middle(values: Column) -> Column:
-    """Median of a sorted array."""
-    n = F.size(values)
-    return F.when(n > 0, (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2)
-
-
-def roll_mad(x: Column, s: Series, n: int, least: int | None = None) -> Column:
-    """Median of the absolute differences from the frame's own median. The frame's values are held as an array of n."""
-    away = lambda values, m: middle(F.sort_array(F.transform(values, lambda v: F.abs(v - m))))
-    mad = bind(frame_values(x, s.rows(n)), lambda values: bind(middle(values), lambda m: away(values, m)))
-    return enough(x, s.rows(n), n if least is None else least, mad)
-
-
-def roll_sum(x: Column, s: Series, n: int) -> Column:
-    return F.sum(x).over(s.rows(n))
-
-
 def difference(x: Column, s: Series, n: int = 1) -> Column:
     return x - F.lag(x, n).over(s.window)
 

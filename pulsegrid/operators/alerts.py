@@ -5,21 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import bucket_of, time_buckets
+
 #: What the taxonomy calls each metric, for the mode that means it.
-SHORT_NAMES = {"traffic_total": "traffic", "error_rate": "errors", "discard_rate": "discards", "broadcast_total": "broadcast", "avg_packet_size": "packets"}
-#: Kinds of problem: name, metrics that must be there, least number of ports. The first that fits counts; fixed values.
+SHORT_NAMES = {"traffic_total": "traffic", "error_rate": "errors", "discard_rate": "discards", "broadcast_total": "broadcast", "multicast_total": "multicast", "unknown_total": "unknown_protocol", "avg_packet_size": "packets"}
+#: Kinds of problem, of which the first that fits counts: name, metrics that are there, metrics that aren't, least number of ports. Fixed values.
 TAXONOMY = (
-    ("Broadcast storm", ("broadcast", "traffic"), 2),
-    ("Broadcast anomaly", ("broadcast",), 1),
-    ("Congestion", ("traffic", "discards"), 1),
-    ("Link quality issue", ("errors", "discards"), 1),
-    ("Load-sensitive link issue", ("traffic", "errors"), 1),
-    ("Small-packet scan", ("packets", "traffic"), 1),
-    ("Traffic shift on several ports", ("traffic",), 2),
-    ("Traffic anomaly", ("traffic",), 1),
-    ("Error anomaly", ("errors",), 1),
-    ("Discard anomaly", ("discards",), 1),
-    ("Packet-size anomaly", ("packets",), 1),
+    ("Broadcast storm / L2 loop", ("broadcast",), (), 2),
+    ("Multicast flooding", ("multicast",), (), 2),
+    ("Queue congestion", ("traffic", "discards"), ("errors",), 1),
+    ("Queue / buffer pressure", ("discards",), (), 1),
+    ("Link quality issue", ("errors",), ("traffic",), 1),
+    ("Unknown protocol / scan", ("unknown_protocol",), (), 1),
+    ("Traffic or packet surge", ("packets", "traffic"), (), 1),
+    ("Packet surge / possible scan", ("packets",), (), 1),
+    ("Traffic surge / capacity pressure", ("traffic",), (), 1),
+    ("Broadcast anomaly", ("broadcast",), (), 1),
+    ("Multicast anomaly", ("multicast",), (), 1),
 )
 OTHER = "General anomaly"
 BUCKET_US = 900_000_000
@@ -37,36 +39,42 @@ def severity(rows: Column, ports: Column, metrics: Column) -> Column:
 
 
 def problem_type(metrics: Column, ports: Column) -> Column:
-    out = None
-    for name, needed, least in TAXONOMY:
-        fits = (F.size(F.array_except(F.array(*map(F.lit, needed)), metrics)) == 0) & (ports >= least)
-        out = F.when(fits, name) if out is None else out.when(fits, name)
-    return out.otherwise(OTHER)
+    """The first kind of TAXONOMY that an array of metrics and a number of ports fit."""
+    all_of = lambda names: F.array(*map(F.lit, names)).cast("array<string>")
+    fits = [(F.size(F.array_except(all_of(there), metrics)) == 0) & ~F.arrays_overlap(all_of(absent), metrics) & (ports >= least) for _, there, absent, least in TAXONOMY]
+    return F.coalesce(*(F.when(fit, kind[0]) for fit, kind in zip(fits, TAXONOMY, strict=True)), F.lit(OTHER))
 
 
-def reduce_alerts(raw: DataFrame, mode: str = "reference") -> DataFrame:
+def reduce_alerts(raw: DataFrame, mode: str = "reference", label: str | None = None) -> DataFrame:
     """Alerts of a bucket as one: by alert name (mode "reference"), or all of them under short metric names ("intended").
 
     In reference mode a group has one metric, under a name that the taxonomy doesn't know, so that all are general.
+    With `label`, the group's distinct values of that column come as event_labels.
     """
     intended = mode == "intended"
     name = F.col("metric")
     if intended:
         name = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in SHORT_NAMES.items() for x in kv)), name), name)
     keys = ["bucket"] if intended else ["bucket", "alert_name"]
-    grouped = raw.withColumn("metric", name).groupBy(*keys).agg(
-        F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("raw_alert_count"), F.array_sort(F.collect_set(F.col("port").cast("string"))).alias("ports"), F.array_sort(F.collect_set("metric")).alias("metrics")
-    )
+    sets = {"ports": F.col("port").cast("string"), "metrics": F.col("metric")} | ({"labels": F.col(label)} if label else {})
+    grouped = raw.withColumn("metric", name).groupBy(*keys).agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count(F.lit(1)).alias("raw_alert_count"), *(F.array_sort(F.collect_set(c)).alias(n) for n, c in sets.items()))
     n_ports, n_metrics = F.size("ports"), F.size("metrics")
     return grouped.select(
         *keys, "start_us", "end_us", problem_type(F.col("metrics"), n_ports).alias("problem_type"), F.array_join("ports", ",").alias("affected_ports"), n_ports.alias("affected_port_count"),
-        F.array_join("metrics", ",").alias("evidence_metrics"), "raw_alert_count", severity(F.col("raw_alert_count"), n_ports, n_metrics).alias("severity_score"),
+        F.array_join("metrics", ",").alias("evidence_metrics"), "raw_alert_count", severity(F.col("raw_alert_count"), n_ports, n_metrics).alias("severity_score"), *([F.array_join("labels", ",").alias("event_labels")] if label else []),
     )
 
 
+def merge_by_type(reduced: DataFrame) -> DataFrame:
+    """Reduced alerts of one kind of problem and day as one: problem_type, day_us, start, end, events, raw alerts, worst severity."""
+    day = 86_400_000_000
+    at = (F.floor(F.col("start_us") / day) * day).alias("day_us")
+    return reduced.groupBy("problem_type", at).agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.count(F.lit(1)).alias("events"), F.sum("raw_alert_count").alias("raw_alert_count"), F.max("severity_score").alias("severity_score"))
+
+
 def suppress(alerts: DataFrame, maintenance: DataFrame) -> DataFrame:
-    """Alerts outside all planned intervals (start_us, end_us)."""
-    return alerts.join(F.broadcast(maintenance) if maintenance.limit(100_001).count() <= 100_000 else maintenance, alerts["us"].between(maintenance["start_us"], maintenance["end_us"]), "left_anti")
+    """Alerts outside all planned intervals (start_us, end_us). Intervals are cut into time buckets, so that rows meet them by an equality."""
+    return alerts.join(time_buckets(maintenance), (bucket_of(F.col("us")) == F.col("_bucket")) & alerts["us"].between(F.col("start_us"), F.col("end_us")), "left_anti")
 
 
 def hourly_volume(raw: DataFrame) -> DataFrame:
@@ -77,12 +85,13 @@ def hourly_volume(raw: DataFrame) -> DataFrame:
     return spine.join(counts, "hour", "left").fillna(0, ["alerts"])
 
 
-def alert_states(df: DataFrame, by: str, flag: Column, hold_seconds: float) -> DataFrame:
+def alert_states(df: DataFrame, by: str | list[str], flag: Column, hold_seconds: float | Column) -> DataFrame:
     """inactive, pending, firing: a flag must hold for a time; any other value starts it anew."""
-    w = Window.partitionBy(by).orderBy("us", "event_id")
+    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy("us", "event_id")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
+    hold = (hold_seconds if isinstance(hold_seconds, Column) else F.lit(float(hold_seconds))) * F.lit(1_000_000)
     marked = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
     marked = marked.withColumn("_start", F.when(F.col("_flag") & ~F.coalesce(F.lag("_flag").over(w), F.lit(False)), F.col("us")))
     marked = marked.withColumn("since_us", F.when(F.col("_flag"), F.last("_start", ignorenulls=True).over(past)))
-    state = F.when(~F.col("_flag"), "inactive").when(F.col("us") - F.col("since_us") >= int(hold_seconds * 1e6), "firing").otherwise("pending")
+    state = F.when(~F.col("_flag"), "inactive").when(F.col("us") - F.col("since_us") >= hold, "firing").otherwise("pending")
     return marked.withColumn("state", state).drop("_flag", "_start")

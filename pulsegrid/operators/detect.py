@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON
-from ..functions.windows import MAD_SCALE, Series, cusum, deadband, ewma, roll_mad, roll_mean, roll_median, roll_quantile, roll_std
+from ..functions.windows import MAD_SCALE, Series, cusum, deadband, ewma, own_rows, rising_edge, roll_mean, roll_order, roll_std, with_row_halo
 
 #: Which way each metric of the multi-port chain may be out of line.
 DIRECTIONS = {"traffic_total": "both", "error_rate": "high", "discard_rate": "high", "broadcast_total": "high", "avg_packet_size": "both"}
@@ -22,20 +22,26 @@ def z_score(x: Column, mean: Column, std: Column, floor: float = EPSILON) -> Col
 
 def rolling_z(df: DataFrame, s: Series, x: str, n: int = 20, least: int = 3, threshold: float = 3.0, fill: float = 1.0) -> DataFrame:
     """z over the last n rows, this one included, with a missing deviation taken as `fill`; flagged on both sides."""
+    cut, s = with_row_halo(df, s, n)
     mean, std = roll_mean(F.col(x), s, n, least), roll_std(F.col(x), s, n, least, fill)
     z = (F.col(x) - mean) / (std + EPSILON)
-    return df.withColumn("z", z).withColumn("z_flag", yes(F.abs("z") > threshold))
+    return own_rows(cut.withColumn("z", z)).withColumn("z_flag", yes(F.abs("z") > threshold))
 
 
-def robust_z(df: DataFrame, s: Series, x: str, n: int = 288, least: int = 72, threshold: float = 4.0) -> DataFrame:
-    """(x - median) / (1.4826 MAD). A MAD of 0 makes any higher value an anomaly, as the definition has it."""
-    median, mad = roll_median(F.col(x), s, n, least), roll_mad(F.col(x), s, n, least)
-    df = df.withColumn("robust_z", (F.col(x) - median) / (MAD_SCALE * F.greatest(mad, F.lit(EPSILON))))
-    return df.withColumn("rz_high", yes(F.col("robust_z") > threshold)).withColumn("rz_low", yes(F.col("robust_z") < -threshold))
+def one_sided_z(df: DataFrame, s: Series, x: str, n: int = 20, threshold: float = 3.0, held: int = 3) -> DataFrame:
+    """z over n rows that must all be there, flagged on the upper side alone, and the flag held for `held` rows."""
+    cut, s = with_row_halo(df, s, n + held - 1)
+    mean, std = roll_mean(F.col(x), s, n), F.when(F.count(x).over(s.rows(n)) >= n, F.stddev_samp(x).over(s.rows(n)))
+    cut = cut.withColumn("z", (F.col(x) - mean) / (std + EPSILON)).withColumn("z_raw", yes(F.col("z") > threshold))
+    return own_rows(cut.withColumn("z_held", deadband(F.col("z_raw"), s, held)))
 
 
-def p95_flag(df: DataFrame, s: Series, x: str, n: int = 288, least: int = 72) -> DataFrame:
-    return df.withColumn("p95", roll_quantile(F.col(x), s, n, 0.95, least)).withColumn("p95_flag", yes(F.col(x) > F.col("p95")))
+def robust_z(df: DataFrame, s: Series, x: str, n: int = 288, least: int = 72, threshold: float = 4.0) -> DataFrame:
+    """(x - median) / (1.4826 MAD), and whether x is above the frame's P95. A MAD of 0 makes any higher value an anomaly, as the definition has it."""
+    df = roll_order(df, s, {"_median": (x, n, least, 0.5), "_mad": (x, n, least, "mad"), "p95": (x, n, least, 0.95)})
+    df = df.withColumn("robust_z", (F.col(x) - F.col("_median")) / (MAD_SCALE * F.greatest(F.col("_mad"), F.lit(EPSILON)))).drop("_median", "_mad")
+    flags = {"rz_high": F.col("robust_z") > threshold, "rz_low": F.col("robust_z") < -threshold, "p95_flag": F.col(x) > F.col("p95")}
+    return df.withColumns({name: yes(c) for name, c in flags.items()})
 
 
 def direction_flags(features: DataFrame, directions: dict[str, str] = DIRECTIONS) -> DataFrame:
@@ -78,22 +84,33 @@ def spc_charts(df: DataFrame, s: Series, x: str, baseline: DataFrame, lam: float
 
 def western_electric(df: DataFrame, s: Series, x: Column, mu: Column, sigma: Column) -> DataFrame:
     """Four rules: beyond 3 deviations; 9 in a row on one side; 6 steps one way; 2 of 3 beyond 2 deviations on one side."""
+    df, s = with_row_halo(df, s, 9)
     up, step = (x > mu).cast("int"), x - F.lag(x).over(s.window)
     down = (x < mu).cast("int")
     df = df.withColumns({"_up": up, "_down": down, "_rise": (step > 0).cast("int"), "_fall": (step < 0).cast("int"), "_hi2": (x > mu + 2 * sigma).cast("int"), "_lo2": (x < mu - 2 * sigma).cast("int")})
     held = lambda c, n, k=None: F.coalesce(F.sum(c).over(s.rows(n)) >= (k or n), F.lit(False))
     out = df.withColumns({"rule1": yes(F.abs(x - mu) > 3 * sigma), "rule2": held("_up", 9) | held("_down", 9), "rule3": held("_rise", 6) | held("_fall", 6), "rule4": held("_hi2", 3, 2) | held("_lo2", 3, 2)})
-    return out.drop("_up", "_down", "_rise", "_fall", "_hi2", "_lo2")
+    return own_rows(out.drop("_up", "_down", "_rise", "_fall", "_hi2", "_lo2"))
 
 
 def ma_divergence(df: DataFrame, s: Series, x: str, short: int = 6, long: int = 30, least: tuple[int, int] = (3, 15), threshold: float = 0.30) -> DataFrame:
     """Change points: the short mean is off the long one by more than a share of it."""
-    a, b = roll_mean(F.col(x), s, short, least[0]), roll_mean(F.col(x), s, long, least[1])
-    df = df.withColumn("ma_short", a).withColumn("ma_long", b)
-    df = df.withColumn("divergence", F.abs(F.col("ma_short") - F.col("ma_long")) / (F.abs("ma_long") + EPSILON))
+    cut, s = with_row_halo(df, s, max(short, long))
+    cut = cut.withColumns({"ma_short": roll_mean(F.col(x), s, short, least[0]), "ma_long": roll_mean(F.col(x), s, long, least[1])})
+    df = own_rows(cut).withColumn("divergence", F.abs(F.col("ma_short") - F.col("ma_long")) / (F.abs("ma_long") + EPSILON))
     return df.withColumn("change_flag", yes(F.col("divergence") > threshold))
 
 
+def onsets(df: DataFrame, s: Series, x: str, threshold: float = 3.0) -> DataFrame:
+    """The first row of each run of z flags and of each run of change points: by, event_id, us, type, z, severity (high beyond 5 deviations)."""
+    z = rolling_z(df, s, x, threshold=threshold)
+    z = z.withColumn("_on", rising_edge(F.col("z_flag"), s)).where("_on")
+    z = z.select(*s.by, "event_id", s.micros, F.lit("zscore").alias("type"), "z", F.when(F.abs("z") > 5, "high").otherwise("medium").alias("severity"))
+    c = ma_divergence(df, s, x)
+    c = c.withColumn("_on", rising_edge(F.col("change_flag"), s)).where("_on")
+    return z.unionByName(c.select(*s.by, "event_id", s.micros, F.lit("changepoint").alias("type"), F.lit(0.0).alias("z"), F.lit("medium").alias("severity")))
+
+
 def threshold_from_start(df: DataFrame, s: Series, x: str, share: float = 0.2, least: int = 10, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Fixed limits for each entity from its first rows (a share of all, `least` at least); out on either side is flagged."""
     counted = df.join(df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("_n")), list(s.by)).withColumn("_rn", F.row_number().over(s.window))
@@ -120,7 +137,8 @@ def cap_extremes(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:
 
 def deadband_sweep(df: DataFrame, s: Series, flag: Column, widths=(1, 2, 3, 5, 8)) -> DataFrame:
     """The flag held for each of these numbers of rows, in one pass over one window order."""
-    return df.withColumns({f"held_{n}": deadband(flag, s, n) for n in widths})
+    cut, s = with_row_halo(df, s, max(widths))
+    return own_rows(cut.withColumns({f"held_{n}": deadband(flag, s, n) for n in widths}))
 
 
 def runs(df: DataFrame, s: Series, flag: Column) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.windows import Series
+from ..functions.windows import Series, own_rows, with_row_halo
 
 
 def quality_report(df: DataFrame, s: Series, x: str) -> DataFrame:
@@ -36,12 +36,15 @@ def shape(df: DataFrame, x: str, by: str) -> DataFrame:
     )
 
 
-def autocorrelation(df: DataFrame, s: Series, x: str, most: int) -> DataFrame:
-    """lag, r of each entity for lags 0 to `most`: all lags in one window pass and one aggregation."""
-    lagged = df.select(*s.by, F.col(x).alias("_x"), *(F.lag(x, k).over(s.window).alias(f"_{k}") for k in range(1, most + 1)))
-    wide = lagged.groupBy(*s.by).agg(F.count("_x").alias("n"), *(F.corr("_x", f"_{k}").alias(str(k)) for k in range(1, most + 1)), F.lit(1.0).alias("0"))
-    long = wide.unpivot([*s.by, "n"], [str(k) for k in range(most + 1)], "lag", "r")
-    return long.withColumn("lag", F.col("lag").cast("int")).withColumn("band", 1.96 / F.sqrt("n"))
+def autocorrelation(df: DataFrame, s: Series, x: str, most: int = 60) -> DataFrame:
+    """lag, r of each entity for lags 0 to `most`, or a third of its rows. Each row meets the rows before it in its frame; sums of those pairs are shuffled alone."""
+    cut, stretch = with_row_halo(df, s, most + 1)
+    frame = F.collect_list(F.struct(F.col(x).alias("v"))).over(stretch.rows(most + 1))
+    rows = own_rows(cut.withColumn("_frame", frame)).select(*s.by, F.col(x).alias("_x"), F.posexplode(F.reverse("_frame")).alias("lag", "_before"))
+    r = rows.groupBy(*s.by, "lag").agg(F.corr("_x", "_before.v").alias("r"), F.count("_x").alias("_n"))
+    n = F.max(F.when(F.col("lag") == 0, F.col("_n"))).over(Window.partitionBy(*s.by))
+    r = r.withColumn("n", n).where(F.col("lag") <= F.floor(F.col("n") / 3))
+    return r.select(*s.by, "n", "lag", F.when(F.col("lag") == 0, 1.0).otherwise(F.col("r")).alias("r"), (1.96 / F.sqrt("n")).alias("band"))
 
 
 def resample_mean(df: DataFrame, s: Series, x: str, minutes: int) -> DataFrame:
@@ -75,6 +78,25 @@ def diagnosis(summary: DataFrame) -> DataFrame:
     return summary.withColumns({"skew_verdict": ladder(F.abs("skew"), (1.5, "strong"), (0.5, "moderate"), otherwise="symmetric"), "cv_verdict": ladder(F.col("cv"), (0.4, "volatile"), (0.15, "moderate"), otherwise="steady")})
 
 
+#: Verdicts over summary numbers: name -> limits, each with the label of what is above it, and the label below all. Fixed values.
+VERDICTS = {
+    "acf_verdict": (((0.7, "strong"), (0.4, "moderate")), "weak"),
+    "lag_verdict": (((0.7, "strong"), (0.35, "moderate")), "weak"),
+    "correlation_verdict": (((0.97, "redundant"),), "distinct"),
+    "warm_up_verdict": (((0.3, "too long"),), "fine"),
+    "alert_share_verdict": (((0.12, "too many"), (0.005, "fine")), "too few"),
+    "alerts_per_hour_verdict": (((5.0, "too many"), (0.1, "fine")), "too few"),
+    "threshold_verdict": (((1.5, "high"), (0.8, "fine")), "low"),
+    "deadband_verdict": (((0.9, "too strict"), (0.1, "fine")), "no effect"),
+    "divergence_verdict": (((1.5, "change"),), "none"),
+}
+
+
+def verdicts(summary: DataFrame, numbers: dict[str, str]) -> DataFrame:
+    """Add the verdicts of VERDICTS whose number the table has: verdict name -> column."""
+    return summary.withColumns({name: ladder(F.col(c), *VERDICTS[name][0], otherwise=VERDICTS[name][1]) for name, c in numbers.items()})
+
+
 def window_suggestion(acf: DataFrame, by: str) -> DataFrame:
     """The longest lag whose correlation is outside the band, and four times that lag."""
     out = acf.where("lag > 0 and abs(r) > band").groupBy(by).agg(F.max("lag").alias("longest"))

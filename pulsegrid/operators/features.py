@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON, plus_one_div, safe_div
-from ..functions.windows import Series, counter_rate, roll_mad, roll_mean, roll_median, roll_quantile, roll_std
+from ..functions.windows import Series, counter_rate, order_statistics, roll_mean, roll_std, with_row_halo
 
 #: Statistics of the multi-port chain: an hour is 12 rows, a day 288, and a quarter of a day has to be there.
 HOUR, DAY, DAY_LEAST = 12, 288, 72
@@ -43,16 +43,13 @@ def traffic_ratios(df: DataFrame) -> DataFrame:
 
 
 def rolling_features(df: DataFrame, s: Series, metrics=ROLLED) -> DataFrame:
-    """Five statistics of each metric: mean and deviation of an hour, median, MAD and P95 of a day. One shuffle, one sort."""
-    new = {}
+    """Five statistics of each metric: mean and deviation of an hour, median, MAD and P95 of a day. One shuffle, one sort of each frame."""
+    cut, stretch = with_row_halo(df, s, DAY)
+    hourly, daily = {}, {}
     for m in metrics:
-        x = F.col(m)
-        new[f"{m}__mean_1h"] = roll_mean(x, s, HOUR, 6)
-        new[f"{m}__std_1h"] = roll_std(x, s, HOUR, 6)
-        new[f"{m}__median_1d"] = roll_median(x, s, DAY, DAY_LEAST)
-        new[f"{m}__mad_1d"] = roll_mad(x, s, DAY, DAY_LEAST)
-        new[f"{m}__p95_1d"] = roll_quantile(x, s, DAY, 0.95, DAY_LEAST)
-    return df.withColumns(new)
+        hourly |= {f"{m}__mean_1h": roll_mean(F.col(m), stretch, HOUR, 6), f"{m}__std_1h": roll_std(F.col(m), stretch, HOUR, 6)}
+        daily |= {f"{m}__median_1d": (m, DAY, DAY_LEAST, 0.5), f"{m}__mad_1d": (m, DAY, DAY_LEAST, "mad"), f"{m}__p95_1d": (m, DAY, DAY_LEAST, 0.95)}
+    return order_statistics(cut.withColumns(hourly), stretch, daily)
 
 
 def feature_table(df: DataFrame, s: Series) -> DataFrame:

@@ -7,12 +7,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.columns import finite_or_zero
+from ..functions.windows import Series, frame_quantile, own_rows, with_halo, with_row_halo
+
 TREES, SAMPLE, CONTAMINATION, SEED = 250, 256, 0.035, 42
-#: Rows that reach the driver: the trees' samples are drawn from them.
-MOST_ROWS = 50_000
 
 
 def average_path(n: np.ndarray | float):
@@ -68,15 +69,47 @@ def grow(x: np.ndarray, rng: np.random.Generator) -> Tree:
     return Tree(a[:, 0].astype(np.int64), a[:, 1], a[:, 2].astype(np.int64), a[:, 3].astype(np.int64), a[:, 4])
 
 
-def fit(df: DataFrame, features: Column, key: str, trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> tuple[list[Tree], int]:
-    """Trees from a bounded sample of rows, taken by a hash of their key."""
-    rows = df.select(features.alias("x"), F.xxhash64(key, F.lit(seed)).alias("h")).where("x is not null").orderBy("h").limit(MOST_ROWS).select("x")
-    x = np.array([r["x"] for r in rows.collect()], dtype=float)
-    if not len(x):
+def fit(df: DataFrame, features: Column, key: list[str], trees: int = TREES, sample: int = SAMPLE, seed: int = SEED) -> tuple[list[Tree], int]:
+    """Trees, each of `sample` rows of the whole table, taken by a hash of their key.
+
+    A row is a candidate of as many trees as give each tree four times its sample, one at least; what a tree's hash leaves
+    out stays where it is. Trees grow in tasks; only their nodes, `sample` leaves at most, come to the driver.
+    """
+    rows = df.select(features.alias("x"), F.xxhash64(*key, F.lit(seed)).alias("h")).where("x is not null")
+    n = rows.count()
+    if not n:
         return [], 0
-    rng = np.random.default_rng(seed)
-    size = min(sample, len(x))
-    return [grow(x[rng.choice(len(x), size, replace=False)], rng) for _ in range(trees)], size
+    each = max(1, min(trees, -(-4 * sample * trees // n)))
+    share = min(1.0, 4.0 * sample * trees / (float(n) * each))
+    tree = F.pmod(F.col("h") + F.col("j"), F.lit(trees)).cast("int")
+    drawn = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(each - 1)))).select("x", tree.alias("tree"), F.xxhash64("h", "j").alias("draw"))
+    drawn = drawn.where(F.pmod(F.xxhash64("draw"), F.lit(1 << 40)) < F.lit(share * (1 << 40)))
+    chosen = drawn.withColumn("place", F.row_number().over(Window.partitionBy("tree").orderBy("draw", "x"))).where(F.col("place") <= sample)
+
+    def plant(own: pd.DataFrame) -> pd.DataFrame:
+        own, which = own.sort_values("place"), int(own["tree"].iloc[0])
+        t = grow(np.array(own["x"].tolist(), dtype=float), np.random.default_rng([seed, which]))
+        return pd.DataFrame({"tree": [which], "rows": [len(own)], **{k: [getattr(t, k)] for k in ("feature", "threshold", "left", "right", "depth")}})
+
+    schema = "tree int, rows int, feature array<long>, threshold array<double>, left array<long>, right array<long>, depth array<double>"
+    grown = chosen.groupBy("tree").applyInPandas(plant, schema).orderBy("tree").collect()
+    kinds = (("feature", np.int64), ("threshold", float), ("left", np.int64), ("right", np.int64), ("depth", float))
+    return [Tree(*(np.array(r[k], dtype=t) for k, t in kinds)) for r in grown], max(r["rows"] for r in grown)
+
+
+def window_features(df: DataFrame, s: Series, columns: list[str], seconds: int, rows: int, least: int = 3) -> tuple[DataFrame, list[str]]:
+    """mean, std, max, min, P95 and slope (difference to `rows` rows before) of each column over (t - seconds, t]; what is missing is 0."""
+    cut, stretch = with_halo(df, s, seconds)
+    w, stats, made = stretch.span(seconds), {}, {}
+    for c in columns:
+        x = F.col(c).cast("double")
+        values = {"mean": F.avg(x).over(w), "std": F.stddev_samp(x).over(w), "max": F.max(x).over(w), "min": F.min(x).over(w), "p95": frame_quantile(x, w, 0.95)}
+        stats |= {f"{c}_{n}": F.when(F.count(x).over(w) >= least, v) for n, v in values.items()}
+    out, series = with_row_halo(own_rows(cut.withColumns(stats)), s, rows + 1)
+    made = {f"{c}_slope": F.col(c) - F.lag(c, rows).over(series.window) for c in columns}
+    names = [f"{c}_{n}" for c in columns for n in ("mean", "std", "max", "min", "p95", "slope")]
+    out = own_rows(out.withColumns(made))
+    return out.withColumns({n: finite_or_zero(F.col(n).cast("double")) for n in names}), names
 
 
 def score(df: DataFrame, features: Column, model: tuple[list[Tree], int]) -> DataFrame:
@@ -100,9 +133,8 @@ def score(df: DataFrame, features: Column, model: tuple[list[Tree], int]) -> Dat
 
 
 def robust_scale(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
-    """(x - median) / IQR with exact quantiles; an IQR of 0 counts as 1."""
-    aggs = [F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns]
-    q = df.groupBy(*by).agg(*aggs)
+    """(x - median) / IQR with exact quantiles, as <column>_scaled; an IQR of 0 counts as 1."""
+    q = df.groupBy(*by).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
     out = df.join(q, by) if by else df.crossJoin(F.broadcast(q))  # without `by` this is one row
     scaled = {}
     for c in columns:

@@ -6,23 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WILDCARD = "MULTI"
-#: Rows up to which a side is broadcast; larger ones go through time buckets.
-BROADCAST_ROWS = 100_000
+#: Intervals are cut into pieces of a day at most, which rows meet by an equality.
+BUCKET_US = 86_400_000_000
 
 
-def interval_join(rows: DataFrame, intervals: DataFrame, key: str, wildcard: bool = False, broadcast_rows: int = BROADCAST_ROWS, bucket_us: int = 86_400_000_000) -> DataFrame:
+def bucket_of(us: Column, bucket_us: int = BUCKET_US) -> Column:
+    return F.floor(us / bucket_us)
+
+
+def time_buckets(intervals: DataFrame, bucket_us: int = BUCKET_US) -> DataFrame:
+    """Each interval (start_us, end_us) once for every time bucket that it touches, as _bucket. One that ends before it starts is left out."""
+    pieces = F.sequence(bucket_of(F.col("start_us"), bucket_us), bucket_of(F.col("end_us"), bucket_us))
+    return intervals.where("start_us <= end_us").withColumn("_bucket", F.explode(pieces))
+
+
+def interval_join(rows: DataFrame, intervals: DataFrame, key: str, wildcard: bool = False, bucket_us: int = BUCKET_US) -> DataFrame:
     """Rows (key, us, ...) in closed intervals (event_id, port, start_us, end_us): each pair once.
 
-    With `wildcard`, intervals of port MULTI hold for every key; without, they match no row. A list of intervals that has
-    been counted and is small is broadcast. A longer one is cut into time buckets, which rows meet by an equi-join.
+    With `wildcard`, intervals of port MULTI hold for every key; without, they match no row. Rows meet intervals by time
+    bucket and key, those of MULTI by time bucket alone. Spark broadcasts the intervals where their size allows it.
     """
-    same = F.col("port") == F.col(key).cast("string")
-    where = ((same | (F.col("port") == WILDCARD)) if wildcard else same) & F.col("us").between(F.col("start_us"), F.col("end_us"))
-    if intervals.limit(broadcast_rows + 1).count() <= broadcast_rows:
-        return rows.join(F.broadcast(intervals), where)
-    at = lambda c: F.floor(c / bucket_us)
-    cut = intervals.withColumn("_bucket", F.explode(F.sequence(at(F.col("start_us")), at(F.col("end_us")))))
-    return rows.withColumn("_b", at(F.col("us"))).join(cut, (F.col("_b") == F.col("_bucket")) & where).drop("_b", "_bucket")
+    cut, at = time_buckets(intervals, bucket_us), rows.withColumn("_b", bucket_of(F.col("us"), bucket_us))
+    inside = (F.col("_b") == F.col("_bucket")) & F.col("us").between(F.col("start_us"), F.col("end_us"))
+    own = at.join(cut.where(F.col("port") != WILDCARD), inside & (F.col("port") == F.col(key).cast("string")))
+    if wildcard:
+        own = own.unionByName(at.join(cut.where(F.col("port") == WILDCARD), inside))
+    return own.drop("_b", "_bucket")
 
 
 def recall_by_event(joined: DataFrame, intervals: DataFrame, flag: Column) -> DataFrame:
@@ -61,8 +70,8 @@ def as_of(left: DataFrame, right: DataFrame, by: str, value: str) -> DataFrame:
 
 def before_and_during(rows: DataFrame, intervals: DataFrame, key: str, value: str, before_us: int) -> DataFrame:
     """Statistics of the time before each interval and inside it: baseline mean, event mean and max, z against the baseline."""
-    wide = intervals.withColumn("_from", F.col("start_us") - before_us)
-    joined = rows.join(F.broadcast(wide) if intervals.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else wide, (F.col("port") == F.col(key).cast("string")) & F.col("us").between(F.col("_from"), F.col("end_us")))
+    wide = intervals.withColumn("_start", F.col("start_us")).withColumn("start_us", F.col("start_us") - before_us)
+    joined = interval_join(rows, wide, key).withColumn("start_us", F.col("_start"))
     pre, during = F.when(F.col("us") < F.col("start_us"), F.col(value)), F.when(F.col("us") >= F.col("start_us"), F.col(value))
     out = joined.groupBy("event_id").agg(F.avg(pre).alias("baseline_mean"), F.coalesce(F.stddev_samp(pre), F.lit(0.0)).alias("_std"), F.avg(during).alias("event_mean"), F.max(during).alias("event_max"))
     return out.withColumn("z_score", (F.col("event_mean") - F.col("baseline_mean")) / F.greatest("_std", F.lit(1e-6))).drop("_std")

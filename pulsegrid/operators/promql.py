@@ -5,6 +5,8 @@ There is no text language here: selectors, ranges and aggregations are functions
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,44 +39,47 @@ def instant(samples: DataFrame, at_us: int, lookback_seconds: int = 300) -> Data
     return kept.groupBy("metric", series_key().alias("series")).agg(F.max_by("value", "us").alias("value"), F.max("us").alias("us"))
 
 
-def _range(seconds: int):
-    return Window.partitionBy("metric", "series").orderBy("us").rangeBetween(-seconds * SECOND + 1, 0)
-
-
 def keyed(samples: DataFrame) -> DataFrame:
     return samples.withColumn("series", series_key())
 
 
+def _ranges(samples: DataFrame, seconds: int) -> tuple[DataFrame, Window]:
+    """Samples cut into stretches of time, so that a long series spreads over many tasks, and the window (t - seconds, t] there."""
+    cut, series = with_halo(keyed(samples), Series(("metric", "series"), ("us",)), seconds)
+    return cut, series
+
+
 def rate(samples: DataFrame, seconds: int) -> DataFrame:
     """Rise of a counter a second over (t - seconds, t], falls taken as resets, by the time between its first and last sample."""
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("metric", "series").orderBy("us"))
-    df = keyed(samples).withColumn("_up", F.when(step < 0, F.col("value")).otherwise(step))
-    w = _range(seconds)
-    # the rise into the window's first sample lies outside
+    df, series = _ranges(samples, seconds)
+    step = F.col("value") - F.lag("value").over(series.window)
+    df = df.withColumn("_up", F.when(step < 0, F.col("value")).otherwise(step))
+    w = series.span(seconds)
+    # the rise into the window's first sample lies outside; a stretch's own first sample may have none, which is the same
     rise = F.sum("_up").over(w) - F.coalesce(F.first("_up").over(w), F.lit(0.0))
     took = (F.col("us") - F.min("us").over(w)) / SECOND
-    return df.withColumn("rate", F.when(took > 0, rise / took)).drop("_up")
+    return own_rows(df.withColumn("rate", F.when(took > 0, F.coalesce(rise, F.lit(0.0)) / took)).drop("_up"))
 
 
 def over_time(samples: DataFrame, seconds: int) -> DataFrame:
     """avg_over_time and stddev_over_time (population) of each sample's range."""
-    cut, series = with_halo(keyed(samples), Series(("metric", "series"), ("us",)), seconds)
+    cut, series = _ranges(samples, seconds)
     w = series.span(seconds)
     out = cut.withColumns({"avg_over_time": F.avg("value").over(w), "stddev_over_time": F.stddev_pop("value").over(w), "count_over_time": F.count("value").over(w)})
     return own_rows(out)
 
 
 def predict_linear(samples: DataFrame, seconds: int, ahead: int) -> DataFrame:
-    """Least-squares value `ahead` seconds from now, over (t - seconds, t]; null with fewer than two times.
+    """Least-squares value `ahead` seconds from now, over (t - seconds, t]; null with fewer than two times. With count_over_time.
 
-    Sums are of time since the range's own series began, so that they keep their digits.
+    Sums are of time since the stretch of the range began, so that they keep their digits.
     """
-    df = keyed(samples).withColumn("_x", F.col("us") / SECOND)
-    start = df.groupBy("metric", "series").agg(F.min("_x").alias("_x0"))
-    df = df.join(start, ["metric", "series"]).withColumn("_x", F.col("_x") - F.col("_x0"))
-    w = _range(seconds)
+    df, series = _ranges(samples, seconds)
+    df = df.withColumn("_x", (F.col("us") - F.col("_chunk") * F.lit(16 * seconds * SECOND)) / SECOND)
+    w = series.span(seconds)
     slope = F.covar_pop("_x", "value").over(w) / F.when(F.var_pop("_x").over(w) > 0, F.var_pop("_x").over(w))
-    return df.withColumn("predicted", F.avg("value").over(w) + slope * (F.col("_x") + ahead - F.avg("_x").over(w))).drop("_x", "_x0")
+    out = df.withColumn("predicted", F.avg("value").over(w) + slope * (F.col("_x") + ahead - F.avg("_x").over(w)))
+    return own_rows(out.withColumn("count_over_time", F.count("value").over(w)).drop("_x"))
 
 
 def aggregate_by(samples: DataFrame, labels: list[str], *, step_us: int) -> DataFrame:
@@ -85,6 +90,13 @@ def aggregate_by(samples: DataFrame, labels: list[str], *, step_us: int) -> Data
     return last.groupBy("step", *labels).agg(F.sum("value").alias("sum"), F.avg("value").alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"), F.count("value").alias("count"))
 
 
+def reduce_range(samples: DataFrame, keys: list[str], step_us: int) -> DataFrame:
+    """last, mean, max, min and count of the samples of each step: the reducers of a panel. Of equal times the largest event_id is last."""
+    at = (F.floor(F.col("us") / step_us) * step_us).alias("step")
+    last = F.max_by("value", F.struct("us", "event_id")).alias("last")
+    return samples.groupBy(*keys, at).agg(last, F.avg("value").alias("mean"), F.max("value").alias("max"), F.min("value").alias("min"), F.count("value").alias("count"))
+
+
 def topk(df: DataFrame, k: int, by: str, value: str, tie: str) -> DataFrame:
     """The k largest at each step; ranks beyond k are dropped before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.col(value).desc(), tie))
@@ -99,33 +111,60 @@ def clamp_min(x: Column, low: float) -> Column:
     return F.greatest(x, F.lit(low))
 
 
-#: Recording rules over the wide table, in the order of their layers: name -> expression.
+#: Recording rules over the wide table: name -> expression, in the order of their layers. Fixed values.
 RECORDING_RULES = {
     "traffic_total": "INOCTETS + OUTOCTETS",
-    "ucast_total": "INUCASTPKTS + OUTUCASTPKTS",
     "errors_total": "INERRORS + OUTERRORS",
     "discards_total": "INDISCARDS + OUTDISCARDS",
+    "ucast_total": "INUCASTPKTS + OUTUCASTPKTS",
     "error_rate": "errors_total / greatest(ucast_total, 1)",
     "discard_rate": "discards_total / greatest(ucast_total, 1)",
-    "asymmetry": "(INOCTETS - OUTOCTETS) / greatest(traffic_total, 1)",
+    "broadcast_total": "INBROADCASTPKTS + OUTBROADCASTPKTS",
+}
+#: Rules over the last hour of a recorded series: prefix of their names -> series, least deviation that a z-score divides by. Fixed values.
+HOURLY_RULES = {"traffic": ("traffic_total", 1.0), "error_rate": ("error_rate", 0.0001), "discard_rate": ("discard_rate", 0.0001), "broadcast": ("broadcast_total", 1.0)}
+#: Alert rules: name -> (condition, seconds it has to hold, severity, kind of anomaly). Fixed values.
+ALERT_RULES = {
+    "TrafficSurge": ("traffic_zscore > 3", 60, "warning", "traffic_surge"),
+    "TrafficDrop": ("traffic_zscore < -3", 120, "warning", "traffic_drop"),
+    "ErrorRateSurge": ("error_rate_zscore > 3", 60, "critical", "error_burst"),
+    "DiscardRateSurge": ("discard_rate_zscore > 3", 60, "warning", "discard_spike"),
+    "BroadcastStorm": ("broadcast_zscore > 3", 30, "critical", "broadcast_storm"),
 }
-#: Alert rules: name -> (condition, seconds it has to hold).
-ALERT_RULES = {"TrafficHigh": ("traffic_z > 1.55", 30), "ErrorRateHigh": ("error_rate > 0.5", 60), "TrafficLow": ("traffic_z < -1.05", 120)}
+RULE_SECONDS = 3600
 
 
-def record(wide: DataFrame, hours: int = 6) -> DataFrame:
-    """Recording rules: totals and rates, then mean, deviation (population) and z of traffic over (t - hours, t]."""
+def record(wide: DataFrame, seconds: int = RULE_SECONDS) -> DataFrame:
+    """All recording rules: totals and rates, and over (t - seconds, t] the mean, deviation (population) and z-score of four of them.
+
+    z-scores are rounded to nine digits, so that a threshold is met or not whatever the order of the sums.
+    """
     out = wide
     for name, expression in RECORDING_RULES.items():
         out = out.withColumn(name, F.expr(expression))
-    out, series = with_halo(out, Series(("port",), ("us",)), hours * 3600)
-    w = series.span(hours * 3600)
-    mean, std = F.avg("traffic_total").over(w), F.stddev_pop("traffic_total").over(w)
-    out = own_rows(out.withColumns({"traffic_mean": mean, "traffic_std": std}))
-    return out.withColumn("traffic_z", (F.col("traffic_total") - F.col("traffic_mean")) / clamp_min(F.col("traffic_std"), 1.0))
+    out, series = with_halo(out, Series(("port",), ("us",)), seconds)
+    w, new = series.span(seconds), {}
+    for name, (x, least) in HOURLY_RULES.items():
+        mean, std = F.avg(x).over(w), F.stddev_pop(x).over(w)
+        new |= {f"{name}_mean_1h": mean, f"{name}_stddev_1h": std, f"{name}_zscore": F.round((F.col(x) - mean) / clamp_min(std, least), 9)}
+    return own_rows(out.withColumns(new))
+
+
+def rule_alerts(recorded: DataFrame, name: str | None = None) -> DataFrame:
+    """The state of every alert rule (or of those whose name fits a whole regex) at every row: alert, severity, anomaly_type, port, us, state, since_us."""
+    from .alerts import alert_states
+
+    chosen = {n: r for n, r in ALERT_RULES.items() if name is None or re.fullmatch(name, n)}
+    fits = [F.struct(F.lit(n).alias("alert"), F.lit(kind).alias("anomaly_type"), F.lit(grade).alias("severity"), F.lit(hold).alias("hold"), F.expr(condition).alias("on")) for n, (condition, hold, grade, kind) in chosen.items()]
+    if not fits:
+        fits = [F.struct(F.lit("").alias("alert"), F.lit("").alias("anomaly_type"), F.lit("").alias("severity"), F.lit(0).alias("hold"), F.lit(None).cast("boolean").alias("on"))]
+    long = recorded.select("port", "us", F.inline(F.array(*fits))).where("alert != ''").withColumn("event_id", F.lit(0))
+    states = alert_states(long, ["alert", "port"], F.col("on"), F.col("hold"))
+    return states.select("alert", "severity", "anomaly_type", "port", "us", "state", "since_us")
 
 
 def rule_catalog(spark) -> DataFrame:
     """name, type (recording or alerting), expression, hold_seconds."""
-    rows = [(n, "recording", e, None) for n, e in RECORDING_RULES.items()] + [(n, "alerting", e, h) for n, (e, h) in ALERT_RULES.items()]
+    hourly = [(f"{n}_{kind}", e) for n, (x, least) in HOURLY_RULES.items() for kind, e in (("mean_1h", f"avg_over_time({x}[1h])"), ("stddev_1h", f"stddev_over_time({x}[1h])"), ("zscore", f"({x} - {n}_mean_1h) / clamp_min({n}_stddev_1h, {least})"))]
+    rows = [(n, "recording", e, None) for n, e in (*RECORDING_RULES.items(), *hourly)] + [(n, "alerting", r[0], r[1]) for n, r in ALERT_RULES.items()]
     return spark.createDataFrame(rows, "name string, type string, expression string, hold_seconds int")

@@ -1,12 +1,17 @@
 """Alerts and root causes."""
 
+import json
+
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..operators import alerts, detect, rca
 from ..sources.adapters import EV_SQL, ev_series
 from .base import query, r6
-from .detector_queries import FLAGS_SQL, Z_SQL, flag_table
+from .detector_queries import BY_TS, CP_SQL, FLAGS_SQL, Z_SQL, flag_table
+from .forecast_queries import BAND_SQL, HOURLY_SQL, hourly_forecast
+from ..operators.joins import WILDCARD as MULTI
+from ..operators.joins import bucket_of, time_buckets
 from .join_queries import CAT_SQL, HOUR, T0, catalog
 
 S = W.Series()
@@ -44,18 +49,48 @@ def reduced_alerts(spark, d):
     return alerts.reduce_alerts(_raw(spark, d))
 
 
-_SHORT = "CASE metric " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in alerts.SHORT_NAMES.items()) + " ELSE metric END"
-_KIND = "CASE " + " ".join(f"WHEN list_has_all(metrics, {list(need)}) AND len(ports) >= {least} THEN '{name}'" for name, need, least in alerts.TAXONOMY) + f" ELSE '{alerts.OTHER}' END"
+_SHORT = "CASE metric WHEN 'traffic_total' THEN 'traffic' WHEN 'error_rate' THEN 'errors' WHEN 'discard_rate' THEN 'discards' WHEN 'broadcast_total' THEN 'broadcast' WHEN 'avg_packet_size' THEN 'packets' END"
+_KIND = """CASE
+    WHEN list_contains(metrics, 'broadcast') AND len(ports) > 1 THEN 'Broadcast storm / L2 loop'
+    WHEN list_contains(metrics, 'multicast') AND len(ports) > 1 THEN 'Multicast flooding'
+    WHEN list_contains(metrics, 'traffic') AND list_contains(metrics, 'discards') AND NOT list_contains(metrics, 'errors') THEN 'Queue congestion'
+    WHEN list_contains(metrics, 'discards') THEN 'Queue / buffer pressure'
+    WHEN list_contains(metrics, 'errors') AND NOT list_contains(metrics, 'traffic') THEN 'Link quality issue'
+    WHEN list_contains(metrics, 'unknown_protocol') THEN 'Unknown protocol / scan'
+    WHEN list_contains(metrics, 'packets') AND list_contains(metrics, 'traffic') THEN 'Traffic or packet surge'
+    WHEN list_contains(metrics, 'packets') THEN 'Packet surge / possible scan'
+    WHEN list_contains(metrics, 'traffic') THEN 'Traffic surge / capacity pressure'
+    WHEN list_contains(metrics, 'broadcast') THEN 'Broadcast anomaly'
+    WHEN list_contains(metrics, 'multicast') THEN 'Multicast anomaly'
+    ELSE 'General anomaly' END"""
+_BY_TYPE = (
+    f"g AS (SELECT bucket, min(us) AS start_us, max(us) AS end_us, count(*) AS raw_alert_count, list_sort(list(DISTINCT port::VARCHAR)) AS ports, list_sort(list(DISTINCT {_SHORT})) AS metrics FROM raw GROUP BY 1), "
+    f"bt AS (SELECT bucket, start_us, end_us, {_KIND} AS problem_type, array_to_string(ports, ',') AS affected_ports, len(ports)::INT AS affected_port_count, array_to_string(metrics, ',') AS evidence_metrics, raw_alert_count, least(100, 20 + 8 * raw_alert_count + 15 * len(ports) + 12 * len(metrics))::INT AS severity_score FROM g)"
+)
 
 
-@query(
-    f"WITH {RAW_SQL}, g AS (SELECT bucket, min(us) AS start_us, max(us) AS end_us, count(*) AS raw_alert_count, list_sort(list(DISTINCT port::VARCHAR)) AS ports, list_sort(list(DISTINCT {_SHORT})) AS metrics FROM raw GROUP BY 1) "
-    f"SELECT bucket, start_us, end_us, {_KIND} AS problem_type, array_to_string(ports, ',') AS affected_ports, len(ports)::INT AS affected_port_count, array_to_string(metrics, ',') AS evidence_metrics, raw_alert_count, least(100, 20 + 8 * raw_alert_count + 15 * len(ports) + 12 * len(metrics))::INT AS severity_score FROM g"
-)
+@query(f"WITH {RAW_SQL}, {_BY_TYPE} SELECT * FROM bt")
 def reduced_alerts_by_type(spark, d):
     return alerts.reduce_alerts(_raw(spark, d), mode="intended")
 
 
+@query(f"WITH {RAW_SQL}, {_BY_TYPE} SELECT problem_type, start_us - start_us % {24 * HOUR} AS day_us, min(start_us) AS start_us, max(end_us) AS end_us, count(*) AS events, sum(raw_alert_count)::BIGINT AS raw_alert_count, max(severity_score) AS severity_score FROM bt GROUP BY 1, 2")
+def alerts_by_type_and_day(spark, d):
+    return alerts.merge_by_type(alerts.reduce_alerts(_raw(spark, d), mode="intended"))
+
+
+@query(
+    f"WITH {RAW_SQL}, {CAT_SQL}, l AS (SELECT raw.*, coalesce(kind, 'normal') AS event_label FROM raw LEFT JOIN cat ON cat.port = 'MULTI' AND us BETWEEN start_us AND end_us) "
+    "SELECT bucket, alert_name, count(*) AS raw_alert_count, string_agg(DISTINCT event_label, ',' ORDER BY event_label) AS event_labels FROM l GROUP BY 1, 2"
+)
+def reduced_alert_labels(spark, d):
+    """Reduced alerts with the labels that their time has in the catalog; most are normal."""
+    times = catalog(spark).where(F.col("port") == MULTI).drop("port")
+    raw = _raw(spark, d).join(time_buckets(times), (bucket_of(F.col("us")) == F.col("_bucket")) & F.col("us").between(F.col("start_us"), F.col("end_us")), "left")
+    labelled = raw.select("port", "us", "metric", "alert_name", "bucket", F.coalesce("kind", F.lit("normal")).alias("event_label"))
+    return alerts.reduce_alerts(labelled, label="event_label").select("bucket", "alert_name", "raw_alert_count", "event_labels")
+
+
 @query(f"WITH {RAW_SQL}, {_RED} SELECT (SELECT count(*) FROM raw) AS raw_alerts, (SELECT count(*) FROM red) AS reduced_alerts, round((SELECT count(*) FROM raw) / (SELECT count(*) FROM red), 4) AS ratio")
 def reduction_ratio(spark, d):
     df = alerts.reduce_alerts(_raw(spark, d)).agg(F.sum("raw_alert_count").alias("raw_alerts"), F.count(F.lit(1)).alias("reduced_alerts"))
@@ -68,7 +103,7 @@ def suppressed_alerts(spark, d):
     return alerts.suppress(_raw(spark, d).select("port", "us", "alert_name"), planned)
 
 
-_RCA = "rca AS (SELECT *, 'General network anomaly' AS root_cause_candidate, least(100, severity_score + 6 + 4 * affected_port_count) AS root_cause_score, 'several metrics out of line | needs a closer look' AS evidence, greatest(5, (end_us - start_us) // 60000000 + 5) AS duration_minutes FROM red)"
+_RCA = "rca AS (SELECT *, 'General network anomaly' AS root_cause_candidate, least(100, severity_score + 3 + 4 * affected_port_count) AS root_cause_score, 'Review metric trend, affected ports, recent changes' AS evidence, greatest(5, (end_us - start_us) // 60000000 + 5) AS duration_minutes FROM red)"
 _CONF = "CASE WHEN root_cause_score >= 85 THEN 'High' WHEN root_cause_score >= 65 THEN 'Medium' ELSE 'Low' END"
 
 
@@ -93,10 +128,17 @@ def _by_type(spark, d):
     return rca.candidates(alerts.reduce_alerts(_raw(spark, d), mode="intended"))
 
 
-_CAND = "CASE " + " ".join(f"WHEN contains(problem_type, '{p}') THEN '{c}'" for p, c, _ in rca.CANDIDATES) + f" ELSE '{rca.GENERAL[0]}' END"
-_NEV = "CASE " + " ".join(f"WHEN contains(problem_type, '{p}') THEN {len(e)}" for p, _, e in rca.CANDIDATES) + f" ELSE {len(rca.GENERAL[1])} END"
-_TYPED = f"""g AS (SELECT bucket, count(*) AS n, list(DISTINCT port::VARCHAR) AS ports, list(DISTINCT {_SHORT}) AS metrics FROM raw GROUP BY 1), k AS (SELECT bucket, {_KIND} AS problem_type, len(ports) AS np, least(100, 20 + 8 * n + 15 * len(ports) + 12 * len(metrics)) AS sev FROM g),
-c AS (SELECT bucket, problem_type, {_CAND} AS candidate, least(100, sev + 3 * {_NEV} + 4 * np) AS score FROM k)"""
+_CAND = """CASE
+    WHEN contains(problem_type, 'Queue congestion') OR contains(problem_type, 'Queue / buffer') THEN 'Queue congestion / buffer pressure'
+    WHEN contains(problem_type, 'Broadcast') THEN 'Broadcast storm / L2 loop'
+    WHEN contains(problem_type, 'Multicast') THEN 'Multicast flooding'
+    WHEN contains(problem_type, 'Link quality') OR list_contains(metrics, 'errors') THEN 'Link quality issue'
+    WHEN list_contains(metrics, 'unknown_protocol') THEN 'Unknown protocol / scan'
+    WHEN contains(problem_type, 'Packet surge') THEN 'Small packet scan or connection surge'
+    WHEN contains(problem_type, 'Traffic surge') THEN 'Business traffic growth or large transfer'
+    ELSE 'General network anomaly' END"""
+_TYPED = f"""{_BY_TYPE}, k AS (SELECT *, {_CAND} AS candidate FROM (SELECT bt.*, g.metrics FROM bt JOIN g USING (bucket))),
+c AS (SELECT *, least(100, severity_score + 3 * CASE candidate WHEN 'Queue congestion / buffer pressure' THEN 4 WHEN 'General network anomaly' THEN 1 ELSE 3 END + 4 * affected_port_count) AS score FROM k)"""
 
 
 @query(f"WITH {RAW_SQL}, {_TYPED} SELECT problem_type, candidate, count(*) AS n, max(score)::INT AS max_score FROM c GROUP BY ALL")
@@ -104,17 +146,68 @@ def rca_by_type(spark, d):
     return _by_type(spark, d).groupBy("problem_type", F.col("root_cause_candidate").alias("candidate")).agg(F.count(F.lit(1)).alias("n"), F.max("root_cause_score").alias("max_score"))
 
 
-@query(f"WITH {RAW_SQL}, {_TYPED} SELECT bucket, problem_type AS diagnosis, left('Cause of: ' || problem_type, 60) AS hypothesis, 'Medium' AS hypothesis_confidence, 'Inspect the ports' AS action, score >= 85 AS escalate FROM c WHERE length('Cause of: ' || problem_type) <= 60")
+@query(
+    f"WITH {RAW_SQL}, {_TYPED}, h AS (SELECT *, 'Cause of: ' || problem_type || ' on ports ' || affected_ports AS h FROM c) "
+    "SELECT bucket, problem_type AS diagnosis, CASE WHEN length(h) > 60 THEN left(h, 60) || '...' ELSE h END AS hypothesis, 'Medium' AS hypothesis_confidence, 'Inspect the ports' AS action, score >= 85 AS escalate FROM h"
+)
 def diagnosis_parse(spark, d):
-    text = rca.mock_diagnosis(F.col("problem_type"), F.col("evidence"), F.col("root_cause_score") >= 85)
+    text = rca.mock_diagnosis(F.col("problem_type"), F.col("evidence"), F.col("root_cause_score") >= 85, F.col("affected_ports"))
     parsed = rca.parse_diagnosis(F.col("text"))
     df = _by_type(spark, d).select("bucket", text.alias("text")).select("bucket", *(c.alias(n) for n, c in parsed.items()))
     return df.select("bucket", "diagnosis", "hypothesis", "hypothesis_confidence", "action", "escalate")
 
 
+_PROMPT = "'problem: ' || problem_type || chr(10) || 'ports: ' || affected_ports || chr(10) || 'metrics: ' || evidence_metrics || chr(10) || 'severity: ' || severity_score"
+
+
+def _prompt():
+    return rca.prompt({"problem": F.col("problem_type"), "ports": F.col("affected_ports"), "metrics": F.col("evidence_metrics"), "severity": F.col("severity_score")})
+
+
+@query(f"WITH {RAW_SQL}, {_BY_TYPE} SELECT bucket, {_PROMPT} AS prompt FROM bt")
+def diagnosis_prompt(spark, d):
+    return alerts.reduce_alerts(_raw(spark, d), mode="intended").select("bucket", _prompt().alias("prompt"))
+
+
+@query(f"WITH {RAW_SQL}, {_BY_TYPE} SELECT bucket, 'seen ' || length({_PROMPT}) AS diagnosis FROM bt ORDER BY severity_score DESC, bucket LIMIT 10")
+def diagnosis_by_model(spark, d):
+    """The worst ten events go to a model; here one that counts the characters of its prompt."""
+    worst = alerts.reduce_alerts(_raw(spark, d), mode="intended").orderBy(F.col("severity_score").desc(), "bucket").limit(10)
+    answers = rca.diagnose(worst, "bucket", _prompt(), lambda text: json.dumps({"problem_type": f"seen {len(text)}"}))
+    return answers.select("bucket", rca.parse_diagnosis(F.col("answer"))["diagnosis"].alias("diagnosis"))
+
+
+@query(f"WITH {EV_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us DESC, event_id DESC) AS rn FROM ev) SELECT entity, count(*) AS window_rows, round(avg(value) / 1e6, 9) AS value_avg_mb, round(max(value) / 1e6, 9) AS value_max_mb FROM k WHERE rn <= 10 GROUP BY entity")
+def recent_metrics(spark, d):
+    return rca.recent_metrics(ev_series(spark, d), "entity", ["value"])
+
+
+@query(
+    f"""WITH {EV_SQL}, {Z_SQL}, {CP_SQL}, {HOURLY_SQL}, {BAND_SQL}, e AS (SELECT *, f AND NOT coalesce(lag(f) OVER ({BY_TS}), false) AS onset FROM zf), ch AS (SELECT *, coalesce(f, false) AND NOT coalesce(lag(f) OVER ({BY_TS}), false) AS onset FROM cp),
+    ons AS (SELECT entity, event_id, us, 'zscore' AS type FROM e WHERE onset UNION ALL SELECT entity, event_id, us, 'changepoint' FROM ch WHERE onset),
+    rw AS (SELECT zf.entity, zf.us, zf.event_id, zf.f AS zs, coalesce(cp.f, false) AS cpf, zf.value > 150 AS asym FROM zf JOIN cp ON zf.entity = cp.entity AND zf.event_id = cp.event_id), one AS (SELECT entity, us, arg_min(zs, event_id) AS zs, arg_min(cpf, event_id) AS cpf, arg_min(asym, event_id) AS asym FROM rw GROUP BY entity, us)
+    SELECT ons.entity, ons.event_id, ons.us, type, concat_ws(',', CASE WHEN asym THEN 'asymmetry' END, CASE WHEN cpf AND type <> 'changepoint' THEN 'changepoint' END, CASE WHEN zs AND type <> 'zscore' THEN 'zscore' END) AS signals, coalesce(o.out_of_band, false) AS forecast_breach
+    FROM ons LEFT JOIN one ON ons.entity = one.entity AND ons.us = one.us LEFT JOIN o ON ons.entity = o.entity AND o.us = ons.us - ons.us % {HOUR}"""
+)
+def incident_lookup(spark, d):
+    """Onsets with what else the row at their time shows, and the forecast of their hour."""
+    ev = ev_series(spark, d)
+    rows = detect.ma_divergence(detect.rolling_z(ev, S, "value", threshold=2.0), S, "value")
+    rows = rows.select("entity", "us", "event_id", F.col("z_flag").alias("zscore"), F.col("change_flag").alias("changepoint"), (F.col("value") > 150).alias("asymmetry"))
+    ahead = hourly_forecast(spark, d).select("entity", "us", F.col("out_of_band").alias("breach"))
+    df = rca.at_their_time(detect.onsets(ev, S, "value", threshold=2.0), rows, ahead, "entity", HOUR)
+    return df.select("entity", "event_id", "us", "type", F.array_join("signals", ",").alias("signals"), "forecast_breach")
+
+
 @query(
-    f"""WITH {RAW_SQL}, {_TYPED}, {CAT_SQL}, j AS (SELECT c.bucket, c.problem_type, coalesce(min(kind), 'unknown') AS label FROM c LEFT JOIN cat ON bucket BETWEEN start_us AND end_us GROUP BY ALL),
-    m AS (SELECT label, {' OR '.join("(label = '" + k + "' AND (" + ' OR '.join(f"contains(lower(problem_type), '{w}')" for w in ws) + '))' for k, ws in rca.LABEL_KEYWORDS.items())} AS hit FROM j)
+    f"""WITH {RAW_SQL}, {_TYPED}, {CAT_SQL}, j AS (SELECT c.bucket, c.problem_type, coalesce(min(kind), 'unknown') AS label FROM c LEFT JOIN cat ON bucket BETWEEN cat.start_us AND cat.end_us GROUP BY ALL),
+    m AS (SELECT label, CASE label
+      WHEN 'traffic_surge' THEN regexp_matches(lower(problem_type), 'traffic|surge|激增')
+      WHEN 'error_burst' THEN regexp_matches(lower(problem_type), 'error|錯誤|crc|duplex')
+      WHEN 'discard_spike' THEN regexp_matches(lower(problem_type), 'discard|queue|丟棄|buffer|congestion')
+      WHEN 'traffic_drop' THEN regexp_matches(lower(problem_type), 'drop|下降|link|failure')
+      WHEN 'broadcast_storm' THEN regexp_matches(lower(problem_type), 'broadcast|storm|loop|廣播')
+      ELSE false END AS hit FROM j)
     SELECT label, count(*) AS n, sum(hit::INT)::BIGINT AS matched, round(avg(hit::INT), 4) AS accuracy FROM m WHERE label <> 'unknown' GROUP BY label"""
 )
 def diagnosis_accuracy(spark, d):

@@ -9,7 +9,7 @@ from .base import query, r6
 from .feature_queries import PORTS, RATIOS_SQL, TOTALS_SQL
 
 S = W.Series()
-O = "PARTITION BY entity ORDER BY ts, event_id"  # noqa: E741
+O = BY_TS = "PARTITION BY entity ORDER BY ts, event_id"  # noqa: E741
 
 Z_SQL = f"""zz AS (SELECT *, (value - CASE WHEN count(value) OVER w >= 3 THEN avg(value) OVER w END) / (coalesce(CASE WHEN count(value) OVER w >= 3 THEN stddev_samp(value) OVER w END, 1) + 1e-9) AS z
   FROM ev WINDOW w AS ({O} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)), zf AS (SELECT *, coalesce(abs(z) > 2, false) AS f FROM zz)"""
@@ -20,6 +20,16 @@ def zscore_rolling(spark, d):
     return detect.rolling_z(ev_series(spark, d), S, "value").select("entity", "event_id", r6(F.col("z")).alias("z"), "z_flag")
 
 
+@query(
+    f"""WITH {EV_SQL}, z AS (SELECT *, CASE WHEN count(value) OVER w >= 20 THEN (value - avg(value) OVER w) / (stddev_samp(value) OVER w + 1e-9) END AS z FROM ev WINDOW w AS ({O} ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+    r AS (SELECT *, coalesce(z > 1, false) AS raw FROM z) SELECT entity, event_id, round(z, 6) AS z, raw AS z_raw, sum(raw::INT) OVER ({O} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 AS z_held FROM r"""
+)
+def one_sided_z(spark, d):
+    """A threshold of 1 in place of 3, so that the flag holds for three rows somewhere."""
+    df = detect.one_sided_z(ev_series(spark, d), S, "value", threshold=1.0)
+    return df.select("entity", "event_id", r6(F.col("z")).alias("z"), "z_raw", "z_held")
+
+
 @query(f"WITH {EV_SQL}, f AS (SELECT *, value > 60 AS f FROM ev) SELECT entity, event_id, " + ", ".join(f"sum(f::INT) OVER ({O} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW) >= {n} AS held_{n}" for n in (1, 2, 3, 5, 8)) + " FROM f")
 def deadband(spark, d):
     return detect.deadband_sweep(ev_series(spark, d), S, F.col("value") > 60).select("entity", "event_id", *(f"held_{n}" for n in (1, 2, 3, 5, 8)))
@@ -50,11 +60,17 @@ def run_statistics(spark, d):
     )
 
 
-@query(f"""WITH {EV_SQL}, {Z_SQL}, e AS (SELECT *, f AND NOT coalesce(lag(f) OVER ({O}), false) AS onset FROM zf) SELECT entity, event_id, us, round(z, 6) AS z, CASE WHEN abs(z) > 2.5 THEN 'high' ELSE 'medium' END AS severity FROM e WHERE onset""")
+CP_SQL = f"""cp AS (SELECT entity, event_id, us, ts, abs(s - l) / (abs(l) + 1e-9) > 0.3 AS f FROM (SELECT *, CASE WHEN count(value) OVER a >= 3 THEN avg(value) OVER a END AS s, CASE WHEN count(value) OVER b >= 15 THEN avg(value) OVER b END AS l
+  FROM ev WINDOW a AS ({O} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS ({O} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)))"""
+
+
+@query(
+    f"""WITH {EV_SQL}, {Z_SQL}, {CP_SQL}, e AS (SELECT *, f AND NOT coalesce(lag(f) OVER ({O}), false) AS onset FROM zf), c AS (SELECT *, coalesce(f, false) AND NOT coalesce(lag(f) OVER ({O}), false) AS onset FROM cp)
+    SELECT entity, event_id, us, 'zscore' AS type, round(z, 2) AS z, CASE WHEN abs(z) > 5 THEN 'high' ELSE 'medium' END AS severity FROM e WHERE onset
+    UNION ALL SELECT entity, event_id, us, 'changepoint', 0, 'medium' FROM c WHERE onset"""
+)
 def change_onsets(spark, d):
-    df = detect.rolling_z(ev_series(spark, d), S, "value", threshold=2.0)
-    df = df.withColumn("onset", W.rising_edge(F.col("z_flag"), S)).where("onset")
-    return df.select("entity", "event_id", "us", r6(F.col("z")).alias("z"), F.when(F.abs("z") > 2.5, "high").otherwise("medium").alias("severity"))
+    return detect.onsets(ev_series(spark, d), S, "value", threshold=2.0).withColumn("z", r6(F.col("z"), 2))
 
 
 _RZ = f"""rz AS (SELECT *, CASE WHEN count(value) OVER w >= 72 THEN (value - quantile_cont(value, 0.5) OVER w) / (1.4826 * greatest(mad(value) OVER w, 1e-9)) END AS rz, CASE WHEN count(value) OVER w >= 72 THEN quantile_cont(value, 0.95) OVER w END AS p95
@@ -63,7 +79,7 @@ _RZ = f"""rz AS (SELECT *, CASE WHEN count(value) OVER w >= 72 THEN (value - qua
 
 @query(f"WITH {EV_SQL}, {_RZ} SELECT entity, event_id, round(rz, 5) AS robust_z, coalesce(rz > 4, false) AS rz_high, coalesce(rz < -4, false) AS rz_low, coalesce(value > p95, false) AS p95_flag FROM rz")
 def robust_z(spark, d):
-    df = detect.p95_flag(detect.robust_z(ev_series(spark, d), S, "value"), S, "value")
+    df = detect.robust_z(ev_series(spark, d), S, "value")
     return df.select("entity", "event_id", r6(F.col("robust_z"), 5).alias("robust_z"), "rz_high", "rz_low", "p95_flag")
 
 
@@ -97,13 +113,18 @@ def direction_flags(spark, d):
     return df.select("port", "us", *(c for c in df.columns if "__flag_" in c))
 
 
-_BASE = f"bs AS (SELECT entity, avg(value) AS mu, coalesce(stddev_samp(value), 0) AS sigma FROM (SELECT *, row_number() OVER ({O}) AS rn FROM ev) WHERE rn <= 500 GROUP BY entity)"
+#: The baseline is of the first 2016 normal rows; here the very high ones aren't.
+_BASE = f"bs AS (SELECT entity, avg(value) AS mu, coalesce(stddev_samp(value), 0) AS sigma FROM (SELECT *, row_number() OVER ({O}) AS rn FROM ev WHERE value < 250) WHERE rn <= 2016 GROUP BY entity)"
+
+
+def _baseline(ev):
+    return detect.baseline_stats(ev, S, ["value"], 2016, F.col("value") < 250)
 
 
 @query(f"WITH {EV_SQL}, {_BASE} SELECT entity, event_id, round(mu + 3 * sigma, 6) AS ucl, round(greatest(mu - 3 * sigma, 0), 6) AS lcl, value > mu + 3 * sigma AS shewhart FROM ev JOIN bs USING (entity)")
 def shewhart(spark, d):
     ev = ev_series(spark, d)
-    df = detect.spc_charts(ev, S, "value", detect.baseline_stats(ev, S, ["value"], 500))
+    df = detect.spc_charts(ev, S, "value", _baseline(ev))
     return df.select("entity", "event_id", r6(F.col("ucl")).alias("ucl"), r6(F.col("lcl")).alias("lcl"), "shewhart")
 
 
@@ -115,7 +136,7 @@ spc AS (SELECT *, value > mu + 3 * sigma AS shewhart, y > mu + 3 * sigma * sqrt(
 
 def _spc(spark, d):
     ev = ev_series(spark, d)
-    return detect.spc_charts(ev, S, "value", detect.baseline_stats(ev, S, ["value"], 500))
+    return detect.spc_charts(ev, S, "value", _baseline(ev))
 
 
 @query(f"WITH RECURSIVE {EV_SQL}, {_SPC} SELECT entity, event_id, round(y + 1e-9, 5) AS ewma, ewma_flag, round(c, 4) AS cusum, cusum_flag, shewhart OR ewma_flag OR cusum_flag AS any_spc FROM spc")
@@ -137,7 +158,7 @@ def spc_summary(spark, d):
 )
 def we_rules(spark, d):
     ev = ev_series(spark, d)
-    df = ev.join(detect.baseline_stats(ev, S, ["value"], 500), "entity")
+    df = ev.join(_baseline(ev), "entity")
     return detect.western_electric(df, S, F.col("value"), F.col("value_mu"), F.col("value_sigma")).select("entity", "event_id", "rule1", "rule2", "rule3", "rule4")
 
 
@@ -183,14 +204,16 @@ def cap_extremes(spark, d):
 
 @query(
     f"""WITH {WIDE_SQL}, t AS (SELECT port, us, INOCTETS + OUTOCTETS AS x, OUTOCTETS / (INOCTETS + OUTOCTETS + 1e-9) AS tx FROM wide), f AS (SELECT *, coalesce(abs((x - CASE WHEN count(x) OVER w >= 3 THEN avg(x) OVER w END) / (coalesce(CASE WHEN count(x) OVER w >= 3 THEN stddev_samp(x) OVER w END, 1) + 1e-9)) > 2, false) AS z,
-    sum((tx > 0.6)::INT) OVER (PARTITION BY port ORDER BY us ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 AS held FROM t WINDOW w AS (PARTITION BY port ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))
-    SELECT port, us, round(tx, 6) AS tx_ratio, tx > 0.6 AS asymmetric, held, z OR tx > 0.6 AS combined FROM f"""
+    coalesce(abs(CASE WHEN count(x) OVER a >= 3 THEN avg(x) OVER a END - CASE WHEN count(x) OVER b >= 15 THEN avg(x) OVER b END) / (abs(CASE WHEN count(x) OVER b >= 15 THEN avg(x) OVER b END) + 1e-9) > 0.3, false) AS c,
+    sum((tx > 0.6)::INT) OVER (PARTITION BY port ORDER BY us ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 AS held
+    FROM t WINDOW w AS (PARTITION BY port ORDER BY us ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), a AS (PARTITION BY port ORDER BY us ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), b AS (PARTITION BY port ORDER BY us ROWS BETWEEN 29 PRECEDING AND CURRENT ROW))
+    SELECT port, us, round(tx, 6) AS tx_ratio, tx > 0.6 AS asymmetric, held, c AS change_flag, z OR c OR tx > 0.6 AS combined FROM f"""
 )
 def asymmetry_combined(spark, d):
     df = ev_wide(spark, d).select("port", "us", (F.col("INOCTETS") + F.col("OUTOCTETS")).alias("x"), "OUTOCTETS", "INOCTETS")
-    df = detect.rolling_z(df, PORTS, "x", threshold=2.0).withColumn("tx", F.col("OUTOCTETS") / (F.col("x") + 1e-9))
+    df = detect.ma_divergence(detect.rolling_z(df, PORTS, "x", threshold=2.0), PORTS, "x").withColumn("tx", F.col("OUTOCTETS") / (F.col("x") + 1e-9))
     wide = F.col("tx") > 0.6
-    return df.select("port", "us", r6(F.col("tx")).alias("tx_ratio"), wide.alias("asymmetric"), W.deadband(wide, PORTS, 3).alias("held"), detect.combined(F.col("z_flag"), wide).alias("combined"))
+    return df.select("port", "us", r6(F.col("tx")).alias("tx_ratio"), wide.alias("asymmetric"), W.deadband(wide, PORTS, 3).alias("held"), "change_flag", detect.combined(F.col("z_flag"), F.col("change_flag"), wide).alias("combined"))
 
 
 @query(f"WITH {EV_SQL}, {_LIM}, {Z_SQL} SELECT zz.entity, event_id, round((value - m) / (s + 1e-9), 6) AS global_z, round(z, 6) AS rolling_z, abs((value - m) / (s + 1e-9)) > 3 AS global_flag, coalesce(abs(z) > 3, false) AS rolling_flag FROM zz JOIN lim ON zz.entity = lim.entity")

@@ -35,24 +35,24 @@ def moments_shape(spark, d):
     return df.select(*(r6(F.col(c), digits[c]).alias(c) if c in digits else F.col(c) for c in df.columns))
 
 
-_ACF = f"lagged AS (SELECT entity, value AS x, {', '.join(f'lag(value, {k}) OVER ({O}) AS l{k}' for k in range(1, 13))} FROM ev), wide AS (SELECT entity, count(x) AS n, {', '.join(f'corr(x, l{k}) AS r{k}' for k in range(1, 13))} FROM lagged GROUP BY entity), acf AS (SELECT entity, n, unnest(range(0, 13))::INT AS lag, unnest([1.0, {', '.join(f'r{k}' for k in range(1, 13))}]) AS r FROM wide)"
+_ACF = f"lagged AS (SELECT entity, value AS x, {', '.join(f'lag(value, {k}) OVER ({O}) AS l{k}' for k in range(1, 61))} FROM ev), wide AS (SELECT entity, count(x) AS n, {', '.join(f'corr(x, l{k}) AS r{k}' for k in range(1, 61))} FROM lagged GROUP BY entity), acf AS (SELECT * FROM (SELECT entity, n, unnest(range(0, 61))::INT AS lag, unnest([1.0, {', '.join(f'r{k}' for k in range(1, 61))}]) AS r FROM wide) WHERE lag <= n // 3)"
 
 
 @query(f"WITH {EV_SQL}, {_ACF} SELECT entity, lag, round(r, 6) AS r, round(1.96 / sqrt(n), 6) AS band FROM acf")
 def acf(spark, d):
-    df = explore.autocorrelation(ev_series(spark, d), S, "value", 12)
+    df = explore.autocorrelation(ev_series(spark, d), S, "value")
     return df.select("entity", "lag", r6(F.col("r")).alias("r"), r6(F.col("band")).alias("band"))
 
 
 @query(f"WITH {EV_SQL}, {_ACF} SELECT entity, max(lag) AS longest, 4 * max(lag) AS longest_times_4 FROM acf WHERE lag > 0 AND abs(r) > 1.96 / sqrt(n) GROUP BY entity")
 def window_suggestion(spark, d):
-    return explore.window_suggestion(explore.autocorrelation(ev_series(spark, d), S, "value", 12), "entity")
+    return explore.window_suggestion(explore.autocorrelation(ev_series(spark, d), S, "value"), "entity")
 
 
 @query(f"WITH {EV_SQL}, {_ACF}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY abs(r) DESC, lag) AS rn FROM acf WHERE lag > 0) SELECT entity, lag, rn::INT AS rank FROM k WHERE rn <= 10")
 def top_lags(spark, d):
     rank = F.row_number().over(Window.partitionBy("entity").orderBy(F.abs("r").desc(), "lag"))
-    df = explore.autocorrelation(ev_series(spark, d), S, "value", 12).where("lag > 0").withColumn("rank", rank)
+    df = explore.autocorrelation(ev_series(spark, d), S, "value").where("lag > 0").withColumn("rank", rank)
     return df.where("rank <= 10").select("entity", "lag", "rank")
 
 
@@ -152,3 +152,29 @@ def array_membership(spark, d):
 def json_fields(spark, d):
     k = F.from_json("props", "k bigint")["k"]
     return read(spark, d, "events").groupBy("event_type", F.coalesce(k, F.lit(-1)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH {EV_SQL}, r AS (SELECT entity, value, user_id, lag(value) OVER ({O}) AS l1, lag(value, 3) OVER ({O}) AS l3, CASE WHEN count(value) OVER a >= 15 THEN avg(value) OVER a END AS m, row_number() OVER ({O}) AS rn FROM ev WINDOW a AS ({O} ROWS BETWEEN 29 PRECEDING AND CURRENT ROW)),
+    d AS (SELECT *, abs(value - m) / (abs(m) + 1e-9) AS dv, value > 150 AS f FROM r), h AS (SELECT *, sum(f::INT) OVER (PARTITION BY entity ORDER BY rn ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) >= 2 AS held FROM d),
+    t AS (SELECT entity, (max(us) - min(us)) / 3.6e9 AS hours FROM ev GROUP BY entity),
+    s AS (SELECT h.entity, corr(value, l1) AS acf1, corr(value, l3) AS lag3, corr(value, user_id) AS c, avg((m IS NULL)::INT) AS warm, avg(f::INT) AS share, sum(f::INT) / max(hours) AS ph, 150 / quantile_cont(value, 0.95) AS thr, 1 - sum(held::INT) / greatest(sum(f::INT), 1) AS db, max(dv) / quantile_cont(dv, 0.9) AS dvr FROM h JOIN t ON h.entity = t.entity GROUP BY h.entity)
+    SELECT entity, round(acf1, 5) AS acf1, round(share, 6) AS alert_share, round(ph, 5) AS alerts_per_hour, CASE WHEN acf1 > 0.7 THEN 'strong' WHEN acf1 > 0.4 THEN 'moderate' ELSE 'weak' END AS acf_verdict, CASE WHEN abs(lag3) > 0.7 THEN 'strong' WHEN abs(lag3) > 0.35 THEN 'moderate' ELSE 'weak' END AS lag_verdict,
+    CASE WHEN abs(c) > 0.97 THEN 'redundant' ELSE 'distinct' END AS correlation_verdict, CASE WHEN warm > 0.3 THEN 'too long' ELSE 'fine' END AS warm_up_verdict, CASE WHEN share > 0.12 THEN 'too many' WHEN share > 0.005 THEN 'fine' ELSE 'too few' END AS alert_share_verdict,
+    CASE WHEN ph > 5 THEN 'too many' WHEN ph > 0.1 THEN 'fine' ELSE 'too few' END AS alerts_per_hour_verdict, CASE WHEN thr > 1.5 THEN 'high' WHEN thr > 0.8 THEN 'fine' ELSE 'low' END AS threshold_verdict, CASE WHEN db > 0.9 THEN 'too strict' WHEN db > 0.1 THEN 'fine' ELSE 'no effect' END AS deadband_verdict, CASE WHEN dvr > 1.5 THEN 'change' ELSE 'none' END AS divergence_verdict FROM s"""
+)
+def verdict_report(spark, d):
+    """All verdicts over one table of summary numbers of a threshold of 150."""
+    cut, s = W.with_row_halo(ev_series(spark, d), S, 31)
+    x, flag = F.col("value"), F.col("value") > 150
+    m = W.roll_mean(x, s, 30, 15)
+    df = W.own_rows(cut.withColumns({"l1": F.lag(x).over(s.window), "l3": F.lag(x, 3).over(s.window), "m": m, "held": W.deadband(flag, s, 2)}))
+    df = df.withColumn("dv", F.abs(x - F.col("m")) / (F.abs("m") + 1e-9))
+    n = F.sum(flag.cast("int"))
+    numbers = df.groupBy("entity").agg(
+        F.corr("value", "l1").alias("acf1"), F.abs(F.corr("value", "l3")).alias("lag3"), F.abs(F.corr("value", "user_id")).alias("c"), F.avg(F.col("m").isNull().cast("int")).alias("warm"), F.avg(flag.cast("int")).alias("alert_share"), (n / ((F.max("us") - F.min("us")) / 3.6e9)).alias("alerts_per_hour"),
+        (150 / F.percentile("value", F.lit(0.95))).alias("thr"), (1 - F.sum(F.col("held").cast("int")) / F.greatest(n, F.lit(1))).alias("db"), (F.max("dv") / F.percentile("dv", F.lit(0.9))).alias("dvr"),
+    )
+    names = {"acf_verdict": "acf1", "lag_verdict": "lag3", "correlation_verdict": "c", "warm_up_verdict": "warm", "alert_share_verdict": "alert_share", "alerts_per_hour_verdict": "alerts_per_hour", "threshold_verdict": "thr", "deadband_verdict": "db", "divergence_verdict": "dvr"}
+    out = explore.verdicts(numbers, names)
+    return out.select("entity", r6(F.col("acf1"), 5).alias("acf1"), r6(F.col("alert_share")).alias("alert_share"), r6(F.col("alerts_per_hour"), 5).alias("alerts_per_hour"), *names)

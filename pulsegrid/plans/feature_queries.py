@@ -46,13 +46,13 @@ def counter_rate(spark, d):
 
 @query(
     f"WITH {WIDE_SQL} SELECT port, us, round(INOCTETS + OUTOCTETS, 4) AS traffic_total, round(INERRORS / (INUCASTPKTS + OUTUCASTPKTS + 1), 6) AS error_rate, "
-    "round(OUTOCTETS / (INOCTETS + OUTOCTETS + 1e-9), 6) AS tx_ratio, round(INDISCARDS / (INUCASTPKTS + 1), 6) AS rx_drop_rate, round(INOCTETS / 1e6, 8) AS in_mb FROM wide"
+    "round(OUTOCTETS / (INOCTETS + OUTOCTETS + 1e-9), 6) AS tx_ratio, round(INDISCARDS / (INUCASTPKTS + 1), 6) AS rx_drop_rate, round(INOCTETS / 1e6, 8) AS in_mb, round(INOCTETS - OUTOCTETS, 4) AS rx_tx_delta FROM wide"
 )
 def workshop_composites(spark, d):
     df = ev_wide(spark, d)
     new = features.composites(F.col("INOCTETS"), F.col("OUTOCTETS"), F.col("INERRORS"), F.col("INUCASTPKTS") + F.col("OUTUCASTPKTS"))
-    new |= {"rx_drop_rate": C.plus_one_div(F.col("INDISCARDS"), F.col("INUCASTPKTS")), "in_mb": F.col("INOCTETS") / 1e6}
-    digits = {"traffic_total": 4, "in_mb": 8}
+    new |= {"rx_drop_rate": C.plus_one_div(F.col("INDISCARDS"), F.col("INUCASTPKTS")), "in_mb": F.col("INOCTETS") / 1e6, "rx_tx_delta": F.col("INOCTETS") - F.col("OUTOCTETS")}
+    digits = {"traffic_total": 4, "in_mb": 8, "rx_tx_delta": 4}
     return df.select("port", "us", *(r6(c, digits.get(n, 6)).alias(n) for n, c in new.items()))
 
 
@@ -120,3 +120,33 @@ def custom_features(spark, d):
     registry = features.FeatureRegistry()
     registry.add("rising", W.difference(F.col("value"), S) > 0)
     return registry.export(ev_series(spark, d), ["entity", "event_id", "value"])
+
+
+@query(
+    f"""WITH {EV_SQL} SELECT event_id, CASE WHEN event_id % 7 = 0 OR event_id % 11 = 0 OR event_id % 13 = 0 THEN 0.0 ELSE value END AS finite, round_even(value, 0) AS even_0, round_even(value * 2, 0) / 2 AS even_half FROM ev"""
+)
+def cleaned_values(spark, d):
+    """NaN, infinity and null become 0; rounding has ties to even."""
+    odd = F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("-inf"))).when(F.col("event_id") % 13 == 0, F.lit(None)).otherwise(F.col("value"))
+    return ev_series(spark, d).select("event_id", C.finite_or_zero(odd).alias("finite"), C.half_even(F.col("value"), 0).alias("even_0"), (C.half_even(F.col("value") * 2, 0) / 2).alias("even_half"))
+
+
+@query(f"WITH {WIDE_SQL} SELECT port, us, INUCASTPKTS + OUTUCASTPKTS + INBROADCASTPKTS + OUTBROADCASTPKTS + INMULTICASTPKTS + OUTMULTICASTPKTS AS packets FROM wide")
+def packet_columns(spark, d):
+    """The sum of all columns whose names end alike."""
+    df = ev_wide(spark, d)
+    return df.select("port", "us", sum((F.col(c) for c in C.columns_with(df, suffix="PKTS")), F.lit(0).cast("long")).alias("packets"))
+
+
+_DEVICE = "(['lo', 'docker0', 'eth0', 'veth1a', 'br-7f', 'vboxnet0', 'enp3s0', 'local'])[user_id % 8 + 1]"
+
+
+_LOCAL = " OR ".join(f"starts_with({_DEVICE}, '{p}')" for p in ("lo", "docker", "veth", "br-", "vbox"))
+
+
+@query(f"SELECT {_DEVICE} AS device, count(*) AS n FROM events WHERE NOT ({_LOCAL}) GROUP BY 1")
+def network_devices(spark, d):
+    """Rows of devices that aren't the host's own."""
+    names = F.array(*map(F.lit, ("lo", "docker0", "eth0", "veth1a", "br-7f", "vboxnet0", "enp3s0", "local")))
+    df = read(spark, d, "events").select(F.get(names, (F.col("user_id") % 8).cast("int")).alias("device"))
+    return df.where(~C.is_local_device(F.col("device"))).groupBy("device").agg(F.count(F.lit(1)).alias("n"))

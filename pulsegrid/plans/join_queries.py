@@ -13,13 +13,13 @@ S = W.Series()
 HOUR = 3_600_000_000
 T0 = 1_704_067_200_000_000  # 2024-01-01
 CATALOG = [
-    ("A", "traffic_growth", "click", T0 + 50 * HOUR, T0 + 80 * HOUR),
-    ("B", "scan", "view", T0 + 100 * HOUR, T0 + 110 * HOUR),
-    ("C", "backup", "purchase", T0 + 200 * HOUR, T0 + 236 * HOUR),
-    ("D", "congestion", "error", T0 + 300 * HOUR, T0 + 314 * HOUR),
-    ("E", "link_quality", "signup", T0 + 400 * HOUR, T0 + 408 * HOUR),
-    ("G", "storm", "MULTI", T0 + 500 * HOUR, T0 + 512 * HOUR),
-    ("H", "flooding", "MULTI", T0 + 600 * HOUR, T0 + 618 * HOUR),
+    ("A", "traffic_surge", "click", T0 + 50 * HOUR, T0 + 80 * HOUR),
+    ("B", "traffic_drop", "view", T0 + 100 * HOUR, T0 + 110 * HOUR),
+    ("C", "traffic_surge", "purchase", T0 + 200 * HOUR, T0 + 236 * HOUR),
+    ("D", "discard_spike", "error", T0 + 300 * HOUR, T0 + 314 * HOUR),
+    ("E", "error_burst", "signup", T0 + 400 * HOUR, T0 + 408 * HOUR),
+    ("G", "broadcast_storm", "MULTI", T0 + 500 * HOUR, T0 + 512 * HOUR),
+    ("H", "multicast_flooding", "MULTI", T0 + 600 * HOUR, T0 + 618 * HOUR),
 ]
 CAT_SQL = "cat(event, kind, port, start_us, end_us) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {x}, {y})" for a, b, c, x, y in CATALOG) + ")"
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import alerts, promql
+from ..operators import promql
 from ..sources.adapters import EV_SQL, WIDE_SQL, ev_series, ev_wide
 from .base import query, r6
 from .join_queries import HOUR, T0
@@ -57,8 +57,7 @@ def pq_avg_over_time(spark, d):
 )
 def pq_predict_linear(spark, d):
     df = promql.predict_linear(samples(spark, d), 24 * 3600, 1800)
-    n = promql.over_time(samples(spark, d), 24 * 3600).select(F.col("event_id").alias("id"), "count_over_time")
-    return df.join(n, df.event_id == n.id).where("count_over_time >= 3").select("event_id", r6(F.col("predicted"), 3).alias("predicted"))
+    return df.where("count_over_time >= 3").select("event_id", r6(F.col("predicted"), 3).alias("predicted"))
 
 
 @query("SELECT DISTINCT event_type AS type FROM events")
@@ -66,31 +65,67 @@ def label_values(spark, d):
     return promql.label_values(samples(spark, d), "ev_value", "type")
 
 
-REC_SQL = f"""{WIDE_SQL}, l1 AS (SELECT *, INOCTETS + OUTOCTETS AS traffic_total, INUCASTPKTS + OUTUCASTPKTS AS ucast_total, INERRORS + OUTERRORS AS errors_total, INDISCARDS + OUTDISCARDS AS discards_total FROM wide),
-rec AS (SELECT *, errors_total / greatest(ucast_total, 1) AS error_rate, discards_total / greatest(ucast_total, 1) AS discard_rate, (INOCTETS - OUTOCTETS) / greatest(traffic_total, 1) AS asymmetry,
-  (traffic_total - avg(traffic_total) OVER w) / greatest(stddev_pop(traffic_total) OVER w, 1) AS traffic_z FROM l1 WINDOW w AS (PARTITION BY port ORDER BY us RANGE BETWEEN {6 * HOUR - 1} PRECEDING AND CURRENT ROW))"""
+#: The hourly rows as a replay at twelve times their speed hands them out: one every five minutes.
+SPEED = 12
+_HOURLY = ", ".join(
+    f"avg({x}) OVER w AS {n}_mean_1h, stddev_pop({x}) OVER w AS {n}_stddev_1h, round(({x} - avg({x}) OVER w) / greatest(stddev_pop({x}) OVER w, {least}), 9) AS {n}_zscore"
+    for n, x, least in (("traffic", "traffic_total", "1.0"), ("error_rate", "error_rate", "0.0001"), ("discard_rate", "discard_rate", "0.0001"), ("broadcast", "broadcast_total", "1.0"))
+)
+REC_SQL = f"""{WIDE_SQL}, l1 AS (SELECT port, {T0} + (us - {T0}) // {SPEED} AS us, INOCTETS + OUTOCTETS AS traffic_total, INUCASTPKTS + OUTUCASTPKTS AS ucast_total, INERRORS + OUTERRORS AS errors_total, INDISCARDS + OUTDISCARDS AS discards_total, INBROADCASTPKTS + OUTBROADCASTPKTS AS broadcast_total FROM wide),
+l2 AS (SELECT *, errors_total / greatest(ucast_total, 1) AS error_rate, discards_total / greatest(ucast_total, 1) AS discard_rate FROM l1),
+rec AS (SELECT *, {_HOURLY} FROM l2 WINDOW w AS (PARTITION BY port ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW))"""
+_ROUNDED = [f"{n}_{k}" for n in ("traffic", "error_rate", "discard_rate", "broadcast") for k in ("mean_1h", "stddev_1h", "zscore")]
+
+
+def _recorded(spark, d):
+    wide = ev_wide(spark, d)
+    return promql.record(wide.withColumn("us", F.lit(T0) + F.expr(f"(us - {T0}) div {SPEED}")))
 
 
-@query(f"WITH {REC_SQL} SELECT port, us, round(traffic_total, 4) AS traffic_total, round(error_rate, 6) AS error_rate, round(discard_rate, 6) AS discard_rate, round(asymmetry, 6) AS asymmetry, round(traffic_z, 5) AS traffic_z FROM rec")
+def _plain(c, digits):
+    """Rounded, with one zero."""
+    r = r6(F.col(c), digits)
+    return F.when(r == 0, 0.0).otherwise(r).alias(c)
+
+
+@query(f"WITH {REC_SQL} SELECT port, us, round(traffic_total, 4) AS traffic_total, ucast_total, broadcast_total, round(error_rate, 6) AS error_rate, round(discard_rate, 6) AS discard_rate, " + ", ".join(f"CASE WHEN round({c}, 5) = 0 THEN 0 ELSE round({c}, 5) END AS {c}" for c in _ROUNDED) + " FROM rec")
 def recording_rules(spark, d):
-    df = promql.record(ev_wide(spark, d))
-    return df.select("port", "us", r6(F.col("traffic_total"), 4).alias("traffic_total"), *(r6(F.col(c)).alias(c) for c in ("error_rate", "discard_rate", "asymmetry")), r6(F.col("traffic_z"), 5).alias("traffic_z"))
+    df = _recorded(spark, d)
+    return df.select("port", "us", r6(F.col("traffic_total"), 4).alias("traffic_total"), "ucast_total", "broadcast_total", *(r6(F.col(c)).alias(c) for c in ("error_rate", "discard_rate")), *(_plain(c, 5) for c in _ROUNDED))
 
 
-_STATES = " UNION ALL ".join(f"SELECT '{n}' AS alert, port, us, coalesce({c}, false) AS f, {h} AS hold FROM rec" for n, (c, h) in promql.ALERT_RULES.items())
+_STATES_SQL = f"""{REC_SQL}, a AS (
+  SELECT 'TrafficSurge' AS alert, 'warning' AS severity, 'traffic_surge' AS anomaly_type, 60 AS hold, port, us, coalesce(traffic_zscore > 3, false) AS f FROM rec UNION ALL
+  SELECT 'TrafficDrop', 'warning', 'traffic_drop', 120, port, us, coalesce(traffic_zscore < -3, false) FROM rec UNION ALL
+  SELECT 'ErrorRateSurge', 'critical', 'error_burst', 60, port, us, coalesce(error_rate_zscore > 3, false) FROM rec UNION ALL
+  SELECT 'DiscardRateSurge', 'warning', 'discard_spike', 60, port, us, coalesce(discard_rate_zscore > 3, false) FROM rec UNION ALL
+  SELECT 'BroadcastStorm', 'critical', 'broadcast_storm', 30, port, us, coalesce(broadcast_zscore > 3, false) FROM rec),
+s AS (SELECT *, CASE WHEN f AND NOT coalesce(lag(f) OVER (PARTITION BY alert, port ORDER BY us), false) THEN us END AS st FROM a),
+t AS (SELECT *, CASE WHEN f THEN last_value(st IGNORE NULLS) OVER (PARTITION BY alert, port ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END AS since FROM s),
+x AS (SELECT *, CASE WHEN NOT f THEN 'inactive' WHEN us - since >= hold * 1000000 THEN 'firing' ELSE 'pending' END AS state FROM t)"""
+
+
+@query(f"WITH {_STATES_SQL} SELECT alert, severity, port, state, count(*) AS n FROM x GROUP BY ALL")
+def alert_rules(spark, d):
+    return promql.rule_alerts(_recorded(spark, d)).groupBy("alert", "severity", "port", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {_STATES_SQL} SELECT alert, anomaly_type, port, us, since, state FROM x WHERE regexp_full_match(alert, '(Traffic|Discard|Error).*') AND state <> 'inactive'")
+def active_alerts(spark, d):
+    """Pending and firing alerts whose name fits a regex."""
+    df = promql.rule_alerts(_recorded(spark, d), "(Traffic|Discard|Error).*").where("state != 'inactive'")
+    return df.select("alert", "anomaly_type", "port", "us", F.col("since_us").alias("since"), "state")
 
 
 @query(
-    f"""WITH {REC_SQL}, a AS ({_STATES}), s AS (SELECT *, CASE WHEN f AND NOT coalesce(lag(f) OVER (PARTITION BY alert, port ORDER BY us), false) THEN us END AS st FROM a),
-    t AS (SELECT *, last_value(st IGNORE NULLS) OVER (PARTITION BY alert, port ORDER BY us ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM s), x AS (SELECT *, CASE WHEN NOT f THEN 'inactive' WHEN us - since >= hold * 1000000 THEN 'firing' ELSE 'pending' END AS state FROM t)
-    SELECT alert, port, state, count(*) AS n FROM x GROUP BY ALL"""
+    f"""WITH {SM_SQL}, s AS (SELECT type, us - us % {DAY} AS step, value, us, event_id FROM sm WHERE type <> 'signup')
+    SELECT type, step, arg_max(value, (us, event_id)) AS last, round(avg(value), 6) AS mean, max(value) AS max, min(value) AS min, count(*) AS count FROM s GROUP BY ALL""".replace("(us, event_id))", "row(us, event_id))")
 )
-def alert_rules(spark, d):
-    rec, out = promql.record(ev_wide(spark, d)).withColumn("event_id", F.lit(0)), None
-    for name, (condition, hold) in promql.ALERT_RULES.items():
-        df = alerts.alert_states(rec, "port", F.expr(condition), hold).select(F.lit(name).alias("alert"), "port", "state")
-        out = df if out is None else out.unionByName(df)
-    return out.groupBy("alert", "port", "state").agg(F.count(F.lit(1)).alias("n"))
+def pq_panel(spark, d):
+    """What a dashboard panel reduces the range of a selector (a label unlike a value) to, for each day: last, mean, max, min."""
+    chosen = promql.select(samples(spark, d), "ev_value", ("type", "!=", "signup"))
+    df = promql.reduce_range(chosen.withColumn("type", F.col("labels")["type"]), ["type"], DAY)
+    return df.select("type", "step", "last", r6(F.col("mean")).alias("mean"), "max", "min", "count")
 
 
 @query(f"WITH {SM_SQL}, c AS (SELECT unnest(range({T0}, {T0} + 30 * {DAY}, {DAY})) AS step), k AS (SELECT type, slot, step FROM c, (SELECT DISTINCT type, slot FROM sm)) SELECT k.type, k.slot, k.step, sm.value FROM k ASOF JOIN sm ON k.type = sm.type AND k.slot = sm.slot AND k.step >= sm.us")

@@ -1,12 +1,17 @@
 """Sources and sinks, over files that are derived from the driver tables."""
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
+from ..operators import promql
+from ..operators.joins import WILDCARD as MULTI
+from ..operators.joins import bucket_of, interval_join, time_buckets
 from ..sources import generator, readers, sinks
 from ..sources.adapters import EV_SQL, WIDE_SQL, ev_series, ev_wide, read
 from ..sources.scratch import scratch
 from .base import query, r6
-from .join_queries import CAT_SQL, catalog
+from .join_queries import CAT_SQL, HOUR, T0, catalog
 
 DAY = 86_400
 
@@ -105,3 +110,67 @@ def gauge_rows(spark, d):
     latest = latest_at(ev_wide(spark, d).withColumn("event_id", F.lit(0)), 1 << 62, "port")
     df = sinks.gauge_rows(latest, ["INOCTETS", "INERRORS"], ["port"])
     return df.select("metric", F.col("labels")["port"].alias("port"), r6(F.col("value"), 4).alias("value"))
+
+
+@query(f"WITH {WIDE_SQL} SELECT port::VARCHAR AS port_id, count(*) AS rows, round(sum(INOCTETS), 2) AS in_octets, sum(INERRORS)::BIGINT AS in_errors, max(us) AS last_us FROM wide GROUP BY 1")
+def telemetry_scan(spark, d):
+    """Telemetry written as a stage (Parquet and CSV) and read again from CSV with its schema."""
+    path, wide = scratch(spark, "stage"), ev_wide(spark, d)
+    names = {"timestamp": F.date_format(F.timestamp_micros("us"), "yyyy-MM-dd HH:mm:ss"), "device_id": F.lit("core"), "port_id": F.col("port").cast("string"), "port_role": F.lit("access"), "event_label": F.lit("normal"), "event_id": F.lit("")}
+    columns = [(names[f.name] if f.name in names else F.col(f.name) if f.name in wide.columns else F.lit(0)).alias(f.name) for f in readers.TELEMETRY]
+    sinks.write_stage(wide.select(*columns), f"{path}/parquet", f"{path}/csv")
+    df = readers.telemetry_csv(spark, f"{path}/csv")
+    return df.groupBy("port_id").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("INOCTETS"), 2).alias("in_octets"), F.sum("INERRORS").alias("in_errors"), F.unix_micros(F.max("timestamp")).alias("last_us"))
+
+
+@query(f"WITH {EV_SQL}, {CAT_SQL} SELECT event, kind, start_us, end_us, count(*) AS n FROM cat JOIN ev ON us BETWEEN start_us AND end_us GROUP BY ALL")
+def catalog_scan(spark, d):
+    """The event catalog as CSV, whose starts have minutes and ends seconds, and the rows in its intervals."""
+    path = scratch(spark, "catalog")
+    time = lambda c, pattern: F.date_format(F.timestamp_micros(c), pattern)
+    lines = catalog(spark).select("event_id", F.col("kind").alias("event_type"), F.col("port").alias("port_id"), time("start_us", "yyyy-MM-dd HH:mm").alias("start_time"), F.lit(1).alias("periods_5min"), F.lit("").alias("description"), time("end_us", "yyyy-MM-dd HH:mm:ss").alias("end_time"))
+    lines.write.csv(path, header=True)
+    back = readers.catalog_csv(spark, path).select(F.col("event_id").alias("event"), F.col("event_type").alias("kind"), F.lit(MULTI).alias("port"), F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
+    df = interval_join(ev_series(spark, d), back, "entity", wildcard=True)
+    return df.groupBy("event", "kind", "start_us", "end_us").agg(F.count(F.lit(1)).alias("n"))
+
+
+#: Intervals of several kinds on the hourly ports; none overlap.
+_KINDS = [
+    ("A", "business_traffic_growth", "0", 20, 60), ("B", "small_packet_scan", "1", 70, 90), ("C", "large_file_backup", "1", 100, 130), ("D", "queue_congestion", "2", 140, 170), ("E", "link_quality_issue", "3", 180, 210),
+    ("F", "load_sensitive_link_issue", "4", 220, 260), ("G", "broadcast_storm", "MULTI", 300, 330), ("H", "multicast_flooding", "MULTI", 340, 370), ("I", "abnormal_device_sender", "0", 400, 440), ("J", "unknown_protocol_scan", "1", 450, 480),
+]
+
+
+@query(
+    f"""WITH {WIDE_SQL}, k(event, kind, p, a, b) AS (VALUES {', '.join(f"('{e}', '{k}', '{p}', {T0 + x * HOUR}, {T0 + y * HOUR})" for e, k, p, x, y in _KINDS)}),
+    m AS (SELECT wide.*, event, kind, (us - a) / greatest(b - a, 1) AS r FROM wide LEFT JOIN k ON (p = port::VARCHAR OR p = 'MULTI') AND us BETWEEN a AND b)
+    SELECT port, us, coalesce(kind, 'normal') AS event_label, coalesce(event, '') AS event_id,
+      round(INOCTETS * CASE event WHEN 'A' THEN 1.9 WHEN 'B' THEN 1.25 WHEN 'C' THEN 5.2 WHEN 'D' THEN 3.8 WHEN 'F' THEN 2.8 ELSE 1 END, 4) AS INOCTETS,
+      round(OUTUCASTPKTS * CASE event WHEN 'A' THEN 1.9 WHEN 'B' THEN 8 WHEN 'C' THEN 2 WHEN 'D' THEN 3.8 WHEN 'I' THEN 5.5 ELSE 1 END, 4) AS OUTUCASTPKTS,
+      INERRORS + CASE WHEN event = 'E' THEN 180 + round(100 * (0.8 + 0.2 * r)) WHEN event = 'F' AND r >= 0.35 THEN 120 + round(120 * (0.5 + 0.7 * (r - 0.35) / 0.65)) ELSE 0 END AS INERRORS,
+      INDISCARDS + CASE event WHEN 'D' THEN round(600 * (0.8 + 0.2 * r)) WHEN 'G' THEN 80 WHEN 'H' THEN 45 ELSE 0 END AS INDISCARDS,
+      INBROADCASTPKTS * CASE event WHEN 'G' THEN 18.0 ELSE 1 END AS INBROADCASTPKTS, INUNKNOWNPROTOS + CASE event WHEN 'J' THEN 440.0 ELSE 0 END AS INUNKNOWNPROTOS FROM m"""
+)
+def inject_kinds(spark, d):
+    """Events of ten kinds injected into the counters, with means in place of draws."""
+    kinds = spark.createDataFrame([(e, k, p, T0 + x * HOUR, T0 + y * HOUR) for e, k, p, x, y in _KINDS], "event_id string, kind string, port string, start_us long, end_us long")
+    df = generator.inject_kinds(ev_wide(spark, d).withColumnRenamed("port", "row_port"), kinds, "row_port", seed=None)
+    exact = [F.col(c).cast("double").alias(c) for c in ("INERRORS", "INDISCARDS", "INBROADCASTPKTS", "INUNKNOWNPROTOS")]
+    return df.select(F.col("row_port").alias("port"), "us", "event_label", "event_id", *(r6(F.col(c).cast("double"), 4).alias(c) for c in ("INOCTETS", "OUTUCASTPKTS")), *exact)
+
+
+@query(
+    f"""WITH {WIDE_SQL}, {CAT_SQL}, g AS (SELECT wide.*, coalesce(kind, 'normal') AS event FROM wide LEFT JOIN cat ON cat.port = 'MULTI' AND us BETWEEN start_us AND end_us),
+    u AS (UNPIVOT (SELECT port, us, event, INOCTETS, OUTOCTETS, {', '.join(f'{c}::DOUBLE AS {c}' for c in ('INUCASTPKTS', 'OUTUCASTPKTS', 'INERRORS', 'OUTERRORS', 'INDISCARDS', 'OUTDISCARDS', 'INBROADCASTPKTS', 'OUTBROADCASTPKTS', 'INMULTICASTPKTS', 'OUTMULTICASTPKTS'))} FROM g) ON COLUMNS(* EXCLUDE (port, us, event)) INTO NAME metric VALUE value)
+    SELECT metric, port::VARCHAR AS port, event, count(*) AS n, round(max(value), 4) AS max, round(avg(value), 5) AS mean FROM u WHERE event <> 'normal' GROUP BY ALL"""
+)
+def dashboard_counters(spark, d):
+    """The twelve counters of a dashboard where the event label isn't normal, with the reducers of its panels."""
+    counters = [f"{way}{c}" for c in ("OCTETS", "UCASTPKTS", "ERRORS", "DISCARDS", "BROADCASTPKTS", "MULTICASTPKTS") for way in ("IN", "OUT")]
+    times = time_buckets(catalog(spark).where(F.col("port") == MULTI).select("kind", "start_us", "end_us"))
+    wide = ev_wide(spark, d).join(times, (bucket_of(F.col("us")) == F.col("_bucket")) & F.col("us").between(F.col("start_us"), F.col("end_us")), "left")
+    rows = sinks.gauge_rows(wide.withColumn("event", F.coalesce("kind", F.lit("normal"))), counters, ["port", "event"])
+    chosen = [promql.select(rows, c, ("event", "!=", "normal")) for c in counters]
+    df = reduce(lambda a, b: a.unionByName(b), chosen)
+    return df.groupBy("metric", F.col("labels")["port"].alias("port"), F.col("labels")["event"].alias("event")).agg(F.count(F.lit(1)).alias("n"), r6(F.max("value"), 4).alias("max"), r6(F.avg("value"), 5).alias("mean"))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..sources.adapters import EV_SQL, micros
+from ..operators import joins
+from ..sources.adapters import EV_SQL, ev_series, micros
 from ..sources.readers import file_stream
 from ..streaming import live
 from .base import query, r6
@@ -10,8 +11,14 @@ from .join_queries import HOUR
 
 
 def _events(spark, d):
-    df = file_stream(spark, d, "events").select(F.col("event_type").alias("entity"), "event_id", F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("us"), "value", "user_id")
-    return df.withWatermark("ts", live.LATE)
+    df = file_stream(spark, d, "events").select(F.col("event_type").alias("entity"), "event_id", "ts", micros(F.col("ts")).alias("us"), "value", "user_id")
+    return live.with_event_time(df)
+
+
+def _replayed(spark, d):
+    """The events in the order of time, in several batches."""
+    df = ev_series(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    return live.replay(spark, df, ["us", "event_id"], 3)
 
 
 @query(f"WITH {EV_SQL} SELECT entity, us - us % {HOUR} AS start_us, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM ev GROUP BY ALL")
@@ -40,7 +47,7 @@ def stream_sessions(spark, d):
     SELECT entity, event_id, round(c, 5) AS cusum, c > 300 AS beyond FROM rec"""
 )
 def stream_cusum(spark, d):
-    df = live.drain(live.online_cusum(_events(spark, d), "entity", 60.0, 300.0))
+    df = live.drain(live.online_cusum(_replayed(spark, d), "entity", 60.0, 300.0))
     return df.select("entity", "event_id", r6(F.col("cusum"), 5).alias("cusum"), "beyond")
 
 
@@ -50,12 +57,12 @@ def stream_cusum(spark, d):
     SELECT entity, event_id, CASE WHEN NOT f THEN 'inactive' WHEN us - since >= 3600000000 THEN 'firing' ELSE 'pending' END AS state FROM t"""
 )
 def stream_alert_state(spark, d):
-    return live.drain(live.online_alerts(_events(spark, d), "entity", F.col("value") > 50, 3600))
+    return live.drain(live.online_alerts(_replayed(spark, d), "entity", F.col("value") > 50, 3600))
 
 
 @query(f"WITH {EV_SQL} SELECT entity, arg_max(value, row(us, event_id)) FILTER (event_id % 5 <> 0) AS value, max(us) AS us FROM ev GROUP BY entity")
 def replay_gauges(spark, d):
-    stream = _events(spark, d).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
+    stream = _replayed(spark, d).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))
     return live.drain(live.latest(stream, "entity", "value"), "complete")
 
 
@@ -66,10 +73,32 @@ def event_markers(spark, d):
     return live.event_marker(live.drain(current, "complete"), ["click", "view", "purchase", "error", "signup"], "user_id", "label")
 
 
+@query(
+    f"""WITH RECURSIVE {EV_SQL}, num AS (SELECT entity, event_id, us, value, row_number() OVER (PARTITION BY entity ORDER BY us, event_id) AS rn FROM ev),
+    rec AS (SELECT entity, event_id, rn, value AS y FROM num WHERE rn = 1 UNION ALL SELECT n.entity, n.event_id, n.rn, 0.25 * n.value + 0.75 * r.y FROM rec r JOIN num n ON n.entity = r.entity AND n.rn = r.rn + 1)
+    SELECT entity, event_id, round(y + 1e-9, 5) AS ewma, y > 60 AS above, sum((y > 60)::INT) OVER (PARTITION BY entity ORDER BY rn ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 AS held FROM rec"""
+)
+def stream_ewma_deadband(spark, d):
+    df = live.drain(live.online_ewma(_replayed(spark, d), "entity", 60.0, 3))
+    return df.select("entity", "event_id", r6(F.col("ewma") + 1e-9, 5).alias("ewma"), "above", "held")
+
+
+@query(f"WITH {EV_SQL}, h AS (SELECT entity, us - us % {HOUR} AS us, event_id, value FROM ev) SELECT entity, event_id, us, value FROM h WHERE us = (SELECT max(us) FROM h)")
+def stream_reload(spark, d):
+    """Results that come in several times: each batch replaces what is shown by its rows of the latest time, and series without one are gone."""
+    stream = _replayed(spark, d).select("entity", "event_id", (F.col("us") - F.col("us") % HOUR).alias("us"), "value")
+    return live.drain(stream, each=lambda df, n: joins.ties_at(df, 1 << 62))
+
+
+@query("SELECT 1 AS up, count(*) AS rows FROM events")
+def stream_health(spark, d):
+    progress: list[dict] = []
+    live.drain(live.latest(_replayed(spark, d), "entity", "value"), "complete", progress=progress)
+    return live.health(spark, progress).select("up", "rows")
+
+
 @query(f"WITH {EV_SQL}, s AS (SELECT min(us) AS a, max(us) - min(us) AS w FROM ev) SELECT event_id, a + ((event_id * 3600)::BIGINT * 1000000) % (w + 1000000) AS at_us FROM ev, s")
 def replay_clock(spark, d):
-    from ..sources.adapters import ev_series
-
     ev = ev_series(spark, d)
     span = ev.agg(F.min("us").alias("a"), (F.max("us") - F.min("us")).alias("w"))  # one row
     return ev.crossJoin(F.broadcast(span)).select("event_id", live.simulated_time(F.col("a"), F.col("event_id"), 3600, F.col("w")).alias("at_us"))

@@ -23,24 +23,26 @@ def _rows(n: int) -> str:
     f"round({_least(15, _rows(30), 'avg(value)')}, 6) AS mean_30, round({_least(12, _rows(12), 'avg(value)')}, 6) AS full_12 FROM ev"
 )
 def roll_mean_std(spark, d):
-    return ev_series(spark, d).select(
-        "entity", "event_id", r6(W.roll_mean(F.col("value"), S, 12, 6)).alias("mean_12"), r6(W.roll_std(F.col("value"), S, 12, 6)).alias("std_12"), r6(W.roll_mean(F.col("value"), S, 30, 15)).alias("mean_30"), r6(W.roll_mean(F.col("value"), S, 12)).alias("full_12")
-    )
+    cut, s = W.with_row_halo(ev_series(spark, d), S, 30)
+    x = F.col("value")
+    new = {"mean_12": W.roll_mean(x, s, 12, 6), "std_12": W.roll_std(x, s, 12, 6), "mean_30": W.roll_mean(x, s, 30, 15), "full_12": W.roll_mean(x, s, 12)}
+    return W.own_rows(cut.withColumns({name: r6(c) for name, c in new.items()})).select("entity", "event_id", *new)
 
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, round({_least(72, _rows(288), 'quantile_cont(value, 0.5)')}, 6) AS median_288 FROM ev")
 def roll_median(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_median(F.col("value"), S, 288, 72)).alias("median_288"))
+    return W.roll_order(ev_series(spark, d), S, {"m": ("value", 288, 72, 0.5)}).select("entity", "event_id", r6(F.col("m")).alias("median_288"))
 
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, round({_least(72, _rows(288), 'mad(value)')}, 6) AS mad_288 FROM ev")
 def roll_mad(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_mad(F.col("value"), S, 288, 72)).alias("mad_288"))
+    return W.roll_order(ev_series(spark, d), S, {"m": ("value", 288, 72, "mad")}).select("entity", "event_id", r6(F.col("m")).alias("mad_288"))
 
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, round({_least(72, _rows(288), 'quantile_cont(value, 0.95)')}, 6) AS p95_288, round({_least(6, _rows(24), 'quantile_cont(value, 0.95)')}, 6) AS p95_24 FROM ev")
 def roll_p95(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.roll_quantile(F.col("value"), S, 288, 0.95, 72)).alias("p95_288"), r6(W.roll_quantile(F.col("value"), S, 24, 0.95, 6)).alias("p95_24"))
+    df = W.roll_order(ev_series(spark, d), S, {"long": ("value", 288, 72, 0.95), "short": ("value", 24, 6, 0.95)})
+    return df.select("entity", "event_id", r6(F.col("long")).alias("p95_288"), r6(F.col("short")).alias("p95_24"))
 
 
 _R = "(PARTITION BY entity ORDER BY us RANGE BETWEEN {n} PRECEDING AND CURRENT ROW)"

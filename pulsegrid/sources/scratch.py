@@ -9,8 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the shared checkpoint folder; one of our own only where none is named, as in tests."""
+    """A new path below the shared checkpoint folder. Only a session in one process may do without one that is named."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsegrid-scratch-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="pulsegrid-scratch-"))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

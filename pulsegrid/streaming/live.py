@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -19,22 +20,41 @@ from ..sources.scratch import scratch
 LATE = "1 hour"
 
 
-def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, int], DataFrame] | None = None, progress: list | None = None) -> DataFrame:
     """Run a stream to the end of its input and read what it wrote.
 
-    In append mode Parquet files are added; in complete mode each batch is the whole result and takes the last one's place.
+    In append mode Parquet files are added. In other modes, or with `each`, every batch (as `each` makes it) is the whole
+    result and takes the last one's place. The reports of the batches are added to `progress`.
     """
     spark = stream.sparkSession
-    out = scratch(spark, "stream")
+    out, shape = scratch(spark, "stream"), stream.schema
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", scratch(spark, "offsets")).outputMode(mode)
-    if mode == "append":
+    if mode == "append" and each is None:
         query = writer.format("parquet").option("path", out).start()
     else:
         query = writer.foreachBatch(lambda df, n: (each(df, n) if each else df).write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     if (problem := query.exception()) is not None:
         raise problem
-    return spark.read.schema(stream.schema).parquet(out)
+    if progress is not None:
+        progress += [{"name": query.name or str(query.id), "batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
+    return spark.read.schema(shape).parquet(out)
+
+
+def replay(spark: SparkSession, df: DataFrame, order: list[str], files: int, per_batch: int = 1) -> DataFrame:
+    """A table as a stream in the order of time: cut into files by ranges of `order`, of which each batch takes so many.
+
+    What a batch holds, and with it what a keyed state takes in at once, is bounded by the size of these files.
+    """
+    path = scratch(spark, "replay")
+    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    # a file source reads by time of change; ranges are numbered in the names
+    parts = sorted((f.getPath() for f in system.listStatus(folder) if f.getPath().getName().startswith("part-")), key=lambda x: x.getName())
+    for i, part in enumerate(parts):
+        system.setTimes(part, 1_000_000_000_000 + 1000 * i, -1)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
 def with_event_time(stream: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
@@ -66,39 +86,61 @@ def latest(stream: DataFrame, by: str, value: str) -> DataFrame:
     return stream.groupBy(by).agg(F.max_by(value, known).alias("value"), F.max("us").alias("us"))
 
 
+def _online(stream: DataFrame, by: str, columns: list[str], new: str, state: str, start: tuple, step: Callable[[pd.DataFrame, tuple], tuple[dict, tuple]]) -> DataFrame:
+    """A keyed state that is a few numbers. step takes an entity's rows of a batch, in order, and the state; it gives new columns and the next state.
+
+    Rows have to come in the order of time, batch by batch (see replay).
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])  # one entity's rows of one batch, which has a bound
+        made, after = step(rows, held.get if held.exists else start)
+        held.update(tuple(x.item() if hasattr(x, "item") else x for x in after))
+        yield pd.DataFrame({by: key[0], "event_id": rows["event_id"].to_numpy(), **made})
+
+    rows = stream.select(by, "us", "event_id", *columns)
+    return rows.groupBy(by).applyInPandasWithState(run, f"{by} string, event_id long, {new}", state, "append", GroupStateTimeout.NoTimeout)
+
+
 def online_cusum(stream: DataFrame, by: str, center: float, limit: float) -> DataFrame:
-    """One-sided CUSUM with the running sum as state. Rows have to come in the order of time, batch by batch."""
+    """One-sided CUSUM with the running sum as state; a missing value leaves it."""
+
+    def step(rows: pd.DataFrame, state: tuple) -> tuple[dict, tuple]:
+        total = state[0] + np.cumsum(np.nan_to_num(rows["value"].to_numpy(dtype=float) - center))
+        s = total - np.minimum(0.0, np.minimum.accumulate(total))
+        return {"cusum": s, "beyond": s > limit}, (s[-1],)
+
+    return _online(stream, by, ["value"], "cusum double, beyond boolean", "s double", (0.0,), step)
+
+
+def online_ewma(stream: DataFrame, by: str, limit: float, held: int, alpha: float = 0.25) -> DataFrame:
+    """EWMA (y0 = x0), whether it is above a limit, and whether it has been for `held` rows. The state is the mean and the run of rows above."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        s = state.get[0] if state.exists else 0.0
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])  # one entity's rows of one micro-batch
-        out = []
-        for x in rows["value"]:
-            s = max(0.0, s + (x - center)) if x == x else s
-            out.append(s)
-        state.update((s,))
-        yield pd.DataFrame({by: key[0], "event_id": rows["event_id"], "cusum": out, "beyond": [v > limit for v in out]})
+    def step(rows: pd.DataFrame, state: tuple) -> tuple[dict, tuple]:
+        mean, run = state
+        x = rows["value"].to_numpy(dtype=float)
+        y = pd.Series(x if run < 0 else np.concatenate([[mean], x])).ewm(alpha=alpha, adjust=False).mean().to_numpy()[-len(x) :]
+        above, at = y > limit, np.arange(len(x))
+        # rows since the last one that isn't above; before the first such row the run of the batch before goes on
+        last = np.maximum.accumulate(np.where(above, -1, at))
+        runs = np.where(above, np.where(last < 0, at + 1 + max(run, 0), at - last), 0)
+        return {"ewma": y, "above": above, "held": runs >= held}, (y[-1], runs[-1])
 
-    schema = f"{by} string, event_id long, cusum double, beyond boolean"
-    return stream.select(by, "us", "event_id", "value").groupBy(by).applyInPandasWithState(step, schema, "s double", "append", GroupStateTimeout.NoTimeout)
+    return _online(stream, by, ["value"], "ewma double, above boolean, held boolean", "mean double, run long", (0.0, -1), step)
 
 
 def online_alerts(stream: DataFrame, by: str, flag: Column, hold_seconds: float) -> DataFrame:
     """inactive, pending, firing: the state is the time since which the flag has held (-1: it doesn't)."""
     hold = int(hold_seconds * 1e6)
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        since = state.get[0] if state.exists else -1
-        rows = pd.concat(list(batches)).sort_values(["us", "event_id"])
-        out = []
-        for us, on in zip(rows["us"], rows["flag"], strict=True):
-            since = -1 if not on else (us if since < 0 else since)
-            out.append("inactive" if since < 0 else "firing" if us - since >= hold else "pending")
-        state.update((int(since),))
-        yield pd.DataFrame({by: key[0], "event_id": rows["event_id"], "state": out})
+    def step(rows: pd.DataFrame, state: tuple) -> tuple[dict, tuple]:
+        us, on, at = rows["us"].to_numpy(), rows["flag"].to_numpy(dtype=bool), np.arange(len(rows))
+        begins = on & ~np.concatenate([[state[0] >= 0], on[:-1]])
+        start = np.maximum.accumulate(np.where(begins, at, -1))
+        since = np.where(on, np.where(start < 0, state[0], us[np.maximum(start, 0)]), -1)
+        return {"state": np.where(since < 0, "inactive", np.where(us - since >= hold, "firing", "pending"))}, (since[-1],)
 
-    rows = stream.select(by, "us", "event_id", F.coalesce(flag, F.lit(False)).alias("flag"))
-    return rows.groupBy(by).applyInPandasWithState(step, f"{by} string, event_id long, state string", "since long", "append", GroupStateTimeout.NoTimeout)
+    return _online(stream.withColumn("flag", F.coalesce(flag, F.lit(False))), by, ["flag"], "state string", "since long", (-1,), step)
 
 
 def simulated_time(start_us: Column, elapsed_seconds: Column, speed: float, span_us: Column) -> Column:
@@ -113,6 +155,8 @@ def event_marker(current: DataFrame, labels: list[str], by: str, label: str) ->
     return current.withColumn("marker", every).select(by, F.col("marker").alias(label), (F.col("marker") == F.col(label)).cast("int").alias("value"))
 
 
-def health(progress: list[dict]) -> list[dict]:
-    """up (0 or 1) of each query from its progress reports: up while its last batch isn't an error."""
-    return [{"job": p.get("name") or p.get("id"), "up": int("numInputRows" in p)} for p in progress]
+def health(spark: SparkSession, progress: list[dict]) -> DataFrame:
+    """job, up (0 or 1), batches and rows of each query, from the reports that drain() gathers: up once it has ended a batch."""
+    rows = [(p["name"], p["batch"], p["rows"]) for p in progress]
+    df = spark.createDataFrame(rows, "job string, batch long, rows long")
+    return df.groupBy("job").agg((F.count("batch") > 0).cast("int").alias("up"), F.count("batch").alias("batches"), F.sum("rows").alias("rows"))

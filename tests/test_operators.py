@@ -1,5 +1,8 @@
 """Edge cases of the telemetry operators on hand-made series."""
 
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -74,7 +77,7 @@ def test_interval_ends_are_inside_and_wildcards(spark):
     rows = series(spark, [1, 2, 3, 4]).withColumnRenamed("event_id", "row_id")
     assert joins.interval_join(rows, cat, "entity").count() == 2
     assert joins.interval_join(rows, cat, "entity", wildcard=True).count() == 3
-    bucketed = joins.interval_join(rows, cat, "entity", wildcard=True, broadcast_rows=0, bucket_us=300_000_000)
+    bucketed = joins.interval_join(rows, cat, "entity", wildcard=True, bucket_us=300_000_000)
     assert bucketed.count() == 3
 
 
@@ -94,8 +97,55 @@ def test_severity_and_taxonomy(spark):
     raw = spark.createDataFrame([(p, 0, m, f"{m}__flag_z_high", 0) for p in range(9) for m in ("broadcast_total", "traffic_total")], "port int, us long, metric string, alert_name string, bucket long")
     assert {r["problem_type"] for r in alerts.reduce_alerts(raw).collect()} == {"General anomaly"}
     one = alerts.reduce_alerts(raw, "intended").collect()
-    assert [(r["problem_type"], r["severity_score"]) for r in one] == [("Broadcast storm", 100)]
-    assert rca.candidates(alerts.reduce_alerts(raw, "intended")).first()["root_cause_candidate"].startswith("Loop")
+    assert [(r["problem_type"], r["severity_score"]) for r in one] == [("Broadcast storm / L2 loop", 100)]
+    assert rca.candidates(alerts.reduce_alerts(raw, "intended")).first()["root_cause_candidate"] == "Broadcast storm / L2 loop"
+
+
+@pytest.mark.parametrize(
+    ("metrics", "ports", "kind", "cause", "evidence"),
+    [
+        ("broadcast", 2, "Broadcast storm / L2 loop", "Broadcast storm / L2 loop", 3), ("broadcast", 1, "Broadcast anomaly", "Broadcast storm / L2 loop", 3), ("multicast,traffic", 3, "Multicast flooding", "Multicast flooding", 3),
+        ("discards,traffic", 1, "Queue congestion", "Queue congestion / buffer pressure", 4), ("discards,errors,traffic", 1, "Queue / buffer pressure", "Queue congestion / buffer pressure", 4), ("errors", 1, "Link quality issue", "Link quality issue", 3),
+        ("errors,traffic", 1, "Traffic surge / capacity pressure", "Link quality issue", 3), ("unknown_protocol", 1, "Unknown protocol / scan", "Unknown protocol / scan", 3), ("packets,traffic", 1, "Traffic or packet surge", "General network anomaly", 1),
+        ("packets", 1, "Packet surge / possible scan", "Small packet scan or connection surge", 3), ("traffic", 1, "Traffic surge / capacity pressure", "Business traffic growth or large transfer", 3), ("multicast", 1, "Multicast anomaly", "Multicast flooding", 3),
+        ("other", 1, "General anomaly", "General network anomaly", 1),
+    ],
+)
+def test_kinds_and_causes(spark, metrics, ports, kind, cause, evidence):
+    df = spark.createDataFrame([(metrics, ports, 10, 0, 0)], "evidence_metrics string, affected_port_count int, severity_score int, start_us long, end_us long")
+    got = rca.candidates(df.withColumn("problem_type", alerts.problem_type(F.split("evidence_metrics", ","), F.col("affected_port_count")))).first()
+    assert (got["problem_type"], got["root_cause_candidate"], got["root_cause_score"]) == (kind, cause, 10 + 3 * evidence + 4 * ports)
+
+
+def test_models_are_asked_on_the_driver(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, t string")
+    assert {r["k"]: r["answer"] for r in rca.diagnose(df, "k", F.col("t"), str.upper).collect()} == {1: "A", 2: "B"}
+    with pytest.raises(ValueError):
+        rca.diagnose(df, "k", F.col("t"), str.upper, most=1)
+    assert {t["name"] for t in rca.TOOLS} == {"get_recent_metrics", "check_related_devices", "create_incident_summary"}
+    assert all(set(t["input_schema"]["required"]) <= set(t["input_schema"]["properties"]) for t in rca.TOOLS)
+
+
+@pytest.mark.parametrize("rows", [1, 5, 288])
+def test_row_frames_are_whole_in_every_stretch(spark, monkeypatch, rows):
+    """Stretches of a few rows give what one window over the entity gives."""
+    monkeypatch.setattr(W, "STRETCH_ROWS", 7)
+    rng = random.Random(rows)
+    values = [(e, i, t, None if rng.random() < 0.1 else float(rng.randrange(50))) for e in ("a", "b", None) for i, t in enumerate(sorted(rng.randrange(40 * 3_600_000_000) for _ in range(60)))]
+    df = spark.createDataFrame(values, "entity string, event_id long, us long, value double").withColumn("ts", F.timestamp_micros("us"))
+    cut, stretch = W.with_row_halo(df, S, rows)
+    got = W.own_rows(cut.withColumn("n", F.count("value").over(stretch.rows(rows))).withColumn("s", F.sum("value").over(stretch.rows(rows))))
+    want = df.withColumn("n", F.count("value").over(S.rows(rows))).withColumn("s", F.sum("value").over(S.rows(rows)))
+    assert got.count() == len(values) and got.exceptAll(want).count() == 0
+    stats = W.roll_order(df, S, {"median": ("value", rows, 1, 0.5), "mad": ("value", rows, 2, "mad"), "p": ("value", rows, 1, 0.9)}).toPandas().set_index(["entity", "event_id"])
+    for e in ("a", "b"):
+        own = [v for k, _, _, v in values if k == e]
+        for i in range(60):
+            frame = np.array([v for v in own[max(0, i - rows + 1) : i + 1] if v is not None])
+            row = stats.loc[(e, i)]
+            assert (np.isnan(row["median"]) if not len(frame) else row["median"] == pytest.approx(np.median(frame)))
+            assert (np.isnan(row["mad"]) if len(frame) < 2 else row["mad"] == pytest.approx(np.median(np.abs(frame - np.median(frame)))))
+            assert np.isnan(row["p"]) if not len(frame) else row["p"] == pytest.approx(np.quantile(frame, 0.9))
 
 
 def test_alert_resets(spark):
@@ -123,7 +173,7 @@ def test_ewma_stays_inside(spark):
 
 def test_forest_isolates_a_far_point(spark):
     df = spark.createDataFrame([(i, [float(i % 7), float(i % 5)]) for i in range(300)] + [(999, [90.0, -80.0]), (1000, None)], "id long, x array<double>")
-    scored = iforest.score(df, F.col("x"), iforest.fit(df, F.col("x"), "id", trees=60)).orderBy(F.col("score").desc_nulls_last()).collect()
+    scored = iforest.score(df, F.col("x"), iforest.fit(df, F.col("x"), ["id"], trees=60)).orderBy(F.col("score").desc_nulls_last()).collect()
     assert scored[0]["id"] == 999 and scored[-1]["score"] is None
 
 
@@ -163,9 +213,50 @@ def test_matchers_and_rules(spark):
     assert promql.select(sm, "m", ("t", "=", "")).count() == 1
     with pytest.raises(ValueError):
         promql.select(sm, "m", ("t", ">", "a"))
-    assert promql.rule_catalog(spark).groupBy("type").count().count() == 2
+    assert {r["type"]: r["count"] for r in promql.rule_catalog(spark).groupBy("type").count().collect()} == {"recording": 19, "alerting": 5}
+    recorded = spark.createDataFrame([(1, 300_000_000 * i, 5.0 if i in (3, 4) else 0.0, None, 0.0, -9.0) for i in range(6)], "port long, us long, traffic_zscore double, error_rate_zscore double, discard_rate_zscore double, broadcast_zscore double")
+    assert {(r["us"], r["state"]) for r in promql.rule_alerts(recorded, "TrafficSurge").where("state != 'inactive'").collect()} == {(900_000_000, "pending"), (1_200_000_000, "firing")}
+    assert promql.rule_alerts(recorded).where("state != 'inactive' and alert != 'TrafficSurge'").count() == 0
+    assert promql.rule_alerts(recorded, "No.*").count() == 0
 
 
 def test_replay_clock_wraps(spark):
     df = spark.range(3).select(live.simulated_time(F.lit(0), F.col("id"), 3600, F.lit(3_600_000_000)).alias("t"))
     assert [r["t"] for r in df.collect()] == [0, 3_600_000_000, 3_599_000_000]
+
+
+def test_poisson_draws(spark):
+    for mean in (0.015, 2.0, 180.0):
+        u = (F.col("id") + 0.5) / 4000
+        got = spark.range(4000).select(generator._poisson(u, mean).alias("n")).agg(F.avg("n").alias("m"), F.var_pop("n").alias("v")).first()
+        assert got["m"] == pytest.approx(mean, rel=0.1) and got["v"] == pytest.approx(mean, rel=0.15)
+
+
+def test_kinds_of_events_change_their_counters(spark):
+    kinds = spark.createDataFrame([("J", "unknown_protocol_scan", "1", 0, 10), ("X", "no such kind", "2", 0, 10)], "event_id string, kind string, port string, start_us long, end_us long")
+    rows = spark.createDataFrame([("1", 5, 10.0, 1.0), ("2", 5, 10.0, 1.0), ("1", 50, 10.0, 1.0), (None, 5, 10.0, 1.0)], "p string, us long, INUCASTPKTS double, INUNKNOWNPROTOS double")
+    got = {(r["p"], r["us"]): (r["event_label"], r["INUCASTPKTS"], r["INUNKNOWNPROTOS"]) for r in generator.inject_kinds(rows, kinds, "p", seed=None).collect()}
+    assert got == {("1", 5): ("unknown_protocol_scan", 24.0, 441.0), ("2", 5): ("no such kind", 10.0, 1.0), ("1", 50): ("normal", 10.0, 1.0), (None, 5): ("normal", 10.0, 1.0)}
+    drawn = generator.inject_kinds(rows, kinds, "p").where("us = 5 and p = '1'").first()["INUNKNOWNPROTOS"]
+    assert 300 < drawn < 600
+
+
+def test_states_go_on_over_batches_and_late_rows_are_dropped(spark):
+    df = series(spark, [0, 9, 9, 9, 0, 9, 9, 9], 60_000_000)
+    stream = live.replay(spark, df, ["us", "event_id"], 4)
+    got = {r["event_id"]: (r["above"], r["held"]) for r in live.drain(live.online_ewma(stream, "entity", 4.0, 3)).collect()}
+    y, above = 0.0, []
+    for v in [0, 9, 9, 9, 0, 9, 9, 9]:
+        y = 0.25 * v + 0.75 * y
+        above.append(y > 4.0)
+    assert [got[i][0] for i in range(8)] == above
+    assert [got[i][1] for i in range(8)] == [i >= 2 and all(above[i - 2 : i + 1]) for i in range(8)]
+    progress: list = []
+    live.drain(live.latest(live.replay(spark, df, ["us", "event_id"], 2), "entity", "value"), "complete", progress=progress)
+    assert live.health(spark, progress).first()["rows"] == 8
+    # the watermark of the first batch (its latest time less an hour) shuts out a row of a later batch that is older
+    hours = [0, 10, 11, 1, 30]
+    late = spark.createDataFrame([(i, h * 3_600_000_000) for i, h in enumerate(hours)], "event_id long, us long").withColumn("ts", F.timestamp_micros("us")).withColumn("entity", F.lit("a")).withColumn("value", F.lit(1.0))
+    stream = live.with_event_time(live.replay(spark, late, ["event_id"], 5))
+    windows = {r["start_us"] // 3_600_000_000 for r in live.drain(live.tumbling(stream, "entity", "value", "1 hour")).collect()}
+    assert 1 not in windows and {0, 10, 11} <= windows
