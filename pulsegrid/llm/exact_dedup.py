@@ -12,11 +12,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpoint, pick, pick_rows, table
+from .common import DOCUMENT_COLUMNS, Tables, checkpoint, pick, table
 
 SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Characters of a splitter. Texts with the same beginning are told apart by their digest, so splitters stay this short.
@@ -107,14 +107,56 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("total", "run_size").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first row of each run of equal texts in one sorted range, and whether the run is the range's first or last one."""
+    held, last, place = None, None, 0
+
+    def marked(rows: pa.RecordBatch, at_edge: list[bool]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*rows.columns, pa.array(at_edge, pa.bool_())], [*rows.schema.names, "at_edge"])
+
+    for batch in batches:
+        if not len(batch):
+            continue
+        norm = pc.replace_substring_regex(pc.fill_null(batch.column("text"), ""), f"[{SPACE}]", "")
+        new = np.ones(len(batch), dtype=bool)
+        new[1:] = pc.not_equal(norm.slice(1), norm.slice(0, len(batch) - 1)).to_numpy(zero_copy_only=False)
+        new[0] = last is None or norm[0].as_py() != last
+        last = norm[len(batch) - 1].as_py()
+        starts = np.flatnonzero(new)
+        if not len(starts):
+            continue
+        if held is not None:
+            yield marked(held, [place == 0])
+            place += 1
+        closed = batch.take(pa.array(starts[:-1]))
+        if len(closed):
+            yield marked(closed, [place == 0 and i == 0 for i in range(len(closed))])
+            place += len(closed)
+        held = batch.take(pa.array(starts[-1:]))
+    if held is not None:
+        yield marked(held, [True])
+
+
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group of exact_groups, with all its columns.
+    """One document of each group of equal texts, with the columns doc_id, text, lang, source, n_chars.
+
+    It is the one that exact_groups keeps; of rows with the same id and number of code points the first by text, source,
+    lang and n_chars. Null ids and ids with several texts are no copies where their texts differ. Null, empty and
+    white-space texts are one group. An empty table gives no rows.
 
-    Rows stay by id and text, nulls included: rows of one id, or without one, are no copies where their texts differ. Of
-    rows that repeat both, one stays.
+    Plan: one range shuffle of the rows, as for exact_groups; the first row of each run stays. Only the first and the last
+    run of a range, two rows, can belong to a group that goes on in another one, and those are compared.
     """
-    kept = exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct()
-    return pick_rows(docs, F.sha2(F.translate(F.coalesce(docs["text"], F.lit("")), SPACE, ""), 256), kept)
+    docs, tables = pick(docs, *DOCUMENT_COLUMNS), Tables(docs.sparkSession, "exact-dedup")
+    norm = F.translate(F.coalesce("text", F.lit("")), SPACE, "")
+    keys = {"_start": F.substring(norm, 1, SPLITTER_CHARS), "_sha": F.sha2(norm, 256), "_points": F.length(F.coalesce("text", F.lit("")))}
+    best = [F.col("_points").desc(), F.col("doc_id").asc_nulls_last(), "text", F.col("source").asc_nulls_last(), "lang", "n_chars"]
+    rows = docs.withColumns(keys)
+    ranges = rows.repartitionByRange("_start", "_sha", F.xxhash64("doc_id")).sortWithinPartitions("_start", "_sha", *best)
+    schema = T.StructType([*ranges.schema.fields, T.StructField("at_edge", T.BooleanType())])
+    firsts = tables.write(ranges.mapInArrow(_firsts, schema))
+    edges = firsts.where("at_edge").withColumn("_rank", F.row_number().over(Window.partitionBy("_sha").orderBy(*best))).where("_rank = 1")
+    return firsts.where("not at_edge").select(*DOCUMENT_COLUMNS).union(edges.select(*DOCUMENT_COLUMNS))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,10 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from pulsegrid.llm import queries
+from pulsegrid.llm import queries, toxicity
 from pulsegrid.llm.common import DOCUMENT_COLUMNS
 from tests.llm.test_text_operators import brute_components, brute_hits
 
@@ -62,7 +63,33 @@ def test_matches_sql(spark, name):
     assert rows([tuple(r) for r in got.collect()], got.columns) == rows(want.fetchall(), want.columns)
 
 
-def test_language_and_toxicity_on_held_out_rows(spark):
+def test_language_on_held_out_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     pred = queries.QUERIES["op1_language_id"](spark, SF).where("held_out").join(docs, "doc_id").collect()
     assert sum(r["lang"] == r["lang_pred"] for r in pred) >= 0.95 * len(pred)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Trained on four fifths of the labels, it finds toxic documents of the rest and leaves clean ones alone."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rest = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    test = labels.where(rest)
+    model = toxicity.fit(docs, labels.where(~rest))
+    assert model is not None
+    marks = {r["doc_id"]: r["toxic"] for r in toxicity.apply(docs.join(test.select("doc_id"), "doc_id", "left_semi"), model).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in test.collect()}
+    toxic, clean = [i for i in marks if truth[i]], [i for i in marks if not truth[i]]
+    assert len(toxic) > 50 and sum(marks[i] for i in toxic) >= 0.85 * len(toxic)
+    assert sum(marks[i] for i in clean) <= 0.02 * len(clean)
+
+
+@pytest.mark.parametrize("kind", ["empty", "nulls", "repeats"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    few = docs.limit(40)
+    odd = {"empty": docs.where("false"), "nulls": docs.withColumns({c: F.lit(None).cast(t) for c, t in docs.dtypes}).limit(30), "repeats": few.union(few).union(few.withColumn("source", F.lit(None).cast("string")))}[kind]
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert len(out) == 0 if kind != "repeats" else 0 < len(out) == len({r["doc_id"] for r in out})
