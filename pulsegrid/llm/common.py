@@ -103,13 +103,17 @@ class Tables:
 class Shared:
     """A value that goes to every task once, pickled with the code of its classes. Only for values of bounded size."""
 
-    def __init__(self, spark: SparkSession, value: object):
-        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    def __init__(self, spark: SparkSession, value: object = None, pickled: bytes | None = None):
+        self._bytes = spark.sparkContext.broadcast(cloudpickle.dumps(value) if pickled is None else bytes(pickled))
 
     @property
     def value(self):
         return cloudpickle.loads(self._bytes.value)
 
+    def forget(self) -> None:
+        """No later task needs the value."""
+        self._bytes.unpersist()
+
 
 # -- vectorised words ---------------------------------------------------------------------------------------------
 

@@ -12,10 +12,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, DOCUMENT_COLUMNS, Shared, Words, mix, pick, table, text_slices
+from .common import ALNUM, DOCUMENT_COLUMNS, Shared, Tables, Words, mix, pick, table, text_slices
 
 WINDOW = 10
 #: An automaton is built of so many item words at most; a larger benchmark takes several, in passes over the documents.
@@ -190,20 +191,49 @@ def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2], edges[1::2], strict=True))
 
 
-def _blocks(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> Iterator[list[tuple[int, list[bytes]]]]:
-    """Items in blocks of so many words (and up to a window more). A longer item is cut into parts that overlap, so that each of its windows is in one."""
-    block, size = [], 0
-    for row in benchmark.orderBy("item_id", "text").toLocalIterator():
-        words = item_words(row["text"])
-        for at in range(0, max(1, len(words) - window + 1), max(1, block_words)):
-            part = words[at : at + block_words + window - 1]
-            if size and size + len(part) > block_words:
-                yield block
-                block, size = [], 0
-            block.append((row["item_id"], part))
-            size += len(part)
-    if block:
-        yield block
+def _automata(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> list[Shared]:
+    """Automata of blocks of about so many item words, built in tasks; each comes to the driver by itself, to go to every task.
+
+    Long items are cut into parts that overlap, so that each of their windows is in one. Parts are dealt to blocks by a
+    hash, half as many words a block on average as it may have.
+    """
+    spark, most = benchmark.sparkSession, max(1, block_words // 16)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                words = item_words(text.as_py())
+                parts = [words[at : at + most + window - 1] for at in range(0, max(1, len(words) - window + 1), most)] if words else []
+                kinds = [pa.int64(), pa.int64(), pa.list_(pa.binary())]
+                columns = ([item] * len(parts), [len(p) for p in parts], parts)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "words"])
+
+    tables = Tables(spark, "benchmark")
+    parts = tables.write(pick(benchmark, "item_id", "text").where("item_id is not null").mapInArrow(cut, "item_id long, n long, words array<binary>"))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    blocks = 1 if total <= block_words else -(-2 * total // block_words)
+
+    def build(own: pa.Table) -> pa.Table:
+        rows = sorted(zip(own.column("item_id").to_pylist(), own.column("words").to_pylist(), strict=True))
+        return pa.table({"block": pa.array([own.column("block")[0].as_py()], pa.int32()), "automaton": pa.array([cloudpickle.dumps(Automaton(rows, window))], pa.binary())})
+
+    dealt = parts.select(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int").alias("block"), "item_id", "words")
+    built = tables.write(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"))
+    tables.drop(parts)
+    numbers = sorted(r["block"] for r in built.select("block").collect())
+    return [Shared(spark, pickled=built.where(F.col("block") == i).first()["automaton"]) for i in numbers] or [Shared(spark, Automaton([], window))]
+
+
+def _in_passes(out: DataFrame, automata: list[Shared], step, last) -> DataFrame:
+    """One pass over the rows for each automaton, each written before the next one starts; the last one is for whoever reads the result."""
+    tables, written = Tables(out.sparkSession, "passes"), None
+    for auto in automata[:-1]:
+        before, written = written, tables.write(step(out, auto))
+        out = written
+        auto.forget()
+        if before is not None:
+            tables.drop(before)
+    return last(out, automata[-1])
 
 
 def _code_points(lowered: np.ndarray, places: list[int]) -> list[int]:
@@ -221,20 +251,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     or empty texts have no words, items without words no windows; items of the same id count as one, an item with a null
     id is left out. An empty benchmark gives no hits. Other columns are ignored.
 
-    Without a shuffle. The automaton of at most `block_words` item words goes to every task; a larger benchmark is cut into
-    blocks of items, each of which makes another pass, and the passes' hits are joined in the row.
+    Without a shuffle of the documents. The automaton of about `block_words` item words at most goes to every task; a larger
+    benchmark is cut into blocks of items, each of which makes another pass, and the passes' hits are joined in the row.
     """
-    spark = docs.sparkSession
     out = pick(docs, "doc_id", "text").withColumn("found", F.lit(None).cast("array<struct<first_word:long,end_word:long>>")).withColumn("items", F.lit(None).cast("array<long>"))
     names = ["doc_id", "text", "found", "items"]
     schema = "doc_id long, text string, found array<struct<first_word:long,end_word:long>>, items array<long>"
     arrow = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("found", pa.list_(pa.struct([("first_word", pa.int64()), ("end_word", pa.int64())]))), ("items", pa.list_(pa.int64()))])
-    blocks = _blocks(pick(benchmark, "item_id", "text").where("item_id is not null"), block_words, window)
-    block = next(blocks, [])
-    while (following := next(blocks, None)) is not None:
-        out = out.mapInArrow(_pass(Shared(spark, Automaton(block, window)), None, arrow), schema)
-        block = following
-    return out.select(names).mapInArrow(_pass(Shared(spark, Automaton(block, window)), _ARROW, arrow), _ROW)
+    step = lambda df, auto: df.mapInArrow(_pass(auto, None, arrow), schema)
+    return _in_passes(out, _automata(benchmark, block_words, window), step, lambda df, auto: df.select(names).mapInArrow(_pass(auto, _ARROW, arrow), _ROW))
 
 
 def _pass(shared, last: pa.Schema | None, between: pa.Schema):
@@ -289,15 +314,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW,
     document of whose words more than `max_coverage` are hit goes altogether. Spans and coverage are those of the whole
     benchmark, however many blocks it takes. Documents without hits stay as they are, nulls included.
     """
-    spark = docs.sparkSession
     ranges = "array<struct<first:long,end:long>>"
     out = pick(docs, *DOCUMENT_COLUMNS).withColumn("hit", F.lit(None).cast(ranges)).withColumn("whole", F.lit(None).cast(ranges))
-    blocks = _blocks(pick(benchmark, "item_id", "text").where("item_id is not null"), block_words)
-    block = next(blocks, [])
-    while (following := next(blocks, None)) is not None:
-        out = out.mapInArrow(_marker(Shared(spark, Automaton(block))), f"{_CLEAN}, hit {ranges}, whole {ranges}")
-        block = following
-    return out.mapInArrow(_cutter(Shared(spark, Automaton(block)), min_span, max_coverage), _CLEAN)
+    step = lambda df, auto: df.mapInArrow(_marker(auto), f"{_CLEAN}, hit {ranges}, whole {ranges}")
+    return _in_passes(out, _automata(benchmark, block_words), step, lambda df, auto: df.mapInArrow(_cutter(auto, min_span, max_coverage), _CLEAN))
 
 
 def _all_hits(batch: pa.RecordBatch, a: int, words: Words, auto: Automaton) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
