@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Shared, pick, table
+from .common import Shared, Tables, pick, table
 
 TOKEN = re.compile(r"[a-z0-9]+")
 #: Rules that one pass takes to every task; more rules make more passes.
@@ -48,6 +48,21 @@ def word_rule(verdict: str, words: str) -> Rule:
     return Rule(f"word:{words}", verdict, rf"(^|[^a-z0-9]){re.escape(words)}($|[^a-z0-9])", tuple(TOKEN.findall(words)))
 
 
+def read_rules(path: str) -> tuple[Rule, ...]:
+    """Rules of a file: lines `block host/path`, `allow host/path`, or `block word:cheap-pills`. Empty lines and those that start with # are left out."""
+    out = []
+    with open(path, encoding="utf-8") as file:
+        for number, line in enumerate(file, 1):
+            parts = line.split()
+            if not parts or parts[0].startswith("#"):
+                continue
+            if len(parts) != 2 or parts[0] not in ("allow", "block") or not ("/" in parts[1] or parts[1].startswith("word:")):
+                raise ValueError(f"{path}, line {number}: {line.strip()!r} is no rule")
+            verdict, rule = parts
+            out.append(word_rule(verdict, rule[5:].lower()) if rule.startswith("word:") else host_rule(verdict, rule))
+    return tuple(out)
+
+
 #: The host rules that the query op7 has to apply.
 HOST_RULES = tuple(host_rule(*x) for x in (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")))
 #: For URLs that no host rule fits.
@@ -69,8 +84,9 @@ def token_counts(urls: DataFrame, tokens: Sequence[str]) -> dict[str, int]:
     if not tokens:
         return {}
     own = F.array_distinct(F.regexp_extract_all(F.lower("url"), F.lit("([a-z0-9]+)"), F.lit(1)))
-    wanted = urls.sparkSession.createDataFrame([(t,) for t in tokens], "wanted string")
-    rows = urls.select(F.explode(own).alias("token")).groupBy("token").count().join(wanted, F.col("token") == F.col("wanted"))
+    # the rules' tokens, which go to every task with the rules themselves; all others end there
+    wanted = F.broadcast(urls.sparkSession.createDataFrame([(t,) for t in tokens], "wanted string"))
+    rows = urls.select(F.explode(own).alias("token")).join(wanted, F.col("token") == F.col("wanted")).groupBy("token").count()
     return {r["token"]: r["count"] for r in rows.collect()}
 
 
@@ -104,7 +120,8 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = HOST_RULES + PATTERN_R
     fits (named in pattern), else allow. A null URL, or one without `://`, has an empty host and path, but its text still
     meets the pattern rules. One row for each input row, null and repeated ids included; other columns are ignored.
 
-    One small aggregation counts the rules' tokens; the URLs themselves are never shuffled.
+    One small aggregation counts the rules' tokens; the URLs themselves are never shuffled. More than rules_per_pass rules
+    make several passes, each of which is written before the next one starts.
     """
     host, path = split_url(F.col("url"))
     rows = pick(pages, "page_id", "url")
@@ -113,9 +130,15 @@ def filter_urls(pages: DataFrame, rules: Sequence[Rule] = HOST_RULES + PATTERN_R
     schema = "page_id long, url string, host string, path string, is_host boolean, length int, rank int, rule string, verdict string"
     out = rows.select("page_id", "url", host.alias("host"), path.alias("path"), *(F.lit(None).cast(t).alias(n) for n, t in (("is_host", "boolean"), ("length", "int"), ("rank", "int"), ("rule", "string"), ("verdict", "string"))))
     ranked = list(enumerate(rules))
+    tables, written = Tables(spark, "url-filter"), None
     for a in range(0, len(ranked), rules_per_pass):
         index = Shared(spark, (ranked[a : a + rules_per_pass], counts))
         out = out.mapInArrow(_pass(index), schema)
+        if a + rules_per_pass < len(ranked):
+            out, before = tables.write(out), written
+            written = out
+            if before is not None:
+                tables.drop(before)
     found, is_host = F.col("rule").isNotNull(), F.coalesce("is_host", F.lit(False))
     return out.select(
         "page_id",
