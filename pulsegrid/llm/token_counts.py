@@ -43,10 +43,30 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+#: What a vocabulary file has to say of its own steps for the counts to be right.
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def check_spec(spec: dict) -> None:
+    """Refuse a file whose normalizer, split pattern or kind of model are not those that WordBpeCounter follows."""
+    model = spec["model"]
+    normalizer, splitter = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    same = {
+        "model": model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges")),
+        "normalizer": [n.get("type") for n in normalizer.get("normalizers") or ()] == _NORMALIZERS,
+        "split pattern": (splitter[0].get("pattern") or {}).get("Regex") == _SPLIT and [x.get("type") for x in splitter] == ["Split", "ByteLevel"] and not splitter[1].get("add_prefix_space"),
+        "added tokens": not any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    if other := [k for k, ok in same.items() if not ok]:
+        raise ValueError(f"the vocabulary file has another {', '.join(other)} than this counter")
+
+
 class WordBpeCounter:
     """Counts tokens as a byte-level BPE vocabulary with word ends does: NFC, lower case, white space dropped."""
 
     def __init__(self, spec: dict):
+        check_spec(spec)
         model = spec["model"]
         self.end = model["end_of_word_suffix"] or ""
         ids = model["vocab"]
@@ -128,7 +148,8 @@ class WordBpeCounter:
 def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit (more than `limit` tokens).
 
-    vocabulary: path of a word-level BPE file in the tokenizers library's JSON form, read on the driver.
+    vocabulary: path of a word-level BPE file in the tokenizers library's JSON form, read on the driver; a file with other
+    steps of normalizing and splitting than the default's is refused.
     A null or empty text has 0 bytes and 0 tokens. Repeated rows and null ids each give a row; an empty table gives none.
     Other columns are ignored. Without a shuffle: each task reads its rows once, a batch at a time.
     """
@@ -137,6 +158,7 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, limit: int = 20
         raw = file.read(MAX_VOCABULARY_BYTES + 1)
     if len(raw) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"the vocabulary file has more than {MAX_VOCABULARY_BYTES} bytes")
+    check_spec(json.loads(raw))
     shared = spark.sparkContext.broadcast(raw)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
