@@ -191,7 +191,12 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_grade: int = DOC
     counts. A null or empty text has no features and scores by the thresholds alone. Without labels of two grades,
     severity and p_toxic are 0. One row for each input row, null and repeated ids included; other columns are ignored.
     """
-    shared = Shared(docs.sparkSession, fit(docs, labels, docs_per_grade, features))
+    return apply(docs, fit(docs, labels, docs_per_grade, features))
+
+
+def apply(docs: DataFrame, model: OrdinalModel | None) -> DataFrame:
+    """Score documents by a model that fit() gave; see score_toxicity."""
+    shared = Shared(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
