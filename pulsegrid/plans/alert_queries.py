@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
+from ..functions.columns import lookup
 from ..operators import alerts, detect, rca
 from ..sources.adapters import EV_SQL, ev_series
 from .base import query, r6
@@ -224,8 +225,6 @@ def diagnosis_accuracy(spark, d):
     CASE WHEN severity = 'high' OR abs(z) > 5 THEN 'needs_approval' WHEN breach THEN 'notify' ELSE 'auto' END AS gate, CASE severity WHEN 'high' THEN 3 ELSE 2 END AS severity_score FROM e"""
 )
 def incident_summary(spark, d):
-    from ..functions.columns import lookup
-
     df = detect.rolling_z(ev_series(spark, d), S, "value", threshold=2.0).where("z_flag").withColumn("severity", F.when(F.abs("z") > 4, "high").otherwise("medium"))
     out = rca.incident(F.col("severity"), F.col("z"), F.col("value") > 200)
     score = lookup(F.col("severity"), {"low": 1, "medium": 2, "high": 3, "critical": 4}, 0)
@@ -271,3 +270,11 @@ def incident_context(spark, d):
     df = df.withColumn("metrics", rca.metric_map({"value": {"baseline_mean": F.col("base"), "event_mean": v}}))
     stats = F.element_at("metrics", "value")
     return df.select("entity", "event_id", r6(stats["baseline_mean"]).alias("baseline_mean"), r6(stats["event_mean"] / (stats["baseline_mean"] + 1e-9)).alias("deviation"), F.array_join("signals", ",").alias("signals"), F.size("signals").alias("n_signals"))
+
+
+@query(f"WITH {EV_SQL}, {Z_SQL} SELECT entity, event_id, us, CASE WHEN abs(z) > 5 THEN 'high' ELSE 'medium' END AS severity FROM zf WHERE f ORDER BY CASE WHEN abs(z) > 5 THEN 0 ELSE 1 END, us, event_id LIMIT 1")
+def worst_event(spark, d):
+    """The first event by severity, as its key maps it, and time: the one that a person looks at."""
+    df = detect.rolling_z(ev_series(spark, d), S, "value", threshold=2.0).where("z_flag").withColumn("severity", F.when(F.abs("z") > 5, "high").otherwise("medium"))
+    order = lookup(F.col("severity"), {"critical": 0, "high": 0, "medium": 1, "low": 2}, 9)
+    return df.orderBy(order, "us", "event_id").limit(1).select("entity", "event_id", "us", "severity")
