@@ -19,7 +19,8 @@ from .common import ALNUM, Shared, Words, checkpoint, pick, table, text_slices
 DOCS_PER_GRADE = 2_500
 #: Features that the model may use: those that tell toxic documents from others best, seen in MIN_DOCS or more of the sample.
 FEATURES, MIN_DOCS = 1_500, 5
-TOXIC_AT = 0.6
+#: Both sides weigh the same in training, so that a document is marked where toxic is the likelier of the two.
+TOXIC_AT = 0.5
 
 
 #: Bytes of the word beginnings that are features beside whole words; they carry what inflected or joined words share.
@@ -57,7 +58,7 @@ class OrdinalModel:
         self.weights = np.zeros(len(words))
         self.thresholds = np.arange(n_grades - 1, dtype=float)
 
-    def train(self, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l1: float = 0.03, steps: int = 600, rate: float = 0.05) -> None:
+    def train(self, x: np.ndarray, grade: np.ndarray, weight: np.ndarray, l1: float = 0.06, steps: int = 600, rate: float = 0.05) -> None:
         """Proximal Adam on the cumulative-link likelihood, clean and toxic documents weighing the same in all.
 
         The L1 share, which falls with the sample's size as chance correlations do, drives weights of chance words to 0.
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_grade: int = DOCS_PER_GRADE
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))], ["grade", "share", "words"])
 
     rows = sorted((r["grade"], r["share"], tuple(r["words"])) for r in sample.mapInArrow(only_known, "grade int, share double, words array<long>").collect())
-    x = np.zeros((len(rows), len(known)), dtype=np.float32)
+    x = np.zeros((len(rows), len(known)))
     for i, (_, _, own) in enumerate(rows):
         x[i, list(own)] = 1
     # grades without rows would leave thresholds without evidence
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, docs_per_grade: int = DOCS_PER_GRADE
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, docs_per_grade: int = DOCS_PER_GRADE, features: int = FEATURES) -> DataFrame:
-    """Expected severity of every whole text: doc_id, severity, p_toxic (grade above 0), toxic (p_toxic of 0.6 or more).
+    """Expected severity of every whole text: doc_id, severity, p_toxic (grade above 0), toxic (p_toxic of 0.5 or more).
 
     labels: doc_id, quality, toxic; rows with a null id or toxic are left out, and of a repeated id the worst grade
     counts. A null or empty text has no features and scores by the thresholds alone. Without labels of two grades,
