@@ -146,11 +146,11 @@ _KINDS = [
     f"""WITH {WIDE_SQL}, k(event, kind, p, a, b) AS (VALUES {', '.join(f"('{e}', '{k}', '{p}', {T0 + x * HOUR}, {T0 + y * HOUR})" for e, k, p, x, y in _KINDS)}),
     m AS (SELECT wide.*, event, kind, (us - a) / greatest(b - a, 1) AS r FROM wide LEFT JOIN k ON (p = port::VARCHAR OR p = 'MULTI') AND us BETWEEN a AND b)
     SELECT port, us, coalesce(kind, 'normal') AS event_label, coalesce(event, '') AS event_id,
-      round(INOCTETS * CASE event WHEN 'A' THEN 1.9 WHEN 'B' THEN 1.25 WHEN 'C' THEN 5.2 WHEN 'D' THEN 3.8 WHEN 'F' THEN 2.8 ELSE 1 END, 4) AS INOCTETS,
-      round(OUTUCASTPKTS * CASE event WHEN 'A' THEN 1.9 WHEN 'B' THEN 8 WHEN 'C' THEN 2 WHEN 'D' THEN 3.8 WHEN 'I' THEN 5.5 ELSE 1 END, 4) AS OUTUCASTPKTS,
-      INERRORS + CASE WHEN event = 'E' THEN 180 + round(100 * (0.8 + 0.2 * r)) WHEN event = 'F' AND r >= 0.35 THEN 120 + round(120 * (0.5 + 0.7 * (r - 0.35) / 0.65)) ELSE 0 END AS INERRORS,
-      INDISCARDS + CASE event WHEN 'D' THEN round(600 * (0.8 + 0.2 * r)) WHEN 'G' THEN 80 WHEN 'H' THEN 45 ELSE 0 END AS INDISCARDS,
-      INBROADCASTPKTS * CASE event WHEN 'G' THEN 18.0 ELSE 1 END AS INBROADCASTPKTS, INUNKNOWNPROTOS + CASE event WHEN 'J' THEN 440.0 ELSE 0 END AS INUNKNOWNPROTOS FROM m"""
+      round(INOCTETS * (CASE event WHEN 'A' THEN 1.9 WHEN 'B' THEN 1.25 WHEN 'C' THEN 5.2 WHEN 'D' THEN 3.8 WHEN 'F' THEN 2.8 ELSE 1 END)::DOUBLE, 4) AS INOCTETS,
+      round(OUTUCASTPKTS * (CASE event WHEN 'A' THEN 1.9 WHEN 'B' THEN 8 WHEN 'C' THEN 2 WHEN 'D' THEN 3.8 WHEN 'I' THEN 5.5 ELSE 1 END)::DOUBLE, 4) AS OUTUCASTPKTS,
+      (INERRORS + CASE WHEN event = 'E' THEN 180 + round(100 * (0.8 + 0.2 * r)) WHEN event = 'F' AND r >= 0.35 THEN 120 + round(120 * (0.5 + 0.7 * (r - 0.35) / 0.65)) ELSE 0 END)::DOUBLE AS INERRORS,
+      (INDISCARDS + CASE event WHEN 'D' THEN round(600 * (0.8 + 0.2 * r)) WHEN 'G' THEN 80 WHEN 'H' THEN 45 ELSE 0 END)::DOUBLE AS INDISCARDS,
+      (INBROADCASTPKTS * CASE event WHEN 'G' THEN 18 ELSE 1 END)::DOUBLE AS INBROADCASTPKTS, (INUNKNOWNPROTOS + CASE event WHEN 'J' THEN 440 ELSE 0 END)::DOUBLE AS INUNKNOWNPROTOS FROM m"""
 )
 def inject_kinds(spark, d):
     """Events of ten kinds injected into the counters, with means in place of draws."""
