@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 #: Words are hashed this many text bytes at a time, which bounds the numpy temporaries of a task.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,16 +64,23 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of a batch that a Python worker gets at once while an operator makes its tables.
+BATCH_BYTES = 4 << 20
+
+
 @contextmanager
-def freeing_shuffles(spark: SparkSession):
-    """Queries begun in here free their shuffle files when they end, not when the driver's JVM comes to collect garbage."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def sparing(spark: SparkSession):
+    """Queries begun in here free their shuffle files when they end, not when the driver's JVM comes to collect garbage, and
+    hand Python workers small batches."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES)}
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
 class Tables:
@@ -87,7 +94,7 @@ class Tables:
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
-        with freeing_shuffles(self.spark):
+        with sparing(self.spark):
             df.select("*").write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[out] = path

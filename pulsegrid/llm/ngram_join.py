@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOCUMENT_COLUMNS, NOT_SPACE, Shared, Tables, Words, freeing_shuffles, pick, pick_rows, shingles, table, text_slices
+from .common import DOCUMENT_COLUMNS, NOT_SPACE, Shared, Tables, Words, pick, pick_rows, shingles, sparing, table, text_slices
 from .exact_dedup import SPACE
 
 SIZE = 5
@@ -122,7 +122,7 @@ def _to_count(size: int, shared):
 def _frequent(texts: DataFrame, size: int, known: np.ndarray | None, limit: int) -> np.ndarray:
     """Shingles in more than FREQUENT sets, by rising count; the most frequent `limit` of them."""
     shared = Shared(texts.sparkSession, known) if known is not None else None
-    with freeing_shuffles(texts.sparkSession):
+    with sparing(texts.sparkSession):
         counts = texts.mapInArrow(_to_count(size, shared), "shingle long").groupBy("shingle").count().where(F.col("count") > FREQUENT)
         rows = counts.orderBy(F.col("count").desc(), "shingle").limit(limit).toArrow()
     return rows.column("shingle").to_numpy().astype(np.uint64)[::-1], rows.column("count").to_numpy()[::-1]
@@ -207,7 +207,7 @@ def _pair_map(pairs: DataFrame) -> np.ndarray:
     node = F.explode(F.array("a", "b"))
     at = F.col("node").bitwiseAND(F.lit(64 * MAP_WORDS - 1))
     words = pairs.select(node.alias("node")).select(F.shiftright(at, 6).alias("word"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
-    with freeing_shuffles(pairs.sparkSession):
+    with sparing(pairs.sparkSession):
         rows = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # MAP_WORDS rows at most
     out = np.zeros(MAP_WORDS, dtype=np.uint64)
     out[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().astype(np.uint64)
