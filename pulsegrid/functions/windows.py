@@ -61,7 +61,7 @@ def with_halo(df: DataFrame, s: Series, seconds: float, chunk_seconds: float | N
     return out.withColumn("_own", F.col("_chunk") == F.col("_first")).drop("_first"), Series((*s.by, "_chunk"), s.order, s.micros)
 
 
-#: Rows that a stretch of with_row_halo has, and the time that a row is counted by.
+#: Rows that a stretch of with_row_halo has, and the time that rows are counted by at first (an hour).
 STRETCH_ROWS, COUNTED_US = 4_096, 3_600_000_000
 #: A table of counts of so many rows goes to every task; rows meet a larger one by a join.
 COUNTED_ROWS = 100_000
@@ -70,21 +70,29 @@ COUNTED_ROWS = 100_000
 def with_row_halo(df: DataFrame, s: Series, rows: int) -> tuple[DataFrame, Series]:
     """Cut a series into stretches of some thousand rows, so that frames of up to `rows` rows need no task with a whole entity.
 
-    Rows are counted by entity and hour, so that it is known how many lie before each hour. A row goes to the stretch in
-    which its hour begins and to those that begin less than `rows` rows after its hour. The order has to agree with the
-    time. Compute the windows over the Series that comes back, then keep the rows with `_own`.
+    Rows are counted by entity and hour (or less, where an hour has more rows than a stretch), so that it is known how many
+    lie before each hour. A row goes to the stretch in which its hour begins and to those that begin less than `rows` rows
+    after its hour: two or three copies, however dense the rows. The order has to agree with the time. Compute the windows
+    over the Series that comes back, then keep the rows with `_own`.
     """
-    hour = F.coalesce(F.floor(F.col(s.micros) / COUNTED_US), F.lit(-(1 << 40)))
-    keys = [F.coalesce(F.xxhash64(*s.by), F.lit(0)).alias("_key"), hour.alias("_hour")]
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_hour").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    key, width = F.coalesce(F.xxhash64(*s.by), F.lit(0)), COUNTED_US
+    while True:
+        at = F.coalesce(F.floor(F.col(s.micros) / width), F.lit(-(1 << 60)))
+        counts = df.groupBy(key.alias("_key"), at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
+        size = counts.agg(F.count(F.lit(1)).alias("cuts"), F.max("_n").alias("most")).first()
+        if (size["most"] or 0) <= STRETCH_ROWS or width == 1:
+            break
+        width = max(1, width * STRETCH_ROWS // (2 * size["most"]))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # entities whose keys collide are counted as one, which moves the cuts and no result
-    cuts = counts.select("_key", "_hour", F.floor(before / STRETCH_ROWS).alias("_first"), F.floor((before + F.col("_n") + max(0, rows - 2)) / STRETCH_ROWS).alias("_last"))
-    if cuts.limit(COUNTED_ROWS + 1).count() <= COUNTED_ROWS:
+    after = before + F.col("_n")
+    chunk = lambda place: F.floor(place / STRETCH_ROWS)
+    cuts = counts.select("_key", "_at", chunk(before).alias("_first"), F.sequence(chunk(after), chunk(after + max(0, rows - 2))).alias("_later"))
+    if size["cuts"] <= COUNTED_ROWS:
         cuts = F.broadcast(cuts)
-    out = df.withColumns({"_key": keys[0], "_hour": hour}).join(cuts, ["_key", "_hour"])
-    out = out.withColumn("_chunk", F.explode(F.sequence("_first", "_last"))).withColumn("_own", F.col("_chunk") == F.col("_first"))
-    return out.drop("_key", "_hour", "_first", "_last"), Series((*s.by, "_chunk"), s.order, s.micros)
+    out = df.withColumns({"_key": key, "_at": at}).join(cuts, ["_key", "_at"])
+    out = out.withColumn("_chunk", F.explode(F.array_union(F.array("_first"), F.col("_later")))).withColumn("_own", F.col("_chunk") == F.col("_first"))
+    return out.drop("_key", "_at", "_first", "_later"), Series((*s.by, "_chunk"), s.order, s.micros)
 
 
 def order_statistics(df: DataFrame, s: Series, columns: dict[str, tuple[str, int, int, str | float]]) -> DataFrame:
