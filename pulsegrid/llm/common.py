@@ -95,7 +95,7 @@ class Tables:
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.folder}/{uuid.uuid4().hex}"
         with sparing(self.spark):
-            df.select("*").write.parquet(path)
+            df.select("*").write.option("compression", "zstd").parquet(path)  # snappy holds direct buffers outside the heap
         out = self.spark.read.schema(df.schema).parquet(path)
         self._paths[out] = path
         return out
