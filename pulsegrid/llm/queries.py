@@ -1,5 +1,6 @@
 """The queries of this subpackage: name -> function of (spark, sf_dir), and SQL for those that SQL can express."""
 
+from .bpe_codec import op11_bpe_codec
 from .decontamination import OP9_SQL, op9_decontamination
 from .exact_dedup import OP4_SQL, op4_exact_dedup
 from .language_id import op1_language_id
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
+    "op11_bpe_codec": op11_bpe_codec,
 }
 
 SQL = {
