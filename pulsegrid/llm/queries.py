@@ -11,6 +11,7 @@ from .secrets import op2_secret_scan
 from .token_counts import op8_token_counts
 from .toxicity import op10_toxicity
 from .url_filters import OP7_SQL, op7_url_filter
+from .whitening import op12_whitening
 
 QUERIES = {
     "op1_language_id": op1_language_id,
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_toxicity": op10_toxicity,
     "op11_bpe_codec": op11_bpe_codec,
+    "op12_whitening": op12_whitening,
 }
 
 SQL = {
