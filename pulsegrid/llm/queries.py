@@ -7,6 +7,7 @@ from .language_id import op1_language_id
 from .license_scan import op6_license_scan
 from .mixing import op5_mix_sources
 from .ngram_join import op3_ngram_join
+from .resampling import op13_resampling
 from .secrets import op2_secret_scan
 from .token_counts import op8_token_counts
 from .toxicity import op10_toxicity
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_bpe_codec": op11_bpe_codec,
     "op12_whitening": op12_whitening,
+    "op13_resampling": op13_resampling,
 }
 
 SQL = {
