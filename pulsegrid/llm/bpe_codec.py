@@ -19,6 +19,7 @@ import re
 import struct
 from collections import Counter, deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from .common import Shared, Tables, pick, table, text_slices
 from .token_counts import MAX_VOCABULARY_BYTES, byte_symbols
 
 #: Bytes of a chunk at least and at most; between them one place in 2 ** CUT_BITS is a cut.
-MIN_CHUNK, MAX_CHUNK, CUT_BITS = 64, 4_096, 8
+MIN_CHUNK, MAX_CHUNK, CUT_BITS = 128, 8_192, 10
 #: Bytes that the rolling hash sees; a cut lies MIN_CHUNK bytes or more behind the text's start, so it sees that text alone.
 WINDOW = 16
 #: What a word is does not depend on anything this many bytes behind its end.
@@ -47,7 +48,8 @@ _GEAR = np.random.default_rng(20250117).integers(0, 1 << 32, 256, dtype=np.uint3
 _BASE = 0x9E3779B1
 _BLOCK = 1 << 20
 
-Piece = tuple[np.ndarray, np.ndarray]
+#: How the library's byte-level splitter cuts a text into words. Fixed value.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def default_vocabulary() -> str:
@@ -56,8 +58,9 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def read_vocabulary(path: str | None = None) -> str:
-    """The text of a vocabulary file, checked; it goes to every task whole."""
+@lru_cache(maxsize=4)
+def read_vocabulary(path: str | None = None) -> Vocabulary:
+    """A vocabulary file, checked; it goes to every task whole."""
     with open(path or default_vocabulary(), encoding="utf-8") as file:
         raw = file.read(MAX_VOCABULARY_BYTES + 1)
     if len(raw) > MAX_VOCABULARY_BYTES:
@@ -73,24 +76,33 @@ def read_vocabulary(path: str | None = None) -> str:
     }
     if other := [k for k, ok in same.items() if not ok]:
         raise ValueError(f"the vocabulary file has another {', '.join(other)} than this codec")
-    return raw
+    return Vocabulary(raw)
 
 
 class Vocabulary:
-    """The bytes of each id, and the added tokens."""
+    """The bytes of each id, the added tokens, and which characters need the slower of two encoders."""
 
     def __init__(self, raw: str):
-        spec = json.loads(raw)
+        self.raw, spec = raw, json.loads(raw)
         byte = {s: b for b, s in enumerate(byte_symbols())}
-        ids = {**spec["model"]["vocab"], **{t["content"]: t["id"] for t in spec.get("added_tokens") or ()}}
-        self.specials = {t["content"].encode(): t["id"] for t in spec.get("added_tokens") or ()}
-        self.of = [b""] * (max(ids.values()) + 1)
-        for token, i in ids.items():
+        own, added = spec["model"]["vocab"], {t["content"]: t["id"] for t in spec.get("added_tokens") or ()}
+        self.specials = {content.encode(): i for content, i in added.items()}
+        self.of = [b""] * (max([*own.values(), *added.values()]) + 1)
+        for token, i in [*own.items(), *added.items()]:
             self.of[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
         self.sizes = np.array([len(x) for x in self.of], dtype=np.int64)
+        #: Ids that surely begin a word: no word holds a space before a visible character but at its start.
+        self.opens = np.array([len(x) > 1 and x[0] == 32 and 33 <= x[1] <= 126 for x in self.of])
         self.dtype = np.dtype("<u2" if len(self.of) <= 1 << 16 else "<u4")
         longest = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile(b"(" + b"|".join(map(re.escape, longest)) + b")") if longest else None
+        # encoding by rank needs ids in the order of the merges, and one id for each token
+        made = [own[m.replace(" ", "") if isinstance(m, str) else "".join(m)] for m in spec["model"]["merges"]]
+        self.ranked = sorted(made) == made and len({self.of[i] for i in own.values()}) == len(own)
+        self.ranks = {self.of[i]: i for i in own.values()} if self.ranked else {}
+        self.odd = re.compile("[\U00010000-\U0010ffff]")
+        if self.ranked and (differ := Codec(self).differences()):
+            self.odd = re.compile("[\U00010000-\U0010ffff" + "".join(map(re.escape, differ)) + "]")
 
     def bytes(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.of.__getitem__, ids.tolist()))
@@ -99,94 +111,143 @@ class Vocabulary:
         return self.bytes(ids).decode("utf-8", "replace")
 
 
-class Codec(Vocabulary):
-    """Encodes runs of text without added tokens, and joins the encodings of pieces."""
+class Codec:
+    """Encodes runs of text without added tokens, and joins the encodings of pieces.
 
-    def __init__(self, raw: str):
-        super().__init__(raw)
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(raw)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.tokenizer.encode_special_tokens = True  # texts are split at these beforehand
-
-    def encode(self, text: bytes) -> Piece:
-        """Ids, and which of them start a word."""
-        made = self.tokenizer.encode(text.decode(), add_special_tokens=False)
-        words = np.array(made.word_ids, dtype=np.int64)
-        starts = np.ones(len(words), dtype=bool)
-        np.not_equal(words[1:], words[:-1], out=starts[1:])
-        return np.array(made.ids, dtype=self.dtype), starts
-
-    def plain(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids alone, of many texts."""
-        made = self.tokenizer.encode_batch_fast([x.decode() for x in texts], add_special_tokens=False)
-        return [np.array(x.ids, dtype=self.dtype) for x in made]
+    Runs are encoded by tiktoken, which gives what the tokenizers library gives where both cut words alike. What a character
+    counts as can differ between their Unicode tables, so texts with such a character, or one beyond the basic plane, go to
+    the tokenizers library, which is several times slower; so does what tiktoken refuses (very long words).
+    """
+
+    def __init__(self, vocabulary: Vocabulary):
+        self.known, self.dtype, self.bytes = vocabulary, vocabulary.dtype, vocabulary.bytes
+        self.sizes, self.opens = vocabulary.sizes, vocabulary.opens
+        self._library = self._ranked = None
+        if vocabulary.ranked:
+            import tiktoken
+
+            self._ranked = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=vocabulary.ranks, special_tokens={})
+
+    @property
+    def library(self):
+        if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_str(self.known.raw)
+            self._library.no_truncation()
+            self._library.no_padding()
+            self._library.encode_special_tokens = True  # texts are split at these beforehand
+        return self._library
+
+    def differences(self) -> list[str]:
+        """Characters of the basic plane around which the two encoders differ."""
+
+        def differ(chars: list[str]) -> list[str]:
+            probe = "\n".join(f"a{c}a1{c}1.{c}. {c}a {c}1 {c}." for c in chars)
+            if self._by_rank(probe).tolist() == self._by_library(probe).tolist():
+                return []
+            half = len(chars) // 2
+            return differ(chars[:half]) + differ(chars[half:]) if half else chars
+
+        plane = [chr(c) for c in range(1 << 16) if not 0xD800 <= c < 0xE000]
+        return [c for k in range(0, len(plane), 512) for c in differ(plane[k : k + 512])]
+
+    def _by_library(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.dtype)
+
+    def _by_rank(self, text: str) -> np.ndarray:
+        return self._ranked.encode_to_numpy(text, disallowed_special=()).astype(self.dtype)
+
+    def encode(self, raw: bytes) -> np.ndarray:
+        text = raw.decode()
+        if self._ranked is not None and (text.isascii() or not self.known.odd.search(text)):
+            try:
+                return self._by_rank(text)
+            except ValueError:  # its splitter refuses very long words
+                pass
+        return self._by_library(text)
 
     def _places(self, ids: np.ndarray) -> np.ndarray:
         """The byte at which each id begins, and the end."""
-        return np.concatenate([[0], np.cumsum(self.sizes[ids])])
-
-    def _settled(self, ids: np.ndarray, starts: np.ndarray) -> int:
-        """The last word that starts MARGIN bytes or more before the end, or the first: all before it stay as they are."""
-        places = self._places(ids)
-        known = np.flatnonzero(starts & (places[:-1] <= places[-1] - MARGIN))
-        return int(known[-1]) if len(known) else 0
+        out = np.zeros(len(ids) + 1, dtype=np.int64)
+        np.cumsum(self.sizes[ids], out=out[1:])
+        return out
 
-    def join(self, pieces: list[Piece]) -> np.ndarray:
+    def _settled(self, ids: np.ndarray) -> int:
+        """The last word known to start MARGIN bytes or more before the end, or the first: all before it stay as they are."""
+        for most in (64, len(ids)):  # nearly always a near one
+            tail = ids[-most:]
+            places = self._places(tail)
+            known = np.flatnonzero(self.opens[tail] & (places[:-1] <= places[-1] - MARGIN))
+            if len(known):
+                return len(ids) - len(tail) + int(known[-1])
+        return 0
+
+    def join(self, pieces: list[np.ndarray]) -> np.ndarray:
         """The ids of the text that these pieces make up one after the other.
 
         What is encoded again grows to at least twice its size before the next try, so that a word of any length costs
         time in proportion to its own.
         """
-        queue = deque(p for p in pieces if len(p[0]))
+        queue = deque(p for p in pieces if len(p))
         if not queue:
             return np.empty(0, dtype=self.dtype)
         out = []
-        ids, starts = queue.popleft()
+        ids = queue.popleft()
         while queue:
-            at = self._settled(ids, starts)
+            at = self._settled(ids)
             out.append(ids[:at])
             tail = self.bytes(ids[at:])
             while True:
-                window, begin, piece, cut = self._widened(tail, queue)
-                new, new_starts = self.encode(window)
+                window, begin, piece, rest = self._widened(tail, queue)
+                new = self.encode(window)
                 if not queue:
                     return np.concatenate([*out, new])
-                places, own = self._places(new), begin + self._places(piece[0])
-                limit = len(window) - MARGIN
-                both = np.intersect1d(places[:-1][new_starts], own[:-1][piece[1]], assume_unique=True)
-                both = both[(both >= begin) & (both <= limit)]
+                places, own = self._places(new), begin + self._places(piece)
+                mine, its = places[:-1][self.opens[new]], own[:-1][self.opens[piece]]
+                mine = mine[(mine >= begin) & (mine <= len(window) - MARGIN)]
+                both = mine[np.isin(mine, its, assume_unique=True)]
                 if len(both):
                     out.append(new[: np.searchsorted(places, both[0])])
-                    at = int(np.searchsorted(own, both[0]))
-                    ids, starts = piece[0][at:], piece[1][at:]
-                    if cut:
-                        queue.popleft()  # the rest of the same piece
+                    ids = piece[int(np.searchsorted(own, both[0])) :]
+                    if rest is not None:
+                        queue.popleft()
+                        ids = np.concatenate([ids, rest])
                     break
-                at = self._settled(new, new_starts)
+                at = self._settled(new)
                 out.append(new[:at])
                 tail = self.bytes(new[at:])
         return np.concatenate([*out, ids])
 
-    def _widened(self, tail: bytes, queue: deque[Piece]) -> tuple[bytes, int, Piece, bool]:
-        """The tail and at least as much again of the queue; where its last piece begins, that piece, and whether a rest of it is left."""
+    def _widened(self, tail: bytes, queue: deque[np.ndarray]) -> tuple[bytes, int, np.ndarray, np.ndarray | None]:
+        """The tail and at least as much again of the queue; where its last piece begins, what is taken of that, and the rest of it, which stays first in the queue."""
         want, parts, size = max(REPAIR, len(tail)), [tail], len(tail)
         while True:
-            ids, starts = queue.popleft()
-            places = self._places(ids)
-            begin, total = size, int(places[-1])
-            beyond = np.flatnonzero(starts & (places[:-1] >= want)) if want < total else ()
+            ids = queue.popleft()
+            head = ids[: want + 512]  # an id has a byte at least
+            places = self._places(head)
+            beyond = np.flatnonzero(self.opens[head] & (places[:-1] >= want))
             if len(beyond):
                 k = int(beyond[0])
-                queue.appendleft((ids[k:], starts[k:]))
-                return b"".join([*parts, self.bytes(ids[:k])]), begin, (ids, starts), True
-            parts.append(self.bytes(ids))
-            size, want = size + total, want - total
+                queue.appendleft(ids[k:])
+                return b"".join([*parts, self.bytes(ids[:k])]), size, ids[:k], ids[k:]
+            text = self.bytes(ids)
+            parts.append(text)
+            begin, size, want = size, size + len(text), want - len(text)
             if want <= 0 or not queue:
-                return b"".join(parts), begin, (ids, starts), False
+                return b"".join(parts), begin, ids, None
+
+    def text(self, parts: list[tuple[bool, np.ndarray]]) -> np.ndarray:
+        """The ids of a text in parts (hard, ids), where a hard one is an added token, which no word crosses."""
+        out, run = [], []
+        for hard, ids in parts:
+            if hard:
+                out += [self.join(run), ids]
+                run = []
+            else:
+                run.append(ids)
+        return np.concatenate([*out, self.join(run)])
 
 
 # -- chunks -------------------------------------------------------------------------------------------------------
@@ -245,7 +306,7 @@ def _map_place(digest: bytes) -> int:
 class _Repeated:
     """Which chunks may be repeated (`bits`), and the pieces of the hottest (`hot`)."""
 
-    def __init__(self, bits: np.ndarray, hot: dict[bytes, tuple[bytes, bytes]]):
+    def __init__(self, bits: np.ndarray, hot: dict[bytes, bytes]):
         self.bits, self.hot = bits.tobytes(), hot
 
     def __contains__(self, digest: bytes) -> bool:
@@ -258,10 +319,6 @@ def _halves(digests: list[bytes]) -> list[pa.Array]:
     return [pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)]
 
 
-def _pack(piece: Piece) -> tuple[bytes, bytes]:
-    return piece[0].tobytes(), np.packbits(piece[1]).tobytes()
-
-
 # -- the corpus ---------------------------------------------------------------------------------------------------
 
 
@@ -269,7 +326,7 @@ def _counts(texts: DataFrame, raw: Shared) -> DataFrame:
     """Every chunk and how often it occurs: hi, lo, n. Each task counts a batch before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(raw.value)
+        vocabulary = raw.value
         for batch in batches:
             seen = Counter(p[0] for _, parts in chunks_of(batch.column(0), vocabulary.special) for p in parts if type(p) is tuple)
             yield pa.RecordBatch.from_arrays([*_halves(list(seen)), pa.array(seen.values(), pa.int64())], ["hi", "lo", "n"])
@@ -288,10 +345,10 @@ def _map_of(repeated: DataFrame) -> np.ndarray:
 
 
 def _dictionary(texts: DataFrame, raw: Shared, repeated: Shared) -> DataFrame:
-    """hi, lo, ids, starts of every chunk that the map takes for repeated, each encoded once."""
+    """hi, lo, ids of every chunk that the map takes for repeated, each encoded once."""
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, known = Vocabulary(raw.value), repeated.value
+        vocabulary, known = raw.value, repeated.value
         for batch in batches:
             found = {p[0]: p[1] for _, parts in chunks_of(batch.column(0), vocabulary.special) for p in parts if type(p) is tuple and p[0] in known}
             yield pa.RecordBatch.from_arrays([*_halves(list(found)), pa.array(found.values(), pa.binary())], ["hi", "lo", "chunk"])
@@ -300,36 +357,15 @@ def _dictionary(texts: DataFrame, raw: Shared, repeated: Shared) -> DataFrame:
         codec = None
         for batch in batches:
             codec = codec or Codec(raw.value)
-            made = [_pack(codec.encode(c.as_py())) for c in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[k] for m in made], pa.binary()) for k in (0, 1))], ["hi", "lo", "ids", "starts"])
+            made = [codec.encode(c.as_py()).tobytes() for c in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(made, pa.binary())], ["hi", "lo", "ids"])
 
     once = texts.mapInArrow(candidates, "hi long, lo long, chunk binary").groupBy("hi", "lo").agg(F.first("chunk").alias("chunk"))
-    return once.mapInArrow(encoded, "hi long, lo long, ids binary, starts binary")
-
-
-class _Assembler:
-    """Puts the parts of a text together: (hard, piece) in order, where a hard part is an added token that no word crosses."""
-
-    def __init__(self, codec: Codec):
-        self.codec = codec
-
-    def unpack(self, ids: bytes, starts: bytes) -> Piece:
-        got = np.frombuffer(ids, dtype=self.codec.dtype)
-        return got, np.unpackbits(np.frombuffer(starts, dtype=np.uint8), count=len(got)).astype(bool)
-
-    def text(self, parts: list[tuple[bool, Piece]]) -> np.ndarray:
-        out, run = [], []
-        for hard, piece in parts:
-            if hard:
-                out += [self.codec.join(run), piece[0]]
-                run = []
-            else:
-                run.append(piece)
-        return np.concatenate([*out, self.codec.join(run)])
+    return once.mapInArrow(encoded, "hi long, lo long, ids binary")
 
 
 _OUT = "doc_id long, ids array<int>"
-_PARTS = "_key long, _seq long, doc_id long, hi long, lo long, ref boolean, hard boolean, ids binary, starts binary"
+_PARTS = "_key long, _seq long, doc_id long, hi long, lo long, ref boolean, hard boolean, ids binary"
 
 
 class _Rows:
@@ -352,47 +388,36 @@ class _Rows:
         return out
 
 
-def _whole(docs: DataFrame, raw: Shared, repeated: Shared) -> DataFrame:
+def _whole(docs: DataFrame, vocabulary: Shared, repeated: Shared) -> DataFrame:
     """Texts that need no entry but those every task has, encoded where they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, rows = None, _Rows()
         for batch in batches:
             if codec is None:
-                codec, known = Codec(raw.value), repeated.value
-                build = _Assembler(codec)
-            plain: list[tuple[int | None, bytes]] = []
+                codec, known = Codec(vocabulary.value), repeated.value
             ids = batch.column(0)
-            for row, parts in chunks_of(batch.column(1), codec.special):
-                kinds = [type(p) is tuple and (p[0] in known.hot or p[0] in known) for p in parts]
-                if any(k and p[0] not in known.hot for k, p in zip(kinds, parts, strict=True)):
+            for row, parts in chunks_of(batch.column(1), codec.known.special):
+                if _refers(parts, known):
                     continue  # _parts takes it
-                doc = ids[row].as_py()
-                if len(plain) > 255:
-                    yield from _flushed(plain, codec, rows)
-                if not any(kinds) and not any(type(p) is bytes for p in parts):
-                    plain.append((doc, b"".join(p[1] for p in parts)))
-                elif rows.add(doc, build.text(list(_runs(parts, known, codec, build)))):
+                if rows.add(ids[row].as_py(), codec.text(list(_runs(parts, known, codec)))):
                     yield rows.batch()
-            yield from _flushed(plain, codec, rows)
         if rows.docs:
             yield rows.batch()
 
     return docs.mapInArrow(run, _OUT)
 
 
-def _flushed(plain: list[tuple[int | None, bytes]], codec: Codec, rows: _Rows) -> Iterator[pa.RecordBatch]:
-    for (doc, _), ids in zip(plain, codec.plain([text for _, text in plain]), strict=True):
-        if rows.add(doc, ids):
-            yield rows.batch()
-    plain.clear()
+def _refers(parts: list, known: _Repeated) -> bool:
+    """Whether a text has a repeated chunk that the dictionary alone has."""
+    return any(type(p) is tuple and p[0] in known and p[0] not in known.hot for p in parts)
 
 
-def _runs(parts: list, known: _Repeated, codec: Codec, build: _Assembler) -> Iterator[tuple[bool, Piece | bytes]]:
-    """(hard, piece) of each added token, repeated chunk (its digest, if only the dictionary has it) and run of other chunks."""
+def _runs(parts: list, known: _Repeated, codec: Codec) -> Iterator[tuple[bool, np.ndarray | bytes]]:
+    """(hard, ids) of each added token, repeated chunk (its digest, if only the dictionary has it) and run of other chunks."""
     own: list[bytes] = []
 
-    def take() -> Iterator[tuple[bool, Piece]]:
+    def take() -> Iterator[tuple[bool, np.ndarray]]:
         if own:
             yield False, codec.encode(b"".join(own))
             own.clear()
@@ -400,10 +425,10 @@ def _runs(parts: list, known: _Repeated, codec: Codec, build: _Assembler) -> Ite
     for p in parts:
         if type(p) is bytes:
             yield from take()
-            yield True, (np.array([codec.specials[p]], dtype=codec.dtype), np.ones(1, dtype=bool))
+            yield True, np.array([codec.known.specials[p]], dtype=codec.dtype)
         elif (entry := known.hot.get(p[0])) is not None:
             yield from take()
-            yield False, build.unpack(*entry)
+            yield False, np.frombuffer(entry, dtype=codec.dtype)
         elif p[0] in known:
             yield from take()
             yield False, p[0]
@@ -412,7 +437,7 @@ def _runs(parts: list, known: _Repeated, codec: Codec, build: _Assembler) -> Ite
     yield from take()
 
 
-def _parts(docs: DataFrame, raw: Shared, repeated: Shared) -> DataFrame:
+def _parts(docs: DataFrame, vocabulary: Shared, repeated: Shared) -> DataFrame:
     """The other texts in parts: each a reference to the dictionary (hi, lo) or ids of its own, numbered by _seq.
 
     Rows are told apart by partition and place in it, so that repeated and null ids do no harm. Parts with ids of their own
@@ -423,21 +448,19 @@ def _parts(docs: DataFrame, raw: Shared, repeated: Shared) -> DataFrame:
         codec, key = None, TaskContext.get().partitionId() << 40
         for batch in batches:
             if codec is None:
-                codec, known = Codec(raw.value), repeated.value
-                build = _Assembler(codec)
+                codec, known = Codec(vocabulary.value), repeated.value
             out: list[tuple] = []
             size, ids = 0, batch.column(0)
-            for row, parts in chunks_of(batch.column(1), codec.special):
-                if not any(type(p) is tuple and p[0] not in known.hot and p[0] in known for p in parts):
+            for row, parts in chunks_of(batch.column(1), codec.known.special):
+                if not _refers(parts, known):
                     continue
                 doc, key = ids[row].as_py(), key + 1
-                for seq, (hard, piece) in enumerate(_runs(parts, known, codec, build)):
+                for seq, (hard, piece) in enumerate(_runs(parts, known, codec)):
                     if type(piece) is bytes:
-                        out.append((key, seq, doc, *struct.unpack("<qq", piece), True, False, None, None))
+                        out.append((key, seq, doc, *struct.unpack("<qq", piece), True, False, None))
                     else:
-                        packed = _pack(piece)
-                        out.append((key, seq, doc, key * 0x9E3779B97F4A7C1 % (1 << 63), seq, False, hard, *packed))
-                        size += len(packed[0])
+                        out.append((key, seq, doc, key * 0x9E3779B97F4A7C1 % (1 << 63), seq, False, hard, piece.tobytes()))
+                        size += piece.nbytes
                 if size > 1 << 21 or len(out) > 1 << 15:
                     yield _parts_batch(out)
                     out, size = [], 0
@@ -447,30 +470,30 @@ def _parts(docs: DataFrame, raw: Shared, repeated: Shared) -> DataFrame:
 
 
 def _parts_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()] * 2
+    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.binary()]
     names = [x.split()[0] for x in _PARTS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
 
-def _assembled(parts: DataFrame, dictionary: DataFrame, raw: Shared) -> DataFrame:
+def _assembled(parts: DataFrame, dictionary: DataFrame, vocabulary: Shared) -> DataFrame:
     """Parts meet the dictionary, come together by text in order, and are joined as they stream by."""
-    entry = dictionary.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("ids").alias("_ids"), F.col("starts").alias("_starts"))
+    entry = dictionary.select(F.col("hi").alias("_hi"), F.col("lo").alias("_lo"), F.col("ids").alias("_ids"))
     met = parts.join(entry, F.col("ref") & (F.col("hi") == F.col("_hi")) & (F.col("lo") == F.col("_lo")), "left")
-    met = met.select("_key", "_seq", "doc_id", "hard", F.coalesce("ids", "_ids").alias("ids"), F.coalesce("starts", "_starts").alias("starts"))
+    met = met.select("_key", "_seq", "doc_id", "hard", F.coalesce("ids", "_ids").alias("ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        build, rows, last, run = None, _Rows(), None, []
+        codec, rows, last, run = None, _Rows(), None, []
         for batch in batches:
-            build = build or _Assembler(Codec(raw.value))
-            for key, doc, hard, ids, starts in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4, 5)), strict=True):
+            codec = codec or Codec(vocabulary.value)
+            for key, doc, hard, ids in zip(*(batch.column(k).to_pylist() for k in (0, 2, 3, 4)), strict=True):
                 if last is not None and key != last[0]:
-                    full, run = rows.add(last[1], build.text(run)), []
+                    full, run = rows.add(last[1], codec.text(run)), []
                     if full:
                         yield rows.batch()
                 last = key, doc
-                run.append((hard, build.unpack(ids, starts)))
+                run.append((hard, np.frombuffer(ids, dtype=codec.dtype)))
         if last is not None:
-            rows.add(last[1], build.text(run))
+            rows.add(last[1], codec.text(run))
             yield rows.batch()
 
     return met.repartition("_key").sortWithinPartitions("_key", "_seq").mapInArrow(run, _OUT)
@@ -496,19 +519,19 @@ def encode(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     rows = dictionary.join(F.broadcast(often), ["hi", "lo"]).collect()  # fewer than HOT
     tables.drop(seen)
     repeated.forget()
-    repeated = Shared(spark, _Repeated(bits, {struct.pack("<qq", r["hi"], r["lo"]): (bytes(r["ids"]), bytes(r["starts"])) for r in rows}))
+    repeated = Shared(spark, _Repeated(bits, {struct.pack("<qq", r["hi"], r["lo"]): bytes(r["ids"]) for r in rows}))
     return _whole(docs, raw, repeated).unionByName(_assembled(_parts(docs, raw, repeated), dictionary, raw))
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """The texts of (doc_id, ids): doc_id, text. Special tokens stay; bytes that are no UTF-8 become U+FFFD; null ids give null.
 
-    An id that the vocabulary lacks raises an error.
+    A negative id, or one that the vocabulary lacks, raises an error.
     """
     raw = Shared(encoded.sparkSession, read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Vocabulary(raw.value)
+        known = raw.value
         for batch in batches:
             texts = [None if ids is None else known.text(ids) for ids in _id_rows(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.large_string()).cast(pa.string())], ["doc_id", "text"])
@@ -519,6 +542,8 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 def _id_rows(column: pa.Array) -> Iterator[np.ndarray | None]:
     values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
     for null, a, b in zip(column.is_null().to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        if not null and a < b and values[a:b].min() < 0:
+            raise ValueError("an id is negative")
         yield None if null else values[a:b]
 
 
@@ -527,7 +552,7 @@ def digests(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     raw = Shared(encoded.sparkSession, read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sha = Vocabulary(raw.value), lambda data: hashlib.sha256(data).hexdigest()
+        known, sha = raw.value, lambda data: hashlib.sha256(data).hexdigest()
         for batch in batches:
             made = [(len(ids), sha(ids.astype("<u4").tobytes()), sha(known.text(ids).encode())) for ids in _id_rows(batch.column(1))]
             columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate((pa.int64(), pa.string(), pa.string()))]

@@ -40,6 +40,14 @@ def test_joins_of_any_pieces_are_repaired(library):
         assert codec.join(pieces).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_characters_that_the_encoders_see_differently_go_to_the_library(library):
+    vocabulary = bpe_codec.read_vocabulary()
+    codec, odd = bpe_codec.Codec(vocabulary), "".join(c for c in map(chr, range(0x300, 1 << 16)) if vocabulary.odd.match(c))
+    assert vocabulary.ranked and vocabulary.odd.match("\U0001f642") and not vocabulary.odd.match("é")
+    for text in (odd, " ".join(odd), "a".join(odd), "𐄀 𞤀x " * 20, "".join(map(chr, range(0x20, 0x3000)))):
+        assert codec.encode(text.encode()).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_long_words_cost_time_in_proportion(library):
     codec = bpe_codec.Codec(bpe_codec.read_vocabulary())
     for text in ("ab" * 300_000, " " * 400_000):
