@@ -6,6 +6,7 @@ includes the current one. NaN must not occur in the data: null stands for what i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -67,32 +68,47 @@ STRETCH_ROWS, COUNTED_US = 4_096, 3_600_000_000
 COUNTED_ROWS = 100_000
 
 
-def with_row_halo(df: DataFrame, s: Series, rows: int) -> tuple[DataFrame, Series]:
-    """Cut a series into stretches of some thousand rows, so that frames of up to `rows` rows need no task with a whole entity.
+def cut_places(df: DataFrame, s: Series) -> tuple[DataFrame, DataFrame, int]:
+    """Where stretches of STRETCH_ROWS rows begin: the rows with (_cut_key, _cut_at); for each such pair the number of rows before it
+    and in it, and the stretch in which it begins (_cut_key, _cut_at, _cut_before, _cut_n, _cut_first); and how many pairs there are.
 
     Rows are counted by entity and hour (or less, where an hour has more rows than a stretch), so that it is known how many
-    lie before each hour. A row goes to the stretch in which its hour begins and to those that begin less than `rows` rows
-    after its hour: two or three copies, however dense the rows. The order has to agree with the time. Compute the windows
-    over the Series that comes back, then keep the rows with `_own`.
+    lie before each hour. The order has to agree with the time.
     """
     key, width = F.coalesce(F.xxhash64(*s.by), F.lit(0)), COUNTED_US
     while True:
         at = F.coalesce(F.floor(F.col(s.micros) / width), F.lit(-(1 << 60)))
-        counts = df.groupBy(key.alias("_key"), at.alias("_at")).agg(F.count(F.lit(1)).alias("_n"))
-        size = counts.agg(F.count(F.lit(1)).alias("cuts"), F.max("_n").alias("most")).first()
+        counts = df.groupBy(key.alias("_cut_key"), at.alias("_cut_at")).agg(F.count(F.lit(1)).alias("_cut_n"))
+        size = counts.agg(F.count(F.lit(1)).alias("cuts"), F.max("_cut_n").alias("most")).first()
         if (size["most"] or 0) <= STRETCH_ROWS or width == 1:
             break
         width = max(1, width * STRETCH_ROWS // (2 * size["most"]))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("_key").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = F.coalesce(F.sum("_cut_n").over(Window.partitionBy("_cut_key").orderBy("_cut_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # entities whose keys collide are counted as one, which moves the cuts and no result
-    after = before + F.col("_n")
+    cuts = counts.withColumn("_cut_before", before).withColumn("_cut_first", F.floor(F.col("_cut_before") / STRETCH_ROWS))
+    return df.withColumns({"_cut_key": key, "_cut_at": at}), cuts, size["cuts"]
+
+
+def with_row_halo(df: DataFrame, s: Series, rows: int, ahead: int = 0) -> tuple[DataFrame, Series]:
+    """Cut a series into stretches of some thousand rows, so that frames of up to `rows` rows, and of `ahead` rows after the
+    current one, need no task with a whole entity.
+
+    A row goes to the stretch in which its hour begins (see cut_places), to those that begin less than `rows` rows after its
+    hour, and to those that end less than `ahead` rows before it: two to four copies, however dense the rows. Compute the
+    windows over the Series that comes back, then keep the rows with `_own`.
+    """
+    placed, cuts, n = cut_places(df, s)
     chunk = lambda place: F.floor(place / STRETCH_ROWS)
-    cuts = counts.select("_key", "_at", chunk(before).alias("_first"), F.sequence(chunk(after), chunk(after + max(0, rows - 2))).alias("_later"))
-    if size["cuts"] <= COUNTED_ROWS:
+    after = F.col("_cut_before") + F.col("_cut_n")
+    others = [F.sequence(chunk(after), chunk(after + max(0, rows - 2)))]
+    if ahead:  # a stretch may have rows of the next one's places, up to its own length
+        others.append(F.sequence(F.greatest(chunk(F.col("_cut_before") - ahead) - 1, F.lit(0)), F.col("_cut_first")))
+    cuts = cuts.select("_cut_key", "_cut_at", "_cut_first", F.array_union(F.array("_cut_first"), F.array_union(*others) if ahead else others[0]).alias("_cut_all"))
+    if n <= COUNTED_ROWS:
         cuts = F.broadcast(cuts)
-    out = df.withColumns({"_key": key, "_at": at}).join(cuts, ["_key", "_at"])
-    out = out.withColumn("_chunk", F.explode(F.array_union(F.array("_first"), F.col("_later")))).withColumn("_own", F.col("_chunk") == F.col("_first"))
-    return out.drop("_key", "_at", "_first", "_later"), Series((*s.by, "_chunk"), s.order, s.micros)
+    out = placed.join(cuts, ["_cut_key", "_cut_at"])
+    out = out.withColumn("_chunk", F.explode("_cut_all")).withColumn("_own", F.col("_chunk") == F.col("_cut_first"))
+    return out.drop("_cut_key", "_cut_at", "_cut_first", "_cut_all"), Series((*s.by, "_chunk"), s.order, s.micros)
 
 
 def order_statistics(df: DataFrame, s: Series, columns: dict[str, tuple[str, int, int, str | float]]) -> DataFrame:
@@ -200,10 +216,6 @@ def difference(x: Column, s: Series, n: int = 1) -> Column:
     return x - F.lag(x, n).over(s.window)
 
 
-def expanding_mean(x: Column, s: Series) -> Column:
-    return F.avg(x).over(s.past())
-
-
 def shifted_mean(x: Column, s: Series, n: int, least: int) -> Column:
     """Mean of the n rows before this one."""
     w = s.rows(n, -1)
@@ -221,21 +233,6 @@ def centred_max(x: Column, s: Series, n: int = 20) -> Column:
     return enough(x, w, n, F.max(x).over(w))
 
 
-def counter_rate(x: Column, s: Series, default_seconds: float = 300.0) -> Column:
-    """Rise of a counter a second: falls give 0, the first row 0. Of equal times the next step that isn't 0 counts."""
-    step = (F.col(s.micros) - F.lag(s.micros, 1).over(s.window)) / 1e6
-    return F.greatest(F.coalesce(difference(x, s), F.lit(0.0)), F.lit(0.0)) / F.coalesce(_next_step(s, step), F.lit(default_seconds))
-
-
-def _next_step(s: Series, step: Column) -> Column:
-    """This row's step, or, if it is null or 0, the first later one that isn't. Needs no window over a window.
-
-    The later steps start from the next later time, so the next distinct time after the row before tells them.
-    """
-    later = Window.partitionBy(*s.by).orderBy(s.micros).rangeBetween(1, Window.unboundedFollowing)
-    return F.when(step > 0, step).otherwise((F.min(s.micros).over(later) - F.col(s.micros)) / 1e6)
-
-
 def deadband(flag: Column, s: Series, n: int) -> Column:
     """Whether the last n rows are all flagged; never with fewer than n rows."""
     return F.coalesce(F.sum(flag.cast("int")).over(s.rows(n)) >= n, F.lit(False))
@@ -245,44 +242,26 @@ def rising_edge(flag: Column, s: Series) -> Column:
     return F.coalesce(flag, F.lit(False)) & ~F.coalesce(F.lag(flag).over(s.window), F.lit(False))
 
 
-def fill_both(x: Column, s: Series) -> Column:
-    """The last value so far, or else the first one to come."""
-    return F.coalesce(F.last(x, ignorenulls=True).over(s.past()), F.first(x, ignorenulls=True).over(s.future()))
-
-
-def interpolate(x: Column, s: Series) -> Column:
-    """Linear in time between the values around a gap; the last value after the end, null before the first."""
-    us = F.col(s.micros)
-    known = F.when(x.isNotNull(), us)
-    x0, x1 = F.last(x, ignorenulls=True).over(s.past()), F.first(x, ignorenulls=True).over(s.future())
-    t0, t1 = F.last(known, ignorenulls=True).over(s.past()), F.first(known, ignorenulls=True).over(s.future())
-    between = x0 + (x1 - x0) * ((us - t0) / F.when(t1 > t0, t1 - t0))
-    return F.when(x.isNotNull(), x).otherwise(F.coalesce(between, x0))
-
-
 #: 0.75 ** 130 is below double precision, so this many rows carry an EWMA with alpha 0.25 whole.
 EWMA_ROWS = 130
 
 
+def ewma_rows(alpha: float) -> int:
+    """How many rows carry an EWMA whole in double precision."""
+    return max(EWMA_ROWS, math.ceil(math.log(6e-17) / math.log(1 - alpha)))
+
+
 def ewma(x: Column, s: Series, alpha: float = 0.25, rows: int | None = None) -> Column:
     """y0 = x0, y = alpha x + (1 - alpha) y', folded over a frame long enough to be exact in double precision."""
-    import math
-
-    rows = rows or max(EWMA_ROWS, math.ceil(math.log(6e-17) / math.log(1 - alpha)))
+    rows = rows or ewma_rows(alpha)
     values = F.collect_list(x).over(s.rows(rows))
     rest = F.slice(values, F.lit(2), F.greatest(F.size(values) - 1, F.lit(0)))
     return F.aggregate(rest, F.get(values, F.lit(0)), lambda y, v: F.lit(alpha) * v + F.lit(1 - alpha) * y)
 
 
-def cusum(running: Column, s: Series) -> Column:
-    """max(0, S' + d) from 0, where `running` is the running sum of d: the sum less its least value so far (or 0)."""
-    return running - F.least(F.lit(0.0), F.min(running).over(s.past()))
-
-
-def ramp(s: Series, low: float = 0.8, high: float = 1.0) -> Column:
+def ramp(row: Column, rows: Column, low: float = 0.8, high: float = 1.0) -> Column:
     """From low to high in even steps over the entity's rows."""
-    n = F.count(F.lit(1)).over(s.whole())
-    return F.lit(low) + F.lit(high - low) * (F.row_number().over(s.window) - 1) / F.greatest(n - 1, F.lit(1))
+    return F.lit(low) + F.lit(high - low) * (row - 1) / F.greatest(rows - 1, F.lit(1))
 
 
 def slope_ahead(x: Column, s: Series, rows: int = 12, horizon: int = 6) -> Column:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scans import HeldSince, scan
+from ..functions.windows import Series
 from .joins import bucket_of, time_buckets
 
 #: What the taxonomy calls each metric, for the mode that means it.
@@ -87,11 +89,7 @@ def hourly_volume(raw: DataFrame) -> DataFrame:
 
 def alert_states(df: DataFrame, by: str | list[str], flag: Column, hold_seconds: float | Column) -> DataFrame:
     """inactive, pending, firing: a flag must hold for a time; any other value starts it anew."""
-    w = Window.partitionBy(*([by] if isinstance(by, str) else by)).orderBy("us", "event_id")
-    past = w.rowsBetween(Window.unboundedPreceding, 0)
+    series = Series((by,) if isinstance(by, str) else tuple(by), ("us", "event_id"))
     hold = (hold_seconds if isinstance(hold_seconds, Column) else F.lit(float(hold_seconds))) * F.lit(1_000_000)
-    marked = df.withColumn("_flag", F.coalesce(flag, F.lit(False)))
-    marked = marked.withColumn("_start", F.when(F.col("_flag") & ~F.coalesce(F.lag("_flag").over(w), F.lit(False)), F.col("us")))
-    marked = marked.withColumn("since_us", F.when(F.col("_flag"), F.last("_start", ignorenulls=True).over(past)))
-    state = F.when(~F.col("_flag"), "inactive").when(F.col("us") - F.col("since_us") >= hold, "firing").otherwise("pending")
-    return marked.withColumn("state", state).drop("_flag", "_start")
+    state = F.when(F.col("since_us").isNull(), "inactive").when(F.col("us") - F.col("since_us") >= hold, "firing").otherwise("pending")
+    return scan(df, series, {"since_us": HeldSince(flag)}).withColumn("state", state)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON
-from ..functions.windows import MAD_SCALE, Series, cusum, deadband, ewma, own_rows, rising_edge, roll_mean, roll_order, roll_std, with_row_halo
+from ..functions.scans import Cusum, RunNumber, scan
+from ..functions.windows import MAD_SCALE, Series, deadband, ewma, ewma_rows, own_rows, rising_edge, roll_mean, roll_order, roll_std, with_row_halo
 
 #: Which way each metric of the multi-port chain may be out of line.
 DIRECTIONS = {"traffic_total": "both", "error_rate": "high", "discard_rate": "high", "broadcast_total": "high", "avg_packet_size": "both"}
@@ -75,11 +76,13 @@ def spc_charts(df: DataFrame, s: Series, x: str, baseline: DataFrame, lam: float
     joined = df.join(baseline, list(s.by))
     mu, sigma = F.col(f"{x}_mu"), F.coalesce(F.col(f"{x}_sigma"), F.lit(0.0))
     floor = F.greatest(sigma, F.lit(1e-12))
-    out = joined.withColumns({"ucl": mu + 3 * sigma, "lcl": F.greatest(mu - 3 * sigma, F.lit(0.0)), "ewma": ewma(F.col(x), s, lam), "ewma_ucl": mu + 3 * sigma * (lam / (2 - lam)) ** 0.5, "_run": F.sum(F.col(x) - mu - 0.5 * floor).over(s.past()), "cusum_h": 5 * floor})
-    out = out.withColumn("cusum", cusum(F.col("_run"), s))
+    cut, stretch = with_row_halo(joined, s, ewma_rows(lam))
+    smooth = own_rows(cut.withColumn("ewma", ewma(F.col(x), stretch, lam)))
+    out = scan(smooth, s, {"cusum": Cusum(F.col(x) - mu - 0.5 * floor)})
+    out = out.withColumns({"ucl": mu + 3 * sigma, "lcl": F.greatest(mu - 3 * sigma, F.lit(0.0)), "ewma_ucl": mu + 3 * sigma * (lam / (2 - lam)) ** 0.5, "cusum_h": 5 * floor})
     flags = {"shewhart": F.col(x) > F.col("ucl"), "ewma_flag": F.col("ewma") > F.col("ewma_ucl"), "cusum_flag": F.col("cusum") > F.col("cusum_h")}
     out = out.withColumns({k: yes(v) for k, v in flags.items()})
-    return out.withColumn("any_spc", F.col("shewhart") | F.col("ewma_flag") | F.col("cusum_flag")).drop("_run")
+    return out.withColumn("any_spc", F.col("shewhart") | F.col("ewma_flag") | F.col("cusum_flag"))
 
 
 def western_electric(df: DataFrame, s: Series, x: Column, mu: Column, sigma: Column) -> DataFrame:
@@ -104,13 +107,18 @@ def ma_divergence(df: DataFrame, s: Series, x: str, short: int = 6, long: int =
 def onsets(df: DataFrame, s: Series, x: str, threshold: float = 3.0) -> DataFrame:
     """The first row of each run of z flags and of each run of change points: by, event_id, us, type, z, severity (high beyond 5 deviations)."""
     z = rolling_z(df, s, x, threshold=threshold)
-    z = z.withColumn("_on", rising_edge(F.col("z_flag"), s)).where("_on")
+    z = _first_of_runs(z, s, F.col("z_flag"))
     z = z.select(*s.by, "event_id", s.micros, F.lit("zscore").alias("type"), "z", F.when(F.abs("z") > 5, "high").otherwise("medium").alias("severity"))
     c = ma_divergence(df, s, x)
-    c = c.withColumn("_on", rising_edge(F.col("change_flag"), s)).where("_on")
+    c = _first_of_runs(c, s, F.col("change_flag"))
     return z.unionByName(c.select(*s.by, "event_id", s.micros, F.lit("changepoint").alias("type"), F.lit(0.0).alias("z"), F.lit("medium").alias("severity")))
 
 
+def _first_of_runs(df: DataFrame, s: Series, flag: Column) -> DataFrame:
+    cut, stretch = with_row_halo(df, s, 2)
+    return own_rows(cut.withColumn("_on", rising_edge(flag, stretch))).where("_on")
+
+
 def threshold_from_start(df: DataFrame, s: Series, x: str, share: float = 0.2, least: int = 10, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Fixed limits for each entity from its first rows (a share of all, `least` at least); out on either side is flagged."""
     counted = df.join(df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("_n")), list(s.by)).withColumn("_rn", F.row_number().over(s.window))
@@ -143,9 +151,8 @@ def deadband_sweep(df: DataFrame, s: Series, flag: Column, widths=(1, 2, 3, 5, 8
 
 def runs(df: DataFrame, s: Series, flag: Column) -> DataFrame:
     """Runs of flagged rows: by, run, start_us, end_us, rows, seconds."""
-    marked = df.withColumn("_flag", yes(flag)).withColumn("_before", F.coalesce(F.lag("_flag").over(s.window), F.lit(False)))
-    marked = marked.withColumn("run", F.sum((F.col("_flag") & ~F.col("_before")).cast("long")).over(s.past())).where("_flag")
-    out = marked.groupBy(*s.by, "run").agg(F.min(s.micros).alias("start_us"), F.max(s.micros).alias("end_us"), F.count(F.lit(1)).alias("rows"))
+    out = scan(df, s, {"run": RunNumber(flag)}).where(yes(flag))
+    out = out.groupBy(*s.by, "run").agg(F.min(s.micros).alias("start_us"), F.max(s.micros).alias("end_us"), F.count(F.lit(1)).alias("rows"))
     return out.withColumn("seconds", (F.col("end_us") - F.col("start_us")) / 1e6)
 
 

@@ -10,8 +10,8 @@ from ..functions.windows import Series, own_rows, with_row_halo
 
 def quality_report(df: DataFrame, s: Series, x: str) -> DataFrame:
     """Per entity: rows, nulls, duplicate times, negatives, zeros, gaps unlike the usual step, rows expected at that step."""
-    step = F.col(s.micros) - F.lag(s.micros).over(s.window)
-    marked = df.withColumn("_step", step)
+    cut, stretch = with_row_halo(df, s, 2)
+    marked = own_rows(cut.withColumn("_step", F.col(s.micros) - F.lag(s.micros).over(stretch.window)))
     usual = marked.where("_step is not null").groupBy(*s.by).agg(F.percentile("_step", F.lit(0.5)).alias("_usual"))
     return (
         marked.join(usual, list(s.by), "left")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON, plus_one_div, safe_div
-from ..functions.windows import Series, counter_rate, order_statistics, roll_mean, roll_std, with_row_halo
+from ..functions.scans import counter_rate
+from ..functions.windows import Series, order_statistics, own_rows, roll_mean, roll_std, with_row_halo
 
 #: Statistics of the multi-port chain: an hour is 12 rows, a day 288, and a quarter of a day has to be there.
 HOUR, DAY, DAY_LEAST = 12, 288, 72
@@ -58,7 +59,9 @@ def feature_table(df: DataFrame, s: Series) -> DataFrame:
 
 def counter_rates(df: DataFrame, s: Series, counters: dict[str, str]) -> DataFrame:
     """Per-second rates (new name -> counter), as the single-port chain reads its columns."""
-    return df.withColumns({new: counter_rate(F.col(old).cast("double"), s) for new, old in counters.items()})
+    for new, old in counters.items():
+        df = counter_rate(df.withColumn("_x", F.col(old).cast("double")), s, "_x", new).drop("_x")
+    return df
 
 
 def composites(rx: Column, tx: Column, errors: Column, packets: Column) -> dict[str, Column]:
@@ -67,8 +70,11 @@ def composites(rx: Column, tx: Column, errors: Column, packets: Column) -> dict[
     return {"traffic_total": total, "error_rate": plus_one_div(errors, packets), "tx_ratio": tx / (total + EPSILON)}
 
 
-def lags(x: str, s: Series, steps=(1, 3, 6, 12)) -> dict[str, Column]:
-    return {f"{x}_lag_{n}": F.lag(x, n).over(s.window) for n in steps}
+def lags(df: DataFrame, x: str, s: Series, steps=(1, 3, 6, 12), differences=()) -> DataFrame:
+    """Add <x>_lag_<n>, the value n rows before, and <x>_diff_<n>, the rise since then."""
+    cut, stretch = with_row_halo(df, s, max(*steps, *differences, 1) + 1)
+    back = lambda n: F.lag(x, n).over(stretch.window)
+    return own_rows(cut.withColumns({f"{x}_lag_{n}": back(n) for n in steps} | {f"{x}_diff_{n}": F.col(x) - back(n) for n in differences}))
 
 
 class FeatureRegistry:

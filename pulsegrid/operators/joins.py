@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scans import LastKnown, scan
+from ..functions.windows import Series
+
 WILDCARD = "MULTI"
 #: Intervals are cut into pieces of a day at most, which rows meet by an equality.
 BUCKET_US = 86_400_000_000
@@ -56,15 +59,16 @@ def ties_at(df: DataFrame, us: int) -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, value: str) -> DataFrame:
-    """For each left row (by, us) the value of the last right row at or before it; none: no row.
+    """For each left row (by, us) the value of the last right row at or before it that has one; none: no row.
 
-    Both sides are lined up by one shuffle on `by`; at equal times right rows come first.
+    Both sides are lined up in stretches of time and rows, each of which takes over the last value known before it, so that
+    one long entity spreads over many tasks; at equal times right rows come first. Of right rows of one time the one with
+    the largest value counts.
     """
     a = left.select(*left.columns, F.lit(None).cast("double").alias("_value"), F.lit(1).alias("_side"))
     columns = [F.col(c) if c in (by, "us") else F.lit(None).cast(dict(left.dtypes)[c]).alias(c) for c in left.columns]
     b = right.select(*columns, F.col(value).cast("double").alias("_value"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(by).orderBy("us", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    out = a.unionByName(b).withColumn("matched", F.last("_value", ignorenulls=True).over(w))
+    out = scan(a.unionByName(b), Series((by,), ("us", "_side", "_value")), {"matched": LastKnown(F.col("_value"))})
     return out.where("_side = 1 and matched is not null").drop("_value", "_side")
 
 

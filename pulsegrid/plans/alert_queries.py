@@ -264,8 +264,9 @@ _BEFORE = "(PARTITION BY entity ORDER BY ts, event_id ROWS BETWEEN 60 PRECEDING
 )
 def incident_context(spark, d):
     """Context of high values: baseline of the 60 rows before, multiple of it, a map of statistics, and the signals that agree."""
-    v, before = F.col("value"), S.rows(60, -1)
-    df = detect.rolling_z(ev_series(spark, d), S, "value", threshold=2.0).withColumn("base", W.enough(v, before, 10, F.avg(v).over(before))).where("base is not null and value > 100")
+    cut, s = W.with_row_halo(detect.rolling_z(ev_series(spark, d), S, "value", threshold=2.0), S, 61)
+    v, before = F.col("value"), s.rows(60, -1)
+    df = W.own_rows(cut.withColumn("base", W.enough(v, before, 10, F.avg(v).over(before)))).where("base is not null and value > 100")
     df = df.withColumn("signals", rca.concurrent_signals({"zscore": F.col("z_flag"), "spike": v > 3 * F.col("base"), "level": v > 200}))
     df = df.withColumn("metrics", rca.metric_map({"value": {"baseline_mean": F.col("base"), "event_mean": v}}))
     stats = F.element_at("metrics", "value")

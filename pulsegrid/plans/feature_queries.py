@@ -58,8 +58,9 @@ def workshop_composites(spark, d):
 
 @query(f"WITH {EV_SQL} SELECT entity, event_id, " + ", ".join(f"lag(value, {n}) OVER ({EV_ORDER}) AS value_lag_{n}" for n in (1, 3, 5, 6, 12, 15)) + f", value - lag(value, 6) OVER ({EV_ORDER}) AS diff_6 FROM ev".replace("value - lag(value, 6)", "round(value - lag(value, 6)").replace(") AS diff_6", "), 6) AS diff_6"))
 def lag_features(spark, d):
-    df = ev_series(spark, d)
-    return df.select("entity", "event_id", *(c.alias(n) for n, c in features.lags("value", S, (1, 3, 5, 6, 12, 15)).items()), r6(W.difference(F.col("value"), S, 6)).alias("diff_6"))
+    steps = (1, 3, 5, 6, 12, 15)
+    df = features.lags(ev_series(spark, d), "value", S, steps, (6,))
+    return df.select("entity", "event_id", *(f"value_lag_{n}" for n in steps), r6(F.col("value_diff_6")).alias("diff_6"))
 
 
 @query(

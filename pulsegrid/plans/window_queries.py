@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions import scans
 from ..functions import windows as W
 from ..sources.adapters import EV_SQL, ev_series
 from .base import query, r6
@@ -71,10 +72,11 @@ def range_window_2h(spark, d):
     f"CASE WHEN count(value) OVER ({O} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) >= 20 THEN max(value) OVER ({O} ROWS BETWEEN 10 PRECEDING AND 9 FOLLOWING) END AS centred_max FROM ev"
 )
 def cumulative_and_shifted(spark, d):
-    hits = F.sum((F.col("value") > 60).cast("long")).over(S.past())
-    return ev_series(spark, d).select(
-        "entity", "event_id", r6(W.expanding_mean(F.col("value"), S) + 1e-9).alias("expanding"), hits.alias("hits"), r6(W.shifted_mean(F.col("value"), S, 12, 3)).alias("before_12"), F.lead("value", 6).over(S.window).alias("ahead_6"), W.centred_max(F.col("value"), S).alias("centred_max")
-    )
+    v = F.col("value")
+    df = scans.scan(ev_series(spark, d), S, {"total": scans.RunningSum(v), "n": scans.RunningCount(v), "hits": scans.RunningSum((v > 60).cast("long"))})
+    cut, s = W.with_row_halo(df, S, 13, ahead=10)
+    made = {"expanding": r6(F.col("total") / F.col("n") + 1e-9), "before_12": r6(W.shifted_mean(v, s, 12, 3)), "ahead_6": F.lead("value", 6).over(s.window), "centred_max": W.centred_max(v, s)}
+    return W.own_rows(cut.withColumns(made)).select("entity", "event_id", "expanding", "hits", "before_12", "ahead_6", "centred_max")
 
 
 _EWMA = """num AS (SELECT entity, event_id, value, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM ev),
@@ -83,7 +85,8 @@ rec AS (SELECT entity, event_id, rn, value AS y FROM num WHERE rn = 1 UNION ALL
 
 @query(f"WITH RECURSIVE {EV_SQL}, {_EWMA} SELECT entity, event_id, round(y + 1e-9, 6) AS ewma FROM rec")
 def ewma_series(spark, d):
-    return ev_series(spark, d).select("entity", "event_id", r6(W.ewma(F.col("value"), S) + 1e-9).alias("ewma"))
+    cut, s = W.with_row_halo(ev_series(spark, d), S, W.ewma_rows(0.25))
+    return W.own_rows(cut.withColumn("ewma", r6(W.ewma(F.col("value"), s) + 1e-9))).select("entity", "event_id", "ewma")
 
 
 _CUSUM = """num AS (SELECT entity, event_id, value - 60 AS d, row_number() OVER (PARTITION BY entity ORDER BY ts, event_id) AS rn FROM ev),
@@ -92,8 +95,7 @@ rec AS (SELECT entity, event_id, rn, greatest(0, d) AS c FROM num WHERE rn = 1 U
 
 @query(f"WITH RECURSIVE {EV_SQL}, {_CUSUM} SELECT entity, event_id, round(c, 5) AS cusum, c > 300 AS beyond FROM rec")
 def cusum_series(spark, d):
-    df = ev_series(spark, d).withColumn("run", F.sum(F.col("value") - 60).over(S.past()))
-    df = df.withColumn("c", W.cusum(F.col("run"), S))
+    df = scans.scan(ev_series(spark, d), S, {"c": scans.Cusum(F.col("value") - 60)})
     return df.select("entity", "event_id", r6(F.col("c"), 5).alias("cusum"), (F.col("c") > 300).alias("beyond"))
 
 
@@ -105,7 +107,7 @@ _GAP = "gap AS (SELECT *, CASE WHEN event_id % 4 = 1 THEN NULL ELSE value END AS
 )
 def ffill_bfill(spark, d):
     df = ev_series(spark, d).withColumn("v", F.when(F.col("event_id") % 4 != 1, F.col("value")))
-    return df.select("entity", "event_id", W.fill_both(F.col("v"), S).alias("filled"))
+    return scans.fill_both(df, S, "v", "filled").select("entity", "event_id", "filled")
 
 
 @query(
@@ -116,13 +118,11 @@ def ffill_bfill(spark, d):
 )
 def interpolate_time(spark, d):
     df = ev_series(spark, d).withColumn("v", F.when(F.col("event_id") % 4 != 1, F.col("value")))
-    return df.select("entity", "event_id", r6(W.interpolate(F.col("v"), S)).alias("interpolated"))
+    return scans.interpolate(df, S, "v", "x").select("entity", "event_id", r6(F.col("x")).alias("interpolated"))
 
 
 @query(f"WITH {EV_SQL}, n AS (SELECT entity, event_id, value, row_number() OVER ({O}) AS rn, row_number() OVER (PARTITION BY entity ORDER BY ts DESC, event_id DESC) AS back, count(*) OVER (PARTITION BY entity) AS n FROM ev) SELECT entity, event_id, value, rn, back, round(0.8 + 0.2 * (rn - 1) / greatest(n - 1, 1), 6) AS ramp FROM n WHERE rn <= 5 OR back <= 5")
 def heads_and_tails(spark, d):
-    from pyspark.sql import Window
-
-    back = Window.partitionBy("entity").orderBy(F.col("ts").desc(), F.col("event_id").desc())
-    df = ev_series(spark, d).select("entity", "event_id", "value", F.row_number().over(S.window).cast("long").alias("rn"), F.row_number().over(back).cast("long").alias("back"), r6(W.ramp(S)).alias("ramp"))
-    return df.where("rn <= 5 or back <= 5")
+    df = scans.scan(ev_series(spark, d), S, {"rn": scans.RunningCount(F.lit(1))})
+    df = df.join(df.groupBy("entity").agg(F.max("rn").alias("n")), "entity").withColumn("back", F.col("n") - F.col("rn") + 1)
+    return df.where("rn <= 5 or back <= 5").select("entity", "event_id", "value", "rn", "back", r6(W.ramp(F.col("rn"), F.col("n"))).alias("ramp"))

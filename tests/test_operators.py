@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pulsegrid.functions import columns as C
+from pulsegrid.functions import scans
 from pulsegrid.functions import windows as W
 from pulsegrid.operators import alerts, detect, forecast, iforest, joins, promql, rca
 from pulsegrid.sources import generator, readers, sinks
@@ -53,9 +54,9 @@ def test_safe_division(spark):
 
 
 def test_counter_reset_and_equal_times(spark):
-    assert column(series(spark, [10, 20, 5, 9]).withColumn("r", W.counter_rate(F.col("value"), S)), "r") == pytest.approx([0, 10 / 300, 0, 4 / 300])
+    assert column(scans.counter_rate(series(spark, [10, 20, 5, 9]), S, "value", "r"), "r") == pytest.approx([0, 10 / 300, 0, 4 / 300])
     same = series(spark, [1, 2, 3]).withColumn("us", F.when(F.col("event_id") == 2, 900_000_000).otherwise(0)).withColumn("ts", F.timestamp_micros("us"))
-    assert column(same.withColumn("r", W.counter_rate(F.col("value"), S)), "r")[1] == pytest.approx(1 / 900)
+    assert column(scans.counter_rate(same, S, "value", "r"), "r")[1] == pytest.approx(1 / 900)
 
 
 def test_runs_at_both_ends(spark):
@@ -68,7 +69,7 @@ def test_deadband_needs_all_rows(spark):
 
 
 def test_cusum_below_mean_stays_zero(spark):
-    df = series(spark, [1, 2, 1]).withColumn("run", F.sum(F.col("value") - 5).over(S.past())).withColumn("c", W.cusum(F.col("run"), S))
+    df = scans.scan(series(spark, [1, 2, 1]), S, {"c": scans.Cusum(F.col("value") - 5)})
     assert column(df, "c") == [0.0, 0.0, 0.0]
 
 
