@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON
-from ..functions.scans import Cusum, RunNumber, scan
+from ..functions.scans import Cusum, RunningCount, RunNumber, scan
 from ..functions.windows import MAD_SCALE, Series, deadband, ewma, ewma_rows, own_rows, rising_edge, roll_mean, roll_order, roll_std, with_row_halo
+from .quantiles import quantile_table, with_quantiles
 
 #: Which way each metric of the multi-port chain may be out of line.
 DIRECTIONS = {"traffic_total": "both", "error_rate": "high", "discard_rate": "high", "broadcast_total": "high", "avg_packet_size": "both"}
@@ -121,19 +122,19 @@ def _first_of_runs(df: DataFrame, s: Series, flag: Column) -> DataFrame:
 
 def threshold_from_start(df: DataFrame, s: Series, x: str, share: float = 0.2, least: int = 10, low: float = 0.05, high: float = 0.95) -> DataFrame:
     """Fixed limits for each entity from its first rows (a share of all, `least` at least); out on either side is flagged."""
-    counted = df.join(df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("_n")), list(s.by)).withColumn("_rn", F.row_number().over(s.window))
+    counted = scan(df, s, {"_rn": RunningCount(F.lit(1))}).join(df.groupBy(*s.by).agg(F.count(F.lit(1)).alias("_n")), list(s.by))
     start = counted.where(F.col("_rn") <= F.greatest(F.floor(F.col("_n") * share), F.lit(least)))
-    limits = start.groupBy(*s.by).agg(F.percentile(x, F.lit(low)).alias("limit_low"), F.percentile(x, F.lit(high)).alias("limit_high"))
+    limits = quantile_table(start, list(s.by), {"limit_low": (x, low), "limit_high": (x, high)})
     out = df.join(limits, list(s.by))
     return out.withColumn("threshold_flag", yes((F.col(x) > F.col("limit_high")) | (F.col(x) < F.col("limit_low"))))
 
 
 def outlier_limits(df: DataFrame, x: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """IQR and three-deviation limits in one aggregation."""
-    q1, q3 = F.percentile(x, F.lit(0.25)), F.percentile(x, F.lit(0.75))
-    return df.groupBy(*by).agg(
-        (q1 - 1.5 * (q3 - q1)).alias("iqr_low"), (q3 + 1.5 * (q3 - q1)).alias("iqr_high"), (F.avg(x) - 3 * F.stddev_samp(x)).alias("sd_low"), (F.avg(x) + 3 * F.stddev_samp(x)).alias("sd_high")
-    )
+    """IQR and three-deviation limits, one row for each `by` (one row without)."""
+    sd = df.groupBy(*by).agg((F.avg(x) - 3 * F.stddev_samp(x)).alias("sd_low"), (F.avg(x) + 3 * F.stddev_samp(x)).alias("sd_high"))
+    out = with_quantiles(sd, df, list(by), {"_q1": (x, 0.25), "_q3": (x, 0.75)})
+    q1, q3 = F.col("_q1"), F.col("_q3")
+    return out.select(*by, (q1 - 1.5 * (q3 - q1)).alias("iqr_low"), (q3 + 1.5 * (q3 - q1)).alias("iqr_high"), "sd_low", "sd_high")
 
 
 def cap_extremes(df: DataFrame, x: str, by: tuple[str, ...]) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.windows import Series, own_rows, with_row_halo
+from .quantiles import quantile_table, with_quantiles
 
 
 def quality_report(df: DataFrame, s: Series, x: str) -> DataFrame:
     """Per entity: rows, nulls, duplicate times, negatives, zeros, gaps unlike the usual step, rows expected at that step."""
     cut, stretch = with_row_halo(df, s, 2)
     marked = own_rows(cut.withColumn("_step", F.col(s.micros) - F.lag(s.micros).over(stretch.window)))
-    usual = marked.where("_step is not null").groupBy(*s.by).agg(F.percentile("_step", F.lit(0.5)).alias("_usual"))
+    usual = quantile_table(marked, list(s.by), {"_usual": ("_step", 0.5)})
     return (
         marked.join(usual, list(s.by), "left")
         .groupBy(*s.by)
@@ -30,10 +31,11 @@ def quality_report(df: DataFrame, s: Series, x: str) -> DataFrame:
 
 def shape(df: DataFrame, x: str, by: str) -> DataFrame:
     """Moments and quantiles: skewness and excess kurtosis in population form."""
-    return df.groupBy(by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.percentile(x, F.lit(0.25)).alias("q1"), F.percentile(x, F.lit(0.5)).alias("median"),
-        F.percentile(x, F.lit(0.75)).alias("q3"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), (F.stddev_samp(x) / F.avg(x)).alias("cv"),
-    )
+    moments = df.groupBy(by).agg(
+        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurtosis"), (F.stddev_samp(x) / F.avg(x)).alias("cv")
+    )
+    out = with_quantiles(moments, df, [by], {"q1": (x, 0.25), "median": (x, 0.5), "q3": (x, 0.75)})
+    return out.select(by, "n", "mean", "std", "min", "max", "q1", "median", "q3", "skew", "kurtosis", "cv")
 
 
 def autocorrelation(df: DataFrame, s: Series, x: str, most: int = 60) -> DataFrame:

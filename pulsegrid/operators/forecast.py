@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scans import expanding_mean
 from ..functions.windows import Series, own_rows, roll_mean, shifted_mean, shifted_quantile, slope_ahead, with_row_halo
+from .quantiles import quantile_table
 
 HORIZON = 6
 
@@ -21,7 +22,7 @@ def seasonal_forecast(df: DataFrame, s: Series, x: str, slot: str, seasons: int
 def forecast_band(df: DataFrame, s: Series, x: str) -> DataFrame:
     """The band is the 95 % quantile of the last 24 residuals (6 at least), or that of the whole series."""
     df = df.withColumn("residual", F.abs(F.col(x) - F.col("y_hat")))
-    whole = df.groupBy(*s.by).agg(F.percentile("residual", F.lit(0.95)).alias("_all"), (F.percentile(x, F.lit(0.995)) * 1.15).alias("capacity"))
+    whole = quantile_table(df, list(s.by), {"_all": ("residual", 0.95), "capacity": (x, 0.995)}).withColumn("capacity", F.col("capacity") * 1.15)
     cut, stretch = with_row_halo(df, s, 25)
     df = own_rows(cut.withColumn("band", shifted_quantile(F.col("residual"), stretch, 24, 0.95, 6)))
     df = df.join(whole, list(s.by)).withColumn("band", F.coalesce("band", "_all"))
@@ -47,6 +48,6 @@ def forecast_breach(df: DataFrame, s: Series, x: str) -> DataFrame:
     """Six extrapolated values, and whether any is above the 90 % quantile of the rolling mean of 20."""
     cut, stretch = with_row_halo(df, s, 20)
     df = own_rows(cut.withColumns({"ahead": slope_ahead(F.col(x), stretch), "_mean": roll_mean(F.col(x), stretch, 20, 3)}))
-    limit = df.groupBy(*s.by).agg(F.percentile("_mean", F.lit(0.9)).alias("limit"))
+    limit = quantile_table(df, list(s.by), {"limit": ("_mean", 0.9)})
     out = df.join(limit, list(s.by)).drop("_mean")
     return out.withColumn("peak", F.array_max("ahead")).withColumn("breach", F.exists("ahead", lambda v: v > F.col("limit")))

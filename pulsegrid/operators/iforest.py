@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_zero
 from ..functions.windows import Series, frame_quantile, own_rows, with_halo, with_row_halo
+from .quantiles import quantile_table
 
 TREES, SAMPLE, CONTAMINATION, SEED = 250, 256, 0.035, 42
 
@@ -134,24 +135,24 @@ def score(df: DataFrame, features: Column, model: tuple[list[Tree], int]) -> Dat
 
 def robust_scale(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     """(x - median) / IQR with exact quantiles, as <column>_scaled; an IQR of 0 counts as 1."""
-    q = df.groupBy(*by).agg(*(F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{c}") for c in columns))
+    q = quantile_table(df, by, {f"_q{k}_{c}": (c, (0.25, 0.5, 0.75)[k]) for c in columns for k in range(3)})
     out = df.join(q, by) if by else df.crossJoin(F.broadcast(q))  # without `by` this is one row
     scaled = {}
     for c in columns:
-        lo, mid, hi = (F.get(f"_q_{c}", F.lit(i)) for i in range(3))
+        lo, mid, hi = (F.col(f"_q{k}_{c}") for k in range(3))
         scaled[f"{c}_scaled"] = (F.col(c) - mid) / F.when(hi > lo, hi - lo).otherwise(F.lit(1.0))
-    return out.withColumns(scaled).drop(*(f"_q_{c}" for c in columns))
+    return out.withColumns(scaled).drop(*(f"_q{k}_{c}" for c in columns for k in range(3)))
 
 
 def contributions(df: DataFrame, columns: list[str], chosen: Column, top: int = 15) -> DataFrame:
     """feature, contribution: mean of |x - median| / MAD over the chosen rows, medians over all; a MAD of 0 counts as 1.
 
-    Three passes, each one partial aggregation over all columns at once.
+    Medians and MADs come from selections over all columns at once.
     """
-    mid = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns))
+    mid = quantile_table(df, [], {f"_m_{c}": (c, 0.5) for c in columns})
     df = df.crossJoin(F.broadcast(mid))  # one row
     away = df.withColumns({f"_a_{c}": F.abs(F.col(c) - F.col(f"_m_{c}")) for c in columns})
-    mads = away.agg(*(F.percentile(f"_a_{c}", F.lit(0.5)).alias(f"_d_{c}") for c in columns))
+    mads = quantile_table(away, [], {f"_d_{c}": (f"_a_{c}", 0.5) for c in columns})
     both = away.where(chosen).crossJoin(F.broadcast(mads))  # one row
     means = both.agg(*(F.avg(F.col(f"_a_{c}") / F.when(F.col(f"_d_{c}") > 0, F.col(f"_d_{c}")).otherwise(F.lit(1.0))).alias(c) for c in columns))
     return means.unpivot([], columns, "feature", "contribution").orderBy(F.col("contribution").desc(), "feature").limit(top)

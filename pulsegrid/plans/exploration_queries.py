@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..operators import explore
+from ..operators.quantiles import with_quantiles
 from ..sources.adapters import EV_SQL, ev_series, read
 from .base import query, r6
 
@@ -96,10 +97,12 @@ def histogram_density(spark, d):
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) AS r_price, round(corr(l_discount, l_tax), 6) AS r_tax, round(avg(l_quantity), 6) AS mean_quantity, round(quantile_cont(l_extendedprice, 0.9), 4) AS p90, count(DISTINCT l_suppkey) AS suppliers, round(sum((l_discount > 0.05)::INT) / count(*), 6) AS discount_share FROM lineitem GROUP BY ALL")
 def grouped_statistics(spark, d):
     df = read(spark, d, "lineitem")
-    return df.groupBy("l_returnflag", "l_linestatus").agg(
+    by = ["l_returnflag", "l_linestatus"]
+    summary = df.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), r6(F.corr("l_quantity", "l_extendedprice")).alias("r_price"), r6(F.corr("l_discount", "l_tax")).alias("r_tax"), r6(F.avg("l_quantity")).alias("mean_quantity"),
-        r6(F.percentile("l_extendedprice", F.lit(0.9)), 4).alias("p90"), F.count_distinct("l_suppkey").alias("suppliers"), r6(F.sum((F.col("l_discount") > 0.05).cast("int")) / F.count(F.lit(1))).alias("discount_share"),
+        F.count_distinct("l_suppkey").alias("suppliers"), r6(F.sum((F.col("l_discount") > 0.05).cast("int")) / F.count(F.lit(1))).alias("discount_share"),
     )
+    return with_quantiles(summary, df, by, {"p90": ("l_extendedprice", 0.9)}).withColumn("p90", r6(F.col("p90"), 4))
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -173,8 +176,9 @@ def verdict_report(spark, d):
     n = F.sum(flag.cast("int"))
     numbers = df.groupBy("entity").agg(
         F.corr("value", "l1").alias("acf1"), F.abs(F.corr("value", "l3")).alias("lag3"), F.abs(F.corr("value", "user_id")).alias("c"), F.avg(F.col("m").isNull().cast("int")).alias("warm"), F.avg(flag.cast("int")).alias("alert_share"), (n / ((F.max("us") - F.min("us")) / 3.6e9)).alias("alerts_per_hour"),
-        (150 / F.percentile("value", F.lit(0.95))).alias("thr"), (1 - F.sum(F.col("held").cast("int")) / F.greatest(n, F.lit(1))).alias("db"), (F.max("dv") / F.percentile("dv", F.lit(0.9))).alias("dvr"),
+        F.max("dv").alias("_most"), (1 - F.sum(F.col("held").cast("int")) / F.greatest(n, F.lit(1))).alias("db"),
     )
+    numbers = with_quantiles(numbers, df, ["entity"], {"_p95": ("value", 0.95), "_p90": ("dv", 0.9)}).withColumns({"thr": 150 / F.col("_p95"), "dvr": F.col("_most") / F.col("_p90")})
     names = {"acf_verdict": "acf1", "lag_verdict": "lag3", "correlation_verdict": "c", "warm_up_verdict": "warm", "alert_share_verdict": "alert_share", "alerts_per_hour_verdict": "alerts_per_hour", "threshold_verdict": "thr", "deadband_verdict": "db", "divergence_verdict": "dvr"}
     out = explore.verdicts(numbers, names)
     return out.select("entity", r6(F.col("acf1"), 5).alias("acf1"), r6(F.col("alert_share")).alias("alert_share"), r6(F.col("alerts_per_hour"), 5).alias("alerts_per_hour"), *names)

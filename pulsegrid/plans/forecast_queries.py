@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..operators import forecast
+from ..operators.quantiles import with_quantiles
 from ..sources.adapters import EV_SQL, ev_series
 from .base import query, r6
 
@@ -47,7 +48,9 @@ def capacity_warning(spark, d):
 @query(f"WITH {EV_SQL}, {HOURLY_SQL}, {BAND_SQL} SELECT entity, count(*) AS n, sum(out_of_band::INT)::BIGINT AS anomalies, sum(coalesce(ahead > 0.8 * capacity, false)::INT)::BIGINT AS warnings, round(avg(out_of_band::INT), 6) AS positive_rate, round(quantile_cont(res, 0.9), 4) AS p90_residual FROM o GROUP BY entity")
 def forecast_summary(spark, d):
     n = lambda c: F.sum(F.col(c).cast("long"))
-    return hourly_forecast(spark, d).groupBy("entity").agg(F.count(F.lit(1)).alias("n"), n("out_of_band").alias("anomalies"), n("early_warning").alias("warnings"), r6(F.avg(F.col("out_of_band").cast("int"))).alias("positive_rate"), r6(F.percentile("residual", F.lit(0.9)), 4).alias("p90_residual"))
+    df = hourly_forecast(spark, d)
+    summary = df.groupBy("entity").agg(F.count(F.lit(1)).alias("n"), n("out_of_band").alias("anomalies"), n("early_warning").alias("warnings"), r6(F.avg(F.col("out_of_band").cast("int"))).alias("positive_rate"))
+    return with_quantiles(summary, df, ["entity"], {"p90_residual": ("residual", 0.9)}).withColumn("p90_residual", r6(F.col("p90_residual"), 4))
 
 
 @query(
