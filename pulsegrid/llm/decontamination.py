@@ -8,7 +8,8 @@ are recognised by hashes beforehand, a whole batch at a time, so that the automa
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -167,6 +168,7 @@ def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, np.ndarra
     n = len(words.offsets) - 1
     hits: list[list[tuple[int, int, bool]]] = [[] for _ in range(n)]
     items: list[set[int]] = [set() for _ in range(n)]
+    joined: list[set[int]] = [set() for _ in range(n)]  # which windows' items are in already
     if len(maybe):
         new = np.flatnonzero(np.r_[True, (maybe[1:] > maybe[:-1] + 1) | (text[1:] != text[:-1])])
         for a, b in zip(new, np.r_[new[1:], len(maybe)], strict=True):
@@ -175,7 +177,9 @@ def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, np.ndarra
                 continue
             for at, size, found in auto.spot(words.word(i) for i in range(first, end)):
                 hits[t].append((first + at - size + 1, first + at + 1, size < auto.window))
-                items[t] |= found
+                if id(found) not in joined[t]:
+                    joined[t].add(id(found))
+                    items[t] |= found
     for t in range(n):
         hit = np.zeros(int(words.first[t + 1] - words.first[t]), dtype=bool)
         whole = np.zeros_like(hit)
@@ -183,7 +187,7 @@ def _mark(words: Words, auto: Automaton) -> Iterator[tuple[np.ndarray, np.ndarra
             hit[a - words.first[t] : b - words.first[t]] = True
             if short:
                 whole[a - words.first[t] : b - words.first[t]] = True
-        yield hit, whole, items[t]
+        yield hit, whole, items[t] - {None}
 
 
 def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -191,8 +195,9 @@ def _stretches(hit: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2], edges[1::2], strict=True))
 
 
-def _automata(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> list[Shared]:
-    """Automata of blocks of about so many item words, built in tasks; each comes to the driver by itself, to go to every task.
+def _automata(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> list[Callable[[], Shared]]:
+    """Automata of blocks of about so many item words, built in tasks and written; each is fetched when its pass begins, so
+    that the driver holds one at a time.
 
     Long items are cut into parts that overlap, so that each of their windows is in one. Parts are dealt to blocks by a
     hash, half as many words a block on average as it may have.
@@ -209,31 +214,34 @@ def _automata(benchmark: DataFrame, block_words: int, window: int = WINDOW) -> l
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["item_id", "n", "words"])
 
     tables = Tables(spark, "benchmark")
-    parts = tables.write(pick(benchmark, "item_id", "text").where("item_id is not null").mapInArrow(cut, "item_id long, n long, words array<binary>"))
+    parts = tables.write(pick(benchmark, "item_id", "text").mapInArrow(cut, "item_id long, n long, words array<binary>"))
     total = parts.agg(F.sum("n")).first()[0] or 0
     blocks = 1 if total <= block_words else -(-2 * total // block_words)
 
     def build(own: pa.Table) -> pa.Table:
-        rows = sorted(zip(own.column("item_id").to_pylist(), own.column("words").to_pylist(), strict=True))
+        pairs = zip(own.column("item_id").to_pylist(), own.column("words").to_pylist(), strict=True)
+        rows = sorted(pairs, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         return pa.table({"block": pa.array([own.column("block")[0].as_py()], pa.int32()), "automaton": pa.array([cloudpickle.dumps(Automaton(rows, window))], pa.binary())})
 
     dealt = parts.select(F.pmod(F.xxhash64("item_id", "words"), F.lit(blocks)).cast("int").alias("block"), "item_id", "words")
     built = tables.write(dealt.groupBy("block").applyInArrow(build, "block int, automaton binary"))
     tables.drop(parts)
     numbers = sorted(r["block"] for r in built.select("block").collect())
-    return [Shared(spark, pickled=built.where(F.col("block") == i).first()["automaton"]) for i in numbers] or [Shared(spark, Automaton([], window))]
+    fetch = lambda i: Shared(spark, pickled=built.where(F.col("block") == i).first()["automaton"])
+    return [partial(fetch, i) for i in numbers] or [lambda: Shared(spark, Automaton([], window))]
 
 
-def _in_passes(out: DataFrame, automata: list[Shared], step, last) -> DataFrame:
+def _in_passes(out: DataFrame, automata: list[Callable[[], Shared]], step, last) -> DataFrame:
     """One pass over the rows for each automaton, each written before the next one starts; the last one is for whoever reads the result."""
     tables, written = Tables(out.sparkSession, "passes"), None
-    for auto in automata[:-1]:
+    for fetch in automata[:-1]:
+        auto = fetch()
         before, written = written, tables.write(step(out, auto))
         out = written
         auto.forget()
         if before is not None:
             tables.drop(before)
-    return last(out, automata[-1])
+    return last(out, automata[-1]())
 
 
 def _code_points(lowered: np.ndarray, places: list[int]) -> list[int]:
@@ -248,8 +256,8 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     Returns doc_id, n_words, n_hit, items (sorted ids whose windows occur), spans (start and end code point, first and end
     word of each stretch of hit words), one row for each input row. Words are runs of ASCII letters (lower-cased), digits
     and characters beyond ASCII; an item's windows are its runs of `window` words, or the whole item if it has fewer. Null
-    or empty texts have no words, items without words no windows; items of the same id count as one, an item with a null
-    id is left out. An empty benchmark gives no hits. Other columns are ignored.
+    or empty texts have no words, items without words no windows; items of the same id count as one; the windows of an item
+    with a null id hit words like any other's, but there is no id to list. An empty benchmark gives no hits. Other columns are ignored.
 
     Without a shuffle of the documents. The automaton of about `block_words` item words at most goes to every task; a larger
     benchmark is cut into blocks of items, each of which makes another pass, and the passes' hits are joined in the row.
@@ -386,7 +394,7 @@ WITH w AS (
   FROM documents),
 i AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
-  FROM benchmark WHERE item_id IS NOT NULL),
+  FROM benchmark),
 iw AS (
   SELECT DISTINCT item_id, least(10, len(words)) AS size, array_to_string(words[p:p + least(10, len(words)) - 1], ' ') AS win
   FROM (SELECT item_id, words, unnest(range(1, greatest(len(words) - 9, 1) + 1)) AS p FROM i WHERE len(words) > 0)),
@@ -395,7 +403,7 @@ dw AS (
   FROM (SELECT doc_id, words, size, unnest(range(1, len(words) - size + 2)) AS p FROM w, (SELECT DISTINCT size FROM iw) WHERE len(words) >= size)),
 m AS (SELECT doc_id, p, dw.size, item_id FROM dw JOIN iw ON dw.size = iw.size AND dw.win = iw.win),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + size)) AS pos FROM m) GROUP BY doc_id),
-t AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+t AS (SELECT doc_id, count(s) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
