@@ -16,6 +16,7 @@ from __future__ import annotations
 import json
 from bisect import bisect_left
 from collections import Counter
+from bisect import bisect_left
 from collections.abc import Iterator, Mapping
 from math import ceil, floor
 
@@ -259,11 +260,12 @@ class _LazyWords:
 
 def _apart(found: list) -> list:
     """Of overlapping notices those with the most matched words, in order of place."""
-    out = []
+    out: list = []  # in order of place, none over another, so that only neighbours can overlap a new one
     for x in sorted(found, key=lambda x: (-(x[2] - x[1]) * x[0], x[1], x[3])):
-        if all(x[2] <= y[1] or y[2] <= x[1] for y in out):
-            out.append(x)
-    return sorted(out, key=lambda x: x[1])
+        at = bisect_left(out, x[1], key=lambda y: y[1])
+        if (at == 0 or out[at - 1][2] <= x[1]) and (at == len(out) or x[2] <= out[at][1]):
+            out.insert(at, x)
+    return out
 
 
 def _row(words: Words, start: int, end: int, first: int, found: list) -> tuple:
