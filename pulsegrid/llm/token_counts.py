@@ -9,6 +9,7 @@ from __future__ import annotations
 import heapq
 import json
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -21,8 +22,10 @@ from .common import pick, table
 
 #: The vocabulary file goes to every task whole; a larger one than this is refused.
 MAX_VOCABULARY_BYTES = 64 << 20
-#: Words that a task remembers before it forgets all and starts again.
-CACHE_WORDS = 600_000
+#: Bytes of words that a task remembers before it forgets all and starts again, and letters of a word worth remembering.
+CACHE_BYTES, CACHE_LETTERS = 96 << 20, 64
+#: What an entry takes besides its word.
+_ENTRY = 120
 
 _PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: White space in Unicode's sense, which, unlike str.split(), leaves out the separators U+001C to U+001F.
@@ -82,6 +85,7 @@ class WordBpeCounter:
         self.pieces = regex.compile(_PIECE).findall
         self.pieces_of_text = regex.compile(_PIECE.replace(r"[^\s", "[^" + _SPACE[1:-1])).findall
         self.counts: dict[str, int] = {}
+        self.held = 0
 
     def piece(self, text: str) -> int:
         """Repeatedly merge the lowest-ranked adjacent pair (the leftmost of equals); the count is symbols minus merges."""
@@ -113,16 +117,25 @@ class WordBpeCounter:
         return left
 
     def _word(self, word: str) -> int:
-        if len(self.counts) >= CACHE_WORDS:
-            self.counts.clear()
         n, counts = 0, self.counts
         for piece in self.pieces(word):
             if (m := counts.get(piece)) is None:
-                m = counts[piece] = self.piece(piece)
+                m = self.piece(piece)
+                self._remember(piece, m)
             n += m
-        counts[word] = n
+        self._remember(word, n)
         return n
 
+    def _remember(self, word: str, n: int) -> None:
+        if len(word) > CACHE_LETTERS:
+            return
+        if self.held > CACHE_BYTES:
+            self.counts.clear()
+            self.held = 0
+        if word not in self.counts:
+            self.held += sys.getsizeof(word) + _ENTRY
+        self.counts[word] = n
+
     def _plain(self, text: str) -> int:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text)
