@@ -22,9 +22,11 @@ FILTERS = 16
 EMBEDDING = 8
 #: The training sample: so many documents of each language, so many windows of each.
 DOCS_PER_LANGUAGE, WINDOWS_PER_DOC = 600, 4
-#: The sample on the driver has a bound: with many languages each has fewer documents, MIN_DOCS at least, and of more
-#: languages than MAX_LANGUAGES those with most labelled rows are learned.
-MOST_DOCS, MIN_DOCS, MAX_LANGUAGES = 24_000, 24, 1_000
+#: The sample on the driver has a bound: with many languages each has fewer documents, one at least, as each also has its row
+#: of weights in the network.
+MOST_DOCS = 24_000
+#: Counts of so many languages go to every task; rows meet more of them by a join.
+COUNTED_LANGUAGES = 100_000
 UNKNOWN = "und"
 #: Windows that go through the network at once, and that are cut at once.
 CHUNK, BLOCK = 256, 8_192
@@ -138,12 +140,12 @@ def training_sample(labelled: DataFrame, docs_per_language: int, windows_per_doc
     is sent and ranked is a few times the sample, whatever the number of tasks or a language's share of the rows.
     """
     counts = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
-    counts = checkpoint(counts.orderBy(F.col("rows").desc(), "lang").limit(MAX_LANGUAGES))
+    counts = checkpoint(counts)
     n = max(1, counts.count())
-    limit = max(MIN_DOCS, min(docs_per_language, MOST_DOCS // n))
+    limit = max(1, min(docs_per_language, MOST_DOCS // n))
     share = (2.0 * limit + 200) / F.col("rows")
-    chars = WINDOW_BYTES
-    rows = labelled.withColumn("h", F.xxhash64("text", "doc_id")).join(F.broadcast(counts.withColumnRenamed("lang", "counted")), F.col("lang") == F.col("counted"))
+    chars, counted = WINDOW_BYTES, counts.withColumnRenamed("lang", "counted")
+    rows = labelled.withColumn("h", F.xxhash64("text", "doc_id")).join(F.broadcast(counted) if n <= COUNTED_LANGUAGES else counted, F.col("lang") == F.col("counted"))
     rows = rows.where(F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
     windows = [F.substring("text", (1 + F.pmod(F.xxhash64("h", F.lit(i)), F.greatest(F.length("text") - chars, F.lit(0)) + 1)).cast("int"), F.lit(chars)) for i in range(windows_per_doc)]
     rows = rows.select("lang", "h", F.array_distinct(F.array(*windows)).alias("windows"))
@@ -154,8 +156,8 @@ def training_sample(labelled: DataFrame, docs_per_language: int, windows_per_doc
 def fit(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, windows_per_doc: int = WINDOWS_PER_DOC) -> ByteConvNet | None:
     """Train on text and lang of (doc_id, text, lang) alone; rows without text or lang are left out. None if there are none.
 
-    The sample has docs_per_language documents of each language, fewer where there are many languages (MOST_DOCS in all),
-    of the MAX_LANGUAGES languages with most rows.
+    The sample has docs_per_language documents of each language, fewer where there are many languages (MOST_DOCS in all, or
+    one of each).
     """
     usable = pick(labelled, "doc_id", "text", "lang").where("lang is not null and text is not null and text rlike '\\\\p{L}'")
     rows = training_sample(usable, docs_per_language, windows_per_doc).collect()

@@ -543,13 +543,13 @@ def test_token_counts_equal_the_library(spark):
 
 
 def test_token_cache_forgets(monkeypatch):
-    monkeypatch.setattr(token_counts, "CACHE_WORDS", 3)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 500)
     with open(token_counts.default_vocabulary(), encoding="utf-8") as f:
         spec = json.load(f)
     text = prose(random.Random(1), 200)
     counter = token_counts.WordBpeCounter(spec)
     small = counter.count(text)
-    monkeypatch.setattr(token_counts, "CACHE_WORDS", 10**6)
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 500**6)
     assert small == token_counts.WordBpeCounter(spec).count(text)
 
 
@@ -568,7 +568,7 @@ def brute_hits(text, items):
     w, hit, found = words(text), set(), set()
     for item, t in items:
         own = words(t)
-        if not own or item is None:
+        if not own:
             continue
         n = min(10, len(own))
         windows = {tuple(own[i : i + n]) for i in range(len(own) - n + 1)}
@@ -576,6 +576,7 @@ def brute_hits(text, items):
             if tuple(w[p : p + n]) in windows:
                 hit |= set(range(p, p + n))
                 found.add(item)
+    found.discard(None)
     return len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
 
 
@@ -583,10 +584,10 @@ def brute_hits(text, items):
 def test_benchmark_hits(spark, block_words):
     rng = random.Random(10)
     few = [" ".join(rng.choice("abc") for _ in range(n)) for n in (3, 7, 10, 14, 25, 40)]
-    items = [*enumerate(few), (20, "Zeta, eta! THETA"), (21, None), (22, ""), (None, "a b"), (23, "only"), (3, "a second text of item three with more than ten words in it")]
+    items = [*enumerate(few), (20, "Zeta, eta! THETA"), (21, None), (22, ""), (None, "a b c c b a a b c b a c c"), (None, "nameless item"), (23, "only"), (3, "a second text of item three with more than ten words in it")]
     rows = [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(120)))) for i in range(40)]
     rows += [(50 + i, f"{prose(rng, 20)} {few[i % 6]} {prose(rng, 20)}") for i in range(12)]
-    rows += [(70, "x zeta-ETA theta y"), (71, None), (72, "only"), (73, few[5]), (74, prose(rng, 50))]
+    rows += [(70, "x zeta-ETA theta y"), (71, None), (72, "only"), (73, few[5]), (74, prose(rng, 50)), (75, "x a b c c b a a b c b a c c"), (76, "the nameless item")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     found = decontamination.find_benchmark(docs(spark, rows), bench, block_words=block_words)
     ids = F.array_join(F.array_sort(F.transform("items", lambda x: x.cast("string"))), ",")
@@ -656,3 +657,48 @@ def test_toxicity_orders_severity(spark):
     mean = lambda k: sum(out[i]["severity"] for i in late if i % 4 == k) / 25
     assert mean(0) < mean(2) < mean(3) <= 2
     assert all(not math.isnan(r["severity"]) for r in out.values())
+
+
+# -- bounds on odd texts
+
+
+def test_thousands_of_notices_in_one_text_take_time_in_proportion():
+    import time
+
+    found = [(1.0, i * 10, i * 10 + 9, "MIT") for i in range(40_000)] + [(0.9, i * 10 + 5, i * 10 + 14, "BSD") for i in range(40_000)]
+    random.Random(3).shuffle(found)
+    began = time.perf_counter()
+    out = license_scan._apart(found)
+    assert time.perf_counter() - began < 2.0
+    assert out == sorted(x for x in found if x[3] == "MIT") or [x[1] for x in out] == [i * 10 for i in range(40_000)]
+
+
+def test_overlapping_notices_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(200):
+        found = [(rng.choice([0.8, 0.9, 1.0]), a := rng.randrange(60), a + rng.randint(1, 12), rng.choice("AB")) for _ in range(rng.randrange(30))]
+        kept = []
+        for x in sorted(found, key=lambda x: (-(x[2] - x[1]) * x[0], x[1], x[3])):
+            if all(x[2] <= y[1] or y[2] <= x[1] for y in kept):
+                kept.append(x)
+        assert license_scan._apart(found) == sorted(kept, key=lambda x: x[1])
+
+
+def test_word_cache_is_bounded_by_bytes(monkeypatch):
+    spec = json.load(open(token_counts.default_vocabulary(), encoding="utf-8"))
+    counter = token_counts.WordBpeCounter(spec)
+    rng = random.Random(5)
+    long = ["".join(rng.choice("abcdefg") for _ in range(5_000)) for _ in range(20)]
+    fresh = [counter.count(x) for x in long]
+    assert not counter.counts and fresh == [counter.count(x) for x in long]
+    monkeypatch.setattr(token_counts, "CACHE_BYTES", 20_000)
+    words = [prose(rng, 30) for _ in range(200)]
+    assert [counter.count(x) for x in words] == [token_counts.WordBpeCounter(spec).count(x) for x in words]
+    assert counter.held <= 20_000 + 400 and sum(map(len, counter.counts)) < 20_000
+
+
+def test_any_number_of_languages_is_learned(spark):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3} {i % 1300} text {prose(random.Random(i), 5)}", f"l{i % 1300:04}") for i in range(3_900)]
+    sample = language_id.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), 600, 1)
+    counts = {r["lang"]: r["count"] for r in sample.groupBy("lang").count().collect()}
+    assert len(counts) == 1_300 and max(counts.values()) <= 600
