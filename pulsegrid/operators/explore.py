@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scans import RunningCount, scan
 from ..functions.windows import Series, own_rows, with_row_halo
 from .quantiles import quantile_table, with_quantiles
 
@@ -49,6 +50,28 @@ def autocorrelation(df: DataFrame, s: Series, x: str, most: int = 60) -> DataFra
     return r.select(*s.by, "n", "lag", F.when(F.col("lag") == 0, 1.0).otherwise(F.col("r")).alias("r"), (1.96 / F.sqrt("n")).alias("band"))
 
 
+def segment_multipliers(df: DataFrame, s: Series, metrics: dict[str, float], segments: dict[str, tuple[int, int]], baseline: tuple[int, int]) -> DataFrame:
+    """How many times its baseline each metric's mean is within labelled ranges of an entity's rows: by, segment, metric, rows, mean, multiplier.
+
+    Ranges are of rows in order, from the first to before the last, as [first, last). metrics: name -> what is added to the
+    baseline's mean before it divides. All metrics and ranges take one aggregation; a range without rows, and a metric
+    without a baseline (null, or 0 in all), have a null multiplier.
+    """
+    at = F.col("_row") - 1
+    ranges = {"": baseline, **segments}
+    named = F.array_compact(F.array(*(F.when((at >= a) & (at < b), F.lit(name)) for name, (a, b) in ranges.items())))
+    rows = scan(df, s, {"_row": RunningCount(F.lit(1))}).withColumn("segment", F.explode(named))
+    means = rows.groupBy(*s.by, "segment").agg(F.count(F.lit(1)).alias("rows"), *(F.avg(m).alias(m) for m in metrics))
+    long = means.unpivot([*s.by, "segment", "rows"], list(metrics), "metric", "mean")
+    plus = F.coalesce(*(F.when(F.col("metric") == m, F.lit(float(x))) for m, x in metrics.items()))
+    base = long.where("segment = ''").select(*(F.col(c).alias(f"_by_{c}") for c in s.by), F.col("metric").alias("_metric"), (F.col("mean") + plus).alias("_base"))
+    same = F.col("metric") == F.col("_metric")
+    for c in s.by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
+    out = long.where("segment != ''").join(base, same, "left")
+    return out.select(*s.by, "segment", "metric", "rows", "mean", (F.col("mean") / F.when(F.col("_base") != 0, F.col("_base"))).alias("multiplier"))
+
+
 def resample_mean(df: DataFrame, s: Series, x: str, minutes: int) -> DataFrame:
     """Mean of each bucket, empty buckets between an entity's first and last included (rows 0, mean null)."""
     width = minutes * 60_000_000

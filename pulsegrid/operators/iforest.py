@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import finite_or_zero
 from ..functions.windows import Series, frame_quantile, own_rows, with_halo, with_row_halo
-from .quantiles import quantile_table
+from .quantiles import quantile_table, with_quantiles
 
 TREES, SAMPLE, CONTAMINATION, SEED = 250, 256, 0.035, 42
 
@@ -144,6 +144,18 @@ def robust_scale(df: DataFrame, columns: list[str], by: list[str]) -> DataFrame:
     return out.withColumns(scaled).drop(*(f"_q{k}_{c}" for c in columns for k in range(3)))
 
 
+def label_summary(scored: DataFrame, label: str) -> DataFrame:
+    """avg_score, p95_score, anomaly_rate and rows of each label. scored: score, anomaly and a label."""
+    summary = scored.groupBy(label).agg(F.avg("score").alias("avg_score"), F.avg(F.col("anomaly").cast("int")).alias("anomaly_rate"), F.count(F.lit(1)).alias("rows"))
+    return with_quantiles(summary, scored, [label], {"p95_score": ("score", 0.95)})
+
+
+def flagged(scored: DataFrame, contamination: float = CONTAMINATION) -> DataFrame:
+    """Add anomaly: whether the score is above the quantile that leaves a share of `contamination` above it."""
+    limit = quantile_table(scored, [], {"_limit": ("score", 1 - contamination)})  # one row
+    return scored.crossJoin(F.broadcast(limit)).withColumn("anomaly", F.coalesce(F.col("score") > F.col("_limit"), F.lit(False))).drop("_limit")
+
+
 def contributions(df: DataFrame, columns: list[str], chosen: Column, top: int = 15) -> DataFrame:
     """feature, contribution: mean of |x - median| / MAD over the chosen rows, medians over all; a MAD of 0 counts as 1.
 

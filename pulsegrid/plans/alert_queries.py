@@ -13,7 +13,7 @@ from .detector_queries import BY_TS, CP_SQL, FLAGS_SQL, Z_SQL, flag_table
 from .forecast_queries import BAND_SQL, HOURLY_SQL, hourly_forecast
 from ..operators.joins import WILDCARD as MULTI
 from ..operators.joins import bucket_of, time_buckets
-from .join_queries import CAT_SQL, HOUR, T0, catalog
+from .join_queries import CAT_SQL, HOUR, LABELLED_SQL, T0, catalog, labelled_telemetry
 
 S = W.Series()
 _NAMES = [f"{m}__flag_{n}" for m, way in detect.DIRECTIONS.items() for n in (["z_high", "rz_high", "p95"] + (["z_low", "rz_low"] if way == "both" else []))]
@@ -113,11 +113,11 @@ def _rca(spark, d):
 
 
 @query(
-    f"WITH {RAW_SQL}, {_RED}, {_RCA} SELECT printf('RCA-%03d', row_number() OVER (ORDER BY root_cause_score DESC, start_us, alert_name)) AS rca_event_id, start_us, alert_name, root_cause_candidate, evidence, duration_minutes, root_cause_score::INT AS root_cause_score, {_CONF} AS confidence "
-    "FROM rca ORDER BY root_cause_score DESC, start_us, alert_name LIMIT 25"
+    f"WITH {RAW_SQL}, {_RED}, {_RCA} SELECT printf('RCA-%03d', row_number() OVER (ORDER BY start_us, severity_score DESC, alert_name)) AS rca_event_id, start_us, alert_name, root_cause_candidate, evidence, duration_minutes, root_cause_score::INT AS root_cause_score, {_CONF} AS confidence FROM rca"
 )
 def rca_events(spark, d):
-    return rca.number_events(_rca(spark, d), 25).select("rca_event_id", "start_us", "alert_name", "root_cause_candidate", "evidence", "duration_minutes", "root_cause_score", "confidence")
+    """Every reduced alert as an event, numbered by start and severity."""
+    return rca.number_events(_rca(spark, d)).select("rca_event_id", "start_us", "alert_name", "root_cause_candidate", "evidence", "duration_minutes", "root_cause_score", "confidence")
 
 
 @query(f"WITH {RAW_SQL}, {_RED}, {_RCA} SELECT root_cause_candidate, {_CONF} AS confidence, count(*) AS n, round(avg(root_cause_score), 4) AS mean_score, max(root_cause_score)::INT AS max_score FROM rca GROUP BY ALL")
@@ -201,7 +201,8 @@ def incident_lookup(spark, d):
 
 
 @query(
-    f"""WITH {RAW_SQL}, {_TYPED}, {CAT_SQL}, j AS (SELECT c.bucket, c.problem_type, coalesce(min(kind), 'unknown') AS label FROM c LEFT JOIN cat ON bucket BETWEEN cat.start_us AND cat.end_us GROUP BY ALL),
+    f"""WITH {RAW_SQL}, {_TYPED}, {CAT_SQL}, {LABELLED_SQL}, n AS (SELECT bucket, event_type, count(*) AS n FROM c JOIN lab ON lab.port::VARCHAR = split_part(affected_ports, ',', 1) AND lab.us BETWEEN c.start_us AND c.end_us GROUP BY ALL),
+    g2 AS (SELECT bucket, arg_min(event_type, row(-n, event_type)) AS label FROM n GROUP BY bucket), j AS (SELECT problem_type, coalesce(label, 'unknown') AS label FROM c LEFT JOIN g2 USING (bucket)),
     m AS (SELECT label, CASE label
       WHEN 'traffic_surge' THEN regexp_matches(lower(problem_type), 'traffic|surge|激增')
       WHEN 'error_burst' THEN regexp_matches(lower(problem_type), 'error|錯誤|crc|duplex')
@@ -212,9 +213,10 @@ def incident_lookup(spark, d):
     SELECT label, count(*) AS n, sum(hit::INT)::BIGINT AS matched, round(avg(hit::INT), 4) AS accuracy FROM m WHERE label <> 'unknown' GROUP BY label"""
 )
 def diagnosis_accuracy(spark, d):
-    cat = catalog(spark)  # seven rows
-    df = _by_type(spark, d).select("bucket", "problem_type").join(F.broadcast(cat), F.col("bucket").between(F.col("start_us"), F.col("end_us")), "left")
-    df = df.groupBy("bucket", "problem_type").agg(F.coalesce(F.min("kind"), F.lit("unknown")).alias("label")).where("label != 'unknown'")
+    """Diagnoses against the label that most rows of the event's own port and time have; unknown labels are left out."""
+    events = _by_type(spark, d).select(F.col("bucket").alias("event_id"), "problem_type", "affected_ports", "start_us", "end_us")
+    truth = rca.truth_labels(events, labelled_telemetry(spark, d), "event_type").withColumnRenamed("truth", "label")
+    df = events.join(truth, "event_id").where("label != 'unknown'")
     hit = rca.label_matches(F.col("problem_type"), F.col("label"))
     return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(hit.cast("long")).alias("matched"), r6(F.avg(hit.cast("int")), 4).alias("accuracy"))
 

@@ -4,10 +4,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import windows as W
-from ..operators import explore
+from ..operators import explore, features
 from ..operators.quantiles import with_quantiles
-from ..sources.adapters import EV_SQL, ev_series, read
+from ..sources.adapters import EV_SQL, WIDE_SQL, ev_series, ev_wide, read
 from .base import query, r6
+from .feature_queries import PORTS, RATIOS_SQL, TOTALS_SQL
 
 S = W.Series()
 O = "PARTITION BY entity ORDER BY ts, event_id"  # noqa: E741
@@ -105,6 +106,23 @@ def grouped_statistics(spark, d):
     return with_quantiles(summary, df, by, {"p90": ("l_extendedprice", 0.9)}).withColumn("p90", r6(F.col("p90"), 4))
 
 
+_SEGMENT = "CASE WHEN rn < 50 THEN 'base' WHEN rn >= 60 AND rn < 80 THEN 'A' WHEN rn >= 100 AND rn < 120 THEN 'B' WHEN rn >= 140 AND rn < 160 THEN 'C' END"
+
+
+@query(
+    f"""WITH {WIDE_SQL}, {TOTALS_SQL}, {RATIOS_SQL}, num AS (SELECT port, traffic_total, error_rate, OUTOCTETS / (INOCTETS + OUTOCTETS + 1e-9) AS tx_ratio, row_number() OVER (PARTITION BY port ORDER BY us) - 1 AS rn FROM feat),
+    g AS (SELECT port, {_SEGMENT} AS segment, count(*) AS rows, avg(traffic_total) AS t, avg(error_rate) AS e, avg(tx_ratio) AS x FROM num WHERE {_SEGMENT} IS NOT NULL GROUP BY ALL),
+    l AS (SELECT port, segment, rows, 'traffic_total' AS metric, t AS mean, 0 AS eps FROM g UNION ALL SELECT port, segment, rows, 'error_rate', e, 1e-9 FROM g UNION ALL SELECT port, segment, rows, 'tx_ratio', x, 0 FROM g)
+    SELECT l.port, l.segment, l.metric, l.rows, round(l.mean, 5) AS mean, round(l.mean / nullif(b.mean + b.eps, 0), 5) AS multiplier FROM l LEFT JOIN l b ON b.segment = 'base' AND b.port = l.port AND b.metric = l.metric WHERE l.segment <> 'base'"""
+)
+def segment_multipliers(spark, d):
+    """Three ranges of each port's rows against its first fifty, over three metrics."""
+    df = features.traffic_ratios(features.traffic_totals(ev_wide(spark, d)))
+    df = df.withColumn("tx_ratio", F.col("OUTOCTETS") / (F.col("INOCTETS") + F.col("OUTOCTETS") + 1e-9))
+    out = explore.segment_multipliers(df, PORTS, {"traffic_total": 0.0, "error_rate": 1e-9, "tx_ratio": 0.0}, {"A": (60, 80), "B": (100, 120), "C": (140, 160)}, (0, 50))
+    return out.select("port", "segment", "metric", "rows", r6(F.col("mean"), 5).alias("mean"), r6(F.col("multiplier"), 5).alias("multiplier"))
+
+
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def rollup_summary(spark, d):
     return read(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))

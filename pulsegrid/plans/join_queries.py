@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import windows as W
 from ..operators import detect, joins
-from ..sources.adapters import EV_SQL, ev_series
+from ..sources.adapters import EV_SQL, WIDE_SQL, ev_series, ev_wide
 from .base import query, r6
 from .detector_queries import Z_SQL
 
@@ -24,6 +24,22 @@ CATALOG = [
 CAT_SQL = "cat(event, kind, port, start_us, end_us) AS (VALUES " + ", ".join(f"('{a}', '{b}', '{c}', {x}, {y})" for a, b, c, x, y in CATALOG) + ")"
 
 
+#: Which port's telemetry the catalog's port names stand for.
+_PORTS = {"click": "0", "view": "1", "purchase": "2", "error": "3", "signup": "4"}
+LABELLED_SQL = (
+    f"{WIDE_SQL}, lab AS (SELECT wide.port, wide.us, coalesce(min(kind), 'normal') AS event_type FROM wide LEFT JOIN (SELECT CASE port WHEN 'click' THEN '0' WHEN 'view' THEN '1' WHEN 'purchase' THEN '2' WHEN 'error' THEN '3' WHEN 'signup' THEN '4' ELSE port END AS p, kind, start_us, end_us FROM cat) x "
+    "ON (x.p = wide.port::VARCHAR OR x.p = 'MULTI') AND wide.us BETWEEN x.start_us AND x.end_us GROUP BY wide.port, wide.us)"
+)
+
+
+def labelled_telemetry(spark, d):
+    """port, us and event_type: the catalog's kind of each hourly row (of several the smallest), or normal."""
+    rows = ev_wide(spark, d).select(F.col("port").alias("row_port"), "us")
+    own = catalog(spark).replace(_PORTS, subset=["port"])
+    found = joins.interval_join(rows, own, "row_port", wildcard=True).groupBy("row_port", "us").agg(F.min("kind").alias("kind"))
+    return rows.join(found, ["row_port", "us"], "left").select(F.col("row_port").alias("port"), "us", F.coalesce("kind", F.lit("normal")).alias("event_type"))
+
+
 def catalog(spark):
     return spark.createDataFrame(CATALOG, "event_id string, kind string, port string, start_us long, end_us long")
 

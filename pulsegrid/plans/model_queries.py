@@ -4,9 +4,10 @@ from pyspark.sql import functions as F
 
 from ..operators import features, iforest
 from ..sources.adapters import EV_SQL, WIDE_SQL, ev_series, ev_wide
-from ..sources.scratch import scratch
+from ..sources.scratch import written
 from .base import query, r6
 from .feature_queries import PORTS, RATIOS_SQL, TOTALS_SQL
+from .join_queries import labelled_telemetry
 
 
 @query(f"WITH {EV_SQL}, q AS (SELECT entity, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS m, quantile_cont(value, 0.75) AS b FROM ev GROUP BY entity) SELECT event_id, round((value - m) / CASE WHEN b > a THEN b - a ELSE 1 END, 6) AS value_scaled FROM ev JOIN q USING (entity)")
@@ -14,7 +15,7 @@ def robust_scale(spark, d):
     return iforest.robust_scale(ev_series(spark, d), ["value"], ["entity"]).select("event_id", r6(F.col("value_scaled")).alias("value_scaled"))
 
 
-#: Hourly rows stand for the five-minute ones, so that six of them make the window.
+#: Hourly rows stand for the five-minute ones, so that six of them make the window. Fixed values.
 MODEL_FEATURES = ["traffic_total", "ucast_total", "avg_packet_size", "error_rate", "discard_rate", "broadcast_ratio", "multicast_ratio", "unknown_total"]
 
 
@@ -24,16 +25,18 @@ def _windows(spark, d):
 
 def _scored(spark, d):
     df, names = _windows(spark, d)
-    df = _written(spark, df.select("port", "us", *names))  # scaling, the trees' samples and the scores all read it
+    return _scored_of(spark, _written(spark, df.select("port", "us", *names)), names)
+
+
+def _scored_of(spark, df, names):
+    """Scaling, the trees' samples and the scores all read the written windows."""
     scaled = iforest.robust_scale(df, names, [])
     scaled = _written(spark, scaled.select("port", "us", F.array(*(F.col(f"{n}_scaled") for n in names)).alias("x")))
     return iforest.score(scaled, F.col("x"), iforest.fit(scaled, F.col("x"), ["port", "us"])).select("port", "us", "score")
 
 
 def _written(spark, df):
-    path = scratch(spark, "windows")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, "windows")
 
 
 _WF = ", ".join(
@@ -59,15 +62,25 @@ def iforest_scores(spark, d):
 @query()
 def iforest_flags(spark, d):
     """Scores above their 96.5 % quantile."""
-    scored = _scored(spark, d)
-    limit = scored.agg(F.percentile("score", F.lit(1 - iforest.CONTAMINATION)).alias("limit"))  # one row
-    return scored.crossJoin(F.broadcast(limit)).select("port", "us", (F.col("score") > F.col("limit")).alias("anomaly"))
+    return iforest.flagged(_scored(spark, d)).select("port", "us", "anomaly")
 
 
 @query()
 def iforest_label_summary(spark, d):
-    """Scores of each port: count, mean and 95 % quantile."""
-    return _scored(spark, d).groupBy("port").agg(F.count(F.lit(1)).alias("n"), r6(F.avg("score")).alias("mean_score"), r6(F.percentile("score", F.lit(0.95))).alias("p95_score"))
+    """Scores and the share of anomalies of each event label that the catalog gives a window's time and port."""
+    scored = iforest.flagged(_scored(spark, d)).join(labelled_telemetry(spark, d), ["port", "us"])
+    out = iforest.label_summary(scored, "event_type")
+    return out.select(F.col("event_type").alias("event_label"), r6(F.col("avg_score")).alias("avg_score"), r6(F.col("p95_score")).alias("p95_score"), r6(F.col("anomaly_rate")).alias("anomaly_rate"), "rows")
+
+
+@query()
+def iforest_contribution(spark, d):
+    """Which window features are furthest from their medians in the windows that the forest marks."""
+    df, names = _windows(spark, d)
+    df = _written(spark, df.select("port", "us", *names))
+    marked = iforest.flagged(_scored_of(spark, df, names)).select("port", "us", "anomaly")
+    out = iforest.contributions(df.join(marked, ["port", "us"]), names, F.col("anomaly"))
+    return out.select("feature", r6(F.col("contribution"), 5).alias("contribution"))
 
 
 @query()

@@ -77,9 +77,13 @@ rec AS (SELECT *, {_HOURLY} FROM l2 WINDOW w AS (PARTITION BY port ORDER BY us R
 _ROUNDED = [f"{n}_{k}" for n in ("traffic", "error_rate", "discard_rate", "broadcast") for k in ("mean_1h", "stddev_1h", "zscore")]
 
 
+def fast_wide(spark, d):
+    """The hourly rows as rows of five minutes."""
+    return ev_wide(spark, d).withColumn("us", F.lit(T0) + F.expr(f"(us - {T0}) div {SPEED}"))
+
+
 def _recorded(spark, d):
-    wide = ev_wide(spark, d)
-    return promql.record(wide.withColumn("us", F.lit(T0) + F.expr(f"(us - {T0}) div {SPEED}")))
+    return promql.record(fast_wide(spark, d))
 
 
 def _plain(c, digits):
@@ -94,7 +98,7 @@ def recording_rules(spark, d):
     return df.select("port", "us", r6(F.col("traffic_total"), 4).alias("traffic_total"), "ucast_total", "broadcast_total", *(r6(F.col(c)).alias(c) for c in ("error_rate", "discard_rate")), *(_plain(c, 5) for c in _ROUNDED))
 
 
-_STATES_SQL = f"""{REC_SQL}, a AS (
+STATES_SQL = f"""{REC_SQL}, a AS (
   SELECT 'TrafficSurge' AS alert, 'warning' AS severity, 'traffic_surge' AS anomaly_type, 60 AS hold, port, us, coalesce(traffic_zscore > 3, false) AS f FROM rec UNION ALL
   SELECT 'TrafficDrop', 'warning', 'traffic_drop', 120, port, us, coalesce(traffic_zscore < -3, false) FROM rec UNION ALL
   SELECT 'ErrorRateSurge', 'critical', 'error_burst', 60, port, us, coalesce(error_rate_zscore > 3, false) FROM rec UNION ALL
@@ -105,12 +109,12 @@ t AS (SELECT *, CASE WHEN f THEN last_value(st IGNORE NULLS) OVER (PARTITION BY
 x AS (SELECT *, CASE WHEN NOT f THEN 'inactive' WHEN us - since >= hold * 1000000 THEN 'firing' ELSE 'pending' END AS state FROM t)"""
 
 
-@query(f"WITH {_STATES_SQL} SELECT alert, severity, port, state, count(*) AS n FROM x GROUP BY ALL")
+@query(f"WITH {STATES_SQL} SELECT alert, severity, port, state, count(*) AS n FROM x GROUP BY ALL")
 def alert_rules(spark, d):
     return promql.rule_alerts(_recorded(spark, d)).groupBy("alert", "severity", "port", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_STATES_SQL} SELECT alert, anomaly_type, port, us, since, state FROM x WHERE regexp_full_match(alert, '(Traffic|Discard|Error).*') AND state <> 'inactive'")
+@query(f"WITH {STATES_SQL} SELECT alert, anomaly_type, port, us, since, state FROM x WHERE regexp_full_match(alert, '(Traffic|Discard|Error).*') AND state <> 'inactive'")
 def active_alerts(spark, d):
     """Pending and firing alerts whose name fits a regex."""
     df = promql.rule_alerts(_recorded(spark, d), "(Traffic|Discard|Error).*").where("state != 'inactive'")

@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from ..operators import joins
 from ..sources.adapters import EV_SQL, ev_series, micros
 from ..sources.readers import file_stream
-from ..streaming import live
+from ..streaming import live, rules
 from .base import query, r6
 from .join_queries import HOUR
+from .promql_queries import STATES_SQL, fast_wide
 
 
 def _events(spark, d):
@@ -18,7 +19,7 @@ def _events(spark, d):
 def _replayed(spark, d):
     """The events in the order of time, in several batches."""
     df = ev_series(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    return live.replay(spark, df, ["us", "event_id"], 3)
+    return live.replay(spark, df, ["us", "event_id"], live.files_for(df))
 
 
 @query(f"WITH {EV_SQL} SELECT entity, us - us % {HOUR} AS start_us, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean FROM ev GROUP BY ALL")
@@ -60,6 +61,16 @@ def stream_alert_state(spark, d):
     return live.drain(live.online_alerts(_replayed(spark, d), "entity", F.col("value") > 50, 3600))
 
 
+@query(f"WITH {STATES_SQL} SELECT alert, severity, port, state, count(*) AS n FROM x GROUP BY ALL")
+def stream_alert_rules(spark, d):
+    """The five alert rules on a stream: recorded, judged and held by stateful operators with timers. Here no series goes stale, and the states are those of the rows."""
+    df = fast_wide(spark, d).withColumn("ts", F.timestamp_micros("us"))
+    with rules.timers(spark):
+        stream = live.with_event_time(live.replay(spark, df, ["us", "port"], live.files_for(df)), late="0 seconds")
+        told = live.drain(rules.rule_stream(stream, stale_seconds=1e9))
+    return told.where("cause = 'sample'").groupBy("alert", "severity", "port", "state").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(f"WITH {EV_SQL} SELECT entity, arg_max(value, row(us, event_id)) FILTER (event_id % 5 <> 0) AS value, max(us) AS us FROM ev GROUP BY entity")
 def replay_gauges(spark, d):
     stream = _replayed(spark, d).withColumn("value", F.when(F.col("event_id") % 5 != 0, F.col("value")))

@@ -57,6 +57,15 @@ def replay(spark: SparkSession, df: DataFrame, order: list[str], files: int, per
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
+#: Rows of a file of a replay, which is what a batch takes at least; and the fewest files, so that a short table takes several batches too.
+FILE_ROWS, LEAST_FILES = 1_000_000, 3
+
+
+def files_for(df: DataFrame) -> int:
+    """How many files a replay cuts this table into."""
+    return max(LEAST_FILES, -(-df.count() // FILE_ROWS))
+
+
 def with_event_time(stream: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
     """Event time as TIMESTAMP (watermarks take no other kind), with a watermark."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)

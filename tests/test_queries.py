@@ -49,7 +49,7 @@ def test_forest_scores_and_flags(spark):
     assert len(flags) == len(scores)
     assert 0 < sum(r["anomaly"] for r in flags) <= math.ceil(0.035 * len(flags))
     assert registry.QUERIES["iforest_scores"](spark, SF).collect() == scores
-    assert sum(r["n"] for r in registry.QUERIES["iforest_label_summary"](spark, SF).collect()) == len(scores)
+    assert sum(r["rows"] for r in registry.QUERIES["iforest_label_summary"](spark, SF).collect()) == len(scores)
 
 
 def test_contract(spark):
