@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import matches
+from ..functions.scans import Before, scan
 from ..functions.windows import Series, own_rows, with_halo
 
 SECOND = 1_000_000
@@ -61,6 +62,74 @@ def rate(samples: DataFrame, seconds: int) -> DataFrame:
     return own_rows(df.withColumn("rate", F.when(took > 0, F.coalesce(rise, F.lit(0.0)) / took)).drop("_up"))
 
 
+def rate_at(samples: DataFrame, seconds: int, start_us: int, end_us: int, step_us: int) -> DataFrame:
+    """rate() as the server computes it, at each step of [start, end]: metric, series, us, rate; no row with fewer than two samples.
+
+    The rise between the first and the last sample of (t - seconds, t], with what was lost at resets, is carried on to both
+    ends of the range where the samples come near enough (within 1.1 of their mean distance), else by half that distance;
+    at the lower end never beyond the time at which the counter was 0. Each sample goes to the steps that see it, seconds /
+    step of them, and is summed up there before anything is shuffled, so that no series needs a task of its own.
+    """
+    span = seconds * SECOND
+    before = scan(keyed(samples), Series(("metric", "series"), ("us", "event_id")), {"_before": Before(F.struct("value", "us"))})
+    # the first step at or after the sample, and the last that sees it
+    first = F.greatest(F.ceil((F.col("us") - start_us) / step_us), F.lit(0))
+    last = F.floor((F.least(F.col("us") + span - 1, F.lit(end_us)) - start_us) / step_us)
+    seen = before.withColumn("_first", first).withColumn("_last", last).where("_first <= _last and value is not null")
+    seen = seen.withColumn("_step", F.explode(F.sequence("_first", "_last"))).withColumn("_t", F.col("_step") * step_us + start_us)
+    lost = F.when((F.col("_before.us") > F.col("_t") - span) & (F.col("value") < F.col("_before.value")), F.col("_before.value"))
+    order = F.struct("us", "event_id")
+    got = seen.groupBy("metric", "series", F.col("_t").alias("us")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min("us").alias("_a"), F.max("us").alias("_b"), F.min_by("value", order).alias("_x"), F.max_by("value", order).alias("_y"), F.coalesce(F.sum(lost), F.lit(0.0)).alias("_lost")
+    )
+    sampled, rise = (F.col("_b") - F.col("_a")) / SECOND, F.col("_y") - F.col("_x") + F.col("_lost")
+    mean = sampled / (F.col("_n") - 1)
+    ends = lambda gap: F.when(gap >= 1.1 * mean, mean / 2).otherwise(gap)
+    to_start = ends((F.col("_a") - (F.col("us") - span)) / SECOND)
+    to_zero = F.when((rise > 0) & (F.col("_x") >= 0), sampled * (F.col("_x") / rise)).otherwise(to_start)
+    whole = sampled + F.least(to_start, to_zero) + ends((F.col("us") - F.col("_b")) / SECOND)
+    return got.where("_n > 1 and _b > _a").select("metric", "series", "us", (rise * (whole / sampled) / seconds).alias("rate"))
+
+
+#: Arithmetic between two vectors.
+OPERATORS = {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "/": lambda a, b: a / F.when(b != 0, b)}
+
+
+def match_vectors(left: DataFrame, op: str, right: DataFrame, on: list[str] | None = None, ignoring: list[str] = (), many: str | None = None, include: list[str] = ()) -> DataFrame:
+    """left op right where their label sets agree at the same time: labels, us, value.
+
+    Both are vectors (labels MAP without the metric's name, us, value). The label sets that have to agree are those named in
+    `on`, or all but those in `ignoring`. Each set may be there once on either side; with many="left" (or "right") that side
+    may have several rows for one of the other, keeps its own labels and gets those of `include` from the other side.
+    Otherwise more than one is an error. Rows without a partner give none, and a quotient by 0 is null.
+    """
+    if op not in OPERATORS or many not in (None, "left", "right"):
+        raise ValueError(f"{op!r} with many={many!r} is no vector operation")
+    chosen = lambda k: k.isin(*on) if on is not None else ~k.isin(*ignoring) if ignoring else F.lit(True)
+
+    def side(df: DataFrame, p: str) -> DataFrame:
+        matched = F.map_filter("labels", lambda k, v: chosen(k))
+        key = F.array_join(F.transform(F.array_sort(F.map_entries(matched)), lambda e: F.to_json(e)), ",")
+        return df.select(key.alias(f"{p}key"), F.col("us").alias(f"{p}us"), F.col("labels").alias(f"{p}labels"), F.col("value").alias(f"{p}value"))
+
+    def once(df: DataFrame, p: str) -> DataFrame:
+        rows = df.groupBy(f"{p}key", f"{p}us").agg(F.count(F.lit(1)).alias("_n"), F.any_value(F.struct(f"{p}labels", f"{p}value")).alias("_row"))
+        told = F.raise_error(F.concat(F.lit("several series match the label set "), F.col(f"{p}key")))
+        value = F.when(F.col("_n") > 1, told.cast("double")).otherwise(F.col(f"_row.{p}value"))
+        return rows.select(f"{p}key", f"{p}us", F.col(f"_row.{p}labels").alias(f"{p}labels"), value.alias(f"{p}value"))
+
+    a, b = side(left, "_l"), side(right, "_r")
+    a, b = (a if many == "left" else once(a, "_l")), (b if many == "right" else once(b, "_r"))
+    both = a.join(b, (F.col("_lkey") == F.col("_rkey")) & (F.col("_lus") == F.col("_rus")))
+    own, other = ("_r", "_l") if many == "right" else ("_l", "_r")
+    labels = F.col(f"{own}labels")
+    if many is None:
+        labels = F.map_filter(labels, lambda k, v: chosen(k))
+    elif include:
+        labels = F.map_concat(F.map_filter(labels, lambda k, v: ~k.isin(*include)), F.map_filter(f"{other}labels", lambda k, v: k.isin(*include)))
+    return both.select(labels.alias("labels"), F.col("_lus").alias("us"), OPERATORS[op](F.col("_lvalue"), F.col("_rvalue")).alias("value"))
+
+
 def over_time(samples: DataFrame, seconds: int) -> DataFrame:
     """avg_over_time and stddev_over_time (population) of each sample's range."""
     cut, series = _ranges(samples, seconds)

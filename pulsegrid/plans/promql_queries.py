@@ -32,6 +32,34 @@ def pq_rate(spark, d):
     return promql.rate(samples(spark, d), 6 * 3600).select("event_id", r6(F.col("rate"), 8).alias("rate"))
 
 
+@query(
+    f"""WITH {SM_SQL}, p AS (SELECT *, lag(value) OVER o AS pv, lag(us) OVER o AS pu FROM sm WINDOW o AS (PARTITION BY type, slot ORDER BY us, event_id)), t AS (SELECT unnest(range({T0}, {T0 + 30 * DAY} + 1, {6 * HOUR})) AS t),
+    w AS (SELECT type, slot, t, count(*) AS n, min(us) AS a, max(us) AS b, arg_min(value, row(us, event_id)) AS x, arg_max(value, row(us, event_id)) AS y, coalesce(sum(pv) FILTER (pu > t - {12 * HOUR} AND value < pv), 0) AS lost FROM p JOIN t ON us > t - {12 * HOUR} AND us <= t GROUP BY ALL),
+    r AS (SELECT *, (b - a) / 1e6 AS sampled, y - x + lost AS rise, (b - a) / 1e6 / (n - 1) AS mean, (a - (t - {12 * HOUR})) / 1e6 AS ga, (t - b) / 1e6 AS gb FROM w WHERE n > 1 AND b > a),
+    e AS (SELECT *, CASE WHEN ga >= 1.1 * mean THEN mean / 2 ELSE ga END AS s, CASE WHEN gb >= 1.1 * mean THEN mean / 2 ELSE gb END AS z FROM r)
+    SELECT 'slot=' || slot || ',type=' || type AS series, t AS us, round(rise * ((sampled + CASE WHEN rise > 0 AND x >= 0 THEN least(s, sampled * (x / rise)) ELSE s END + z) / sampled) / 43200, 8) AS rate FROM e"""
+)
+def pq_rate_at(spark, d):
+    """rate(ev_value[12h]) every six hours, with resets, gaps and extrapolation to the ends of the range."""
+    df = promql.rate_at(samples(spark, d), 12 * 3600, T0, T0 + 30 * DAY, 6 * HOUR)
+    return df.select("series", "us", r6(F.col("rate"), 8).alias("rate"))
+
+
+def _narrow(spark, d, columns, label=None):
+    """Vectors of the hourly counters: labels port and direction (and the counter's name under `label`)."""
+    one = lambda c: F.struct(F.create_map(*(F.lit(x) if isinstance(x, str) else x for kv in (("port", F.col("port").cast("string")), ("site", F.lit("lab")), *(((label, F.lit(c)),) if label else ())) for x in kv)).alias("labels"), F.col(c).cast("double").alias("value"))
+    return ev_wide(spark, d).select("us", F.inline(F.array(*map(one, columns))))
+
+
+@query(f"WITH {WIDE_SQL} SELECT port::VARCHAR AS port, kind, us, round(v / nullif(INUCASTPKTS + OUTUCASTPKTS, 0), 6) AS rate FROM (SELECT *, unnest(['INERRORS', 'INDISCARDS']) AS kind, unnest([INERRORS, INDISCARDS]) AS v FROM wide) WHERE INUCASTPKTS + OUTUCASTPKTS > 0")
+def pq_error_rate(spark, d):
+    """Errors and discards per unicast packet from narrow series: many counters by one total, matched by their labels but for the kind."""
+    packets = promql.match_vectors(_narrow(spark, d, ["INUCASTPKTS"]), "+", _narrow(spark, d, ["OUTUCASTPKTS"]))
+    out = promql.match_vectors(_narrow(spark, d, ["INERRORS", "INDISCARDS"], "kind"), "/", packets, ignoring=["kind"], many="left")
+    label = lambda n: F.element_at("labels", F.lit(n)).alias(n)
+    return out.where("value is not null").select(label("port"), label("kind"), "us", r6(F.col("value")).alias("rate"))
+
+
 @query(f"WITH {SM_SQL}, l AS (SELECT type, slot, us - us % {DAY} AS step, arg_max(value, us) AS value FROM sm GROUP BY ALL) SELECT step, type, round(sum(value), 4) AS sum, round(avg(value), 6) AS avg, max(value) AS max, min(value) AS min, count(value) AS count FROM l GROUP BY step, type")
 def pq_sum_by(spark, d):
     df = promql.aggregate_by(samples(spark, d), ["type"], step_us=DAY)
