@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from ..operators import joins
 from ..sources.adapters import EV_SQL, ev_series, micros
 from ..sources.readers import file_stream
+from ..sources.scratch import scratch
 from ..streaming import live, rules
+from ..streaming.versions import LateRows, VersionedTable
 from .base import query, r6
 from .join_queries import HOUR
 from .promql_queries import STATES_SQL, fast_wide
@@ -94,6 +96,45 @@ def stream_ewma_deadband(spark, d):
     return df.select("entity", "event_id", r6(F.col("ewma") + 1e-9, 5).alias("ewma"), "above", "held")
 
 
+@query(f"WITH {EV_SQL} SELECT entity, arg_max(value, row(us, event_id)) FILTER (event_id % 5 <> 0) AS value, arg_max(user_id, row(us, event_id)) FILTER (event_id % 3 <> 0) AS user_id FROM ev GROUP BY entity")
+def stream_upserts(spark, d):
+    """Gauges that batches bring up to date: of each column the last value that isn't null stays."""
+    stream = _replayed(spark, d).withColumns({"value": F.when(F.col("event_id") % 5 != 0, F.col("value")), "user_id": F.when(F.col("event_id") % 3 != 0, F.col("user_id"))})
+    table = VersionedTable(spark, scratch(spark, "gauges"))
+    live.drain(stream, each=lambda df, n: _taken(table, df, n))
+    return table.gauges(["entity"], ["value", "user_id"])
+
+
+def _taken(table, df, n):
+    table.upsert(df, n, ["entity"], ["value", "user_id"], ["us", "event_id"])
+    return df.limit(0)
+
+
+_LATE = "event_id % 50 = 0"
+
+
+@query(
+    f"""WITH {EV_SQL}, e AS (SELECT min(us) AS a, max(us) + 1 AS b, greatest(3, ceil(count(*) / 1e6)) AS n FROM ev),
+    m AS (SELECT (max(us) FILTER (NOT ({_LATE}) AND floor((us - a) * n / (b - a)) < n - 1) - {HOUR}) // 1000 * 1000 AS before, (max(us) - {HOUR}) // 1000 * 1000 AS last FROM ev, e),
+    x AS (SELECT entity, us - us % {HOUR} AS start_us, value, {_LATE} AND us - us % {HOUR} + {HOUR} <= before AS late FROM ev, m)
+    SELECT CASE WHEN late THEN 'late' ELSE 'closed' END AS kind, entity, start_us, count(*) AS n, round(sum(value), 4) AS total FROM x, m WHERE late OR start_us + {HOUR} <= last GROUP BY ALL"""
+)
+def stream_closed_windows(spark, d):
+    """Windows told once they are closed, in append mode, and the rows that came too late for theirs. One row in fifty comes after all others."""
+    df = ev_series(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = df.agg(F.min("us").alias("a"), (F.max("us") + 1).alias("b")).first()
+    n = live.files_for(df)
+    third = F.floor((F.col("us") - ends["a"]) * n / ((ends["b"] or 0) - (ends["a"] or 0) or 1))
+    file = F.when(F.expr(_LATE), n).otherwise(F.least(third, F.lit(n - 1))).cast("int")
+    stream = live.replay(spark, df, ["us", "event_id"], n + 1, file=file)
+    closed = live.drain(live.closed_windows(live.with_event_time(stream), "entity", "value", "1 hour"))
+    beside = LateRows(spark, scratch(spark, "late"), "us", HOUR, HOUR)
+    live.drain(live.replay(spark, df, ["us", "event_id"], n + 1, file=file), each=lambda batch, k: (beside.take(batch, k), batch.limit(0))[1])
+    late = beside.read().groupBy("entity", (F.floor(F.col("us") / HOUR) * HOUR).alias("start_us")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    both = closed.withColumn("kind", F.lit("closed")).unionByName(late.withColumn("kind", F.lit("late")))
+    return both.select("kind", "entity", "start_us", "n", r6(F.col("total"), 4).alias("total"))
+
+
 @query(f"WITH {EV_SQL}, h AS (SELECT entity, us - us % {HOUR} AS us, event_id, value FROM ev) SELECT entity, event_id, us, value FROM h WHERE us = (SELECT max(us) FROM h)")
 def stream_reload(spark, d):
     """Results that come in several times: each batch replaces what is shown by its rows of the latest time, and series without one are gone."""

@@ -6,15 +6,18 @@ service would start the same query with a processing-time trigger.
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..sources.scratch import scratch
+from .versions import VersionedTable
 
 #: How late rows may be.
 LATE = "1 hour"
@@ -24,30 +27,66 @@ def drain(stream: DataFrame, mode: str = "append", each: Callable[[DataFrame, in
     """Run a stream to the end of its input and read what it wrote.
 
     In append mode Parquet files are added. In other modes, or with `each`, every batch (as `each` makes it) is the whole
-    result and takes the last one's place. The reports of the batches are added to `progress`.
+    result and takes the last one's place at once (see VersionedTable). The reports of all batches are added to `progress`.
     """
     spark = stream.sparkSession
     out, shape = scratch(spark, "stream"), stream.schema
+    table, reports = VersionedTable(spark, out), Reports()
+    if progress is not None:
+        spark.streams.addListener(reports)
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", scratch(spark, "offsets")).outputMode(mode)
     if mode == "append" and each is None:
         query = writer.format("parquet").option("path", out).start()
     else:
-        query = writer.foreachBatch(lambda df, n: (each(df, n) if each else df).write.mode("overwrite").parquet(out)).start()
-    query.awaitTermination()
-    if (problem := query.exception()) is not None:
-        raise problem
-    if progress is not None:
-        progress += [{"name": query.name or str(query.id), "batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
-    return spark.read.schema(shape).parquet(out)
+        query = writer.foreachBatch(lambda df, n: table.replace(each(df, n) if each else df, n)).start()
+    try:
+        query.awaitTermination()
+        if (problem := query.exception()) is not None:
+            raise problem
+        if progress is not None:
+            progress += reports.of(query)
+    finally:
+        if progress is not None:
+            spark.streams.removeListener(reports)
+    if mode == "append" and each is None:
+        return spark.read.schema(shape).parquet(out)
+    return done if (done := table.read()) is not None else spark.createDataFrame([], shape)
+
+
+class Reports(StreamingQueryListener):
+    """Every report of every batch: a query itself keeps the last hundred alone."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event())
 
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.rows.append({"run": str(p.runId), "name": p.name or str(p.id), "batch": p.batchId, "rows": p.numInputRows})
 
-def replay(spark: SparkSession, df: DataFrame, order: list[str], files: int, per_batch: int = 1) -> DataFrame:
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def of(self, query: StreamingQuery, seconds: float = 60.0) -> list[dict]:
+        """The reports of a query that has ended; they come in some time after it, and its end comes last."""
+        self.ended.setdefault(str(query.runId), threading.Event()).wait(seconds)
+        return [{k: r[k] for k in ("name", "batch", "rows")} for r in self.rows if r["run"] == str(query.runId)]
+
+
+def replay(spark: SparkSession, df: DataFrame, order: list[str], files: int, per_batch: int = 1, file: Column | None = None) -> DataFrame:
     """A table as a stream in the order of time: cut into files by ranges of `order`, of which each batch takes so many.
 
-    What a batch holds, and with it what a keyed state takes in at once, is bounded by the size of these files.
+    With `file`, a number from 0 below `files`, that says which file a row comes in. What a batch holds, and with it what a keyed state takes in at once, is bounded by the size of these files.
     """
     path = scratch(spark, "replay")
-    df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
+    dealt = df.repartitionByRange(files, *order) if file is None else df.repartitionById(files, file)
+    dealt.sortWithinPartitions(*order).write.mode("overwrite").parquet(path)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     # a file source reads by time of change; ranges are numbered in the names
@@ -66,6 +105,11 @@ def files_for(df: DataFrame) -> int:
     return max(LEAST_FILES, -(-df.count() // FILE_ROWS))
 
 
+def closed_windows(stream: DataFrame, by: str, value: str, width: str) -> DataFrame:
+    """Count and sum of each window, told once, when the watermark has passed its end; later rows of it are left out (see LateRows)."""
+    return tumbling(stream, by, value, width).drop("mean")
+
+
 def with_event_time(stream: DataFrame, ts: str = "ts", late: str = LATE) -> DataFrame:
     """Event time as TIMESTAMP (watermarks take no other kind), with a watermark."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
