@@ -12,7 +12,7 @@ import hashlib
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,13 +37,21 @@ _PART, _PART_LEAST = re.compile(r"[A-Za-z0-9]+"), 16
 _DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)
 _DIGEST = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)\Z")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
-_IDENTIFIER = re.compile(r"(?:[/_+=-]*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4}))+[/_+=-]*\Z")
+#: A digest in base 64 behind the name of its algorithm; its length without padding has to be that of a digest.
+_NAMED_DIGEST = re.compile(r"(?i:sha-?(?:1|224|256|384|512)|md5|blake2[bs]?|ripemd160)[-_:=/+ ]{1,2}([A-Za-z0-9+/_-]{22,86})(?![A-Za-z0-9+/_-])={0,2}")
+_NAMED_LENGTHS = (22, 27, 38, 43, 64, 86)
+#: Times, numbers of books and parts and the like: groups of digits (or times with a T or Z) and short words, joined by signs.
+_NUMBERED = re.compile(r"[/_+=-]*(?:(?:[0-9]{1,10}|[A-Za-z]{1,5}|[0-9]{1,8}[TtZz](?:[0-9]{1,6}[Zz]?)?)(?:[/_+=-]+|\Z)){2,}\Z|[0-9]{6,8}[Tt][0-9]{4,9}[Zz]?\Z")
+_NUMBERED_LETTERS = 8
 _WORD = re.compile(r"[A-Za-z]+")
 #: Words with a capital at most, joined by signs: readable however odd the words are.
 _WORDS = re.compile(r"[/_+=-]*[A-Z]?[a-z]+(?:[/_+=-]+[A-Z]?[a-z]+)*[/_+=-]*\Z")
 #: Parts that are readable, so that they are no beginning or end of a random string with joining signs.
 _PLAIN = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,4})\Z")
 
+#: How far before a candidate the name of a digest's algorithm may begin.
+_NAME = 12
+
 MAX_CHARS_PER_TOKEN = 2.0
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -54,6 +62,12 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def _in_sequence(s: str) -> bool:
+    """Whether half of the characters or more are their predecessor's neighbour or the same: alphabets, counts, repeats."""
+    near = sum(-1 <= ord(y) - ord(x) <= 1 for x, y in pairwise(s))
+    return 2 * near >= len(s) - 1
+
+
 class SecretScanner:
     """Spans (kind, start, end) of a text, in code points, by start and then kind."""
 
@@ -65,13 +79,15 @@ class SecretScanner:
         self.limit = max_chars_per_token
 
     def is_random(self, s: str) -> bool:
-        """Few characters a token, letters and digits (or both cases) mixed, and no digest, UUID or identifier."""
+        """Few characters a token, letters and digits (or both cases) mixed, and no digest, UUID, number, sequence or identifier."""
         if _UUID.search(s) or (len(s) in _DIGEST_LENGTHS and _DIGEST.match(s)):
             return False
+        if (_NUMBERED.match(s) and sum(map(str.isalpha, s)) <= _NUMBERED_LETTERS) or _in_sequence(s):
+            return False
         kinds = any(map(str.isdigit, s)) + any(map(str.islower, s)) + any(map(str.isupper, s))
         if kinds < 2 or _WORDS.match(s):
             return False
-        if _IDENTIFIER.match(s) and max(map(len, re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)), default=0) >= 4 and sum(map(len, _WORD.findall(s))) >= 0.8 * len(s):
+        if max(map(len, re.findall(r"[A-Z]?[a-z]+|[A-Z]+", s)), default=0) >= 4 and sum(map(len, _WORD.findall(s))) >= 0.8 * len(s):
             # words of some length joined together; in random strings runs of one case are short, or no words
             runs = re.findall(r"[A-Z]?[a-z]+|[A-Z]{2,}|[0-9]+", s)
             words = [r.lower() for r in runs if len(r) > 2 and r.isalpha()]
@@ -94,13 +110,15 @@ class SecretScanner:
         for m in _CANDIDATE.finditer(text):
             a, b = m.span()
             before = bisect_left(starts, b)  # spans that start before the candidate ends; one of them may reach into it
-            if not (before and reach[before - 1] > a) and self.is_random(m[0]):
+            named = [x.span() for x in _NAMED_DIGEST.finditer(text, max(0, a - _NAME), b) if len(x[1]) in _NAMED_LENGTHS]
+            if not named and not (before and reach[before - 1] > a) and self.is_random(m[0]):
                 out.append(("random", a, b))
                 continue
             first = before
             while first and reach[first - 1] > a:
                 first -= 1
             known = [(max(a, x), min(b, y)) for x, y in spans[first:before] if y > a]
+            known += [(max(a, x), min(b, y)) for x, y in named if y > a]
             known += [(a + x.start(), a + x.end()) for x in _UUID.finditer(m[0])]
             known += [(a + x.start(), a + x.end()) for x in _PART.finditer(m[0]) if len(x[0]) in _DIGEST_LENGTHS and _DIGEST.match(x[0])]
             at = a

@@ -159,6 +159,31 @@ def test_secrets_joined_to_readable_text():
         assert not any(k == "random" for k, _, _ in scanner.scan(f"see {before}documentation/of_the_release there")[1])
 
 
+def test_times_numbers_sequences_and_named_digests_are_no_secrets():
+    import base64
+
+    import public_tokenizers
+
+    with open(secrets.default_vocabulary(), "rb") as file:
+        scanner = secrets.SecretScanner(file.read(), public_tokenizers.PATTERN)
+    in_base64 = lambda name: base64.b64encode(hashlib.new(name, b"x").digest()).decode()
+    for text in (
+        "2024-01-02T03-04-05+0000", "ISBN-978-3-16-148410-0", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "20240102T030405Z-20240103T040506Z", "9876543210ZYXWVUTSRQPONMLKJIHGFEDCBA",
+        f"sha256-{in_base64('sha256')}", f"integrity=sha384-{in_base64('sha384')}", f"SHA512: {in_base64('sha512')}", f"sha1={in_base64('sha1')}", f"(sha-256={in_base64('sha256')})",
+    ):
+        assert scanner.added(text, scanner.base(text)) == [], text
+    rng = random.Random(22)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = {"base 62": base62, "base 64": base62 + "+/", "url": base62 + "-_", "base 32": base62[:26] + "234567", "lower": base62[26:], "mixed letters": base62[:52]}
+    for name, signs in alphabets.items():
+        for n in (16, 24, 40):
+            keys = ["".join(rng.choice(signs) for _ in range(n)) for _ in range(200)]
+            found = sum(bool(scanner.added(f"x {k} y", [])) for k in keys)
+            assert found >= 180, (name, n, found)
+    # the name of an algorithm before a key of another length hides nothing
+    assert scanner.added("sha256-" + "".join(rng.choice(base62) for _ in range(32)), [])
+
+
 # -- 3 n-gram join
 
 
