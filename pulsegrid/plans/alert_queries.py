@@ -178,6 +178,12 @@ def diagnosis_by_model(spark, d):
     return answers.select("bucket", rca.parse_diagnosis(F.col("answer"))["diagnosis"].alias("diagnosis"))
 
 
+@query(f"WITH {EV_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us DESC, event_id DESC) AS rn FROM ev), m AS (SELECT entity, round(avg(value) / 1e6, 9) AS mean_mb FROM k WHERE rn <= 10 GROUP BY entity) SELECT entity, mean_mb, mean_mb > 0.00005 AS above, (SELECT count(*) FROM m o WHERE o.entity <> m.entity AND o.mean_mb > 0.00005) AS others_above FROM m")
+def related_devices(spark, d):
+    """Whether the last rows of other devices are high as well."""
+    return rca.related_devices(ev_series(spark, d), "entity", "value", 0.00005)
+
+
 @query(f"WITH {EV_SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY us DESC, event_id DESC) AS rn FROM ev) SELECT entity, count(*) AS window_rows, round(avg(value) / 1e6, 9) AS value_avg_mb, round(max(value) / 1e6, 9) AS value_max_mb FROM k WHERE rn <= 10 GROUP BY entity")
 def recent_metrics(spark, d):
     return rca.recent_metrics(ev_series(spark, d), "entity", ["value"])

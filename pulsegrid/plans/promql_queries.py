@@ -142,6 +142,28 @@ def alert_rules(spark, d):
     return promql.rule_alerts(_recorded(spark, d)).groupBy("alert", "severity", "port", "state").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH {STATES_SQL} SELECT alert, severity, anomaly_type, port, us, since FROM x WHERE state = 'firing'")
+def firing_alerts(spark, d):
+    """Alerts that fire, and since when their condition has held."""
+    df = promql.rule_alerts(_recorded(spark, d)).where("state = 'firing'")
+    return df.select("alert", "severity", "anomaly_type", "port", "us", F.col("since_us").alias("since"))
+
+
+_RECORDED = [*promql.RECORDING_RULES, *_ROUNDED]
+
+
+@query(
+    f"""WITH {STATES_SQL}, n AS (SELECT {', '.join(f'count({c}) AS {c}' for c in ('traffic_total', 'errors_total', 'discards_total', 'ucast_total', 'error_rate', 'discard_rate', 'broadcast_total', *_ROUNDED))} FROM rec)
+    SELECT name, 'recording' AS type, rows FROM (UNPIVOT n ON * INTO NAME name VALUE rows) UNION ALL SELECT alert, 'alerting', count(*) FILTER (state <> 'inactive') FROM x GROUP BY alert"""
+)
+def rule_activity(spark, d):
+    """Every rule of the catalog: how many rows a recording rule has a value for, and how many an alert isn't inactive for."""
+    recorded = _recorded(spark, d)
+    made = recorded.agg(*(F.count(c).alias(c) for c in _RECORDED)).unpivot([], _RECORDED, "name", "rows")
+    told = promql.rule_alerts(recorded).groupBy(F.col("alert").alias("name")).agg(F.count(F.when(F.col("state") != "inactive", 1)).alias("rows"))
+    return promql.rule_catalog(spark).select("name", "type").join(made.unionByName(told), "name")
+
+
 @query(f"WITH {STATES_SQL} SELECT alert, anomaly_type, port, us, since, state FROM x WHERE regexp_full_match(alert, '(Traffic|Discard|Error).*') AND state <> 'inactive'")
 def active_alerts(spark, d):
     """Pending and firing alerts whose name fits a regex."""

@@ -11,9 +11,12 @@ from ..sources import generator, readers, sinks
 from ..sources.adapters import EV_SQL, WIDE_SQL, ev_series, ev_wide, read
 from ..sources.scratch import scratch
 from .base import query, r6
+from .forecast_queries import BAND_SQL, HOURLY_SQL, hourly_forecast
 from .join_queries import CAT_SQL, HOUR, T0, catalog
 
 DAY = 86_400
+#: Ten days and a bit of the events' month, in seconds since 1970.
+_FROM, _TO = 1_704_500_000, 1_705_400_000
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 2) AS total, epoch_us(min(ts)) AS first_us FROM events GROUP BY event_type")
@@ -51,6 +54,13 @@ def rrd_consolidate(spark, d):
     return out
 
 
+@query(f"WITH r AS (SELECT epoch_us(ts) // 1000000 AS epoch, value FROM events WHERE event_id % 7 <> 3), b AS (SELECT * FROM r WHERE epoch BETWEEN {_FROM} AND {_TO}) SELECT epoch - epoch % {DAY} AS step, round(arg_max(value, row(epoch, value)), 3) AS value FROM b GROUP BY 1")
+def rrd_last(spark, d):
+    """The last value of each day between two times, both inside; of one second's values the largest."""
+    df = readers.consolidate(_rrd_lines(spark, d).where("name = 'value'"), DAY, "LAST", _FROM, _TO)
+    return df.select("step", F.round("value", 3).alias("value"))
+
+
 @query("SELECT 'ds[' || event_type || '].n' AS key, count(*)::VARCHAR AS value FROM events GROUP BY event_type UNION ALL SELECT 'rrd_version', '0003'")
 def rrd_info(spark, d):
     path = scratch(spark, "info")
@@ -174,3 +184,10 @@ def dashboard_counters(spark, d):
     chosen = [promql.select(rows, c, ("event", "!=", "normal")) for c in counters]
     df = reduce(lambda a, b: a.unionByName(b), chosen)
     return df.groupBy("metric", F.col("labels")["port"].alias("port"), F.col("labels")["event"].alias("event")).agg(F.count(F.lit(1)).alias("n"), r6(F.max("value"), 4).alias("max"), r6(F.avg("value"), 5).alias("mean"))
+
+
+@query(f"WITH {EV_SQL}, {HOURLY_SQL}, {BAND_SQL} SELECT entity, us, c AS \"column\", round(v + 1e-9, 4) AS value FROM (SELECT entity, us, unnest(['y_hat', 'y_hat_lower', 'y_hat_upper']) AS c, unnest([y_hat, greatest(y_hat - band, 0), y_hat + band]) AS v FROM o) WHERE v IS NOT NULL")
+def inferred_results(spark, d):
+    """The forecast's results in narrow form, under the columns that a table's own schema ranks first."""
+    df = hourly_forecast(spark, d).select("entity", "us", "x", "slot", "y_hat", F.col("y_lower").alias("y_hat_lower"), F.col("y_upper").alias("y_hat_upper"))
+    return sinks.narrow_results(df, "forecast", ["entity", "us"]).select("entity", "us", "column", F.round(F.col("value") + 1e-9, 4).alias("value"))

@@ -47,8 +47,8 @@ def rrd_fetch(spark: SparkSession, path: str, names: list[str] | None = None) ->
 
 
 def consolidate(df: DataFrame, seconds: int, how: str, start: int | None = None, end: int | None = None) -> DataFrame:
-    """AVERAGE, MIN, MAX or LAST of each name and step, between start and end (epochs, both inside)."""
-    functions = {"AVERAGE": F.avg("value"), "MIN": F.min("value"), "MAX": F.max("value"), "LAST": F.max_by("value", "epoch")}
+    """AVERAGE, MIN, MAX or LAST (of one time's values the largest) of each name and step, between start and end (epochs, both inside)."""
+    functions = {"AVERAGE": F.avg("value"), "MIN": F.min("value"), "MAX": F.max("value"), "LAST": F.max_by("value", F.struct("epoch", "value"))}
     if how not in functions:
         raise ValueError(f"{how!r} is no consolidation; there are {sorted(functions)}")
     if start is not None:

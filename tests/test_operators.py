@@ -118,13 +118,20 @@ def test_kinds_and_causes(spark, metrics, ports, kind, cause, evidence):
     assert (got["problem_type"], got["root_cause_candidate"], got["root_cause_score"]) == (kind, cause, 10 + 3 * evidence + 4 * ports)
 
 
-def test_models_are_asked_on_the_driver(spark):
-    df = spark.createDataFrame([(1, "a"), (2, "b")], "k long, t string")
-    assert {r["k"]: r["answer"] for r in rca.diagnose(df, "k", F.col("t"), str.upper).collect()} == {1: "A", 2: "B"}
-    with pytest.raises(ValueError):
-        rca.diagnose(df, "k", F.col("t"), str.upper, most=1)
-    assert {t["name"] for t in rca.TOOLS} == {"get_recent_metrics", "check_related_devices", "create_incident_summary"}
-    assert all(set(t["input_schema"]["required"]) <= set(t["input_schema"]["properties"]) for t in rca.TOOLS)
+def test_models_are_asked_in_tasks_and_tools_answer(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "k long, t string")
+    assert {r["k"]: r["answer"] for r in rca.diagnose(df, "k", F.col("t"), str.upper).collect()} == {1: "A", 2: "B", 3: None}
+    schemas = {t["name"]: t["input_schema"] for t in rca.IncidentTools.schemas()}
+    assert {n: s["required"] for n, s in schemas.items()} == {"get_recent_metrics": ["device"], "check_related_devices": [], "create_incident_summary": ["severity", "root_causes", "actions"]}
+    assert schemas["create_incident_summary"]["properties"]["severity"] == {"type": "string", "enum": ["low", "medium", "high", "critical"]}
+    assert schemas["get_recent_metrics"]["properties"]["minutes"] == {"type": "integer", "default": 10}
+    rows = spark.createDataFrame([(d, i, i, v * 1e6) for d, v in (("a", 1.0), ("b", 3.0), ("c", 5.0)) for i in range(12)], "device string, us long, event_id long, rx double")
+    tools = rca.IncidentTools(rows, "device", "c", ["rx"])
+    assert tools.call("get_recent_metrics", {"device": "b", "minutes": 4}) == {"device": "b", "window_rows": 4, "rx_avg_mb": 3.0, "rx_max_mb": 3.0}
+    assert tools.call("get_recent_metrics", {"device": "z"})["window_rows"] == 0
+    assert tools.call("check_related_devices", {"threshold_mb": 2.0})["others_above"] == 1
+    assert tools.call("create_incident_summary", {"severity": "low", "root_causes": ["x"], "actions": []})["recorded"] and tools.incidents[0]["escalate"] is False
+    assert "error" in tools.call("reboot", {}) and "error" in tools.call("get_recent_metrics", {})
 
 
 @pytest.mark.parametrize(("rows", "hours"), [(1, 40), (5, 40), (5, 1), (288, 40)])
@@ -193,11 +200,13 @@ def test_readers_and_sinks(spark, tmp_path):
     (tmp_path / "m.txt").write_text('# HELP a\na{x="1",y="b c"} 3\nb 4\n')
     assert [(r["metric"], r["labels"], r["value"]) for r in readers.exposition(spark, str(tmp_path / "m.txt")).collect()] == [("a", {"x": "1", "y": "b c"}, 3.0), ("b", {}, 4.0)]
     wide = spark.createDataFrame([(1, 2.0, "s")], "us long, v double, s string")
-    assert sinks.infer_value_columns(wide.drop("us")) == ["v"]
+    assert sinks.value_columns(wide.drop("us")) == ["v"]
+    both = spark.createDataFrame([], "y_hat_upper double, port_id long, z long, y_hat double")
+    assert sinks.value_columns(both) == ["y_hat", "y_hat_upper"] and sinks.value_columns(both.drop("y_hat", "y_hat_upper")) == ["z"]
     with pytest.raises(ValueError):
-        sinks.infer_value_columns(wide, ["nope"])
+        sinks.value_columns(wide, ["nope"])
     with pytest.raises(ValueError):
-        sinks.infer_value_columns(wide.select("s"))
+        sinks.value_columns(wide.select("s"))
     with pytest.raises(ValueError):
         sinks.narrow_results(wide.drop("us"), "x", ["s"])
 
