@@ -93,3 +93,15 @@ def test_pipeline_on_odd_tables(spark, tmp_path, kind):
     spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(out) == 0 if kind != "repeats" else 0 < len(out) == len({r["doc_id"] for r in out})
+
+
+def test_pipeline_with_clashing_columns_a_very_long_text_and_no_benchmark(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    long = docs.limit(1).withColumn("doc_id", F.lit(10**9).cast("long")).withColumn("text", F.expr("array_join(transform(sequence(1, 400000), i -> concat('w', hash(i))), ' ')"))
+    extra = {c: F.lit("x") for c in ("TEXT2", "size", "spans", "comp", "keep_id", "found", "hit", "whole", "rank", "taken")}
+    docs.unionByName(long).withColumns(extra).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    rows = out.collect()
+    assert 0 < len(rows) <= 31 and len({r["doc_id"] for r in rows}) == len(rows)
+    assert {"doc_id", "text", "lang", "source", "n_chars"} <= set(out.columns)
