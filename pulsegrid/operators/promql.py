@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import matches
 from ..functions.scans import Before, scan
 from ..functions.windows import Series, own_rows, with_halo
+from ..sources.scratch import written
 
 SECOND = 1_000_000
 
@@ -228,6 +229,7 @@ def rule_alerts(recorded: DataFrame, name: str | None = None) -> DataFrame:
     if not fits:
         fits = [F.struct(F.lit("").alias("alert"), F.lit("").alias("anomaly_type"), F.lit("").alias("severity"), F.lit(0).alias("hold"), F.lit(None).cast("boolean").alias("on"))]
     long = recorded.select("port", "us", F.inline(F.array(*fits))).where("alert != ''").withColumn("event_id", F.lit(0))
+    long = written(long, "judged")  # it is counted before it is scanned
     states = alert_states(long, ["alert", "port"], F.col("on"), F.col("hold"))
     return states.select("alert", "severity", "anomaly_type", "port", "us", "state", "since_us")
 
