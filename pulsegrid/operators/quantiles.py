@@ -73,16 +73,21 @@ def quantile_table(df: DataFrame, by: list[str], wanted: dict[str, tuple[str, fl
     # as many values to a group as there are ranks
     known = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_rank", "_value"))).alias("_m"))
     n, m = F.col("_n"), F.col("_m")
-    # without values there is no entry, so that every quantile is null
 
-    def at(q: float) -> Column:
-        place = F.lit(float(q)) * (n - 1)
+    def at(q: Column) -> Column:
+        place = q * (n - 1)
         low, high = F.try_element_at(m, F.floor(place)), F.try_element_at(m, F.ceil(place))
         return low + (high - low) * (place - F.floor(place))
 
-    got = _met(groups, known, keys)
-    pick = [F.max(F.when(F.col("_c") == name[c], at(q))).alias(new) for new, (c, q) in wanted.items()]
-    out = got.groupBy(*by).agg(*pick)
+    # a column's quantiles in one array, and a group's columns in one map; without values there is no entry, so that all are null
+    got = _met(groups, known, keys).select(*keys, F.transform("_q", at).alias("_at"))
+    maps = got.groupBy(*by).agg(F.map_from_entries(F.collect_list(F.struct("_c", "_at"))).alias("_all"))
+    seen = dict.fromkeys(columns, 0)
+    pick = []
+    for new, (c, _) in wanted.items():
+        pick.append(F.get(F.try_element_at("_all", F.lit(name[c])), F.lit(seen[c])).alias(new))
+        seen[c] += 1
+    out = maps.select(*by, *pick)
     if not by:
         return out
     # groups of nulls alone
