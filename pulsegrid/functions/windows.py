@@ -11,6 +11,8 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
+import pandas.api.indexers
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -56,8 +58,9 @@ def with_halo(df: DataFrame, s: Series, seconds: float, chunk_seconds: float | N
     back, then keep the rows with `_own`. Stretches are 16 frames long unless told otherwise, so that one row in 16 is sent twice.
     """
     chunk = int((chunk_seconds or 16 * seconds) * 1_000_000)
-    first = F.floor(F.col(s.micros) / chunk)
-    last = F.floor((F.col(s.micros) + int(seconds * 1_000_000)) / chunk)
+    # rows without a time are a stretch of their own
+    first = F.coalesce(F.floor(F.col(s.micros) / chunk), F.lit(-(1 << 60)))
+    last = F.coalesce(F.floor((F.col(s.micros) + int(seconds * 1_000_000)) / chunk), F.lit(-(1 << 60)))
     out = df.withColumn("_first", first).withColumn("_chunk", F.explode(F.sequence("_first", last)))
     return out.withColumn("_own", F.col("_chunk") == F.col("_first")).drop("_first"), Series((*s.by, "_chunk"), s.order, s.micros)
 
@@ -172,6 +175,91 @@ def roll_order(df: DataFrame, s: Series, columns: dict[str, tuple[str, int, int,
     return order_statistics(cut, stretch, columns)
 
 
+class Frames:
+    """The frames (t - seconds, t] of a stretch's rows, which are in the order of time; rows of one time see each other.
+
+    Rows are cut into blocks as long as a frame, so that a frame is the end of one block and the beginning of the next. What
+    is folded from each row to both ends of its block gives every frame by one more step: the work grows with the rows, not
+    with the rows of a frame, and no sum is taken away from another.
+    """
+
+    def __init__(self, us: np.ndarray, seconds: float) -> None:
+        span = int(seconds * 1_000_000)
+        block = us // span
+        self.us, self.starts = us, np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])[: len(us)])
+        #: The first row of each frame, and the one after its last.
+        self.first, self.end = np.searchsorted(us, us - span, "right"), np.searchsorted(us, us, "right")
+        self.crosses = self.first < self.starts[np.searchsorted(self.starts, np.arange(len(us)), "right") - 1]
+
+    def fold(self, x: np.ndarray, step: np.ufunc) -> np.ndarray:
+        """np.add, np.fmin or np.fmax over each frame."""
+        upto, after = np.empty_like(x), np.empty_like(x)
+        for a, b in zip(self.starts, [*self.starts[1:], len(x)], strict=True):
+            upto[a:b], after[a:b] = step.accumulate(x[a:b]), step.accumulate(x[a:b][::-1])[::-1]
+        return np.where(self.crosses, step(after[self.first], upto[self.end - 1]), upto[self.end - 1])
+
+    def count(self, x: np.ndarray) -> np.ndarray:
+        return self.fold((~np.isnan(x)).astype(np.int64), np.add)
+
+    def total(self, x: np.ndarray) -> np.ndarray:
+        """Sum of the values that aren't missing, with more digits than a double."""
+        return self.fold(np.where(np.isnan(x), 0, x).astype(np.longdouble), np.add)
+
+    def products(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows that have both: their number, means of x and y, mean product of the deviations from these. NaN without such rows."""
+        both = ~(np.isnan(x) | np.isnan(y))
+        # values are taken from the middle of the stretch, so that products keep their digits
+        x0, y0 = (np.longdouble(v[both].mean()) if both.any() else np.longdouble(0) for v in (x, y))
+        dx, dy = (np.where(both, v - v0, np.longdouble(0)) for v, v0 in ((x, x0), (y, y0)))
+        n = self.fold(both.astype(np.int64), np.add)
+        some = np.where(n > 0, n, 1).astype(np.longdouble)
+        mx, my = self.fold(dx, np.add) / some, self.fold(dy, np.add) / some
+        made = (x0 + mx, y0 + my, self.fold(dx * dy, np.add) / some - mx * my)
+        return n, *(np.where(n > 0, v, np.nan).astype(np.float64) for v in made)
+
+    def moments(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number, mean and population variance; NaN without values."""
+        n, mean, _, variance = self.products(x, x)
+        # values that are all alike have none
+        same = self.fold(x, np.fmin) == self.fold(x, np.fmax)
+        return n, mean, np.where(same, 0.0, np.maximum(variance, 0.0))
+
+    def quantile(self, x: np.ndarray, q: float) -> np.ndarray:
+        """Linear interpolation between the two nearest values: a sorted list takes rows in and lets them go."""
+        return pd.Series(x).rolling(_Bounds(first=self.first, end=self.end), min_periods=1).quantile(q).to_numpy()
+
+
+class _Bounds(pd.api.indexers.BaseIndexer):
+    """Frames for pandas, which knows no open ends that rows of one time share."""
+
+    def get_window_bounds(self, num_values=0, min_periods=None, center=None, closed=None, step=None):
+        return self.first.astype(np.int64), self.end.astype(np.int64)
+
+
+def range_frames(df: DataFrame, s: Series, seconds: float, new: str, make: Callable[[Frames, Callable[[str], np.ndarray]], dict[str, np.ndarray]], keep: list[str] | None = None) -> DataFrame:
+    """Add columns over frames (t - seconds, t] that numpy makes, one pass over a stretch for all of them.
+
+    make takes the frames and a function that gives a column as doubles (NaN: missing), and gives a value for each row of
+    every column in `new`. Only the columns of `keep` come back with these (all, if None).
+    """
+    cut, stretch = with_halo(df, s, seconds, 4 * seconds)
+    kept = df.columns if keep is None else keep
+    order = [(c, "ascending") for c in dict.fromkeys((s.micros, *s.order))]
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start"))
+        own = np.flatnonzero(table.column("_own").to_numpy(zero_copy_only=False))
+        frames = Frames(table.column(s.micros).fill_null(0).to_numpy(), seconds)
+        made = make(frames, lambda c: np.array(table.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False), dtype=np.float64))
+        out = table.take(pa.array(own)).select(kept)
+        for name in made:
+            out = out.append_column(name, pa.array(made[name][own], from_pandas=True))
+        return out
+
+    schema = T.StructType([*(df.schema[c] for c in kept), *T._parse_datatype_string(new).fields])
+    return cut.groupBy(*stretch.by).applyInArrow(run, schema)
+
+
 def own_rows(df: DataFrame) -> DataFrame:
     return df.where("_own").drop("_own", "_chunk")
 

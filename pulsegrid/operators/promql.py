@@ -6,13 +6,15 @@ There is no text language here: selectors, ranges and aggregations are functions
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import matches
 from ..functions.scans import Before, scan
-from ..functions.windows import Series, own_rows, with_halo
+from ..functions.windows import Frames, Series, own_rows, range_frames, with_halo
 from ..sources.scratch import written
 
 SECOND = 1_000_000
@@ -45,6 +47,10 @@ def keyed(samples: DataFrame) -> DataFrame:
     return samples.withColumn("series", series_key())
 
 
+#: Samples of one series, in order.
+SAMPLES = Series(("metric", "series"), ("us", "event_id"))
+
+
 def _ranges(samples: DataFrame, seconds: int) -> tuple[DataFrame, Window]:
     """Samples cut into stretches of time, so that a long series spreads over many tasks, and the window (t - seconds, t] there."""
     cut, series = with_halo(keyed(samples), Series(("metric", "series"), ("us",)), seconds)
@@ -72,7 +78,7 @@ def rate_at(samples: DataFrame, seconds: int, start_us: int, end_us: int, step_u
     step of them, and is summed up there before anything is shuffled, so that no series needs a task of its own.
     """
     span = seconds * SECOND
-    before = scan(keyed(samples), Series(("metric", "series"), ("us", "event_id")), {"_before": Before(F.struct("value", "us"))})
+    before = scan(keyed(samples), SAMPLES, {"_before": Before(F.struct("value", "us"))})
     # the first step at or after the sample, and the last that sees it
     first = F.greatest(F.ceil((F.col("us") - start_us) / step_us), F.lit(0))
     last = F.floor((F.least(F.col("us") + span - 1, F.lit(end_us)) - start_us) / step_us)
@@ -139,17 +145,20 @@ def over_time(samples: DataFrame, seconds: int) -> DataFrame:
     return own_rows(out)
 
 
-def predict_linear(samples: DataFrame, seconds: int, ahead: int) -> DataFrame:
-    """Least-squares value `ahead` seconds from now, over (t - seconds, t]; null with fewer than two times. With count_over_time.
+def predict_linear(samples: DataFrame, seconds: int, ahead: int, least_variance: float = 0.0, keep: list[str] | None = None) -> DataFrame:
+    """Least-squares value `ahead` seconds from now, over (t - seconds, t]; null unless the variance of its times (in square seconds) is above the least. With count_over_time, the number of samples.
 
-    Sums are of time since the stretch of the range began, so that they keep their digits.
+    Only the columns of `keep` come back with these (all, if None). Times whose variance is below 1e-6 square seconds give few digits.
     """
-    df, series = _ranges(samples, seconds)
-    df = df.withColumn("_x", (F.col("us") - F.col("_chunk") * F.lit(16 * seconds * SECOND)) / SECOND)
-    w = series.span(seconds)
-    slope = F.covar_pop("_x", "value").over(w) / F.when(F.var_pop("_x").over(w) > 0, F.var_pop("_x").over(w))
-    out = df.withColumn("predicted", F.avg("value").over(w) + slope * (F.col("_x") + ahead - F.avg("_x").over(w)))
-    return own_rows(out.withColumn("count_over_time", F.count("value").over(w)).drop("_x"))
+
+    def make(frames: Frames, column: Callable[[str], np.ndarray]) -> dict[str, np.ndarray]:
+        x, value = column("us") - frames.us[len(frames.us) // 2], column("value")  # whole microseconds
+        _, at, spread = frames.moments(x)
+        n, _, mean, together = frames.products(x, value)
+        slope = together / np.where(spread > least_variance * SECOND**2, spread, np.nan)
+        return {"predicted": np.where(n > 0, mean + slope * (x - at + ahead * SECOND), np.nan), "count_over_time": frames.end - frames.first}
+
+    return range_frames(keyed(samples), SAMPLES, seconds, "predicted double, count_over_time long", make, keep)
 
 
 def aggregate_by(samples: DataFrame, labels: list[str], *, step_us: int) -> DataFrame:

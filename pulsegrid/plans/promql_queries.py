@@ -84,7 +84,7 @@ def pq_avg_over_time(spark, d):
     SELECT event_id, round(CASE WHEN v > 1 THEN my + c / v * (x + 1800 - mx) END, 3) AS predicted FROM w WHERE n >= 3"""
 )
 def pq_predict_linear(spark, d):
-    df = promql.predict_linear(samples(spark, d), 24 * 3600, 1800)
+    df = promql.predict_linear(samples(spark, d), 24 * 3600, 1800, least_variance=1.0, keep=["event_id"])
     return df.where("count_over_time >= 3").select("event_id", r6(F.col("predicted"), 3).alias("predicted"))
 
 
