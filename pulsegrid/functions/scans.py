@@ -8,10 +8,16 @@ as many tasks as it has stretches.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .windows import COUNTED_ROWS, Series, cut_places
 
@@ -158,7 +164,7 @@ class NextTime(Scan):
 
 @dataclass(frozen=True)
 class Cusum(Scan):
-    """max(0, S + d) from 0; a null leaves S.
+    """max(0, S + d) from 0, to within rounding (see cusum); a null leaves S.
 
     A stretch takes S to max(S + D, E), where D is the sum of its steps and E what it ends with from 0. After several
     stretches that is P + max(0, highest E - P), with P the sum of all D so far.
@@ -268,6 +274,65 @@ def scan(df: DataFrame, s: Series, wanted: dict[str, Scan]) -> DataFrame:
     return together.select(*df.columns, *(v.value(p).alias(name) for name, (p, v) in zip(wanted, scans, strict=True)))
 
 
+def falls_to_zero(c: float, steps: np.ndarray) -> np.ndarray:
+    """max(0, c + step) after each step, added up in turn."""
+    return np.fromiter(accumulate(steps.tolist(), lambda c, x: c + x if c + x > 0 else 0.0, initial=c), dtype=np.float64, count=len(steps) + 1)[1:]
+
+
+def cusum(df: DataFrame, s: Series, d: Column, name: str) -> DataFrame:
+    """Add max(0, S + d) from 0, with the very bits of a loop over the series, so that S meets a limit where the loop's does.
+    A null leaves S, and minus infinity begins anew.
+
+    A stretch in which S falls to 0 whatever it takes over ends as it does from 0. A new run of stretches begins after each
+    of these, and rows are added up in turn within a run alone. Which stretches those are is told from sums, with a margin
+    far above their rounding. Steps that never bring S back to 0 make one long run, as no bit of a later S is known before the
+    rows between; its rows pass through one task, a batch at a time.
+    """
+    cut, _, n = in_stretches(df.withColumn("_d", F.coalesce(d.cast("double"), F.lit(0.0))), s)
+    keys, order = [*s.by, "_chunk"], [(c, "ascending") for c in s.order]
+
+    def sum_up(table: pa.Table) -> pa.Table:
+        x = table.take(pc.sort_indices(table, sort_keys=order, null_placement="at_start")).column("_d").to_numpy()
+        anew, end = np.isneginf(x), falls_to_zero(0.0, x)[-1]
+        finite = np.where(anew, 0.0, x)
+        sums = np.cumsum(finite)
+        made = {"_d": sums[-1], "_e": end, "_low": -np.inf if anew.any() else sums.min(), "_size": np.abs(finite).sum()}
+        out = table.slice(0, 1).select(keys)
+        for k, v in made.items():
+            out = out.append_column(k, pa.array([v], pa.float64()))
+        return out
+
+    fields = [T.StructField(k, T.DoubleType()) for k in ("_d", "_e", "_low", "_size")]
+    summaries = cut.select(*keys, *(c for c in s.order if c not in keys), "_d").groupBy(*keys).applyInArrow(sum_up, T.StructType([*(cut.schema[k] for k in keys), *fields]))
+    w = Carries(s.by)
+    upto = w.window.rowsBetween(Window.unboundedPreceding, 0)
+    closed = F.coalesce("_c", F.lit(0.0)) + F.col("_low") < -1e-7 * F.sum("_size").over(upto)
+    begins = F.when(F.coalesce(F.lag("_closed").over(w.window), F.lit(True)), F.struct(F.col("_chunk").alias("at"), F.coalesce(F.lag("_e").over(w.window), F.lit(0.0)).alias("s")))
+    runs = _layers(summaries, [[*Cusum(d).carry("_", w), {"_closed": closed}, {"_begins": begins}, {"_run": F.last("_begins", ignorenulls=True).over(upto)}]])
+    runs = runs.select(*(F.col(c).alias(f"_by_{i}") for i, c in enumerate(keys)), F.col("_run.at").alias("_run"), F.col("_run.s").alias("_s"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{i}")) for i, c in enumerate(keys)]
+    rows = cut.join(F.broadcast(runs) if n <= COUNTED_ROWS else runs, same).select(*df.columns, "_d", "_run", "_s")
+    rows = rows.repartition(*s.by, "_run").sortWithinPartitions(*s.by, "_run", *s.order)
+    kept, run_keys = df.columns, [*s.by, "_run"]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, c = None, 0.0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in run_keys]
+            change = np.flatnonzero(np.any([k[1:] != k[:-1] for k in codes], axis=0)) + 1
+            x, made = batch.column("_d").to_numpy(), np.empty(batch.num_rows)
+            for a, b in pairwise([0, *change.tolist(), batch.num_rows]):
+                if (here := [batch.column(k)[a].as_py() for k in run_keys]) != own:
+                    own, c = here, batch.column("_s")[a].as_py()
+                made[a:b] = falls_to_zero(c, x[a:b])
+                c = float(made[b - 1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), pa.array(made)], [*kept, name])
+
+    return rows.mapInArrow(add_up, T.StructType([*df.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
 def counter_rate(df: DataFrame, s: Series, x: str, name: str, default_seconds: float = 300.0) -> DataFrame:
     """Rise of a counter a second: falls give 0, the first row 0. Of equal times the next step that isn't 0 counts."""
     us = F.col(s.micros)

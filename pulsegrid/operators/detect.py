@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import EPSILON
-from ..functions.scans import Cusum, RunningCount, RunNumber, scan
+from ..functions.scans import RunningCount, RunNumber, cusum, scan
 from ..functions.windows import MAD_SCALE, Series, deadband, ewma, ewma_rows, own_rows, rising_edge, roll_mean, roll_order, roll_std, with_row_halo
 from ..sources.scratch import written
 from .quantiles import quantile_table, with_quantiles
@@ -80,7 +80,7 @@ def spc_charts(df: DataFrame, s: Series, x: str, baseline: DataFrame, lam: float
     floor = F.greatest(sigma, F.lit(1e-12))
     cut, stretch = with_row_halo(joined, s, ewma_rows(lam))
     smooth = written(own_rows(cut.withColumn("ewma", ewma(F.col(x), stretch, lam))), "smooth")
-    out = scan(smooth, s, {"cusum": Cusum(F.col(x) - mu - 0.5 * floor)})
+    out = cusum(smooth, s, F.col(x) - mu - 0.5 * floor, "cusum")
     out = out.withColumns({"ucl": mu + 3 * sigma, "lcl": F.greatest(mu - 3 * sigma, F.lit(0.0)), "ewma_ucl": mu + 3 * sigma * (lam / (2 - lam)) ** 0.5, "cusum_h": 5 * floor})
     flags = {"shewhart": F.col(x) > F.col("ucl"), "ewma_flag": F.col("ewma") > F.col("ewma_ucl"), "cusum_flag": F.col("cusum") > F.col("cusum_h")}
     out = out.withColumns({k: yes(v) for k, v in flags.items()})

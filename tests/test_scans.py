@@ -102,3 +102,43 @@ def test_frames_that_look_ahead_are_whole(spark, monkeypatch, ahead):
 
 def test_empty_series(spark):
     assert scans.scan(frame(spark, []), S, {"c": scans.Cusum(F.col("value"))}).count() == 0
+
+
+def summed(rows, center, anew=False):
+    """CUSUM by a loop over each entity; a missing value leaves the sum, or begins anew."""
+    out = {}
+    for entity in {r[0] for r in rows}:
+        c = 0.0
+        for _, i, _, v, *_ in sorted((r for r in rows if r[0] == entity), key=lambda r: (r[2], r[1])):
+            c = max(0.0, c + (v - center)) if v is not None else 0.0 if anew else c
+            out[i] = c
+    return out
+
+
+@pytest.mark.parametrize(("stretch", "center", "broadcast"), [(3, 60, 0), (16, 60, 100_000), (16, 5, 0), (4_096, 60, 100_000)])
+def test_cusum_has_the_bits_of_a_loop(spark, monkeypatch, stretch, center, broadcast):
+    """Sums of hundredths meet 300 or miss it by their last bits; a center of 5 never brings the sum back to 0."""
+    monkeypatch.setattr(W, "STRETCH_ROWS", stretch)
+    monkeypatch.setattr(scans, "COUNTED_ROWS", broadcast)
+    rng = random.Random(7)
+    rows = [(rng.choice(["a", "a", "b", None]), i, i // 3 * 60_000_000, None if rng.random() < 0.02 else round(rng.expovariate(1 / 50), 2), None) for i in range(3_000)]
+    df, d = frame(spark, rows), F.col("value") - center
+    for anew, step in ((False, d), (True, F.coalesce(d, F.lit(float("-inf"))))):
+        got = {r["event_id"]: r["c"] for r in scans.cusum(df, S, step, "c").collect()}
+        assert got == summed(rows, center, anew)
+    assert scans.cusum(frame(spark, []), S, d, "c").count() == 0
+
+
+def test_cusum_queries_are_beyond_where_a_loop_is(spark, tmp_path):
+    """Six copies of every event, as the sums of one go on in the next: several sums are 300 but for their last bits."""
+    from pulsegrid.plans import registry
+
+    events = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    events = events.withColumn("event_id", F.explode(F.array(*(F.col("event_id") + k * 1_000_000 for k in range(6)))))
+    events = events.withColumn("value", F.when(F.col("event_id") % 997 != 5, F.round(F.col("value"), 0) + 0.1))
+    events.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
+    rows = [(r["event_type"], r["event_id"], r["ts"], r["value"]) for r in events.collect()]
+    want = {i: (round(c, 5), c > 300) for i, c in summed(rows, 60, anew=True).items()}
+    for name in ("cusum_series",):
+        got = {r["event_id"]: (r["cusum"], r["beyond"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert got == want, name
