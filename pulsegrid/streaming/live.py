@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.scans import falls_to_zero
 from ..sources.scratch import scratch
 from .versions import VersionedTable
 
@@ -155,12 +156,12 @@ def _online(stream: DataFrame, by: str, columns: list[str], new: str, state: str
     return rows.groupBy(by).applyInPandasWithState(run, f"{by} string, event_id long, {new}", state, "append", GroupStateTimeout.NoTimeout)
 
 
-def online_cusum(stream: DataFrame, by: str, center: float, limit: float) -> DataFrame:
-    """One-sided CUSUM with the running sum as state; a missing value leaves it."""
+def online_cusum(stream: DataFrame, by: str, center: float, limit: float, missing: float = 0.0) -> DataFrame:
+    """One-sided CUSUM with the running sum as state, added up in turn as a loop does. A missing value is a step of `missing`: 0 leaves the sum, minus infinity begins anew."""
 
     def step(rows: pd.DataFrame, state: tuple) -> tuple[dict, tuple]:
-        total = state[0] + np.cumsum(np.nan_to_num(rows["value"].to_numpy(dtype=float) - center))
-        s = total - np.minimum(0.0, np.minimum.accumulate(total))
+        x = rows["value"].to_numpy(dtype=float) - center
+        s = falls_to_zero(state[0], np.where(np.isnan(x), missing, x))
         return {"cusum": s, "beyond": s > limit}, (s[-1],)
 
     return _online(stream, by, ["value"], "cusum double, beyond boolean", "s double", (0.0,), step)

@@ -139,6 +139,6 @@ def test_cusum_queries_are_beyond_where_a_loop_is(spark, tmp_path):
     events.repartition(2).write.parquet(str(tmp_path / "events.parquet"))
     rows = [(r["event_type"], r["event_id"], r["ts"], r["value"]) for r in events.collect()]
     want = {i: (round(c, 5), c > 300) for i, c in summed(rows, 60, anew=True).items()}
-    for name in ("cusum_series",):
+    for name in ("cusum_series", "stream_cusum"):
         got = {r["event_id"]: (r["cusum"], r["beyond"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == want, name
