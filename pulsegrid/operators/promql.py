@@ -51,15 +51,9 @@ def keyed(samples: DataFrame) -> DataFrame:
 SAMPLES = Series(("metric", "series"), ("us", "event_id"))
 
 
-def _ranges(samples: DataFrame, seconds: int) -> tuple[DataFrame, Window]:
-    """Samples cut into stretches of time, so that a long series spreads over many tasks, and the window (t - seconds, t] there."""
-    cut, series = with_halo(keyed(samples), Series(("metric", "series"), ("us",)), seconds)
-    return cut, series
-
-
 def rate(samples: DataFrame, seconds: int) -> DataFrame:
     """Rise of a counter a second over (t - seconds, t], falls taken as resets, by the time between its first and last sample."""
-    df, series = _ranges(samples, seconds)
+    df, series = with_halo(keyed(samples), SAMPLES, seconds)
     step = F.col("value") - F.lag("value").over(series.window)
     df = df.withColumn("_up", F.when(step < 0, F.col("value")).otherwise(step))
     w = series.span(seconds)
@@ -137,12 +131,14 @@ def match_vectors(left: DataFrame, op: str, right: DataFrame, on: list[str] | No
     return both.select(labels.alias("labels"), F.col("_lus").alias("us"), OPERATORS[op](F.col("_lvalue"), F.col("_rvalue")).alias("value"))
 
 
-def over_time(samples: DataFrame, seconds: int) -> DataFrame:
-    """avg_over_time and stddev_over_time (population) of each sample's range."""
-    cut, series = _ranges(samples, seconds)
-    w = series.span(seconds)
-    out = cut.withColumns({"avg_over_time": F.avg("value").over(w), "stddev_over_time": F.stddev_pop("value").over(w), "count_over_time": F.count("value").over(w)})
-    return own_rows(out)
+def over_time(samples: DataFrame, seconds: int, keep: list[str] | None = None) -> DataFrame:
+    """avg_over_time, stddev_over_time (population) and count_over_time of each sample's range. Only the columns of `keep` come back with these (all, if None)."""
+
+    def make(frames: Frames, column: Callable[[str], np.ndarray]) -> dict[str, np.ndarray]:
+        n, mean, variance = frames.moments(column("value"))
+        return {"avg_over_time": mean, "stddev_over_time": np.sqrt(variance), "count_over_time": n}
+
+    return range_frames(keyed(samples), SAMPLES, seconds, "avg_over_time double, stddev_over_time double, count_over_time long", make, keep)
 
 
 def predict_linear(samples: DataFrame, seconds: int, ahead: int, least_variance: float = 0.0, keep: list[str] | None = None) -> DataFrame:

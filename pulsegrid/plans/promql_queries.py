@@ -74,7 +74,7 @@ def pq_topk(spark, d):
 
 @query(f"WITH {SM_SQL} SELECT event_id, round(avg(value) OVER r, 6) AS avg_over_time, round(stddev_pop(value) OVER r, 5) AS stddev_over_time, count(value) OVER r AS count_over_time FROM sm WINDOW r AS (PARTITION BY type, slot ORDER BY us RANGE BETWEEN {12 * HOUR - 1} PRECEDING AND CURRENT ROW)")
 def pq_avg_over_time(spark, d):
-    df = promql.over_time(samples(spark, d), 12 * 3600)
+    df = promql.over_time(samples(spark, d), 12 * 3600, keep=["event_id"])
     return df.select("event_id", r6(F.col("avg_over_time")).alias("avg_over_time"), r6(F.col("stddev_over_time"), 5).alias("stddev_over_time"), "count_over_time")
 
 

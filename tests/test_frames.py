@@ -83,13 +83,24 @@ def test_frames_equal_loops(spark, seed):
         assert all(near(got[row[1]][k], v) for k, v in want.items()), (row, got[row[1]], want)
 
 
+def test_over_time_equals_a_loop(spark):
+    rows = rows_of(5)
+    df = promql.over_time(samples_of(spark, rows), SPAN)
+    assert df.columns == ["metric", "labels", "event_id", "us", "value", "series", "avg_over_time", "stddev_over_time", "count_over_time"]
+    got = {r["event_id"]: r for r in df.collect()}
+    for row in rows:
+        x, r = [r[3] for r in frame_of(rows, row) if r[3] is not None], got[row[1]]
+        assert r["count_over_time"] == len(x) and r["labels"] == {"host": "h"}
+        assert near(r["avg_over_time"], statistics.fmean(x) if x else None) and near(r["stddev_over_time"], statistics.pstdev(x) if x else None)
+
+
 def test_rows_without_a_time_stay(spark):
     rows = [("a", 1, None, 1.0), ("a", 2, None, 3.0), ("a", 3, 5, 9.0)]
     got = promql.predict_linear(samples_of(spark, rows), SPAN, 600).orderBy("event_id").collect()
     assert [(r["event_id"], r["count_over_time"], r["predicted"]) for r in got] == [(1, 2, None), (2, 2, None), (3, 1, None)]
 
 
-@pytest.mark.parametrize("name", ["pq_predict_linear", "range_window_2h"])
+@pytest.mark.parametrize("name", ["pq_predict_linear", "range_window_2h", "pq_avg_over_time"])
 def test_dense_queries_run_no_window_row_by_row(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Window [" not in plan
