@@ -51,16 +51,22 @@ def keyed(samples: DataFrame) -> DataFrame:
 SAMPLES = Series(("metric", "series"), ("us", "event_id"))
 
 
-def rate(samples: DataFrame, seconds: int) -> DataFrame:
-    """Rise of a counter a second over (t - seconds, t], falls taken as resets, by the time between its first and last sample."""
-    df, series = with_halo(keyed(samples), SAMPLES, seconds)
-    step = F.col("value") - F.lag("value").over(series.window)
-    df = df.withColumn("_up", F.when(step < 0, F.col("value")).otherwise(step))
-    w = series.span(seconds)
-    # the rise into the window's first sample lies outside; a stretch's own first sample may have none, which is the same
-    rise = F.sum("_up").over(w) - F.coalesce(F.first("_up").over(w), F.lit(0.0))
-    took = (F.col("us") - F.min("us").over(w)) / SECOND
-    return own_rows(df.withColumn("rate", F.when(took > 0, F.coalesce(rise, F.lit(0.0)) / took)).drop("_up"))
+def rate(samples: DataFrame, seconds: int, keep: list[str] | None = None) -> DataFrame:
+    """Rise of a counter a second over (t - seconds, t], falls taken as resets, by the time between its first and last sample; null where no step is known.
+
+    Only the columns of `keep` come back with the rate (all, if None).
+    """
+
+    def make(frames: Frames, column: Callable[[str], np.ndarray]) -> dict[str, np.ndarray]:
+        value = column("value")
+        step = np.diff(value, prepend=np.nan)
+        up = np.where(step < 0, value, step)
+        # the rise into the frame's first sample lies outside; a stretch's own first sample may have none, which is the same
+        rise = frames.total(up) - np.nan_to_num(up[frames.first])
+        took = (frames.us - frames.us[frames.first]) / SECOND
+        return {"rate": np.where((took > 0) & (frames.count(up) > 0), rise / np.where(took > 0, took, 1), np.nan).astype(np.float64)}
+
+    return range_frames(keyed(samples), SAMPLES, seconds, "rate double", make, keep)
 
 
 def rate_at(samples: DataFrame, seconds: int, start_us: int, end_us: int, step_us: int) -> DataFrame:

@@ -29,7 +29,7 @@ def pq_instant(spark, d):
     SELECT event_id, round(CASE WHEN took > 0 THEN rise / took END, 8) AS rate FROM w"""
 )
 def pq_rate(spark, d):
-    return promql.rate(samples(spark, d), 6 * 3600).select("event_id", r6(F.col("rate"), 8).alias("rate"))
+    return promql.rate(samples(spark, d), 6 * 3600, keep=["event_id"]).select("event_id", r6(F.col("rate"), 8).alias("rate"))
 
 
 @query(

@@ -94,13 +94,30 @@ def test_over_time_equals_a_loop(spark):
         assert near(r["avg_over_time"], statistics.fmean(x) if x else None) and near(r["stddev_over_time"], statistics.pstdev(x) if x else None)
 
 
+def test_rate_equals_a_loop(spark):
+    rows = [(m, i, us, 50.0 if v is None else v) for m, i, us, v in rows_of(6)]
+    got = {r["event_id"]: r["rate"] for r in promql.rate(samples_of(spark, rows), SPAN, keep=["event_id"]).collect()}
+    for row in rows:
+        own = frame_of(rows, row)
+        rise = math.fsum(b[3] if b[3] < a[3] else b[3] - a[3] for a, b in zip(own, own[1:]))
+        took = (row[2] - own[0][2]) / 1e6
+        assert near(got[row[1]], rise / took if took > 0 else None)
+    assert len(got) == len(rows)
+
+
+def test_rate_without_a_known_step_is_null(spark):
+    rows = [("a", 1, 0, 5.0), ("a", 2, 1_000_000, None), ("a", 3, 2_000_000, 7.0), ("a", 4, 3_000_000, 9.0)]
+    got = promql.rate(samples_of(spark, rows), SPAN).orderBy("event_id").collect()
+    assert [r["rate"] for r in got] == [None, None, None, pytest.approx(2 / 3)]
+
+
 def test_rows_without_a_time_stay(spark):
     rows = [("a", 1, None, 1.0), ("a", 2, None, 3.0), ("a", 3, 5, 9.0)]
     got = promql.predict_linear(samples_of(spark, rows), SPAN, 600).orderBy("event_id").collect()
     assert [(r["event_id"], r["count_over_time"], r["predicted"]) for r in got] == [(1, 2, None), (2, 2, None), (3, 1, None)]
 
 
-@pytest.mark.parametrize("name", ["pq_predict_linear", "range_window_2h", "pq_avg_over_time"])
+@pytest.mark.parametrize("name", ["pq_predict_linear", "range_window_2h", "pq_avg_over_time", "pq_rate"])
 def test_dense_queries_run_no_window_row_by_row(spark, name):
     plan = registry.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapGroupsInArrow" in plan and "Window [" not in plan
