@@ -40,7 +40,8 @@ class Carries:
 
     @property
     def future(self) -> WindowSpec:
-        return self.window.rowsBetween(1, Window.unboundedFollowing)
+        """The stretches after this one, the last of them first (see Series.future)."""
+        return Window.partitionBy(*self.by).orderBy(F.col("_chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 class Scan:
@@ -117,13 +118,13 @@ class NextKnown(Scan):
     x: Column
 
     def local(self, p, s):
-        return [{f"{p}l": F.first(self.x, ignorenulls=True).over(s.future())}]
+        return [{f"{p}l": F.last(self.x, ignorenulls=True).over(s.future())}]
 
     def summary(self, p, order):
         return {f"{p}s": F.min_by(self.x, F.when(self.x.isNotNull(), order))}
 
     def carry(self, p, w):
-        return [{f"{p}c": F.first(f"{p}s", ignorenulls=True).over(w.future)}]
+        return [{f"{p}c": F.last(f"{p}s", ignorenulls=True).over(w.future)}]
 
 
 @dataclass(frozen=True)
@@ -152,7 +153,7 @@ class NextTime(Scan):
     micros: str = "us"
 
     def local(self, p, s):
-        later = Window.partitionBy(*s.by).orderBy(self.micros).rangeBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(*s.by).orderBy(F.col(self.micros).desc()).rangeBetween(Window.unboundedPreceding, -1)
         return [{f"{p}l": F.min(self.micros).over(later)}]
 
     def summary(self, p, order):

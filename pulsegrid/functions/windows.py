@@ -41,7 +41,8 @@ class Series:
         return self.window.rowsBetween(Window.unboundedPreceding, 0)
 
     def future(self) -> WindowSpec:
-        return self.window.rowsBetween(0, Window.unboundedFollowing)
+        """This row and those after it, the last of them first: a window that ends at its row takes it in, while one that begins there is read anew for every row."""
+        return Window.partitionBy(*self.by).orderBy(*(F.col(c).desc() for c in self.order)).rowsBetween(Window.unboundedPreceding, 0)
 
     def whole(self) -> WindowSpec:
         return Window.partitionBy(*self.by)

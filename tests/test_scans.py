@@ -142,3 +142,12 @@ def test_cusum_queries_are_beyond_where_a_loop_is(spark, tmp_path):
     for name in ("cusum_series", "stream_cusum"):
         got = {r["event_id"]: (r["cusum"], r["beyond"]) for r in registry.QUERIES[name](spark, str(tmp_path)).collect()}
         assert got == want, name
+
+
+def test_no_scan_reads_the_rest_of_its_stretch_for_every_row(spark):
+    """A window up to the end of its partition is read anew for every row."""
+    v = F.col("value")
+    df = scans.scan(frame(spark, rows_of(5)), S, {"next": scans.NextKnown(v), "later": scans.NextTime()})
+    df = scans.interpolate(scans.fill_both(df, S, "value", "filled"), S, "value", "x")
+    plan = df._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "unboundedpreceding" in plan and "unboundedfollowing" not in plan
